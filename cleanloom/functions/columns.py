@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,15 +13,14 @@ from cleanloom.functions.vocab import LADDER_DATE_FORMATS, OUTER_SPACES_PATTERN
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 INTEGER_PATTERN = r"^\s*[+-]?\d{1,18}\s*$"
 
-_ISO_WITH_TIME = r"^\d{4}-\d{1,2}-\d{1,2}[T ]\d{1,2}:\d{1,2}"
-_WITH_TIME = r"^\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4} \d{1,2}:\d{2}(:\d{2}(\.\d+)?)?$"
-_DAY_ONLY = r"^\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}$"
-_YEAR_FIRST = r"^\d{4}([-/.])\d{1,2}\1\d{1,2}$"
-_MONTHS = ("jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|"
-           "sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?")
-_MONTH_FIRST = rf"(?i)^({_MONTHS})\.? (\d{{1,2}}),? (\d{{4}})$"
-_DAY_FIRST = rf"(?i)^(\d{{1,2}})[ -]({_MONTHS})[ -](\d{{4}})$"
-_NAMED_MONTH = rf"(?i)^(\d{{1,2}}[ -])?({_MONTHS})[-. ]"
+_CLOCK = r"\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,9})?)?( ?(Z|[+-]\d{1,2}(:?\d{2})?))?"
+_ISO = rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}([T ]{_CLOCK})?$"
+_MONTHS = ("jan(uary)?|feb(ruary)?|mar(ch)?|apr(il)?|may|june?|july?|aug(ust)?|sep(t(ember)?)?|oct(ober)?|"
+           "nov(ember)?|dec(ember)?")
+_NAMED_MONTH = rf"(?i)^\s*((\d{{1,2}}[ -]({_MONTHS})[ -])|(({_MONTHS})\.? \d{{1,2}},? ))\d{{4}}\s*$"
+_MONTH_FIRST = r"^([a-z]{3})[a-z]*\.? (\d{1,2}),? (\d{4})$"
+_DAY_FIRST = r"^(\d{1,2})[ -]([a-z]{3})[a-z]*[ -](\d{4})$"
+MAX_DATE_LENGTH = 64
 
 
 def ref(name: str) -> Column:
@@ -89,48 +90,51 @@ def text(column: Column) -> Column:
 
 
 # ---------------------------------------------------------------- dates
-def _shape(fmt: str) -> str:
-    pattern = fmt.replace(".", r"\.").replace("yyyy", r"\d{4}")
-    return "^" + pattern.replace("MM", r"\d{1,2}").replace("dd", r"\d{1,2}") + "$"
-
-
-def _reordered(column: Column, fmt: str) -> Column:
-    """Rewrite text of one format to year-month-day, which the plain date cast reads."""
+def _groups(fmt: str) -> tuple[str, str]:
+    """Regex of a day format, and the replacement that rewrites it to year-month-day."""
     separator = next(ch for ch in fmt if not ch.isalpha())
     fields = fmt.split(separator)
-    dashed = column if separator == "-" else F.translate(column, separator, "-")
-    if fields[0] == "yyyy":
-        return dashed
-    pieces = F.split(dashed, "-")
-    return F.concat_ws("-", pieces[2], pieces[fields.index("MM")], pieces[fields.index("dd")])
+    digits = {"yyyy": r"(\d{4})", "MM": r"(\d{1,2})", "dd": r"(\d{1,2})"}
+    pattern = re.escape(separator).join(digits[f] for f in fields)
+    return f"^{pattern}$", "-".join(f"${fields.index(f) + 1}" for f in ("yyyy", "MM", "dd"))
 
 
 def parse_date_as(column: Column, fmt: str) -> Column:
     """Timestamp of text in exactly one day format; one-digit days and months are accepted."""
-    return F.when(column.rlike(_shape(fmt)), _reordered(column, fmt).try_cast("timestamp"))
+    pattern, ordered = _groups(fmt)
+    return F.when(column.rlike(pattern), F.regexp_replace(column, pattern, ordered).try_cast("timestamp"))
 
 
-def _ladder(day: Column, dayfirst: bool) -> Column:
-    """Formats with the same shape are tried in ladder order; the year-first ones differ by mark only."""
-    formats = [f for f in LADDER_DATE_FORMATS if not f.startswith("yyyy")]
-    if dayfirst:
-        formats.sort(key=lambda f: f.startswith("MM"))
-    groups: dict[str, list[str]] = {}
-    for fmt in formats:
-        groups.setdefault(_shape(fmt), []).append(fmt)
-    branches = F.when(day.rlike(_YEAR_FIRST), F.translate(day, "/.", "--").try_cast("timestamp"))
-    for shape, members in groups.items():
-        branches = branches.when(
-            day.rlike(shape), F.coalesce(*[_reordered(day, f).try_cast("timestamp") for f in members]))
-    return branches
+def _rewrites(dayfirst: bool) -> list[tuple[str, str]]:
+    """Rewrites of the accepted day formats to year-month-day, a clock time after a blank kept.
+
+    Where a mark is used both day-first and month-first, the first order of the ladder wins if its
+    month is a month. That is the same as trying both: a day that is wrong for one order (29 or more)
+    is no month for the other.
+    """
+    end, day, month = r"(?=[ T]|$)", r"(\d{1,2})", r"(0?[1-9]|1[0-2])"
+    rules = [(rf"^(\d{{4}})([/.]){day}\2{day}{end}", "$1-$3-$4"), (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")]
+    for mark in "/.-":
+        orders = [f for f in LADDER_DATE_FORMATS if mark in f and not f.startswith("yyyy")]
+        if dayfirst:
+            orders.sort(key=lambda f: f.startswith("MM"))
+        m = re.escape(mark)
+        for i, fmt in enumerate(orders):
+            only = len(orders) == 1 or i > 0
+            if fmt.startswith("MM"):
+                rules.append((rf"^{day if only else month}{m}{day}{m}(\d{{4}}){end}", "$3-$1-$2"))
+            else:
+                rules.append((rf"^{day}{m}{day if only else month}{m}(\d{{4}}){end}", "$3-$2-$1"))
+    return rules
 
 
 def parse_date(column: Column, kind: str = "string", dayfirst: bool = False) -> Column:
     """Timestamp of a value in any accepted format, else null.
 
-    Text is tried against a fixed ladder of formats, the first that fits winning, so that a value
-    parses the same way whatever its neighbours are. Only casts that yield null on failure are used:
-    no formatter raises per bad row.
+    Text is rewritten to year-month-day by a fixed ladder of formats, so that a value parses the same
+    way whatever its neighbours are, and cast in a way that yields null on failure: nothing is thrown
+    per bad row. The column occurs only a few times in the expression, which keeps generated code small
+    when the column is itself a long expression.
     """
     if kind == "temporal":
         return column.cast("timestamp")
@@ -138,22 +142,17 @@ def parse_date(column: Column, kind: str = "string", dayfirst: bool = False) ->
         return F.when(column.isNotNull(), F.timestamp_micros((column / 1000).cast("long")))
     if kind != "string":
         return F.lit(None).cast("timestamp")
-    trimmed = F.btrim(column, F.lit(" \t\r\n"))
-    marked = _ladder(F.substring_index(trimmed, " ", 1), dayfirst)
-    clock = F.substring_index(trimmed, " ", -1)
-    named = F.regexp_replace(F.regexp_replace(trimmed, _MONTH_FIRST, "$3-$1-$2"), _DAY_FIRST, "$3-$2-$1")
-    month = (F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), F.lower(F.substring(named, 6, 3))) + 2) / 3
-    return (
-        F.when(trimmed.rlike(_DAY_ONLY), marked)
-        .when(trimmed.rlike(_ISO_WITH_TIME), trimmed.try_cast("timestamp"))
-        .when(trimmed.rlike(_WITH_TIME),
-              F.concat_ws(" ", F.date_format(marked, "yyyy-MM-dd"), clock).try_cast("timestamp"))
-        .when(trimmed.rlike(_NAMED_MONTH),
-              F.concat_ws("-", F.substring(named, 1, 4), month.cast("int").cast("string"),
-                          F.substring_index(named, "-", -1)).try_cast("timestamp"))
-        .when(trimmed.rlike(r"^\d{8}$"),
-              F.regexp_replace(trimmed, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3").try_cast("timestamp"))
-    )
+    blanks = F.lit(" \t\r\n")
+    digits = F.btrim(column, blanks)
+    for pattern, ordered in _rewrites(dayfirst):
+        digits = F.regexp_replace(digits, pattern, ordered)
+    digits = F.regexp_extract(digits, _ISO, 0).try_cast("timestamp")
+    named = F.lower(F.btrim(column, blanks))
+    for pattern, ordered in ((_MONTH_FIRST, "$3 $1 $2"), (_DAY_FIRST, "$3 $2 $1")):
+        named = F.regexp_replace(named, pattern, ordered)
+    named = F.try_to_timestamp(F.initcap(named), F.lit("yyyy MMM d"))
+    # Nothing longer than the longest accepted form is a date: free text is ruled out by its length.
+    return F.when(F.length(column) <= MAX_DATE_LENGTH, F.when(column.rlike(_NAMED_MONTH), named).otherwise(digits))
 
 
 # ---------------------------------------------------------------- text
