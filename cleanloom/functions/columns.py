@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cleanloom.functions.vocab import LADDER_DATE_FORMATS, OUTER_SPACES_PATTERN
+from cleanloom.functions.vocab import LADDER_DATE_FORMATS, OUTER_SPACES_PATTERN, SPACE
 
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 INTEGER_PATTERN = r"^\s*[+-]?\d{1,18}\s*$"
 
 _CLOCK = r"\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,9})?)?( ?(Z|[+-]\d{1,2}(:?\d{2})?))?"
 _ISO = rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}([T ]{_CLOCK})?$"
+_ISO_DAY = r"^\d{4}-\d{1,2}-\d{1,2}$"
+_DIGITS_FIRST = r"^\s*(\d{1,4}[-/.]\d|\d{8}\s*$)"
 _MONTHS = ("jan(uary)?|feb(ruary)?|mar(ch)?|apr(il)?|may|june?|july?|aug(ust)?|sep(t(ember)?)?|oct(ober)?|"
            "nov(ember)?|dec(ember)?")
 _NAMED_MONTH = rf"(?i)^\s*((\d{{1,2}}[ -]({_MONTHS})[ -])|(({_MONTHS})\.? \d{{1,2}},? ))\d{{4}}\s*$"
@@ -151,8 +153,12 @@ def parse_date(column: Column, kind: str = "string", dayfirst: bool = False) ->
     for pattern, ordered in ((_MONTH_FIRST, "$3 $1 $2"), (_DAY_FIRST, "$3 $2 $1")):
         named = F.regexp_replace(named, pattern, ordered)
     named = F.try_to_timestamp(F.initcap(named), F.lit("yyyy MMM d"))
-    # Nothing longer than the longest accepted form is a date: free text is ruled out by its length.
-    return F.when(F.length(column) <= MAX_DATE_LENGTH, F.when(column.rlike(_NAMED_MONTH), named).otherwise(digits))
+    # Plain ISO days skip the rewrites. Text that is longer than the longest accepted form, or of another
+    # make, is ruled out by its length or by one match.
+    return F.when(F.length(column) <= MAX_DATE_LENGTH,
+                  F.when(column.rlike(_ISO_DAY), column.try_cast("timestamp"))
+                  .when(column.rlike(_DIGITS_FIRST), digits)
+                  .when(column.rlike(_NAMED_MONTH), named))
 
 
 # ---------------------------------------------------------------- text
@@ -164,6 +170,16 @@ def is_lower(column: Column) -> Column:
     return (column == F.lower(column)) & (column != F.upper(column))
 
 
+def has_outer_space(column: Column) -> Column:
+    """Looks at the first and last character only, however long the text is."""
+    return F.concat(F.left(column, F.lit(1)), F.right(column, F.lit(1))).rlike(SPACE)
+
+
+def has_non_ascii(column: Column) -> Column:
+    """ASCII text has as many bytes as characters."""
+    return F.octet_length(column) != F.char_length(column)
+
+
 def strip(column: Column) -> Column:
     return F.regexp_replace(column, OUTER_SPACES_PATTERN, "")
 

@@ -29,6 +29,16 @@ def aggregate(df: DataFrame, expressions: dict, fuse_limit: int = FUSE_LIMIT) ->
     return values
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread an input that arrives in fewer splits than cores, before a pass that is heavy on CPU.
+
+    A small file, or one that cannot be split, would otherwise keep one core busy. Inputs with enough
+    splits, as any large table has, are returned unchanged and not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def count_if(predicate: Column) -> Column:
     return F.count(F.when(predicate, F.lit(1)))
 

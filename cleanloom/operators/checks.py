@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cleanloom.functions import vocab
 from cleanloom.functions.columns import (
-    cell_text, is_lower, is_upper, parse_date, ref, strip, to_real)
-from cleanloom.functions.stats import aggregate, count_if, duplicate_rows
+    cell_text, has_non_ascii, has_outer_space, is_lower, is_upper, parse_date, ref, strip, to_real)
+from cleanloom.functions.stats import aggregate, count_if, duplicate_rows, spread
 from cleanloom.operators.roles import Roles, detect_roles
 
 
@@ -24,10 +24,34 @@ class Context:
     as_of: dt.datetime | None = None
     include_null: bool = True
     dayfirst: bool = False
+    # Set when the frame carries the costly readings of a column as columns of their own.
+    prepared: bool = False
 
     def kind(self, column: str) -> str:
         return self.roles.kinds[column]
 
+    def date(self, column: str) -> Column:
+        return self._reading("date", column)
+
+    def number(self, column: str) -> Column:
+        return self._reading("number", column)
+
+    def stripped(self, column: str) -> Column:
+        return self._reading("strip", column)
+
+    def _reading(self, reading: str, column: str) -> Column:
+        if self.prepared:
+            return ref(f"{reading}:{column}")
+        if reading == "date":
+            return parse_date(ref(column), self.kind(column), self.dayfirst)
+        return to_real(ref(column), self.kind(column)) if reading == "number" else strip(ref(column))
+
+    def prepare(self, df: DataFrame, dates, numbers, texts) -> tuple[DataFrame, Context]:
+        """Read every date, number and stripped text once, for all checks that use it."""
+        extra = [self._reading(r, c).alias(f"{r}:{c}")
+                 for r, names in (("date", dates), ("number", numbers), ("strip", texts)) for c in names]
+        return df.select(*[ref(c) for c in df.columns], *extra), replace(self, prepared=True)
+
     def now(self) -> Column:
         return F.lit(self.as_of) if self.as_of else F.current_timestamp()
 
@@ -57,17 +81,21 @@ class Issue:
 
 
 # ---------------------------------------------------------------- shared predicates
-def _number(ctx, c):
-    return to_real(ref(c), ctx.kind(c))
+def _is_proxy(stripped: Column) -> Column:
+    return F.lower(stripped).isin(*vocab.PROXY_TOKENS)
+
+
+def _is_empty(stripped: Column, include_null: bool) -> Column:
+    blank = stripped.isin(*vocab.EMPTY_TOKENS)
+    return stripped.isNull() | blank if include_null else blank
 
 
 def proxy_missing(column: Column) -> Column:
-    return F.lower(strip(column)).isin(*vocab.PROXY_TOKENS)
+    return _is_proxy(strip(column))
 
 
 def empty_text(column: Column, include_null: bool = True) -> Column:
-    blank = strip(column).isin(*vocab.EMPTY_TOKENS)
-    return column.isNull() | blank if include_null else blank
+    return _is_empty(strip(column), include_null)
 
 
 def impossible_age(number: Column) -> Column:
@@ -122,44 +150,44 @@ CHECKS: dict[str, Check] = {check.issue_id: check for check in (
           lambda ctx, c: ref(c).isNull() | F.isnan(ref(c)) if ctx.kind(c) == "float" else ref(c).isNull(),
           "{n} missing values.", 0),
     Check("PROXY_MISSING", "Proxy Missingness", "Medium", _text_not_date,
-          lambda ctx, c: proxy_missing(ref(c)),
+          lambda ctx, c: _is_proxy(ctx.stripped(c)),
           "{n} placeholder tokens."),
     Check("EMPTY_TEXT", "Proxy Missingness", "Medium", _text_not_date,
-          lambda ctx, c: empty_text(ref(c), ctx.include_null),
+          lambda ctx, c: _is_empty(ctx.stripped(c), ctx.include_null),
           "{n} values that are empty or spell a missing value.", 0),
     Check("NEG_AGE", "Numeric Validity", "High",
           lambda ctx, c: "age" in c.lower() and c in ctx.roles.numeric,
-          lambda ctx, c: _number(ctx, c) < 0,
+          lambda ctx, c: ctx.number(c) < 0,
           "{n} ages below zero."),
     Check("RANGE_EXCEEDED", "Range Violation", "High",
           lambda ctx, c: vocab.mentions(c, vocab.RANGE_WORDS),
-          lambda ctx, c: _number(ctx, c) > 100,
+          lambda ctx, c: ctx.number(c) > 100,
           "{n} values above 100 percent."),
     Check("IMPOSSIBLE_AGE", "Domain Constraint Violation", "High",
           lambda ctx, c: c in ctx.roles.age,
-          lambda ctx, c: impossible_age(_number(ctx, c)),
+          lambda ctx, c: impossible_age(ctx.number(c)),
           "{n} ages outside 0 to 120."),
     Check("INVALID_MONETARY", "Domain Constraint Violation", "High",
           lambda ctx, c: c in ctx.roles.money,
-          lambda ctx, c: _number(ctx, c) <= 0,
+          lambda ctx, c: ctx.number(c) <= 0,
           "{n} amounts that are zero or negative."),
     Check("FUTURE_DATE", "Time-Travel Error", "Medium",
           lambda ctx, c: c in ctx.roles.date,
-          lambda ctx, c: parse_date(ref(c), ctx.kind(c), ctx.dayfirst) > ctx.now(),
+          lambda ctx, c: ctx.date(c) > ctx.now(),
           "{n} dates in the future.", 1),
     Check("INVALID_DATE_FORMAT", "Invalid Date Format", "High",
           lambda ctx, c: c in ctx.roles.date,
-          lambda ctx, c: invalid_date(ref(c), ctx.kind(c), ctx.dayfirst),
+          lambda ctx, c: ref(c).isNotNull() & ctx.date(c).isNull(),
           "{n} values that no date format reads."),
     Check("WHITESPACE", "Structural Noise", "Low", _is_text,
-          lambda ctx, c: ref(c).rlike(vocab.EDGE_SPACE_PATTERN),
+          lambda ctx, c: has_outer_space(ref(c)),
           "{n} values with outer whitespace.", 0),
     Check("SPECIAL_CHARS", "Structural Noise", "Medium",
           lambda ctx, c: _text_not_date(ctx, c) and not vocab.mentions(c, vocab.NO_SPECIAL_CHECK_WORDS),
           lambda ctx, c: ref(c).rlike(vocab.SPECIAL_PATTERN),
           "{n} values with special characters."),
     Check("ENCODING_JUNK", "Encoding Artifact", "Medium", _is_text,
-          lambda ctx, c: ref(c).rlike(vocab.NON_ASCII_PATTERN),
+          lambda ctx, c: has_non_ascii(ref(c)),
           "{n} values with non-ASCII characters.", 0),
     Check("WORD_AS_NUMBER", "Type Mismatch", "High",
           lambda ctx, c: c in ctx.roles.numeric and _is_text(ctx, c),
@@ -168,7 +196,7 @@ CHECKS: dict[str, Check] = {check.issue_id: check for check in (
     Check("Z_OUTLIER", "Extreme Outlier", "Medium",
           lambda ctx, c: (c in ctx.roles.moments and c not in ctx.roles.identity + ctx.roles.age
                           and _has_moments(ctx, c)),
-          lambda ctx, c: beyond_three_sigma(_number(ctx, c), *ctx.roles.moments[c][1:]),
+          lambda ctx, c: beyond_three_sigma(ctx.number(c), *ctx.roles.moments[c][1:]),
           "{n} values more than three standard deviations from the mean."),
     Check("PHONE_FORMAT_ISSUE", "Text Cleaning", "Low",
           lambda ctx, c: vocab.mentions(c, vocab.PHONE_WORDS) and _is_text(ctx, c),
@@ -176,7 +204,7 @@ CHECKS: dict[str, Check] = {check.issue_id: check for check in (
           "{n} phone numbers with symbols or spaces."),
     Check("PERCENT_VIOLATION", "Business Rule Violation", "High",
           lambda ctx, c: vocab.mentions(c, vocab.PERCENT_RULE_WORDS),
-          lambda ctx, c: outside_percent(_number(ctx, c)),
+          lambda ctx, c: outside_percent(ctx.number(c)),
           "{n} values outside 0 to 100 percent."),
 )}
 
@@ -186,6 +214,9 @@ ORDER = ("EMAIL_FORMAT_ISSUE", "DATE_SEQUENCE_VIOLATION", "MISSING_VAL", "PROXY_
          "INVALID_DATE_FORMAT", "DATE_FORMAT_MIXED", "SEQ_ERROR", "WHITESPACE", "SPECIAL_CHARS",
          "ENCODING_JUNK", "WORD_AS_NUMBER", "CASE_DIVERGE", "ID_CLASH", "Z_OUTLIER",
          "PHONE_FORMAT_ISSUE", "PERCENT_VIOLATION", "DUPLICATE_ROWS")
+# Issue types whose checks read the column as a number.
+NUMBER_TYPES = ("Numeric Validity", "Range Violation", "Domain Constraint Violation", "Extreme Outlier",
+                "Business Rule Violation")
 PAIR_CHECKS = {"DATE_SEQUENCE_VIOLATION": " -> ", "SEQ_ERROR": "/"}
 MIXED_DATE_EXAMPLES = 6
 
@@ -253,15 +284,18 @@ def detect_issues(df: DataFrame, roles=None, order_by: list[str] | None = None,
     the smallest values.
     """
     ctx = context(df, roles, as_of, include_null, dayfirst)
-    kind = ctx.roles.kinds
-    predicates: dict[tuple, Column] = {}
-    for issue_id, check in CHECKS.items():
-        for column in kind:
-            if check.applies(ctx, column):
-                predicates[(issue_id, column)] = check.predicate(ctx, column)
+    source, kind = df, ctx.roles.kinds
+    df = spread(df)
     paired = sequence_pairs(list(kind), pairs)
+    applied = [(check, column) for check in CHECKS.values() for column in kind if check.applies(ctx, column)]
+    dated = set(ctx.roles.date) | {c for _, start, end in paired for c in (start, end)}
+    numbers = {c for check, c in applied if check.issue_type in NUMBER_TYPES}
+    texts = {c for check, c in applied if check.issue_type == "Proxy Missingness"}
+    df, ctx = ctx.prepare(df, *[[c for c in kind if c in names] for names in (dated, numbers, texts)])
+    predicates: dict[tuple, Column] = {
+        (check.issue_id, column): check.predicate(ctx, column) for check, column in applied}
     for issue_id, start, end in paired:
-        predicates[(issue_id, start + PAIR_CHECKS[issue_id] + end)] = out_of_sequence(kind, start, end, dayfirst)
+        predicates[(issue_id, start + PAIR_CHECKS[issue_id] + end)] = ctx.date(end) < ctx.date(start)
     asked = {key: count_if(p) for key, p in predicates.items()}
     cased = [c for c in kind if kind[c] == "string" and c not in ctx.roles.date + ctx.roles.identity]
     for column in cased:
@@ -299,7 +333,7 @@ def detect_issues(df: DataFrame, roles=None, order_by: list[str] | None = None,
         if repeats:
             rows.append(Issue("ID_CLASH", column, "Identity Clash", "High", repeats, f"{repeats} repeated identifiers."))
     if duplicates:
-        repeated = duplicate_rows(df).first()["duplicate_rows"]
+        repeated = duplicate_rows(source).first()["duplicate_rows"]
         if repeated:
             rows.append(Issue("DUPLICATE_ROWS", "*", "Duplicate Rows", "Medium", repeated,
                               f"{repeated} rows repeat an earlier row."))

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from cleanloom.functions import vocab
 from cleanloom.functions.columns import (
-    is_numeric, kinds, number_without_commas, parse_date, ref, strip, to_number, to_real)
+    has_non_ascii, has_outer_space, is_numeric, kinds, number_without_commas, parse_date, ref, strip, to_number,
+    to_real)
 from cleanloom.functions.ordering import dense_numbers, forward_fill, stochastic_fill
 from cleanloom.functions.stats import (
     aggregate, clean_modes, count_if, distinct_counts, duplicate_rows, percentiles)
@@ -377,10 +378,10 @@ FIXES: dict[str, Fix] = {fix.fix_id: fix for fix in (
     Fix("RESET_ID_COLUMNS", "renumber identifiers from 1", frame=reset_ids),
     # text
     Fix("FIX_STRIP_WHITESPACE", "strip outer whitespace", only=_text_only,
-        value=lambda c, k, p: strip(c), touched=lambda c, k, p: c.rlike(vocab.EDGE_SPACE_PATTERN)),
+        value=lambda c, k, p: strip(c), touched=lambda c, k, p: has_outer_space(c)),
     Fix("FIX_REMOVE_NON_ASCII", "remove non-ASCII characters", only=_text_only,
         value=lambda c, k, p: F.regexp_replace(c, vocab.NON_ASCII_PATTERN, ""),
-        touched=lambda c, k, p: c.rlike(vocab.NON_ASCII_PATTERN)),
+        touched=lambda c, k, p: has_non_ascii(c)),
     Fix("FIX_STANDARDIZE_CASE_LOWER", "lower-case", only=_text_only,
         value=lambda c, k, p: F.lower(c), touched=lambda c, k, p: c != F.lower(c)),
     Fix("FIX_PROXY_TO_NAN", "placeholders to missing", only=_text_only,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cleanloom.functions.columns import (
     is_numeric, kinds, number_without_commas, parse_date, parse_date_as, ref)
-from cleanloom.functions.stats import aggregate, count_if, distinct_counts
+from cleanloom.functions.stats import aggregate, count_if, distinct_counts, spread
 from cleanloom.functions.vocab import INFERENCE_DATE_FORMATS
 
 ACCEPT = 0.9
@@ -38,7 +38,7 @@ def infer_types(df: DataFrame, categorical_threshold: float = 0.05,
             asked[("date", name)] = F.count(parse_date(c))
             for fmt in INFERENCE_DATE_FORMATS:
                 asked[(fmt, name)] = F.count(parse_date_as(c, fmt))
-    found = aggregate(df, asked)
+    found = aggregate(spread(df), asked)
     rows = max(found["rows"], 1)
 
     decided: dict[str, tuple[str, str | None]] = {}
@@ -107,7 +107,7 @@ def physical_types(df: DataFrame, columns: list[str] | None = None) -> dict[str,
         asked[("long", name)] = count_if(c.rlike(INTEGER_PATTERN))
         asked[("double", name)] = F.count(to_number(c, "string"))
         asked[("bool", name)] = count_if(c.isin("True", "TRUE", "true", "False", "FALSE", "false"))
-    found = aggregate(df, asked)
+    found = aggregate(spread(df), asked)
     result = {}
     for name in names:
         n = found[("n", name)]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from cleanloom.functions import vocab
 from cleanloom.functions.columns import is_numeric, kinds, parse_date, ref, to_number, to_real
-from cleanloom.functions.stats import aggregate, value_counts
+from cleanloom.functions.stats import aggregate, spread, value_counts
 
 
 @dataclass(frozen=True)
@@ -66,7 +66,7 @@ def detect_roles(df: DataFrame, overrides: dict | None = None, dayfirst: bool =
             real = to_real(column, k)
             asked[("moments", name)] = F.struct(
                 F.count(real).alias("n"), F.avg(real).alias("mean"), F.stddev_samp(real).alias("std"))
-    found = aggregate(df, asked)
+    found = aggregate(spread(df), asked)
     rows = found["rows"]
 
     date = []
