@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cleanloom.workload import checks
+from cleanloom.workload import checks, fixes, profile
 
-MODULES = (checks,)
+MODULES = (profile, checks, fixes)
 
 
 def queries() -> dict:
