@@ -79,7 +79,7 @@ def _fill(c, k, replacement):
 
 def _swap_where(bad: Column, number: Column, k: str, replacement) -> Column:
     kind = "integer" if k == "integer" else "float"
-    new = F.lit(None).cast("double") if replacement is None else _literal(replacement, kind)
+    new = F.lit(None) if replacement is None else _literal(replacement, kind)
     return F.when(bad, new).otherwise(number)
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from cleanloom.workload import checks, fixes, profile
+from cleanloom.workload import checks, fixes, outliers, profile, recommend, sources
 
-MODULES = (profile, checks, fixes)
+MODULES = (sources, profile, outliers, checks, recommend, fixes)
 
 
 def queries() -> dict:
