@@ -68,7 +68,7 @@ def row_digest(df: DataFrame, columns: list[str] | None = None) -> Column:
 
 def duplicate_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row (rows, distinct_rows, duplicate_rows); nulls compare equal."""
-    groups = df.select(row_digest(df, columns).alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("n"))
+    groups = spread(df).select(row_digest(df, columns).alias("d")).groupBy("d").agg(F.count(F.lit(1)).alias("n"))
     return groups.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
         F.count(F.lit(1)).alias("distinct_rows"),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleanloom.functions.columns import is_numeric, kinds, ref, to_real
-from cleanloom.functions.stats import count_if, percentiles
+from cleanloom.functions.stats import count_if, percentiles, spread
 from cleanloom.operators.isolation import Forest, fit_forest, score_column
 from cleanloom.operators.lof import NEIGHBOURS, Density, fit_density, new_scores, training_scores
 from cleanloom.session import scratch_path
@@ -70,7 +70,7 @@ def fit(df: DataFrame, key: list[str] | None = None, method: str = "isolation_fo
         keyed = df.select(*df.columns, *[ref(k).alias(f"__key{i}") for i, k in enumerate(key)])
         ready = prepare(keyed, names)
         forest = fit_forest(ready, names, [f"__key{i}" for i in range(len(key))], rows, seed)
-        scores = _stored(ready.select(score_column(forest, [ref(c) for c in names]).alias("score")))
+        scores = _stored(spread(ready).select(score_column(forest, [ref(c) for c in names]).alias("score")))
         cut = percentiles(scores, {"t": (F.col("score"), [contamination])})["t"][0]
         return Model(method, tuple(names), contamination, cut, forest)
     ready = prepare(df, names)
@@ -105,7 +105,7 @@ def detect(df: DataFrame, model: Model | None, key: list[str] | None = None) ->
     filled = [F.coalesce(to_real(ref(c), kind[c]), F.lit(middle[c][0] or 0.0)) for c in present]
     mark = F.when(F.col("__score") < F.lit(model.threshold), F.lit(-1)).otherwise(F.lit(1))
     if model.method == "isolation_forest":
-        scored = df.withColumn("__score", score_column(model.fitted, filled))
+        scored = spread(df).withColumn("__score", score_column(model.fitted, filled))
     else:
         keyed = df.withColumn("__x", F.array(*[f + F.lit(0.0) for f in filled]))
         scores = (new_scores(keyed.select(F.col("__x").alias("x")), model.fitted) if model.novelty

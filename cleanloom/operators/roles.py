@@ -97,16 +97,16 @@ def detect_roles(df: DataFrame, overrides: dict | None = None, dayfirst: bool =
     repeats, identity = {}, []
     if candidates:
         raw = value_counts(df, {c: ref(c).cast("string") for c in candidates})
-        number = to_number(F.col("value"), "string")
-        stats = raw.groupBy("column").agg(
-            F.count(F.lit(1)).alias("values"), F.sum("n").alias("n"), F.count_distinct(number).alias("numbers"),
-            F.min(number).alias("low"), F.max(number).alias("high"))
-        for row in stats.collect():
-            name = row["column"]
-            nulls = rows - row["n"]
-            repeats[name] = row["n"] - row["values"] + max(nulls - 1, 0)
-            gap = (row["high"] - row["low"]) / (row["numbers"] - 1) if row["numbers"] > 1 else None
-            if "identity" in overrides or (gap is not None and gap <= 2):
+        asked = [F.count(F.lit(1)).alias("values"), F.sum("n").alias("n")]
+        written = [c for c in candidates if kind[c] == "string"]
+        if written:  # texts may write one number in several ways
+            asked.append(F.count_distinct(F.when(
+                F.col("column").isin(written), to_number(F.col("value"), "string"))).alias("numbers"))
+        for row in raw.groupBy("column").agg(*asked).collect():
+            name, facts = row["column"], found.get(("id", row["column"]))
+            repeats[name] = row["n"] - row["values"] + max(rows - row["n"] - 1, 0)
+            numbers = row["numbers"] if name in written else row["values"]
+            if "identity" in overrides or (numbers > 1 and (facts["high"] - facts["low"]) / (numbers - 1) <= 2):
                 identity.append(name)
     identity = [c for c in kind if c in identity]
 
