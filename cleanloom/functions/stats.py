@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 FUSE_LIMIT = 300
 # Up to this many values the built-in exact percentile (a value -> count map) is safe in one task.
 IN_MEMORY_VALUES = 1_000_000
+# Inputs above this estimated size are split well enough by the scan.
+SPREAD_BYTES = 512 << 20
+# Longer texts are grouped by a digest, so that counting documents does not shuffle them.
+LONG_TEXT_BYTES = 64
+DIGEST_MARK = "\u0000sha256:"
 # Rank accuracy of the sketch that brackets a percentile on larger data.
 SKETCH_ACCURACY = 10_000
 
@@ -30,13 +35,16 @@ def aggregate(df: DataFrame, expressions: dict, fuse_limit: int = FUSE_LIMIT) ->
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread an input that arrives in fewer splits than cores, before a pass that is heavy on CPU.
+    """Spread a small input that arrives in a file or two before a pass that is heavy on CPU.
 
-    A small file, or one that cannot be split, would otherwise keep one core busy. Inputs with enough
-    splits, as any large table has, are returned unchanged and not shuffled.
+    One small file is one split and would keep one core busy. The decision rests on file sizes alone,
+    and inputs above a fixed size are never shuffled for it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(size) > SPREAD_BYTES or not 0 < len(df.inputFiles()) * 4 <= cores:
+        return df
+    return df.repartition(cores)
 
 
 def count_if(predicate: Column) -> Column:
@@ -183,15 +191,25 @@ def median(df: DataFrame, column: Column, **options) -> float | None:
 
 
 # ---------------------------------------------------------------- value counts
+def compact(column: Column) -> Column:
+    """The text itself when short, else its first characters and a SHA-256 digest.
+
+    No short text equals a compacted one: those are longer than the limit.
+    """
+    return F.when(F.octet_length(column) <= LONG_TEXT_BYTES, column).otherwise(
+        F.concat(F.left(column, F.lit(16)), F.lit(DIGEST_MARK), F.sha2(column.cast("binary"), 256)))
+
+
 def value_counts(df: DataFrame, columns: dict[str, Column], first_by: list[Column] | None = None) -> DataFrame:
     """Long form (column, value, n[, first_key]) of the non-null values of several text columns.
 
     A single pass feeds one two-level aggregation for all columns. Counts are combined before the
-    shuffle, so a value held by a third of all rows costs one record per task.
+    shuffle, so a value held by a third of all rows costs one record per task. Long values are
+    compacted; :func:`whole_values` brings the few that are shown back.
     """
     names = list(columns)
     pairs = F.explode(F.filter(
-        F.array(*[F.struct(F.lit(i).alias("c"), columns[name].alias("value")) for i, name in enumerate(names)]),
+        F.array(*[F.struct(F.lit(i).alias("c"), compact(columns[name]).alias("value")) for i, name in enumerate(names)]),
         lambda pair: pair["value"].isNotNull()))
     key = [F.struct(*first_by).alias("k")] if first_by else []
     long = df.select(pairs.alias("p"), *key).select(
@@ -202,6 +220,20 @@ def value_counts(df: DataFrame, columns: dict[str, Column], first_by: list[Colum
     return counted.select(label.alias("column"), "value", "n", *(["first_key"] if first_by else []))
 
 
+def whole_values(df: DataFrame, columns: dict[str, Column], shown: list[tuple[str, str]]) -> dict:
+    """{(column, compacted value): whole value} of the (few) shown values that were compacted."""
+    wanted: dict[str, list[str]] = {}
+    for name, value in shown:
+        if value is not None and DIGEST_MARK in value:
+            wanted.setdefault(name, []).append(value)
+    found: dict = {}
+    for name, values in wanted.items():
+        rows = (df.select(compact(columns[name]).alias("short"), columns[name].alias("value"))
+                .filter(F.col("short").isin(*set(values))).groupBy("short").agg(F.min("value").alias("value")))
+        found.update({(name, r["short"]): r["value"] for r in rows.collect()})
+    return found
+
+
 def top_values(counts: DataFrame, n: int, by_first: bool = False) -> DataFrame:
     """At most ``n`` values per column, most frequent first (ties: smallest) or first seen."""
     order = [F.col("first_key"), F.col("value")] if by_first else [F.col("n").desc(), F.col("value")]
@@ -210,11 +242,7 @@ def top_values(counts: DataFrame, n: int, by_first: bool = False) -> DataFrame:
 
 
 def distinct_counts(df: DataFrame, columns: dict[str, Column], approximate: bool = False) -> dict[str, int]:
-    """Distinct non-null values per column.
-
-    A single column is counted directly. Several go through the long form: one shuffle of distinct
-    (column, value) pairs, instead of one copy of every row per column.
-    """
+    """Distinct non-null values per text column: one shuffle of distinct (column, value) pairs."""
     if not columns:
         return {}
     if approximate:
@@ -233,5 +261,8 @@ def clean_modes(df: DataFrame, columns: dict[str, Column]) -> dict[str, dict]:
         F.max("n").alias("top"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct"),
         F.min_by("value", F.struct((-F.col("n")).alias("a"), F.col("value").alias("b"))).alias("mode"))
     found = {r["column"]: r.asDict() for r in per_column.collect()}
+    whole = whole_values(df, columns, [(c, r["mode"]) for c, r in found.items()])
+    for c, r in found.items():
+        r["mode"] = whole.get((c, r["mode"]), r["mode"])
     empty = {"mode": None, "top": 0, "total": 0, "distinct": 0}
     return {name: found.get(name, dict(empty)) for name in columns}

@@ -263,9 +263,12 @@ def later_duplicates(df: DataFrame, column: str, order_by: list[str]) -> DataFra
     First keys come from a combined aggregate, and the anti-join hashes (id, key) pairs, so a hot
     identifier is spread over all tasks.
     """
-    firsts = df.groupBy(ref(column).alias("__id")).agg(
-        F.min(F.struct(*[ref(k).alias(f"k{i}") for i, k in enumerate(order_by)])).alias("__k"))
-    firsts = firsts.select("__id", *[F.col(f"__k.k{i}").alias(f"__k{i}") for i in range(len(order_by))])
+    groups = df.groupBy(ref(column).alias("__id"))
+    if len(order_by) == 1:  # a plain minimum aggregates by hash; a struct would have to be sorted
+        firsts = groups.agg(F.min(ref(order_by[0])).alias("__k0"))
+    else:
+        firsts = groups.agg(F.min(F.struct(*[ref(k).alias(f"k{i}") for i, k in enumerate(order_by)])).alias("__k"))
+        firsts = firsts.select("__id", *[F.col(f"__k.k{i}").alias(f"__k{i}") for i in range(len(order_by))])
     match = ref(column).eqNullSafe(F.col("__id"))
     for i, k in enumerate(order_by):
         match = match & (ref(k) == F.col(f"__k{i}"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleanloom.functions.columns import kinds, ref
-from cleanloom.functions.stats import duplicate_rows
+from cleanloom.functions.stats import row_digest, spread
 
 
 def _present(df: DataFrame) -> dict:
@@ -36,8 +36,22 @@ def column_completeness(df: DataFrame) -> DataFrame:
 
 
 def quality(df: DataFrame) -> DataFrame:
-    """One row with all table measures and the score: completeness less 10 x the duplicate share, in 0..100."""
-    measured = cells(df).crossJoin(duplicate_rows(df).select("duplicate_rows"))  # two one-row frames
+    """One row with all table measures and the score: completeness less 10 x the duplicate share, in 0..100.
+
+    One pass: rows with the same digest are counted together with their present cells.
+    """
+    kind = kinds(df)
+    present = sum((F.when(ref(c).isNotNull() & (~F.isnan(ref(c).cast("double")) if kind[c] == "float" else F.lit(True)),
+                          F.lit(1)).otherwise(F.lit(0)) for c in df.columns), F.lit(0))
+    groups = (spread(df).select(row_digest(df).alias("d"), present.alias("p"))
+              .groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("p")))
+    rows, filled = F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("p"), F.lit(0))
+    total = rows * F.lit(len(df.columns))
+    measured = groups.agg(
+        rows.alias("rows"), F.lit(len(df.columns)).cast("long").alias("columns"), filled.alias("present"),
+        (total - filled).alias("missing"),
+        F.when(total > 0, filled / total * 100).otherwise(F.lit(0.0)).alias("completeness"),
+        (rows - F.count(F.lit(1))).alias("duplicate_rows"))
     penalty = F.when(F.col("rows") > 0, F.col("duplicate_rows") / F.col("rows") * 10).otherwise(F.lit(0.0))
     return measured.withColumn(
         "quality_score", F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("completeness") - penalty)))

@@ -21,6 +21,8 @@ from cleanloom.session import scratch_path
 
 CELL_POINTS = 1000
 CHUNK_POINTS = 2000
+MIN_CHUNK_POINTS = 100
+MAX_TASKS = 20_000
 MAX_PIVOTS = 16384
 MAX_PIVOT_VALUES = 4_000_000  # 32 MB of pivot coordinates
 BLOCK_VALUES = 4_000_000
@@ -108,7 +110,7 @@ def build_index(points: DataFrame, k: int, seed: int = 42, pivots: int | None =
 
 
 def neighbours(points: DataFrame, index: Index, k: int, exclude_self: bool,
-               chunk_points: int = CHUNK_POINTS) -> DataFrame:
+               chunk_points: int | None = None) -> DataFrame:
     """The k nearest indexed points of each query point: (pid, nid, nw, distance, place).
 
     ``points`` is (pid, x, w); with ``exclude_self`` its pids are those of the index. Ties go to the
@@ -121,8 +123,13 @@ def neighbours(points: DataFrame, index: Index, k: int, exclude_self: bool,
         path = scratch_path(spark, "query")
         _assigned(points, index.pivots).write.parquet(path)
         query = spark.read.parquet(path)
+    if chunk_points is None:  # a few chunks per core, within bounds
+        share = index.points // (4 * spark.sparkContext.defaultParallelism)
+        chunk_points = min(CHUNK_POINTS, max(MIN_CHUNK_POINTS, share))
     sizes = query.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("r").alias("u"))
     sizes = sizes.withColumn("chunks", F.ceil(F.col("n") / chunk_points).cast("int"))
+    # The search is bound by CPU, not bytes: one task per chunk, up to a limit, never merged by size.
+    tasks = min(MAX_TASKS, max(1, sizes.agg(F.sum("chunks")).first()[0] or 1))
     pivots, radius, nearest = index.pivots, index.radius, index.nearest
     needed = min(k + (1 if exclude_self else 0), index.points)
 
@@ -157,7 +164,7 @@ def neighbours(points: DataFrame, index: Index, k: int, exclude_self: bool,
     together = (left.unionByName(right)
                 .select(F.col("chunk.cell").alias("cell"), F.col("chunk.part").alias("part"),
                         "side", "apart", "pid", "x", "w")
-                .repartition("cell", "part").sortWithinPartitions("cell", "part", "side", "apart", "pid"))
+                .repartition(tasks, "cell", "part").sortWithinPartitions("cell", "part", "side", "apart", "pid"))
 
     def search(batches):
         state = None

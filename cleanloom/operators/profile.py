@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleanloom.functions.columns import cell_text, is_numeric, kinds, ref, to_real
-from cleanloom.functions.stats import aggregate, count_if, top_values, value_counts
+from cleanloom.functions.stats import aggregate, count_if, spread, top_values, value_counts, whole_values
 
 PROFILE_SCHEMA = ("column string, position int, dtype string, logical_type string, rows long, nulls long, "
                   "distinct long, mean double, std double, min double, max double, min_date timestamp, "
@@ -29,17 +29,21 @@ def column_measures(df: DataFrame) -> dict:
             asked.update({(name, "min_date"): F.min(c.cast("timestamp")), (name, "max_date"): F.max(c.cast("timestamp"))})
         elif k == "string":
             asked[(name, "avg_length")] = F.avg(F.length(c))
-    return aggregate(df, asked)
+    return aggregate(spread(df), asked)
 
 
-def counted_values(df: DataFrame, order_by: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
-    """(column, value, n[, first_key]) of all columns; the one shuffle behind distinct, sample and top values."""
+def _texts(df: DataFrame, columns: list[str] | None = None) -> dict:
     kind = kinds(df)
     texts = {}
     for name in columns or df.columns:
         value = cell_text(ref(name), kind[name])
         texts[name] = F.when(ref(name).isNotNull(), F.when(value != "NaN", value) if kind[name] == "float" else value)
-    return value_counts(df, texts, [ref(k) for k in order_by] if order_by else None)
+    return texts
+
+
+def counted_values(df: DataFrame, order_by: list[str] | None = None, columns: list[str] | None = None) -> DataFrame:
+    """(column, value, n[, first_key]) of all columns; the one shuffle behind distinct, sample and top values."""
+    return value_counts(df, _texts(df, columns), [ref(k) for k in order_by] if order_by else None)
 
 
 def profile(df: DataFrame, source: str | None = None, top_n: int = 5, order_by: list[str] | None = None,
@@ -77,11 +81,14 @@ def profile(df: DataFrame, source: str | None = None, top_n: int = 5, order_by:
         small = ranked[0]
         for part in ranked[1:]:
             small = small.unionByName(part)
-        for r in sorted(small.collect(), key=lambda r: r["rank"]):
+        picked = sorted(small.collect(), key=lambda r: r["rank"])
+        whole = whole_values(df, _texts(df), [(r["column"], r["value"]) for r in picked])
+        for r in picked:
+            value = whole.get((r["column"], r["value"]), r["value"])
             if r["rule"] == "sample":
-                samples.setdefault(r["column"], []).append(r["value"])
+                samples.setdefault(r["column"], []).append(value)
             elif r["rule"] == "top":
-                tops.setdefault(r["column"], []).append((r["value"], r["n"]))
+                tops.setdefault(r["column"], []).append((value, r["n"]))
             else:
                 distinct[r["column"]] = r["n"]
     rows = []

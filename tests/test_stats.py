@@ -61,3 +61,20 @@ def test_counts_and_modes(spark):
     tie = spark.createDataFrame([("b",), ("a",), ("a",), ("b",), ("c",)], "v string")
     assert clean_modes(tie, {"v": F.col("v")})["v"] == {"column": "v", "mode": "a", "top": 2, "total": 5, "distinct": 3}
     assert value_counts(tie, {"v": F.col("v")}).count() == 3
+
+
+def test_long_texts_are_counted_by_digest_and_shown_whole(spark):
+    long = ["x" * 100 + str(i % 3) for i in range(9)] + ["short"] * 2
+    df = spark.createDataFrame([(t,) for t in long], "t string")
+    assert distinct_counts(df, {"t": F.col("t")}) == {"t": 4}
+    assert max(len(r.value) for r in value_counts(df, {"t": F.col("t")}).collect()) < 101
+    mode = clean_modes(df, {"t": F.col("t")})["t"]
+    assert mode["top"] == 3 and mode["mode"] in long and len(mode["mode"]) == 101
+
+
+def test_top_values_of_long_texts(spark):
+    from cleanloom.operators.profile import profile
+
+    df = spark.createDataFrame([("y" * 200,), ("y" * 200,), ("b",)], "t string")
+    row = profile(df).first()
+    assert row.top_values == [("y" * 200, 2), ("b", 1)] and set(row["sample"]) == {"b", "y" * 200} and row.distinct == 2
