@@ -15,6 +15,7 @@ INTEGER_PATTERN = r"^\s*[+-]?\d{1,18}\s*$"
 
 _CLOCK = r"\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,9})?)?( ?(Z|[+-]\d{1,2}(:?\d{2})?))?"
 _ISO = rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}([T ]{_CLOCK})?$"
+DAY_SHAPE = r"^\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}$"
 _ISO_DAY = r"^\d{4}-\d{1,2}-\d{1,2}$"
 _DIGITS_FIRST = r"^\s*(\d{1,4}[-/.]\d|\d{8}\s*$)"
 _MONTHS = ("jan(uary)?|feb(ruary)?|mar(ch)?|apr(il)?|may|june?|july?|aug(ust)?|sep(t(ember)?)?|oct(ober)?|"

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from cleanloom.functions.columns import ref
 
 ROWS_PER_RANGE = 1_000_000
+MIN_ROWS_PER_RANGE = 2_000
 MAX_RANGES = 8192
 SAMPLES_PER_RANGE = 24
 _JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"}
@@ -40,7 +41,8 @@ def key_ranges(df: DataFrame, order_by: list[str], rows: int, ranges: int | None
     """Split the key space into ranges of about equal row counts."""
     if not order_by:
         raise ValueError("order_by must name a unique, non-null key")
-    wanted = ranges or min(MAX_RANGES, math.ceil(rows / ROWS_PER_RANGE))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    wanted = ranges or min(MAX_RANGES, max(math.ceil(rows / ROWS_PER_RANGE), min(cores, rows // MIN_ROWS_PER_RANGE)))
     if wanted <= 1 or rows == 0:
         return Ranges(F.lit(0), 1)
     # Keep about SAMPLES_PER_RANGE keys per range, by key hash: the same rows on every run.

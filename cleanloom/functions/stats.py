@@ -103,19 +103,30 @@ def percentiles(df: DataFrame, wanted: dict[str, tuple[Column, list[float]]], ap
     """
     if not wanted:
         return {}
+    # Requests for the same column object share one aggregate.
+    merged: dict[int, list] = {}
+    for name, (column, fractions) in wanted.items():
+        entry = merged.setdefault(id(column), [column, [], []])
+        entry[1].append((name, len(entry[2]), len(fractions)))
+        entry[2].extend(fractions)
+    if len(merged) < len(wanted):
+        found = percentiles(df, {i: (c, f) for i, (c, _, f) in merged.items()}, approximate, in_memory, accuracy)
+        return {name: found[i][at:at + size] for i, (_, parts, _) in merged.items() for name, at, size in parts}
     keys = list(wanted)
-    base = df.select(*[wanted[k][0].cast("double").alias(f"v{i}") for i, k in enumerate(keys)])
+    rows = df.count()
+    base = spread(df).select(*[wanted[k][0].cast("double").alias(f"v{i}") for i, k in enumerate(keys)])
     value = {k: F.col(f"v{i}") for i, k in enumerate(keys)}
     if approximate:
         found = aggregate(base, {
             k: F.percentile_approx(value[k], [float(p) for p in wanted[k][1]], F.lit(accuracy)) for k in keys})
         return {k: list(found[k]) if found[k] else [None] * len(wanted[k][1]) for k in keys}
-    counts = aggregate(base, {k: F.count(value[k]) for k in keys})
+    # The table's row count bounds every column's; only larger tables need the counts per column.
+    counts = dict.fromkeys(keys, rows) if rows <= in_memory else aggregate(base, {k: F.count(value[k]) for k in keys})
     small = {k: F.percentile(value[k], F.array(*[F.lit(float(p)) for p in wanted[k][1]]))
              for k in keys if 0 < counts[k] <= in_memory}
     result: dict[str, list] = {k: [None] * len(wanted[k][1]) for k in keys}
     if small:
-        result.update({k: list(v) for k, v in aggregate(base, small).items()})
+        result.update({k: list(v) for k, v in aggregate(base, small).items() if v is not None})
     large = [k for k in keys if counts[k] > in_memory]
     if large:
         order = {(k, r) for k in large for p in wanted[k][1] for r in _ranks(p, counts[k])[:2]}
@@ -208,12 +219,13 @@ def value_counts(df: DataFrame, columns: dict[str, Column], first_by: list[Colum
     compacted; :func:`whole_values` brings the few that are shown back.
     """
     names = list(columns)
-    pairs = F.explode(F.filter(
-        F.array(*[F.struct(F.lit(i).alias("c"), compact(columns[name]).alias("value")) for i, name in enumerate(names)]),
-        lambda pair: pair["value"].isNotNull()))
     key = [F.struct(*first_by).alias("k")] if first_by else []
-    long = df.select(pairs.alias("p"), *key).select(
-        F.col("p.c").alias("c"), F.col("p.value").alias("value"), *([F.col("k")] if first_by else []))
+    # The values are worked out once, in a projection of their own, before they are compacted.
+    base = spread(df).select(*[columns[name].alias(f"v{i}") for i, name in enumerate(names)], *key)
+    pairs = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("c"), compact(F.col(f"v{i}")).alias("value")) for i in range(len(names))]))
+    long = base.select(pairs.alias("p"), *(["k"] if first_by else [])).select(
+        F.col("p.c").alias("c"), F.col("p.value").alias("value"), *(["k"] if first_by else [])).filter("value IS NOT NULL")
     aggs = [F.count(F.lit(1)).alias("n")] + ([F.min("k").alias("first_key")] if first_by else [])
     counted = long.groupBy("c", "value").agg(*aggs)
     label = F.get(F.array(*[F.lit(n) for n in names]), F.col("c"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleanloom.functions.columns import (
-    is_numeric, kinds, number_without_commas, parse_date, parse_date_as, ref)
+    DAY_SHAPE, is_numeric, kinds, number_without_commas, parse_date, parse_date_as, ref)
 from cleanloom.functions.stats import aggregate, count_if, distinct_counts, spread
 from cleanloom.functions.vocab import INFERENCE_DATE_FORMATS
 
@@ -37,8 +37,10 @@ def infer_types(df: DataFrame, categorical_threshold: float = 0.05,
             asked[("number", name)] = F.count(number_without_commas(c))
             asked[("date", name)] = F.count(parse_date(c))
             for fmt in INFERENCE_DATE_FORMATS:
-                asked[(fmt, name)] = F.count(parse_date_as(c, fmt))
-    found = aggregate(spread(df), asked)
+                asked[(fmt, name)] = F.count(parse_date_as(ref(f"day:{name}"), fmt))
+    # One match per text decides whether any of the formats is worth trying.
+    days = [F.when(ref(c).rlike(DAY_SHAPE), ref(c)).alias(f"day:{c}") for c, k in kind.items() if k == "string"]
+    found = aggregate(spread(df).select(*[ref(c) for c in kind], *days), asked)
     rows = max(found["rows"], 1)
 
     decided: dict[str, tuple[str, str | None]] = {}

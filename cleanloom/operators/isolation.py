@@ -68,19 +68,19 @@ def fit_forest(features: DataFrame, names: list[str], key: list[str], rows: int,
                trees: int = TREES, subsample: int = SUBSAMPLE) -> Forest:
     """Fit on complete feature columns. ``key`` is unique per row, so that copies are sampled independently."""
     size = min(subsample, rows)
-    pool = trees * size
+    pool = int(1.5 * trees * size)
     keys = [ref(k) for k in key]
-    share = min(1.0, 1.5 * pool / max(rows, 1) + 0.0)
-    draw = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 30))
     columns = [ref(n).alias(f"x{i}") for i, n in enumerate(names)]
-    # A hash threshold keeps about 1.5 x the pool, and the lowest hashes of those form it.
-    sampled = features.filter(draw < F.lit(int(share * (1 << 30)) + 1)).select(
-        draw.alias("h"), F.xxhash64(*keys).alias("r"), *columns).orderBy("h", "r").limit(pool)
-    numbered = sampled.select(
-        "r", *[f"x{i}" for i in range(len(names))],
-        F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    draw = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 30)).alias("h")
+    drawn = features.select(draw, F.xxhash64(*keys).alias("r"), *columns)
+    if rows > pool:
+        # Trees share out a hash sample of about 1.5 times the rows they need; none of it is sorted whole.
+        sampled = drawn.filter(F.col("h") < F.lit(int(pool / rows * (1 << 30)) + 1)).withColumn(
+            "tree", F.pmod(F.xxhash64("r", F.lit("tree")), F.lit(trees)).cast("int"))
+    else:  # a small table, at most 1.5 subsamples per tree, serves every tree
+        sampled = drawn.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     order = Window.partitionBy("tree").orderBy(F.xxhash64("r", "tree"), "r")
-    chosen = numbered.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= size)
+    chosen = sampled.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= size)
     max_depth = int(np.ceil(np.log2(max(size, 2))))
     width = len(names)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleanloom.functions.columns import is_numeric, kinds, ref, to_real
-from cleanloom.functions.stats import count_if, percentiles, spread
+from cleanloom.functions.stats import aggregate, count_if, percentiles, spread
 from cleanloom.operators.isolation import Forest, fit_forest, score_column
 from cleanloom.operators.lof import NEIGHBOURS, Density, fit_density, new_scores, training_scores
 from cleanloom.session import scratch_path
@@ -41,12 +41,19 @@ def numeric_features(df: DataFrame, features: list[str] | None = None) -> list[s
     return chosen
 
 
+def _filled(df: DataFrame, features) -> dict:
+    """Features as complete doubles; medians are taken only of columns with missing values."""
+    kind = kinds(df)
+    real = {c: to_real(ref(c), kind[c]) for c in features}
+    missing = aggregate(df, {c: count_if(real[c].isNull()) for c in features})
+    middle = percentiles(df, {c: (real[c], [0.5]) for c in features if missing[c]})
+    return {c: F.coalesce(real[c], F.lit(middle[c][0] if middle[c][0] is not None else 0.0)) if missing[c] else real[c]
+            for c in features}
+
+
 def prepare(df: DataFrame, features: list[str], keep: list[str] | None = None) -> DataFrame:
     """Features as doubles with missing values replaced by the column median (0 for empty columns)."""
-    kind = kinds(df)
-    middle = percentiles(df, {c: (to_real(ref(c), kind[c]), [0.5]) for c in features})
-    filled = {c: F.coalesce(to_real(ref(c), kind[c]), F.lit(middle[c][0] if middle[c][0] is not None else 0.0))
-              for c in features}
+    filled = _filled(df, features)
     keep = [c for c in keep or df.columns if c not in features]
     return df.select(*[ref(c) for c in keep], *[filled[c].alias(c) for c in features])
 
@@ -100,9 +107,7 @@ def detect(df: DataFrame, model: Model | None, key: list[str] | None = None) ->
         return df.withColumn(MARK, F.lit(1))
     if len(present) < len(model.features):
         raise ValueError(f"columns of the fitted model are missing: {sorted(set(model.features) - set(present))}")
-    kind = kinds(df)
-    middle = percentiles(df, {c: (to_real(ref(c), kind[c]), [0.5]) for c in present})
-    filled = [F.coalesce(to_real(ref(c), kind[c]), F.lit(middle[c][0] or 0.0)) for c in present]
+    filled = list(_filled(df, present).values())
     mark = F.when(F.col("__score") < F.lit(model.threshold), F.lit(-1)).otherwise(F.lit(1))
     if model.method == "isolation_forest":
         scored = spread(df).withColumn("__score", score_column(model.fitted, filled))

@@ -74,8 +74,9 @@ def profile(df: DataFrame, source: str | None = None, top_n: int = 5, order_by:
             top_values(counts, top_n).select("column", "value", "n", "rank", F.lit("top").alias("rule")),
         ]
         if distinct is None:
-            ranked.append(counts.groupBy("column").agg(F.count(F.lit(1)).alias("n")).select(
-                "column", F.lit(None).cast("string").alias("value"), "n", F.lit(1).alias("rank"),
+            # Also reading n keeps the counted values the same in all rules, so they are shuffled once.
+            ranked.append(counts.groupBy("column").agg(F.count(F.lit(1)).alias("d"), F.sum("n").alias("n")).select(
+                "column", F.col("n").cast("string").alias("value"), F.col("d").alias("n"), F.lit(1).alias("rank"),
                 F.lit("distinct").alias("rule")))
             distinct = dict.fromkeys(df.columns, 0)
         small = ranked[0]

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_local_folder: list[str] = []
+_written: list[str] = []
 
 
 def local_session(app: str = "cleanloom", cores: int | str = 8, **conf: str) -> SparkSession:
@@ -19,6 +21,7 @@ def local_session(app: str = "cleanloom", cores: int | str = 8, **conf: str) ->
         .config("spark.sql.shuffle.partitions", str(cores if cores != "*" else os.cpu_count()))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")  # larger methods are never compiled by the JVM
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
@@ -41,14 +44,26 @@ def shared_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="cleanloom-")
-    spark.conf.set(CHECKPOINT_CONF, folder)
-    return folder
+    if not _local_folder:
+        _local_folder.append(tempfile.mkdtemp(prefix="cleanloom-"))
+    return _local_folder[0]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/cleanloom-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/cleanloom-{name}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables this process wrote; frames that still read them become invalid."""
+    jvm, released = spark.sparkContext._jvm, 0
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        released += bool(system.delete(path, True))
+    return released
 
 
 def cut_lineage(df):

@@ -48,11 +48,11 @@ def read_csv(spark: SparkSession, path, separator: str = ",", infer: bool = True
     names = unique_names(header)
     if not names:
         return spark.createDataFrame([], T.StructType([]))
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
     # Columns go by position: the header may repeat names or leave them empty.
+    read_as = names if len({n.lower() for n in names}) == len(names) else [f"c{i}" for i in range(len(names))]
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in read_as])
     raw = _reader(spark, separator, multiline).option("header", True).option("enforceSchema", True).schema(schema).csv(path)
-    df = raw.select(*[F.when(~F.col(f"c{i}").isin(*null_tokens), F.col(f"c{i}")).alias(name)
-                      for i, name in enumerate(names)])
+    df = raw.select(*[F.when(~ref(c).isin(*null_tokens), ref(c)).alias(name) for c, name in zip(read_as, names)])
     if not infer:
         return df
     return cast_physical(df, physical_types(df))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import warnings
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from cleanloom.functions.stats import top_values
 from cleanloom.operators import infer, profile, schema
 from cleanloom.session import scratch_path
-from cleanloom.sources.csv import raw_header
+from cleanloom.sources.csv import raw_header, read_csv
 from cleanloom.workload import views as v
 
 KEY = "o_orderkey"
@@ -33,25 +34,32 @@ def p2_column_order(spark, sf_dir):
     return spark.createDataFrame([(i, c) for i, c in enumerate(report.column_order)], "position long, column string")
 
 
-def _headed_csv(spark, sf_dir):
-    """Orders written as CSV under a header with a repeated and an empty name."""
-    path = scratch_path(spark, "headed")
-    orders = v.table(spark, sf_dir, "orders")
-    lines = orders.select(F.concat_ws(",", "o_orderkey", "o_custkey", "o_orderstatus", "o_custkey").alias("value"))
-    head = spark.range(1).select(F.lit("key,cust,,cust").alias("value"))
-    head.union(lines).coalesce(1).write.text(path)
-    return path
+HEADER = "key,cust,,cust"
+
+
+def _headed(spark, sf_dir):
+    """Report on orders written as CSV files under a header with a repeated and an empty name."""
+    path = scratch_path(spark, "headed") + ".csv"
+    lines = v.table(spark, sf_dir, "orders").select(
+        F.concat_ws(",", "o_orderkey", "o_custkey", "o_orderstatus", "o_custkey").alias("value"))
+
+    def under_header(batches):
+        yield pd.DataFrame({"value": [HEADER]})
+        yield from batches
+
+    lines.mapInPandas(under_header, "value string").write.text(path)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return schema.validate_schema(read_csv(spark, path), header=raw_header(spark, path))
 
 
 def p3_duplicate_columns(spark, sf_dir):
-    path = _headed_csv(spark, sf_dir)
-    report = _validated(spark, sf_dir, header=raw_header(spark, path))
+    report = _headed(spark, sf_dir)
     return spark.createDataFrame([(c, report.rows) for c in report.duplicate_columns], "column string, rows long")
 
 
 def p4_empty_columns(spark, sf_dir):
-    path = _headed_csv(spark, sf_dir)
-    report = _validated(spark, sf_dir, header=raw_header(spark, path))
+    report = _headed(spark, sf_dir)
     return spark.createDataFrame([(len(report.empty_columns), report.rows)], "empty_names long, rows long")
 
 

@@ -96,7 +96,7 @@ def _documents(spark, sf_dir, name):
 
 
 def s3_json_document(spark, sf_dir):
-    return read_json(spark, _documents(spark, sf_dir, "documents") + "/*").select(KEY, "o_custkey", "o_orderstatus", "o_totalprice")
+    return read_json(spark, _documents(spark, sf_dir, "documents")).select(KEY, "o_custkey", "o_orderstatus", "o_totalprice")
 
 
 def _nested(spark, sf_dir):
