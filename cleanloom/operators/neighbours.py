@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from cleanloom.session import scratch_path
 
-CELL_POINTS = 1000
+CELL_POINTS = 250
 CHUNK_POINTS = 2000
 MIN_CHUNK_POINTS = 100
 MAX_TASKS = 20_000
@@ -145,11 +145,11 @@ def neighbours(points: DataFrame, index: Index, k: int, exclude_self: bool,
                 other = np.flatnonzero(apart - u - radius <= reach)
                 found.append(pd.DataFrame({
                     "cell": np.int32(cell), "other": other.astype(np.int32),
-                    "from_r": apart[other] - u - reach, "apart": np.maximum(apart[other] - u - radius[other], 0.0)}))
+                    "from_r": apart[other] - u - reach, "gap": apart[other] - u}))
             if found:
                 yield pd.concat(found, ignore_index=True)
 
-    pairs = sizes.select("cell", "u").mapInPandas(partners, "cell int, other int, from_r double, apart double")
+    pairs = sizes.select("cell", "u").mapInPandas(partners, "cell int, other int, from_r double, gap double")
     home = F.struct(F.col("cell").alias("cell"),
                     F.pmod(F.xxhash64("pid"), F.col("chunks")).cast("int").alias("part"))
     left = query.join(sizes.select("cell", "chunks"), "cell").select(
@@ -157,10 +157,11 @@ def neighbours(points: DataFrame, index: Index, k: int, exclude_self: bool,
     indexed = spark.read.parquet(index.path).select(
         F.col("cell").alias("other"), "pid", "x", "w", "r")
     routes = pairs.join(sizes.select("cell", "chunks"), "cell").select(
-        "other", "from_r", "apart", "cell",
+        "other", "from_r", "gap", "cell",
         F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"))
     right = indexed.join(routes, "other").filter(F.col("r") >= F.col("from_r")).select(
-        F.struct("cell", "part").alias("chunk"), F.lit(1).alias("side"), "apart", "pid", "x", "w")
+        F.struct("cell", "part").alias("chunk"), F.lit(1).alias("side"),
+        F.greatest(F.col("gap") - F.col("r"), F.lit(0.0)).alias("apart"), "pid", "x", "w")
     together = (left.unionByName(right)
                 .select(F.col("chunk.cell").alias("cell"), F.col("chunk.part").alias("part"),
                         "side", "apart", "pid", "x", "w")
@@ -188,6 +189,21 @@ def neighbours(points: DataFrame, index: Index, k: int, exclude_self: bool,
     return together.mapInPandas(search, "pid long, nid long, nw long, distance double, place int")
 
 
+def _nearest_first(d: np.ndarray, who: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k smallest distances per row, ascending; equal distances by smaller id."""
+    if d.shape[1] <= k:
+        return np.lexsort((who, d), axis=1)
+    order = np.argpartition(d, k - 1, axis=1)[:, :k]
+    near = np.take_along_axis(d, order, 1)
+    inner = np.lexsort((np.take_along_axis(who, order, 1), near), axis=1)
+    order = np.take_along_axis(order, inner, 1)
+    # Where more than k candidates lie within the k-th distance, the tie is settled by a full sort.
+    tied = np.flatnonzero((d <= near.max(axis=1)[:, None]).sum(axis=1) > k)
+    if len(tied):
+        order[tied] = np.lexsort((who[tied], d[tied]), axis=1)[:, :k]
+    return order
+
+
 class _Chunk:
     """Query points of one chunk and the best candidates met so far."""
 
@@ -224,10 +240,15 @@ class _Chunk:
         d = distances(self.points, x)
         if self.exclude_self:
             d[self.ids[:, None] == pid[None, :]] = np.inf
+        if self.best.shape[1] == self.k:  # only candidates near enough to someone go on
+            useful = (d <= self.best[:, -1:]).any(axis=0)
+            if not useful.any():
+                return
+            d, pid, w = d[:, useful], pid[useful], w[useful]
         d = np.hstack([self.best, d])
         who = np.hstack([self.who, np.broadcast_to(pid, (len(self.ids), len(pid)))])
         weight = np.hstack([self.weight, np.broadcast_to(w, (len(self.ids), len(w)))])
-        order = np.lexsort((who, d), axis=1)[:, :self.k]
+        order = _nearest_first(d, who, self.k)
         self.best = np.take_along_axis(d, order, 1)
         self.who = np.take_along_axis(who, order, 1)
         self.weight = np.take_along_axis(weight, order, 1)
