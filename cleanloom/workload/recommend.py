@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cleanloom.functions.stats import adjusted_skewness, aggregate, clean_modes
-from cleanloom.operators import checks, impact, recommend
+from cleanloom.operators import impact, recommend
 from cleanloom.operators.checks import Issue, detect_issues
 from cleanloom.operators.fixes import clean_mode_values, text_mode_values
 from cleanloom.plans.plan import PlanStep, log_frame, run_plan
