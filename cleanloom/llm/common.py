@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cleanloom.session import scratch_path
@@ -35,3 +35,21 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def whole_text(name: str = "text") -> Column:
     return F.coalesce(ref(name), F.lit(""))
+
+
+def keep_rows(docs: DataFrame, keys: dict[str, Column], kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose keys are listed in ``kept``, one of those that share them, with all columns.
+
+    ``kept`` has a column for each key, of the same name. The window and the join deal rows by the same
+    columns, so texts are shuffled once. Nulls match nulls.
+    """
+    names, told = [], []
+    for name, value in keys.items():
+        names += [f"__null_{name}", f"__{name}"]
+        kind = kept.schema[name].dataType.simpleString()
+        blank = F.lit("" if kind == "string" else 0).cast(kind)
+        docs = docs.withColumn(names[-2], value.isNull()).withColumn(names[-1], F.coalesce(value, blank))
+        told += [F.col(name).isNull().alias(names[-2]), F.coalesce(F.col(name), blank).alias(names[-1])]
+    nth = F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(1)))
+    one = docs.withColumn("__nth", nth).filter("__nth = 1")
+    return one.join(kept.select(*told).distinct(), names, "left_semi").drop("__nth", *names)

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cleanloom.llm.common import ref, stored, whole_text
+from cleanloom.llm.common import keep_rows, ref, stored, whole_text
 
 SALTS = 16
 
@@ -71,9 +71,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """The rows that stay, with all their columns."""
-    kept = exact_groups(docs, id_col, text_col, salts).filter("kept").select(
-        F.col("id").alias("__keep"), F.col("text_sha256").alias("__digest"))
+    kept = exact_groups(docs, id_col, text_col, salts).filter("kept").select("id", "text_sha256")
     digest = F.sha2(whole_text(text_col).cast("binary"), 256)
-    one = docs.withColumn("__nth", F.row_number().over(Window.partitionBy(ref(id_col), digest).orderBy(F.lit(1))))
-    return one.filter("__nth = 1").join(
-        kept, ref(id_col).eqNullSafe(F.col("__keep")) & (digest == F.col("__digest")), "left_semi").drop("__nth")
+    return keep_rows(docs, {"id": ref(id_col), "text_sha256": digest}, kept)

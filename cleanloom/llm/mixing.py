@@ -68,8 +68,10 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataF
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
           weights=WEIGHTS, most: int = MOST, seed: str = OFFSET_SEED, extra: tuple[str, ...] = ()) -> DataFrame:
-    """A row per document: id, source, size, source_size, target, copies, and the columns named in ``extra``."""
-    rows = docs.select(ref(id_col).alias("id"), ref(source_col).cast("string").alias("source"),
+    """A row per document: id, source, size, source_size, target, copies, and the columns named in ``extra``, their names led by x_."""
+    named = ref(source_col).cast("string")
+    rows = docs.select(ref(id_col).alias("id"), named.alias("source"),
+                       F.coalesce(F.concat(F.lit("="), named), F.lit("")).alias("src"),  # the source, never null
                        words(text_col).alias("size"), *[ref(c).alias(f"x_{c}") for c in extra])
     targets = source_targets(rows, weights, most)
     slices = max(1, shuffle_partitions(docs.sparkSession) // 4)
@@ -79,25 +81,22 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         "*", F.length(F.bin("size")).alias("class"),
         F.shiftright(F.conv(F.substring("h", 1, HASH_HEX), 16, 10).cast("long") * slices, 4 * HASH_HEX).alias("slice"))
     # The step of a source, its offset, and how many documents come before each cell.
-    cells = rows.groupBy("source", "class", "slice").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("source").orderBy("class", "slice").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy("src", "class", "slice").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("src").orderBy("class", "slice").rowsBetween(Window.unboundedPreceding, -1)
     step = F.least(F.floor(F.col("target") / F.col("source_size") * unit), F.lit(most * unit)).cast("long")
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.col("source"), F.lit(""))).cast("binary")), 1,
                                 UNIT_BITS // 4), 16, 10).cast("long")
-    steps = targets.select(F.col("source").alias("s"), "source_size", "target",
+    steps = targets.select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("src"), "source_size", "target",
                            F.when(F.col("source_size") > 0, step).otherwise(F.lit(0)).alias("step"), offset.alias("offset"))
     cells = (cells.withColumn("skipped", F.coalesce(F.sum("n").over(before), F.lit(0)))
-             .join(steps, F.col("source").eqNullSafe(F.col("s"))).drop("s", "n")
-             .withColumnsRenamed({"source": "cell_source", "class": "cell_class", "slice": "cell_slice"}))
-    along = (Window.partitionBy("source", "class", "slice").orderBy("h", "id", "size")
+             .join(steps, "src").drop("n"))
+    along = (Window.partitionBy("src", "class", "slice").orderBy("h", "id", "size")
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = rows.withColumn("nth", F.count(F.lit(1)).over(along)).join(
-        cells, F.col("source").eqNullSafe(F.col("cell_source")) & (F.col("class") == F.col("cell_class"))
-        & (F.col("slice") == F.col("cell_slice")))
+    placed = rows.withColumn("nth", F.count(F.lit(1)).over(along)).join(cells, ["src", "class", "slice"])
     upto = F.col("step") * (F.col("skipped") + F.col("nth")) + F.col("offset")
     copies = F.shiftright(upto, UNIT_BITS) - F.shiftright(upto - F.col("step"), UNIT_BITS)
     return placed.select("id", "source", "size", "source_size", "target", copies.alias("copies"),
-                         *[F.col(f"x_{c}").alias(c) for c in extra])
+                         *[ref(f"x_{c}") for c in extra])
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -105,4 +104,4 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     plan = mixed(docs, extra=tuple(docs.columns), **options)
     return (plan.filter("copies > 0")
             .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-            .select(*[ref(c) for c in docs.columns]))
+            .select(*[ref(f"x_{c}").alias(c) for c in docs.columns]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cleanloom.llm import exactdedup, mixing
+from cleanloom.llm import exactdedup, mixing, simhash
 from cleanloom.llm.common import table
 
 
@@ -21,7 +21,13 @@ def op7_exact_dedup(spark, sf_dir):
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {"op5_mixing": op5_mixing, "op7_exact_dedup": op7_exact_dedup}
+def op10_simhash(spark, sf_dir):
+    """Fingerprints of whole texts and the components of those at most two bits apart."""
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {"op5_mixing": op5_mixing, "op7_exact_dedup": op7_exact_dedup, "op10_simhash": op10_simhash}
 
 _ROUNDS = 6  # rounds of resharing written out below; the given tables settle in fewer
 
