@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cleanloom.llm import exactdedup, mixing, simhash
+from cleanloom.llm import exactdedup, mixing, simhash, warc
 from cleanloom.llm.common import table
 
 
@@ -15,6 +15,11 @@ def op5_mixing(spark, sf_dir):
         (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op6_warc(spark, sf_dir):
+    """All pages written to seekable archives; what the archives hold when read back."""
+    return warc.read_bundles(warc.write_bundles(table(spark, sf_dir, "pages"))).drop("payload", "url")
+
+
 def op7_exact_dedup(spark, sf_dir):
     """Groups of equal whole texts; the largest doc_id of each stays."""
     return exactdedup.exact_groups(table(spark, sf_dir, "documents")).select(
@@ -27,11 +32,22 @@ def op10_simhash(spark, sf_dir):
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op5_mixing": op5_mixing, "op7_exact_dedup": op7_exact_dedup, "op10_simhash": op10_simhash}
+QUERIES = {"op5_mixing": op5_mixing, "op6_warc": op6_warc, "op7_exact_dedup": op7_exact_dedup, "op10_simhash": op10_simhash}
 
 _ROUNDS = 6  # rounds of resharing written out below; the given tables settle in fewer
 
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+# 40 hex digits are 8 groups of 20 bits, each of them 4 letters.
+_LETTERS = " || ".join(f"substr('{_BASE32}', ((('0x' || substr(sha1(html), {5 * g + 1}, 5))::BIGINT >> {s}) & 31)::INT + 1, 1)"
+                       for g in range(8) for s in (15, 10, 5, 0))
+
 SQL = {
+    "op6_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+        SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, {_LETTERS} AS payload_digest,
+               CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to FROM f""",
     "op7_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
