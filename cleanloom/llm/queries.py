@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cleanloom.llm import exactdedup, mixing, simhash, warc
+from cleanloom.llm import exactdedup, mixing, pii, simhash, warc
 from cleanloom.llm.common import table
 
 
@@ -26,13 +26,21 @@ def op7_exact_dedup(spark, sf_dir):
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_pii(spark, sf_dir):
+    """Personal data in whole texts: base spans, and the terms that give them away."""
+    rows = pii.find(table(spark, sf_dir, "documents"))
+    counts = [pii.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return rows.select(F.col("id").alias("doc_id"), *counts, F.sha2(pii.spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                       pii.spans_text(F.col("spans")).alias("spans"))
+
+
 def op10_simhash(spark, sf_dir):
     """Fingerprints of whole texts and the components of those at most two bits apart."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op5_mixing": op5_mixing, "op6_warc": op6_warc, "op7_exact_dedup": op7_exact_dedup, "op10_simhash": op10_simhash}
+QUERIES = {"op5_mixing": op5_mixing, "op6_warc": op6_warc, "op7_exact_dedup": op7_exact_dedup, "op9_pii": op9_pii, "op10_simhash": op10_simhash}
 
 _ROUNDS = 6  # rounds of resharing written out below; the given tables settle in fewer
 
