@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cleanloom.llm import exactdedup, mixing, pii, simhash, warc
+from cleanloom.llm import ann, exactdedup, mixing, pii, simhash, warc
 from cleanloom.llm.common import table
 
 
+def op1_nearest(spark, sf_dir):
+    """The 20 nearest rows found for every row whose vec_id is divisible by 20."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_mixing(spark, sf_dir):
     """Systematic sampling of all documents to the source targets."""
     return mixing.mixed(table(spark, sf_dir, "documents")).select(
@@ -40,7 +45,7 @@ def op10_simhash(spark, sf_dir):
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op5_mixing": op5_mixing, "op6_warc": op6_warc, "op7_exact_dedup": op7_exact_dedup, "op9_pii": op9_pii, "op10_simhash": op10_simhash}
+QUERIES = {"op1_nearest": op1_nearest, "op5_mixing": op5_mixing, "op6_warc": op6_warc, "op7_exact_dedup": op7_exact_dedup, "op9_pii": op9_pii, "op10_simhash": op10_simhash}
 
 _ROUNDS = 6  # rounds of resharing written out below; the given tables settle in fewer
 
