@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cleanloom.llm import ann, exactdedup, mixing, pii, simhash, warc
+from cleanloom.llm import ann, exactdedup, mixing, packing, pii, simhash, warc
 from cleanloom.llm.common import table
 
 
@@ -31,6 +31,12 @@ def op7_exact_dedup(spark, sf_dir):
         F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_packing(spark, sf_dir):
+    """All documents in windows of 4096 tokens, next to documents that share their rare tokens."""
+    return packing.pack(table(spark, sf_dir, "documents")).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op9_pii(spark, sf_dir):
     """Personal data in whole texts: base spans, and the terms that give them away."""
     rows = pii.find(table(spark, sf_dir, "documents"))
@@ -45,7 +51,7 @@ def op10_simhash(spark, sf_dir):
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_nearest": op1_nearest, "op5_mixing": op5_mixing, "op6_warc": op6_warc, "op7_exact_dedup": op7_exact_dedup, "op9_pii": op9_pii, "op10_simhash": op10_simhash}
+QUERIES = {"op1_nearest": op1_nearest, "op5_mixing": op5_mixing, "op6_warc": op6_warc, "op7_exact_dedup": op7_exact_dedup, "op8_packing": op8_packing, "op9_pii": op9_pii, "op10_simhash": op10_simhash}
 
 _ROUNDS = 6  # rounds of resharing written out below; the given tables settle in fewer
 
