@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cleanloom.llm import ann, exactdedup, mixing, packing, pii, simhash, warc
+from cleanloom.llm import ann, exactdedup, langid, mixing, packing, pii, simhash, warc
 from cleanloom.llm.common import table
 
 
@@ -13,6 +13,13 @@ def op1_nearest(spark, sf_dir):
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op2_language(spark, sf_dir):
+    """The language of every whole text, learned from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.predicted(docs, langid.fit_on(docs)).select(
+        "doc_id", langid.held_out().alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
 def op5_mixing(spark, sf_dir):
     """Systematic sampling of all documents to the source targets."""
     return mixing.mixed(table(spark, sf_dir, "documents")).select(
@@ -51,7 +58,7 @@ def op10_simhash(spark, sf_dir):
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_nearest": op1_nearest, "op5_mixing": op5_mixing, "op6_warc": op6_warc, "op7_exact_dedup": op7_exact_dedup, "op8_packing": op8_packing, "op9_pii": op9_pii, "op10_simhash": op10_simhash}
+QUERIES = {"op1_nearest": op1_nearest, "op2_language": op2_language, "op5_mixing": op5_mixing, "op6_warc": op6_warc, "op7_exact_dedup": op7_exact_dedup, "op8_packing": op8_packing, "op9_pii": op9_pii, "op10_simhash": op10_simhash}
 
 _ROUNDS = 6  # rounds of resharing written out below; the given tables settle in fewer
 
