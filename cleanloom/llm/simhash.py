@@ -134,13 +134,13 @@ def _emit_keys(batches):
             yield pd.DataFrame({"key": keys.view(np.int64), "fp": part[owners]})
 
 
-def _verified(keys: np.ndarray, fps: np.ndarray, bits: int):
+def _verified(keys: np.ndarray, fps: np.ndarray, bits: int, bucket: int):
     """Linked pairs of rows sorted by key, and the members of keys too large to pair up."""
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    large = np.repeat(np.diff(np.append(starts, len(keys))) > BUCKET, np.diff(np.append(starts, len(keys))))
+    large = np.repeat(np.diff(np.append(starts, len(keys))) > bucket, np.diff(np.append(starts, len(keys))))
     yield fps[large], fps[large]
     keys, fps = keys[~large], fps[~large]
-    for step in range(1, BUCKET):
+    for step in range(1, bucket):
         near = np.flatnonzero(keys[step:] == keys[:-step])
         if not len(near):
             return
@@ -148,7 +148,7 @@ def _verified(keys: np.ndarray, fps: np.ndarray, bits: int):
         yield fps[near], fps[near + step]
 
 
-def _pair_up(bits: int):
+def _pair_up(bits: int, bucket: int):
     def run(batches):
         """Rows arrive sorted by key; the last key of a batch waits for the next one."""
         keys, fps = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -156,24 +156,24 @@ def _pair_up(bits: int):
             keys = np.concatenate([keys, batch["key"].to_numpy(np.int64)])
             fps = np.concatenate([fps, batch["fp"].to_numpy(np.int64)])
             whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
-            if len(keys) - whole > BUCKET:  # already large: let most of it go, and keep it large
-                whole = len(keys) - BUCKET - 1
+            if len(keys) - whole > bucket:  # already large: let most of it go, and keep it large
+                whole = len(keys) - bucket - 1
             if whole:
-                yield from _frames(keys[:whole], fps[:whole], keys[whole:], bits)
+                yield from _frames(keys[:whole], fps[:whole], keys[whole:], bits, bucket)
                 keys, fps = keys[whole:], fps[whole:]
         if len(keys):
-            yield from _frames(keys, fps, keys[:0], bits)
+            yield from _frames(keys, fps, keys[:0], bits, bucket)
 
     return run
 
 
-def _frames(keys, fps, waiting, bits):
+def _frames(keys, fps, waiting, bits, bucket):
     open_key = len(waiting) and keys[-1] == waiting[0]
     if open_key:  # the head of a large key that goes on: its members are known to be large
         head = keys == keys[-1]
         yield pd.DataFrame({"a": fps[head], "b": fps[head]})
         keys, fps = keys[~head], fps[~head]
-    for a, b in _verified(keys, fps, bits) if len(keys) else ():
+    for a, b in _verified(keys, fps, bits, bucket) if len(keys) else ():
         yield pd.DataFrame({"a": a, "b": b})
 
 
@@ -187,13 +187,13 @@ def _meeting_links(large: DataFrame) -> DataFrame:
     return met.select(F.array_min("members").alias("a"), F.explode("members").alias("b")).filter("a <> b")
 
 
-def links(nodes: DataFrame, bits: int = 2) -> DataFrame:
+def links(nodes: DataFrame, bits: int = 2, bucket: int = BUCKET) -> DataFrame:
     """(a, b): links that connect just the distinct fingerprints (column fp) up to ``bits`` (2 at most) apart."""
     if bits not in (1, 2):
         raise ValueError("the keys are complete for one or two differing bits")
     keys = nodes.select("fp").mapInPandas(_emit_keys, "key long, fp long")
     dealt = keys.repartition(shuffle_partitions(nodes.sparkSession), "key").sortWithinPartitions("key", "fp")
-    found = stored(dealt.mapInPandas(_pair_up(bits), "a long, b long").distinct(), "links")
+    found = stored(dealt.mapInPandas(_pair_up(bits, bucket), "a long, b long").distinct(), "links")
     large = found.filter("a = b").select(F.col("a").alias("fp"))
     met = _meeting_links(large) if bits == 2 else _one_bit_links(large)
     return found.filter("a <> b").union(met)

@@ -68,9 +68,8 @@ def test_golay_code_is_perfect():
 
 
 @pytest.mark.parametrize("bucket", [2, 16])
-def test_components_match_brute_force(spark, make_docs, monkeypatch, bucket):
+def test_components_match_brute_force(spark, make_docs, bucket):
     """Also when most keys are too large to pair up."""
-    monkeypatch.setattr(simhash, "BUCKET", bucket)
     draw = random.Random(4)
     centre = draw.getrandbits(64)
     fps = [centre ^ sum(1 << b for b in draw.sample(range(64), draw.randint(0, 5))) for _ in range(150)]
@@ -80,7 +79,7 @@ def test_components_match_brute_force(spark, make_docs, monkeypatch, bucket):
     nodes = spark.createDataFrame([(f,) for f in signed], "fp long")
     from cleanloom.llm.components import components
 
-    found = {r["vertex"]: r["root"] for r in components(simhash.links(nodes)).collect()}
+    found = {r["vertex"]: r["root"] for r in components(simhash.links(nodes, bucket=bucket)).collect()}
     label = [signed.index(found.get(f, f)) for f in signed]
     expected = plain_components(fps)
     classes = {}
@@ -95,7 +94,7 @@ def test_keys_that_run_over_batches():
     keys = np.sort(np.array([1] * 2 + [5] * 40 + [6] * 16 + [7] * 17 + [9]))
     fps = np.arange(len(keys)) * 1024 + 7
     batches = [pd.DataFrame({"key": keys[i:i + 7], "fp": fps[i:i + 7]}) for i in range(0, len(keys), 7)]
-    out = pd.concat(simhash._pair_up(2)(iter(batches)))
+    out = pd.concat(simhash._pair_up(2, 16)(iter(batches)))
     assert sorted(out[out.a == out.b].a) == sorted(fps[(keys == 5) | (keys == 7)])
     assert set(zip(out[out.a != out.b].a, out[out.a != out.b].b)) == {
         (fps[i], fps[j]) for i in range(len(fps)) for j in range(i + 1, len(fps))
