@@ -25,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cleanloom.llm import bytewords
 from cleanloom.llm.common import ref, shuffle_partitions, stored
 
 NUMERATOR, DENOMINATOR = 4, 5  # the similarity 0.8 as a fraction: all tests are in whole numbers
@@ -42,39 +43,11 @@ SETS = "cls long, id long, tag long, line long, words binary"
 VERDICT = "cls long, links long, earlier boolean"
 
 # ---------------------------------------------------------------- words
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint64)
-_LOWER[65:91] += 32
-_FACTOR = 0x9E3779B97F4A7C15  # odd, so that it has an inverse
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < size:
-        for i, factor in enumerate((_FACTOR, pow(_FACTOR, -1, 1 << 64))):
-            steps = np.full(size, factor, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps)
-    return _powers[0][:size], _powers[1][:size]
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return x ^ x >> np.uint64(31)
-
-
 def hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(hash, line number) of all words of some lines, by one running sum over the bytes."""
     codes = np.frombuffer(data, np.uint8)
-    blank = np.concatenate([[True], _SPACE[codes], [True]])
-    edges = np.flatnonzero(blank[1:] != blank[:-1])
-    first, last = edges[::2], edges[1::2]
-    power, inverse = _power_tables(len(codes) + 1)
-    summed = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum((_LOWER[codes] + np.uint64(1)) * power[:-1], out=summed[1:])
-    hashes = _mixed((summed[last] - summed[first]) * inverse[first] + (last - first).astype(np.uint64))
+    first, last = bytewords.edges(codes)
+    hashes = bytewords.hashes(bytewords.LOWER[codes], first, last)
     return hashes, np.cumsum(codes == 10)[first]
 
 
@@ -97,9 +70,9 @@ class Sets:
         self.line = lines[fresh]
         self.size = np.bincount(self.owner, minlength=len(self.line))
         self.start = np.cumsum(self.size) - self.size
-        plain = _mixed((self.words & np.uint64((1 << 56) - 1)) + np.uint64(_FACTOR))
+        plain = bytewords.mixed((self.words & np.uint64((1 << 56) - 1)) + np.uint64(bytewords.FACTOR))
         total = np.add.reduceat(plain, self.start) if len(self.line) else np.zeros(0, np.uint64)
-        self.cls = _mixed(total + self.size.astype(np.uint64)).view(np.int64)
+        self.cls = bytewords.mixed(total + self.size.astype(np.uint64)).view(np.int64)
 
 
 def _parts(text: str | None):

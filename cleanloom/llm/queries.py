@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cleanloom.llm import ann, exactdedup, langid, mixing, packing, pii, simhash, warc
+from cleanloom.llm import ann, exactdedup, langid, license, linededup, mixing, packing, pii, simhash, warc
 from cleanloom.llm.common import table
 
 
@@ -20,6 +20,18 @@ def op2_language(spark, sf_dir):
         "doc_id", langid.held_out().alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
 
 
+def op3_line_dedup(spark, sf_dir):
+    """Lines of whole texts that match an earlier line, and the number of links of each document's lines."""
+    rows = linededup.document_verdicts(table(spark, sf_dir, "documents"))
+    return rows.select(F.col("id").alias("doc_id"), F.col("lines").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"),
+                       F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"), F.col("links").alias("n_links"))
+
+
+def op4_license(spark, sf_dir):
+    """License notices and texts in whole documents, with coverage and spans."""
+    return license.scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op5_mixing(spark, sf_dir):
     """Systematic sampling of all documents to the source targets."""
     return mixing.mixed(table(spark, sf_dir, "documents")).select(
@@ -58,7 +70,8 @@ def op10_simhash(spark, sf_dir):
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op1_nearest": op1_nearest, "op2_language": op2_language, "op5_mixing": op5_mixing, "op6_warc": op6_warc, "op7_exact_dedup": op7_exact_dedup, "op8_packing": op8_packing, "op9_pii": op9_pii, "op10_simhash": op10_simhash}
+QUERIES = {query.__name__: query for query in (
+    op1_nearest, op2_language, op3_line_dedup, op4_license, op5_mixing, op6_warc, op7_exact_dedup, op8_packing, op9_pii, op10_simhash)}
 
 _ROUNDS = 6  # rounds of resharing written out below; the given tables settle in fewer
 

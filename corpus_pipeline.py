@@ -1,20 +1,47 @@
-"""The corpus pipeline. Each stage takes (spark, docs, sf_dir) and returns a frame, which is written and read again."""
+"""The corpus pipeline: language ID, line dedup, near-duplicates, mixing, packing.
+
+A stage takes (spark, docs, sf_dir) and returns a frame, which is written and read again as the next one's documents. All stages but the
+last return the columns of documents. Each works on all rows its predecessor kept, whatever their number; empty tables pass through.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cleanloom.llm import mixing
+from cleanloom.llm import langid, linededup, mixing, packing, simhash
 from cleanloom.llm.common import stored, table
 
 
-def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without letters, or in which no language prevails, go; a missing language is filled in."""
+    return langid.kept(docs)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that match an earlier line go; every document stays, if only with an empty text."""
+    return linededup.remove_repeats(docs)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the one with the smallest id."""
+    return simhash.deduplicate(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
     return mixing.mix(docs)
 
 
-STAGES = [("mixing", mix_stage)]
-#: The stages hold trained models and graph searches, which SQL cannot express.
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in windows; a row per piece."""
+    return packing.pack(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [("language", language_stage), ("lines", line_stage), ("near_duplicates", near_duplicate_stage), ("mixing", mixing_stage),
+          ("packing", packing_stage)]
+
+#: SQL has no trained field, no 64-bit word hash and no tokenizer; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
