@@ -25,15 +25,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cleanloom.llm import bytewords
 from cleanloom.llm.common import ref, stored
 
 WINDOW = 4096
 END = 2
 SHARD_PIECES = 1024
 K1, B = 1.2, 0.75
-TEXTS_AT_ONCE = 64
+CHARS_AT_ONCE = BYTES_AT_ONCE = 1 << 20
 WORDS_AT_ONCE = 512
 MARK = "~"
+WORD_END = "</w>"
 CACHED_WORDS = 1_000_000
 PLACE_BITS = 33  # rows a task may emit
 SHARD_BITS = 24  # windows a shard may have
@@ -51,9 +53,11 @@ def tokenizer_path() -> str:
 
 # ---------------------------------------------------------------- tokens
 class Encoder:
-    """Ids of texts, word by word: the tokenizer never joins what blanks part, so words can be remembered.
+    """Ids of texts, word by word: the tokenizer never joins what white space parts, so words can be remembered.
 
-    New words are encoded many at a time, parted by a mark that is one token. The memory is bounded: when full it starts again.
+    Words are found and looked up as 64-bit hashes, many texts at a time; A-Z count as a-z where the tokenizer cannot tell them
+    apart (plain ASCII, and no mark of a special token). New words are encoded together, parted by a mark that is one token.
+    The memory is bounded: when full it starts again.
     """
 
     def __init__(self, path: str):
@@ -63,39 +67,122 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2") if self.vocabulary <= 1 << 16 else np.dtype("<u4")
-        marks = self._ids(MARK)
-        self.mark = marks[0] if len(marks) == 1 else None
-        self.known: dict[str, bytes] = {}
+        mark = self._ids(MARK)
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.ends = np.zeros(self.vocabulary, bool)  # tokens that end a run of letters
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.starts, self.lengths = (np.zeros(0, t) for t in (np.uint64, np.int64, np.int64))
+        self.ids, self.filled = np.zeros(1 << 16, self.kind), 0
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
-    def _learn(self, words: list[str]) -> None:
-        plain = [w for w in words if MARK not in w] if self.mark is not None else []
-        for at in range(0, len(plain), WORDS_AT_ONCE):
-            part = plain[at:at + WORDS_AT_ONCE]
-            ids = self._ids(f" {MARK} ".join(part))
-            size, raw = self.kind.itemsize, ids.tobytes()
-            ends = [*(np.flatnonzero(ids == self.mark) * size).tolist(), len(raw)]
-            start = 0
-            for word, end in zip(part, ends, strict=True):
-                self.known[word] = raw[start:end]
-                start = end + size
-        for word in words:
-            if word not in self.known:
-                self.known[word] = self._ids(word).tobytes()
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
+    def _encoded(self, words: list[str]) -> list[np.ndarray]:
+        """The ids of each word. Words of letters alone show where they end, others are parted by the mark."""
+        out: list = [None] * len(words)
+        letters = [w.isalpha() for w in words]
+        for alone in (True, False):
+            group = [i for i, plain in enumerate(letters) if plain is alone]
+            for at in range(0, len(group), WORDS_AT_ONCE):
+                part = group[at:at + WORDS_AT_ONCE]
+                for i, ids in zip(part, self._parted([words[i] for i in part], alone), strict=True):
+                    out[i] = ids
+        return out
+
+    def _parted(self, words: list[str], letters: bool) -> list[np.ndarray]:
+        if letters:
+            ids = self._ids(" ".join(words))
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(words):
+                return np.split(ids, ends[:-1])
+        elif self.mark is not None and not any(MARK in w for w in words):
+            ids = self._ids(f" {MARK} ".join(words))
+            marks = np.flatnonzero(ids == self.mark)
+            if len(marks) == len(words) - 1:
+                return [ids[a:b] for a, b in zip([0, *(marks + 1).tolist()], [*marks.tolist(), len(ids)])]
+        return [self._ids(w) for w in words]
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Add words by their (sorted) hashes."""
+        odd = [MARK in w for w in words]
+        order = sorted(range(len(words)), key=odd.__getitem__)  # words that hold the mark last, so that they spoil few parts
+        encoded: list = [None] * len(words)
+        for i, ids in zip(order, self._encoded([words[i] for i in order])):
+            encoded[i] = ids
+        lengths = np.array([len(i) for i in encoded], np.int64)
+        starts = self.filled + np.cumsum(lengths) - lengths
+        self.filled += int(lengths.sum())
+        while self.filled > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[self.filled - int(lengths.sum()):self.filled] = np.concatenate(encoded)
+        at = np.searchsorted(self.known, hashes)
+        self.known, self.starts, self.lengths = (
+            np.insert(old, at, new) for old, new in ((self.known, hashes), (self.starts, starts), (self.lengths, lengths)))
+
+    def _hashed(self, data: bytes):
+        codes = np.frombuffer(data, np.uint8)
+        first, last = bytewords.edges(codes)
+        special = np.concatenate([[0], np.cumsum((codes > 127) | (codes == ord("<")))])
+        told_apart = special[last] > special[first]
+        folded = bytewords.hashes(bytewords.LOWER[codes], first, last)
+        if told_apart.any():
+            whole = bytewords.hashes(codes.astype(np.uint64), first[told_apart], last[told_apart])
+            folded[told_apart] = bytewords.mixed(whole + np.uint64(1))  # never equal to a folded one but by chance
+        return folded, first, last
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text; long ones are read in parts, cut at white space."""
+        parts = [(i, part) for i, text in enumerate(texts) for part in _cut((text or "").encode())]
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        held, size = [], 0
+        for i, part in parts:
+            if held and size + len(part) > BYTES_AT_ONCE:
+                self._read(held, out)
+                held, size = [], 0
+            held.append((i, part))
+            size += len(part)
+        if held:
+            self._read(held, out)
+        return [ids[0] if len(ids) == 1 else np.concatenate(ids) for ids in out]
+
+    def _read(self, parts: list[tuple[int, bytes]], out: list[list[np.ndarray]]) -> None:
         if len(self.known) > CACHED_WORDS:
-            self.known = {}
-        parted = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        found = [list(map(self.known.get, words)) for words in parted]
-        gaps = [[i for i, code in enumerate(codes) if code is None] if None in codes else [] for codes in found]
-        self._learn(list({words[i] for words, places in zip(parted, gaps) for i in places}))
-        for words, codes, places in zip(parted, found, gaps):
-            for i in places:
-                codes[i] = self.known[words[i]]
-        return [b"".join(codes) for codes in found]
+            self._forget()
+        raw = [part for _, part in parts]
+        data = b"\n".join(raw)
+        begins = np.cumsum([0] + [len(r) + 1 for r in raw[:-1]])
+        hashes, first, last = self._hashed(data)
+        order = np.argsort(hashes)
+        ordered = hashes[order]
+        head = np.ones(len(order), bool)
+        head[1:] = ordered[1:] != ordered[:-1]
+        distinct, example = ordered[head], order[head]
+        at = np.searchsorted(self.known, distinct)
+        new = (self.known[np.minimum(at, len(self.known) - 1)] != distinct) if len(self.known) else np.ones(len(distinct), bool)
+        if new.any():
+            self._learn(distinct[new], [data[a:b].decode() for a, b in zip(first[example[new]].tolist(), last[example[new]].tolist())])
+            at = np.searchsorted(self.known, distinct)
+        word = np.empty(len(order), np.int64)
+        word[order] = at[np.cumsum(head) - 1]
+        lengths = self.lengths[word]
+        ids = self.ids[_spans(self.starts[word], lengths)]
+        sizes = np.bincount(np.searchsorted(begins, first, side="right") - 1, lengths, len(parts)).astype(np.int64)
+        for (i, _), piece in zip(parts, np.split(ids, np.cumsum(sizes)[:-1])):
+            out[i].append(piece)
+
+
+def _cut(data: bytes):
+    start = 0
+    while len(data) - start > BYTES_AT_ONCE:
+        end = data.find(b" ", start + BYTES_AT_ONCE)
+        if end < 0:
+            break
+        yield data[start:end]
+        start = end + 1
+    yield data[start:]
 
 
 _encoders: dict[str, Encoder] = {}  # one per worker process, used by all its tasks
@@ -107,6 +194,19 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def _slices(texts: pd.Series):
+    """A few texts at a time, up to a number of characters."""
+    part, size = [], 0
+    for text in texts:
+        part.append(text)
+        size += len(text or "")
+        if size >= CHARS_AT_ONCE:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def pieces(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end: int = END) -> DataFrame:
     """Whole windows and rests of all documents.
 
@@ -119,10 +219,12 @@ def pieces(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
         place = (task.partitionId() if task else 0) << PLACE_BITS
         frequency, rests, tokens = np.zeros(encode.vocabulary, np.int64), 0, 0
         for batch in batches:
-            for at in range(0, len(batch), TEXTS_AT_ONCE):
-                part, rows = batch.iloc[at:at + TEXTS_AT_ONCE], []
-                for name, raw in zip(part["doc_id"], encode(part["text"].tolist())):
-                    ids = np.append(np.frombuffer(raw, encode.kind), encode.kind.type(end))
+            at = 0
+            for texts in _slices(batch["text"]):
+                names, rows = batch["doc_id"].iloc[at:at + len(texts)], []
+                at += len(texts)
+                for name, ids in zip(names, encode(texts)):
+                    ids = np.append(ids, encode.kind.type(end))
                     for start in range(0, len(ids), window):
                         piece = ids[start:start + window]
                         rows.append((name, place, start, len(ids), len(piece) == window, piece.tobytes()))
