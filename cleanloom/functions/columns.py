@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from cleanloom.functions.vocab import LADDER_DATE_FORMATS, OUTER_SPACES_PATTERN, SPACE
 
 NUMBER_PATTERN = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-INTEGER_PATTERN = r"^\s*[+-]?\d{1,18}\s*$"
+INTEGER_PATTERN = r"^\s*[+-]?\d+\s*$"
 
 _CLOCK = r"\d{1,2}:\d{1,2}(:\d{1,2}(\.\d{1,9})?)?( ?(Z|[+-]\d{1,2}(:?\d{2})?))?"
 _ISO = rf"^\d{{4}}-\d{{1,2}}-\d{{1,2}}([T ]{_CLOCK})?$"
@@ -50,13 +50,19 @@ def kinds(df: DataFrame) -> dict[str, str]:
     return {field.name: kind_of(field.dataType) for field in df.schema.fields}
 
 
+def missing(column: Column, kind: str) -> Column:
+    """The one test for a missing value: null, or NaN in a floating column."""
+    return column.isNull() | F.isnan(column.cast("double")) if kind == "float" else column.isNull()
+
+
 def is_numeric(kind: str) -> bool:
     return kind in ("integer", "float")
 
 
-def nan_to_null(df: DataFrame) -> DataFrame:
-    """One missing value: NaN becomes null in every floating column."""
-    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+def nan_to_null(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """One missing value: NaN becomes null in every floating column, or in the given ones."""
+    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))
+              and (columns is None or f.name in columns)}
     if not floats:
         return df
     return df.select(*[
@@ -154,9 +160,9 @@ def parse_date(column: Column, kind: str = "string", dayfirst: bool = False) ->
     for pattern, ordered in ((_MONTH_FIRST, "$3 $1 $2"), (_DAY_FIRST, "$3 $2 $1")):
         named = F.regexp_replace(named, pattern, ordered)
     named = F.try_to_timestamp(F.initcap(named), F.lit("yyyy MMM d"))
-    # Plain ISO days skip the rewrites. Text that is longer than the longest accepted form, or of another
+    # Plain ISO days skip the rewrites. Text that, without outer blanks, is longer than the longest accepted form, or of another
     # make, is ruled out by its length or by one match.
-    return F.when(F.length(column) <= MAX_DATE_LENGTH,
+    return F.when(F.length(F.btrim(column, blanks)) <= MAX_DATE_LENGTH,
                   F.when(column.rlike(_ISO_DAY), column.try_cast("timestamp"))
                   .when(column.rlike(_DIGITS_FIRST), digits)
                   .when(column.rlike(_NAMED_MONTH), named))

@@ -33,6 +33,19 @@ class Ranges:
     count: int
 
 
+def checked_rows(df: DataFrame, order_by: list[str]) -> int:
+    """The number of rows, after a test that the key is unique and never null; only group counts are shuffled."""
+    keys = [ref(name) for name in order_by]
+    blank = F.greatest(*[k.isNull().cast("int") for k in keys], F.lit(0))
+    found = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max(blank).alias("blank")).agg(
+        F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1)), F.max("blank")).first()
+    if found[2]:
+        raise ValueError(f"the key {order_by} holds nulls")
+    if found[0] != found[1]:
+        raise ValueError(f"the key {order_by} is not unique: {found[0]} rows, {found[1]} keys")
+    return found[0]
+
+
 def _key(order_by: list[str]) -> Column:
     return F.struct(*[ref(name).alias(f"k{i}") for i, name in enumerate(order_by)])
 
@@ -75,7 +88,7 @@ def dense_numbers(df: DataFrame, order_by: list[str], name: str, start: int = 1,
                   ranges: int | None = None) -> DataFrame:
     """Add consecutive numbers in key order; with ``where`` only those rows are counted."""
     counted = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
-    rows = df.count()
+    rows = checked_rows(df, order_by)
     split = key_ranges(df, order_by, rows, ranges)
     bucketed = df.withColumn(_BUCKET, split.bucket)
     per_range = {r[_BUCKET]: r["n"] for r in bucketed.groupBy(_BUCKET).agg(
@@ -92,7 +105,7 @@ def dense_numbers(df: DataFrame, order_by: list[str], name: str, start: int = 1,
 
 def forward_fill(df: DataFrame, column: str, order_by: list[str], ranges: int | None = None) -> DataFrame:
     """Replace nulls by the last known value in key order."""
-    rows = df.count()
+    rows = checked_rows(df, order_by)
     split = key_ranges(df, order_by, rows, ranges)
     bucketed = df.withColumn(_BUCKET, split.bucket)
     known = F.when(ref(column).isNotNull(), _key(order_by))

@@ -9,6 +9,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # More expressions than this go into a further pass: one generated aggregate stays compilable.
 FUSE_LIMIT = 300
@@ -16,8 +17,10 @@ FUSE_LIMIT = 300
 IN_MEMORY_VALUES = 1_000_000
 # Inputs above this estimated size are split well enough by the scan.
 SPREAD_BYTES = 512 << 20
-# Longer texts are grouped by a digest, so that counting documents does not shuffle them.
+# Longer texts are grouped by a digest, so that counting documents does not shuffle them. The digest never decides an
+# order: where it could, the few texts in question are compared whole.
 LONG_TEXT_BYTES = 64
+PREFIX = 16
 DIGEST_MARK = "\u0000sha256:"
 # Rank accuracy of the sketch that brackets a percentile on larger data.
 SKETCH_ACCURACY = 10_000
@@ -62,9 +65,10 @@ def row_digest(df: DataFrame, columns: list[str] | None = None) -> Column:
     from cleanloom.functions.columns import kinds, ref
 
     kind = kinds(df)
+    exact = {f.name for f in df.schema.fields if isinstance(f.dataType, T.DecimalType)}
     parts = []
     for name in columns or df.columns:
-        if kind[name] == "float":
+        if kind[name] == "float" and name not in exact:
             value = (ref(name).cast("double") + F.lit(0.0)).cast("string")
         elif kind[name] == "other":
             value = F.to_json(F.struct(ref(name).alias("v")), {"ignoreNullFields": "false"})
@@ -208,7 +212,7 @@ def compact(column: Column) -> Column:
     No short text equals a compacted one: those are longer than the limit.
     """
     return F.when(F.octet_length(column) <= LONG_TEXT_BYTES, column).otherwise(
-        F.concat(F.left(column, F.lit(16)), F.lit(DIGEST_MARK), F.sha2(column.cast("binary"), 256)))
+        F.concat(F.left(column, F.lit(PREFIX)), F.lit(DIGEST_MARK), F.sha2(column.cast("binary"), 256)))
 
 
 def value_counts(df: DataFrame, columns: dict[str, Column], first_by: list[Column] | None = None) -> DataFrame:
@@ -216,7 +220,7 @@ def value_counts(df: DataFrame, columns: dict[str, Column], first_by: list[Colum
 
     A single pass feeds one two-level aggregation for all columns. Counts are combined before the
     shuffle, so a value held by a third of all rows costs one record per task. Long values are
-    compacted; :func:`whole_values` brings the few that are shown back.
+    compacted; :func:`top_values` brings the few that are shown back.
     """
     names = list(columns)
     key = [F.struct(*first_by).alias("k")] if first_by else []
@@ -232,27 +236,45 @@ def value_counts(df: DataFrame, columns: dict[str, Column], first_by: list[Colum
     return counted.select(label.alias("column"), "value", "n", *(["first_key"] if first_by else []))
 
 
-def whole_values(df: DataFrame, columns: dict[str, Column], shown: list[tuple[str, str]]) -> dict:
-    """{(column, compacted value): whole value} of the (few) shown values that were compacted."""
-    wanted: dict[str, list[str]] = {}
-    for name, value in shown:
-        if value is not None and DIGEST_MARK in value:
-            wanted.setdefault(name, []).append(value)
-    found: dict = {}
-    for name, values in wanted.items():
-        rows = (df.select(compact(columns[name]).alias("short"), columns[name].alias("value"))
-                .filter(F.col("short").isin(*set(values))).groupBy("short").agg(F.min("value").alias("value")))
-        found.update({(name, r["short"]): r["value"] for r in rows.collect()})
-    return found
+def long_columns(df: DataFrame, columns: dict[str, Column]) -> list[str]:
+    """Columns that hold a text long enough to be compacted; one cheap pass."""
+    found = aggregate(df, {c: F.max(F.octet_length(e)) for c, e in columns.items()})
+    return [c for c in columns if (found[c] or 0) > LONG_TEXT_BYTES]
 
 
-def top_values(counts: DataFrame, n: int, by_first: bool = False) -> DataFrame:
-    """At most ``n`` values per column, most frequent first (ties: smallest) or first seen."""
+def top_values(counts: DataFrame, n: int, by_first: bool = False, whole: tuple[DataFrame, dict[str, Column]] | None = None) -> DataFrame:
+    """At most ``n`` values per column, most frequent first (ties: smallest) or first seen.
+
+    ``whole`` is the frame and the columns the values come from. With it, long texts are ordered and shown whole: all values that
+    could be among the first are kept, only these get their texts back, and then they are ranked.
+    """
+    columns = {c: whole[1][c] for c in long_columns(*whole)} if whole else {}
+    if columns:
+        # What the compact form leaves open: the order of texts with equal counts, or with equal beginnings.
+        tie = [F.left(F.col("first_key"), F.lit(PREFIX))] if by_first and dict(counts.dtypes)["first_key"] == "string" else \
+            [F.col("first_key")] if by_first else [F.col("n").desc()]
+        near = counts.withColumn("near", F.rank().over(Window.partitionBy("column").orderBy(*tie))).filter(F.col("near") <= n).drop("near")
+        counts = _with_whole_texts(near, whole[0], columns, by_first)
     order = [F.col("first_key"), F.col("value")] if by_first else [F.col("n").desc(), F.col("value")]
     return (counts.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(*order)))
             .filter(F.col("rank") <= n))
 
 
+def _with_whole_texts(counts: DataFrame, df: DataFrame, columns: dict[str, Column], by_first: bool) -> DataFrame:
+    """Counted values with the whole text in place of the compacted one."""
+    names = list(columns)
+    base = df.select(*[columns[c].alias(f"v{i}") for i, c in enumerate(names)])
+    texts = base.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"v{i}").alias("whole")) for i, c in enumerate(names)])).alias("t"))
+    texts = texts.select("t.*").filter(F.octet_length("whole") > LONG_TEXT_BYTES).withColumn("value", compact(F.col("whole")))
+    asked = counts.filter(F.col("value").contains(DIGEST_MARK)).select("column", "value")
+    found = texts.join(asked, ["column", "value"], "left_semi").groupBy("column", "value").agg(F.min("whole").alias("whole"))
+    joined = counts.join(found, ["column", "value"], "left")
+    text = F.coalesce("whole", "value")
+    first = [text.alias("first_key") if dict(counts.dtypes)["first_key"] == "string" else F.col("first_key")] if by_first else []
+    kept = [c for c in counts.columns if c not in ("column", "value", "first_key")]
+    return joined.select("column", text.alias("value"), *kept, *first)
+
+
 def distinct_counts(df: DataFrame, columns: dict[str, Column], approximate: bool = False) -> dict[str, int]:
     """Distinct non-null values per text column: one shuffle of distinct (column, value) pairs."""
     if not columns:
@@ -273,8 +295,10 @@ def clean_modes(df: DataFrame, columns: dict[str, Column]) -> dict[str, dict]:
         F.max("n").alias("top"), F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct"),
         F.min_by("value", F.struct((-F.col("n")).alias("a"), F.col("value").alias("b"))).alias("mode"))
     found = {r["column"]: r.asDict() for r in per_column.collect()}
-    whole = whole_values(df, columns, [(c, r["mode"]) for c, r in found.items()])
-    for c, r in found.items():
-        r["mode"] = whole.get((c, r["mode"]), r["mode"])
+    long = {c: columns[c] for c in long_columns(df, columns)}
+    if long:
+        top = top_values(value_counts(df, long), 1, whole=(df, long))
+        for row in top.collect():
+            found[row["column"]]["mode"] = row["value"]
     empty = {"mode": None, "top": 0, "total": 0, "distinct": 0}
     return {name: found.get(name, dict(empty)) for name in columns}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cleanloom.functions import vocab
 from cleanloom.functions.columns import (
-    cell_text, has_non_ascii, has_outer_space, is_lower, is_upper, parse_date, ref, strip, to_real)
+    cell_text, has_non_ascii, has_outer_space, is_lower, is_upper, missing, parse_date, ref, strip, to_real)
 from cleanloom.functions.stats import aggregate, count_if, duplicate_rows, spread
 from cleanloom.operators.roles import Roles, detect_roles
 
@@ -147,7 +147,7 @@ CHECKS: dict[str, Check] = {check.issue_id: check for check in (
           "{n} malformed addresses or mistyped domains."),
     Check("MISSING_VAL", "Missing Data", "High",
           lambda ctx, c: True,
-          lambda ctx, c: ref(c).isNull() | F.isnan(ref(c)) if ctx.kind(c) == "float" else ref(c).isNull(),
+          lambda ctx, c: missing(ref(c), ctx.kind(c)),
           "{n} missing values.", 0),
     Check("PROXY_MISSING", "Proxy Missingness", "Medium", _text_not_date,
           lambda ctx, c: _is_proxy(ctx.stripped(c)),
@@ -251,6 +251,18 @@ def sequence_pairs(columns: list[str], pairs=None) -> list[tuple[str, str, str]]
     return found
 
 
+def split_pair(column: str, columns=None) -> list[str]:
+    """The two columns of a pair. Names may hold the mark themselves: both sides must be ``columns``, where given."""
+    found = []
+    for mark in PAIR_CHECKS.values():
+        parts = column.split(mark)
+        found += [[mark.join(parts[:i]), mark.join(parts[i:])] for i in range(1, len(parts))]
+    known = [pair for pair in found if columns is not None and set(pair) <= set(columns)]
+    if not found:
+        raise ValueError(f"not a column pair: {column}")
+    return (known or found)[0]
+
+
 def separators(column: Column) -> dict[str, Column]:
     """Values of a date column that use each separator."""
     value = column.cast("string")
@@ -356,7 +368,7 @@ def _with_examples(df, ctx, rows, predicates, order_by) -> list[Issue]:
         elif row.issue_id == "DATE_FORMAT_MIXED":
             limit, value = MIXED_DATE_EXAMPLES, cell_text(ref(row.column), ctx.kind(row.column))
         elif row.issue_id == "DATE_SEQUENCE_VIOLATION":
-            limit, parts = 3, row.column.split(PAIR_CHECKS[row.issue_id])
+            limit, parts = 3, split_pair(row.column, ctx.roles.kinds)
             value = F.concat_ws(" -> ", *[ref(p).cast("string") for p in parts])
         else:
             continue

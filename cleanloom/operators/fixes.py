@@ -13,15 +13,17 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cleanloom.functions import vocab
 from cleanloom.functions.columns import (
-    has_non_ascii, has_outer_space, is_numeric, kinds, number_without_commas, parse_date, ref, strip, to_number,
-    to_real)
+    has_non_ascii, has_outer_space, is_numeric, kinds, missing, nan_to_null, number_without_commas, parse_date, ref, strip,
+    to_number, to_real)
 from cleanloom.functions.ordering import dense_numbers, forward_fill, stochastic_fill
 from cleanloom.functions.stats import (
     aggregate, clean_modes, count_if, distinct_counts, duplicate_rows, percentiles)
 from cleanloom.operators import checks
+from cleanloom.operators.checks import split_pair
 
 MAX_DROP_SHARE = 0.30
 
@@ -74,7 +76,7 @@ def _literal(value, kind: str) -> Column:
 
 # ---------------------------------------------------------------- value helpers
 def _fill(c, k, replacement):
-    return c if replacement is None else F.coalesce(c, _literal(replacement, k))
+    return c if replacement is None else F.when(missing(c, k), _literal(replacement, k)).otherwise(c)
 
 
 def _swap_where(bad: Column, number: Column, k: str, replacement) -> Column:
@@ -110,6 +112,18 @@ def first_digits(c: Column) -> Column:
     return F.regexp_extract(c.cast("string"), r"(\d+)", 1).try_cast("long")
 
 
+def _digits_needs(name, k):
+    """The median of the first numbers; a number beyond 64 bits would be lost, so the fix refuses it."""
+    def finish(p):
+        if p.pop("beyond"):
+            raise ValueError(f"column {name} holds numbers beyond 64 bits: read it as text or decimals")
+        return {**p, "median_value": None if p["median_value"] is None else int(p["median_value"])}
+
+    held = F.regexp_extract(ref(name).cast("string"), r"(\d+)", 1) != ""
+    return Needs(aggregates={"beyond": count_if(held & first_digits(ref(name)).isNull())},
+                 percentiles={"median_value": (first_digits(ref(name)), 0.5)}, finish=finish)
+
+
 def word_number(c: Column) -> Column:
     words = F.create_map(*[F.lit(x) for pair in vocab.NUMBER_WORDS.items() for x in pair])
     return F.try_element_at(words, F.lower(strip(c)))
@@ -174,14 +188,14 @@ def _iqr_needs(name, k):
     return Needs(percentiles={"q1": (real, 0.25), "q3": (real, 0.75)}, finish=finish)
 
 
-def median_day(name: str, k: str) -> Needs:
+def median_day(name: str, k: str, dayfirst: bool = False) -> Needs:
     import datetime as dt
 
     def finish(p):
         micros = p.pop("micros")
         day = None if micros is None else (dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=int(micros))).date()
         return {**p, "median_date": day and day.isoformat()}
-    return Needs(percentiles={"micros": (F.unix_micros(parse_date(ref(name), k)), 0.5)}, finish=finish)
+    return Needs(percentiles={"micros": (F.unix_micros(parse_date(ref(name), k, dayfirst)), 0.5)}, finish=finish)
 
 
 def _moments_needs(name, k):
@@ -196,12 +210,12 @@ def _z_keep(c, k, p):
 
 
 def _null_share_needs(name, k):
-    return Needs(aggregates={"rows": F.count(F.lit(1)), "nulls": count_if(ref(name).isNull())})
+    return Needs(aggregates={"rows": F.count(F.lit(1)), "nulls": count_if(missing(ref(name), k))})
 
 
 def _drop_null_keep(c, k, p):
     too_many = p.get("rows") and p["nulls"] / p["rows"] > MAX_DROP_SHARE
-    return F.lit(True) if too_many else c.isNotNull()
+    return F.lit(True) if too_many else ~missing(c, k)
 
 
 # ---------------------------------------------------------------- frame operations
@@ -256,26 +270,21 @@ def reset_ids(df, column, p=None, order_by=None):
 
 def swap_dates(df, column, p=None, order_by=None):
     """Swap the two dates of a pair where the end precedes the start; both sides read the old row."""
-    start, end = (p or {}).get("pair") or split_pair(column)
+    start, end = (p or {}).get("pair") or split_pair(column, df.columns)
     k = kinds(df)
-    bad = F.coalesce(checks.out_of_sequence(k, start, end), F.lit(False))
+    bad = F.coalesce(checks.out_of_sequence(k, start, end, _dayfirst(p or {})), F.lit(False))
     swapped = {start: F.when(bad, ref(end)).otherwise(ref(start)), end: F.when(bad, ref(start)).otherwise(ref(end))}
     return df.select(*[swapped[c].alias(c) if c in swapped else ref(c) for c in df.columns])
 
 
-def split_pair(column: str) -> list[str]:
-    for mark in checks.PAIR_CHECKS.values():
-        if mark in column:
-            return column.split(mark)
-    raise ValueError(f"not a column pair: {column}")
-
-
 # ---------------------------------------------------------------- registry
 _real = lambda c, k: to_real(c, k)
-_null = lambda c, k, p: c.isNull()
+_null = lambda c, k, p: missing(c, k)
 _AGE_OK = lambda n, k: F.when(~checks.impossible_age(_real_of(n, k)), _real_of(n, k))
 _letters = lambda c, k, p: c.cast("string").rlike(vocab.LETTER_PATTERN)
-_bad_date = lambda c, k, p: checks.invalid_date(c, k)
+_dayfirst = lambda p: bool(p.get("dayfirst"))
+_date = lambda c, k, p: parse_date(c, k, _dayfirst(p))
+_bad_date = lambda c, k, p: checks.invalid_date(c, k, _dayfirst(p))
 _special = lambda c, k, p: c.rlike(vocab.SPECIAL_OR_AT_PATTERN)
 _text_only = lambda kind: kind == "string"
 
@@ -298,13 +307,12 @@ FIXES: dict[str, Fix] = {fix.fix_id: fix for fix in (
         needs=_mode_needs(lambda n: clean_mode_values(ref(n), at_sign=True))),
     Fix("FIX_EXTRACT_NUMERIC_IMPUTE", "extract the first number, fill with its median",
         value=lambda c, k, p: F.coalesce(first_digits(c), F.lit(p["median_value"])), touched=_null,
-        needs=_median_needs(lambda n, k: first_digits(ref(n)), lambda name: lambda p: {
-            "median_value": None if p["median_value"] is None else int(p["median_value"])})),
+        needs=_digits_needs),
     Fix("FIX_FORWARD_FILL", "fill with the previous value", touched=_null,
-        frame=lambda df, column, p, order_by: forward_fill(df, column, order_by, (p or {}).get("ranges"))),
+        frame=lambda df, column, p, order_by: forward_fill(nan_to_null(df, [column]), column, order_by, (p or {}).get("ranges"))),
     Fix("FIX_STOCHASTIC_FILL", "fill with random known values", touched=_null,
         frame=lambda df, column, p, order_by: stochastic_fill(
-            df, column, order_by, (p or {}).get("seed", 42), (p or {}).get("ranges"))),
+            nan_to_null(df, [column]), column, order_by, (p or {}).get("seed", 42), (p or {}).get("ranges"))),
     # removal
     Fix("FIX_DROP_COLUMN", "drop the column", frame=lambda df, column, p, order_by: df.drop(ref(column))),
     Fix("FIX_DROP_ROWS", "drop rows without a value", keep=_drop_null_keep, needs=_null_share_needs),
@@ -413,12 +421,12 @@ FIXES: dict[str, Fix] = {fix.fix_id: fix for fix in (
         value=lambda c, k, p: c if p["median_date"] is None else F.when(_bad_date(c, k, p), F.lit(p["median_date"])).otherwise(c),
         touched=_bad_date, needs=median_day),
     Fix("FIX_STANDARDIZE_DATE_FORMAT", "dates to yyyy-MM-dd",
-        value=lambda c, k, p: F.coalesce(F.date_format(parse_date(c, k), "yyyy-MM-dd"), c.cast("string")),
-        touched=lambda c, k, p: parse_date(c, k).isNotNull()),
+        value=lambda c, k, p: F.coalesce(F.date_format(_date(c, k, p), "yyyy-MM-dd"), c.cast("string")),
+        touched=lambda c, k, p: _date(c, k, p).isNotNull()),
     Fix("FIX_SWAP_LOGICAL_DATES", "swap inverted dates", frame=swap_dates),
     Fix("FIX_FUTURE_DATE_TO_NAN", "future dates to missing",
-        value=lambda c, k, p: F.when(_not(parse_date(c, k) > _as_of(p)), c),
-        touched=lambda c, k, p: parse_date(c, k) > _as_of(p)),
+        value=lambda c, k, p: F.when(_not(_date(c, k, p) > _as_of(p)), c),
+        touched=lambda c, k, p: _date(c, k, p) > _as_of(p)),
 )}
 
 
@@ -448,7 +456,9 @@ def fit(df: DataFrame, targets: list[tuple[str, str]], given: list[dict] | None
     """
     given = given or [{} for _ in targets]
     kind = kinds(df)
-    wanted = [lookup(f).needs(c, kind[c]) if lookup(f).needs and c in kind else None for f, c in targets]
+    wanted = [None if c not in kind or not lookup(f).needs else
+              median_day(c, kind[c], _dayfirst(g)) if lookup(f).needs is median_day else lookup(f).needs(c, kind[c])
+              for (f, c), g in zip(targets, given)]
     plain, ranks, modes = {}, {}, {}
     for i, needs in enumerate(wanted):
         if needs is None:
@@ -498,6 +508,10 @@ def apply_fitted(df: DataFrame, steps: list[tuple[str, str, dict]]) -> DataFrame
             df = df.filter(fix.keep(ref(column), kind, p))
         else:
             new = fix.value(ref(column), kind, p)
+            exact = df.schema[column].dataType
+            if isinstance(exact, T.DecimalType):  # cells the fix does not touch keep every digit
+                hit = F.coalesce(fix.touched(ref(column), kind, p), F.lit(False)) if fix.touched else F.lit(True)
+                new = F.when(hit, new.try_cast(exact)).otherwise(ref(column))
             df = df.select(*[new.alias(c) if c == column else ref(c) for c in df.columns])
     return df
 
@@ -506,7 +520,8 @@ def affected(df: DataFrame, fix_id: str, column: str, params: dict) -> Column |
     """Predicate of the rows a fix changes or removes, or None for whole-frame fixes."""
     fix, kind = lookup(fix_id), kinds(df)
     if fix_id == "FIX_SWAP_LOGICAL_DATES":
-        return checks.out_of_sequence(kind, *((params or {}).get("pair") or split_pair(column)))
+        pair = (params or {}).get("pair") or split_pair(column, kind)
+        return checks.out_of_sequence(kind, *pair, dayfirst=_dayfirst(params or {}))
     if column not in kind or not fix.only(kind[column]):
         return None
     if fix.keep is not None:

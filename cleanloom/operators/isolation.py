@@ -18,6 +18,7 @@ from cleanloom.functions.columns import ref
 
 TREES = 100
 SUBSAMPLE = 256
+POOL_SUBSAMPLES = 40  # rows the trees draw from, in subsamples
 SCORE_ROWS = 2048  # rows scored together: the working set stays in cache
 EULER = 0.5772156649015329
 
@@ -68,17 +69,14 @@ def fit_forest(features: DataFrame, names: list[str], key: list[str], rows: int,
                trees: int = TREES, subsample: int = SUBSAMPLE) -> Forest:
     """Fit on complete feature columns. ``key`` is unique per row, so that copies are sampled independently."""
     size = min(subsample, rows)
-    pool = int(1.5 * trees * size)
+    pool = POOL_SUBSAMPLES * size
     keys = [ref(k) for k in key]
     columns = [ref(n).alias(f"x{i}") for i, n in enumerate(names)]
     draw = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(1 << 30)).alias("h")
     drawn = features.select(draw, F.xxhash64(*keys).alias("r"), *columns)
-    if rows > pool:
-        # Trees share out a hash sample of about 1.5 times the rows they need; none of it is sorted whole.
-        sampled = drawn.filter(F.col("h") < F.lit(int(pool / rows * (1 << 30)) + 1)).withColumn(
-            "tree", F.pmod(F.xxhash64("r", F.lit("tree")), F.lit(trees)).cast("int"))
-    else:  # a small table, at most 1.5 subsamples per tree, serves every tree
-        sampled = drawn.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    # One rule for all sizes: a hash sample of at most about ``pool`` rows is the pool, and each tree draws its own subsample from it.
+    sampled = drawn.filter(F.col("h") <= F.lit(min(1 << 30, int(pool / max(rows, 1) * (1 << 30))))).withColumn(
+        "tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     order = Window.partitionBy("tree").orderBy(F.xxhash64("r", "tree"), "r")
     chosen = sampled.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= size)
     max_depth = int(np.ceil(np.log2(max(size, 2))))

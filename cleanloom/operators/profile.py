@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cleanloom.functions.columns import cell_text, is_numeric, kinds, ref, to_real
-from cleanloom.functions.stats import aggregate, count_if, spread, top_values, value_counts, whole_values
+from cleanloom.functions.columns import cell_text, is_numeric, kinds, missing, ref, to_real
+from cleanloom.functions.stats import aggregate, count_if, spread, top_values, value_counts
 
 PROFILE_SCHEMA = ("column string, position int, dtype string, logical_type string, rows long, nulls long, "
                   "distinct long, mean double, std double, min double, max double, min_date timestamp, "
@@ -19,8 +20,7 @@ def column_measures(df: DataFrame) -> dict:
     asked = {(None, "rows"): F.count(F.lit(1)), (None, "now"): F.max(F.current_timestamp())}
     for name, k in kinds(df).items():
         c = ref(name)
-        missing = c.isNull() | F.isnan(c.cast("double")) if k == "float" else c.isNull()
-        asked[(name, "nulls")] = count_if(missing)
+        asked[(name, "nulls")] = count_if(missing(c, k))
         if is_numeric(k) or k == "boolean":
             real = to_real(c, k)
             asked.update({(name, "mean"): F.avg(real), (name, "std"): F.stddev_samp(real),
@@ -37,6 +37,8 @@ def _texts(df: DataFrame, columns: list[str] | None = None) -> dict:
     texts = {}
     for name in columns or df.columns:
         value = cell_text(ref(name), kind[name])
+        if isinstance(df.schema[name].dataType, (T.FloatType, T.DoubleType)):  # -0.0 is 0.0
+            value = cell_text(ref(name) + F.lit(0.0).cast(df.schema[name].dataType), kind[name])
         texts[name] = F.when(ref(name).isNotNull(), F.when(value != "NaN", value) if kind[name] == "float" else value)
     return texts
 
@@ -67,11 +69,13 @@ def profile(df: DataFrame, source: str | None = None, top_n: int = 5, order_by:
     tops: dict[str, list] = {}
     if counts is not None:
         first = F.col("first_key") if key else F.col("value")
+        texts = _texts(df)
+        whole = (df, {c: texts[c] for c, k in kind.items() if k in ("string", "other")})
         # Every rule is a bounded aggregate over the counted values, merged into one small result.
         ranked = [
-            top_values(counts.withColumn("first_key", first), top_n, by_first=True)
+            top_values(counts.withColumn("first_key", first), top_n, by_first=True, whole=whole)
             .select("column", "value", "n", "rank", F.lit("sample").alias("rule")),
-            top_values(counts, top_n).select("column", "value", "n", "rank", F.lit("top").alias("rule")),
+            top_values(counts, top_n, whole=whole).select("column", "value", "n", "rank", F.lit("top").alias("rule")),
         ]
         if distinct is None:
             # Also reading n keeps the counted values the same in all rules, so they are shuffled once.
@@ -83,9 +87,8 @@ def profile(df: DataFrame, source: str | None = None, top_n: int = 5, order_by:
         for part in ranked[1:]:
             small = small.unionByName(part)
         picked = sorted(small.collect(), key=lambda r: r["rank"])
-        whole = whole_values(df, _texts(df), [(r["column"], r["value"]) for r in picked])
         for r in picked:
-            value = whole.get((r["column"], r["value"]), r["value"])
+            value = r["value"]
             if r["rule"] == "sample":
                 samples.setdefault(r["column"], []).append(value)
             elif r["rule"] == "top":

@@ -113,7 +113,7 @@ def _option(issue: Issue, fix_id: str, recommended: bool = False, n: int | None
 
 
 # ---------------------------------------------------------------- what each issue asks for
-def _request(issue: Issue, kind: dict[str, str]) -> Request:
+def _request(issue: Issue, kind: dict[str, str], dayfirst: bool = False) -> Request:
     c, i = issue.column, issue.issue_id
     if c not in kind:
         return Request()
@@ -140,7 +140,7 @@ def _request(issue: Issue, kind: dict[str, str]) -> Request:
     if i == "INVALID_MONETARY":
         return Request(percentiles={"median": (F.when(real > 0, real), 0.5)})
     if i == "INVALID_DATE_FORMAT":
-        return Request({"valid": F.count(parse_date(ref(c), k))}, dict(median_day(c, k).percentiles))
+        return Request({"valid": F.count(parse_date(ref(c), k, dayfirst))}, dict(median_day(c, k, dayfirst).percentiles))
     if i == "WORD_AS_NUMBER":
         words = F.lower(strip(ref(c)))
         known = words.isin(*vocab.NUMBER_WORDS)
@@ -297,15 +297,18 @@ def exists(issue: Issue, columns) -> bool:
     if issue.column == "*":
         return True
     if issue.issue_id in checks.PAIR_CHECKS:
-        return all(c in columns for c in split_pair(issue.column))
+        return all(c in columns for c in split_pair(issue.column, columns))
     return issue.column in columns
 
 
-def recommend(df: DataFrame, issues: list[Issue], approximate: bool = False) -> list[FixOption]:
-    """Candidate fixes of all issues, in issue order; issues of unknown kind get none."""
+def recommend(df: DataFrame, issues: list[Issue], approximate: bool = False, dayfirst: bool = False) -> list[FixOption]:
+    """Candidate fixes of all issues, in issue order; issues of unknown kind get none.
+
+    ``dayfirst`` is the setting the issues were found with.
+    """
     kind = kinds(df)
     live = [i for i in issues if i.issue_id in ROUTES and exists(i, kind)]
-    requests = [_request(issue, kind) for issue in live]
+    requests = [_request(issue, kind, dayfirst) for issue in live]
     plain = {(i, n): e for i, r in enumerate(requests) for n, e in r.aggregates.items()}
     ranks = {(i, n): (e, [p]) for i, r in enumerate(requests) for n, (e, p) in r.percentiles.items()}
     found = aggregate(df, plain)

@@ -7,10 +7,9 @@ an earlier step of the stage changed, or follows a step that may remove rows.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from cleanloom.functions.columns import kinds
 from cleanloom.functions.stats import aggregate, count_if
@@ -60,37 +59,43 @@ def recommended_plan(issues: list[Issue]) -> list[PlanStep]:
     return [PlanStep(i.issue_id, i.column) for i in issues]
 
 
-def _touches(step: PlanStep) -> set[str]:
-    return set(split_pair(step.column)) if step.fix_id == "FIX_SWAP_LOGICAL_DATES" else {step.column}
+def _touches(step: PlanStep, columns) -> set[str]:
+    return set(split_pair(step.column, columns)) if step.fix_id == "FIX_SWAP_LOGICAL_DATES" else {step.column}
 
 
 def _changes_rows(fix_id: str) -> bool:
     return lookup(fix_id).keep is not None or lookup(fix_id).frame is not None
 
 
-def _stages(steps: list[PlanStep]) -> list[list[PlanStep]]:
+def _stages(steps: list[PlanStep], columns) -> list[list[PlanStep]]:
     stages: list[list[PlanStep]] = []
     used: set[str] = set()
     closed = True
     for step in steps:
-        if closed or used & _touches(step) or lookup(step.fix_id).frame is not None:
+        if closed or used & _touches(step, columns) or lookup(step.fix_id).frame is not None:
             stages.append([])
             used = set()
         stages[-1].append(step)
-        used |= _touches(step)
+        used |= _touches(step, columns)
         closed = _changes_rows(step.fix_id)
     return stages
 
 
 def run_plan(df: DataFrame, issues: list[Issue], steps: list[PlanStep], order_by: list[str] | None = None,
-             reset_ids: bool = False, approximate: bool = False,
-             checkpoint_stages: int | None = None) -> tuple[DataFrame, list[LogEntry]]:
+             reset_ids: bool = False, approximate: bool = False, checkpoint_stages: int | None = None,
+             as_of=None, dayfirst: bool = False, hidden: tuple[str, ...] = ()) -> tuple[DataFrame, list[LogEntry]]:
     """Apply a plan and return the cleaned frame with its log.
 
     ``order_by`` is the unique key that fixes depending on row order need. ``reset_ids`` renumbers
     identifier columns after rows were removed. ``checkpoint_stages`` cuts the lineage every so many
-    stages, for long plans over expensive sources.
+    stages, for long plans over expensive sources. ``as_of`` and ``dayfirst`` are the settings the issues
+    were found with. ``hidden`` columns, such as a row key of the reader, are no part of the table.
     """
+    shown = lambda frame: frame.drop(*hidden)
+    settings = {n: value for n, value in (("as_of", as_of), ("dayfirst", dayfirst)) if value}
+    if hidden:
+        settings["ignore"] = list(hidden)
+    steps = [replace(s, params={**settings, **s.params}) for s in steps]
     known = {(i.issue_id, i.column): i for i in issues}
     log: list[LogEntry] = []
     chosen: list[PlanStep] = []
@@ -99,7 +104,7 @@ def run_plan(df: DataFrame, issues: list[Issue], steps: list[PlanStep], order_by
     open_issues = [known[(s.issue_id, s.column)] for s in steps if s.fix_id == RECOMMENDED and (s.issue_id, s.column) in known]
     best = {}
     if open_issues:
-        for option in recommend(df, open_issues, approximate):
+        for option in recommend(shown(df), open_issues, approximate, dayfirst):
             if option.is_recommended:
                 best.setdefault((option.issue_id, option.column), option)
     for number, step in enumerate(steps, start=1):
@@ -118,8 +123,8 @@ def run_plan(df: DataFrame, issues: list[Issue], steps: list[PlanStep], order_by
 
     start_rows = df.count()
     rows = start_rows
-    identity = detect_roles(df).identity if reset_ids else ()
-    for done, stage in enumerate(_stages(chosen), start=1):
+    identity = detect_roles(shown(df), dayfirst=dayfirst).identity if reset_ids else ()
+    for done, stage in enumerate(_stages(chosen, df.columns), start=1):
         live = []
         for step in stage:
             if exists(Issue(step.issue_id, step.column, "", "", 0, ""), df.columns):
@@ -158,7 +163,7 @@ def run_plan(df: DataFrame, issues: list[Issue], steps: list[PlanStep], order_by
                 fitted.append((step.fix_id, step.column, params[i]))
                 removed = counts.get(i) if fix.keep is not None else None
             changed = None if fix.keep is not None else counts.get(i)
-            detail = ", ".join(f"{k}={v}" for k, v in params[i].items() if v is not None)
+            detail = ", ".join(f"{k}={v}" for k, v in params[i].items() if v is not None and k not in settings)
             log.append(LogEntry(number, step.column, step.fix_id, fix.label, changed, removed, detail))
             if removed:
                 rows -= removed
@@ -173,10 +178,3 @@ def run_plan(df: DataFrame, issues: list[Issue], steps: list[PlanStep], order_by
         if checkpoint_stages and done % checkpoint_stages == 0:
             df = cut_lineage(df)
     return df, sorted(log, key=lambda e: e.step)
-
-
-def affected_rows(df: DataFrame, fix_id: str, column: str, params: dict) -> DataFrame:
-    """One row (column, fix_id, rows): rows a fix would change or remove."""
-    predicate = affected(df, fix_id, column, params)
-    return df.agg(count_if(predicate).alias("rows")).select(
-        F.lit(column).alias("column"), F.lit(fix_id).alias("fix_id"), "rows")

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cleanloom.operators.infer import cast_physical, physical_types
-from cleanloom.sources.csv import null_tokens_to_null, unique_names
+from cleanloom.session import scratch_path
+from cleanloom.sources.csv import ROW_KEY, null_tokens_to_null, unique_names
 
 ROWS_PER_BATCH = 5000
 # Built-in number formats that show dates.
@@ -110,7 +111,7 @@ def sheet_rows(content: bytes, sheet=0):
                 node.clear()
 
 
-def parse_workbooks(files: DataFrame, sheet=0, infer: bool = True, names: list[str] | None = None) -> DataFrame:
+def parse_workbooks(files: DataFrame, sheet=0, infer: bool = True, names: list[str] | None = None, keyed: bool = False) -> DataFrame:
     """Rows of many workbooks held as (path, content). Columns are matched by header name.
 
     The header is the first row of each sheet; ``names`` skips the pass that collects the headers.
@@ -120,10 +121,12 @@ def parse_workbooks(files: DataFrame, sheet=0, infer: bool = True, names: list[s
             for pdf in batches:
                 for content in pdf["content"]:
                     first = next((cells for _, cells in sheet_rows(content, sheet)), [])
-                    yield pd.DataFrame({"header": [unique_names([c or "" for c in first])]})
+                    header = unique_names([c or "" for c in first])
+                    yield pd.DataFrame({"place": range(len(header)), "name": header})
 
-        found = files.select("content").mapInPandas(headers, "header array<string>").distinct().orderBy("header").collect()
-        names = list(dict.fromkeys(name for row in found for name in row["header"]))
+        # A row per column name reaches the driver, however many workbooks there are.
+        found = files.select("content").mapInPandas(headers, "place int, name string").groupBy("name").agg(F.min("place").alias("place"))
+        names = [row["name"] for row in found.orderBy("place", "name").collect()]
     columns = list(names)
 
     def rows(batches):
@@ -142,12 +145,16 @@ def parse_workbooks(files: DataFrame, sheet=0, infer: bool = True, names: list[s
                 if numbers:
                     yield pd.DataFrame({"path": path, "row": numbers, "cells": cells})
 
-    parsed = files.select("path", "content").mapInPandas(rows, "path string, row long, cells array<string>")
-    df = null_tokens_to_null(parsed.select(*[F.col("cells")[i].alias(c) for i, c in enumerate(columns)]))
-    return cast_physical(df, physical_types(df)) if infer else df
+    schema = "path string, row long, cells array<string>"
+    stored = scratch_path(files.sparkSession, "workbooks")  # each workbook is unpacked once
+    files.select("path", "content").mapInPandas(rows, schema).write.parquet(stored)
+    parsed = files.sparkSession.read.schema(schema).parquet(stored)
+    key = [F.col("path").alias(ROW_KEY[0]), F.lit(0).cast("long").alias(ROW_KEY[1]), F.col("row").alias(ROW_KEY[2])]
+    df = null_tokens_to_null(parsed.select(*[F.col("cells")[i].alias(c) for i, c in enumerate(columns)], *(key if keyed else [])))
+    return cast_physical(df, physical_types(df, columns)) if infer else df
 
 
-def read_excel(spark: SparkSession, path, sheet=0, infer: bool = True) -> DataFrame:
-    """Read one .xlsx file, a folder of them, or a glob."""
+def read_excel(spark: SparkSession, path, sheet=0, infer: bool = True, keyed: bool = False) -> DataFrame:
+    """Read one .xlsx file, a folder of them, or a glob. ``keyed`` adds the place of each row."""
     files = spark.read.format("binaryFile").load(path)
-    return parse_workbooks(files, sheet, infer)
+    return parse_workbooks(files, sheet, infer, keyed=keyed)

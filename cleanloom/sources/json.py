@@ -2,33 +2,28 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cleanloom.functions.columns import ref
+from cleanloom.sources.csv import row_key
 
 
 def is_json_lines(spark: SparkSession, path) -> bool:
-    """Whether the first non-blank line is a complete record; only the head of the data is read."""
-    line = spark.read.text(path).filter(F.trim("value") != "").first()
-    if line is None:
-        return True
-    start = line["value"].lstrip("﻿ \t")
-    if not start.startswith("{"):
-        return False
-    try:
-        json.loads(start)
-    except ValueError:
-        return False
-    return True
+    """Whether the first non-blank line is a complete record; it is judged where it is read, and one boolean comes back."""
+    line = F.ltrim(F.regexp_replace("value", "^\ufeff", ""))
+    record = line.startswith("{") & F.try_parse_json(line).isNotNull()
+    found = spark.read.text(path).filter(F.trim("value") != "").select(record.alias("record")).first()
+    return found is None or found["record"]
 
 
 def read_json(spark: SparkSession, path, lines: bool | None = None, flatten: bool = True,
-              schema: T.StructType | None = None) -> DataFrame:
-    """Read JSON. JSON Lines files are split across tasks; a document is one task per file."""
+              schema: T.StructType | None = None, keyed: bool = False) -> DataFrame:
+    """Read JSON. JSON Lines files are split across tasks; a document is one task per file.
+
+    ``keyed`` adds the place of each row in the source.
+    """
     lines = is_json_lines(spark, path) if lines is None else lines
     reader = spark.read.option("multiLine", not lines).option("mode", "PERMISSIVE")
     if schema is not None:
@@ -36,7 +31,10 @@ def read_json(spark: SparkSession, path, lines: bool | None = None, flatten: boo
     df = reader.json(path)
     if df.columns == ["_corrupt_record"]:
         raise ValueError(f"not readable as JSON: {path}")
-    return flatten_structs(df) if flatten else df
+    key = row_key(df) if keyed else []
+    if flatten:
+        return flatten_structs(df, key)
+    return df.select(*[ref(c) for c in df.columns], *key)
 
 
 def _leaves(column: Column, name: str, dtype: T.DataType) -> list[Column]:
@@ -45,6 +43,6 @@ def _leaves(column: Column, name: str, dtype: T.DataType) -> list[Column]:
     return [column.alias(name)]
 
 
-def flatten_structs(df: DataFrame) -> DataFrame:
-    """Nested structs become ``parent.child`` columns; arrays stay arrays."""
-    return df.select(*[leaf for f in df.schema.fields for leaf in _leaves(ref(f.name), f.name, f.dataType)])
+def flatten_structs(df: DataFrame, extra: list[Column] | None = None) -> DataFrame:
+    """Nested structs become ``parent.child`` columns; arrays stay arrays. ``extra`` columns follow."""
+    return df.select(*[leaf for f in df.schema.fields for leaf in _leaves(ref(f.name), f.name, f.dataType)], *(extra or []))

@@ -128,16 +128,14 @@ def d23_roles(spark, sf_dir):
 
 def d24_all_checks(spark, sf_dir):
     df = v.dirty_orders(spark, sf_dir).drop(KEY)
-    found = checks.detect_issues(df, as_of=AS_OF, examples=False)
+    found = checks.detect_issues(df, as_of=AS_OF)
     return checks.issues_frame(spark, found).select("issue_id", "column", "severity", "n_violations")
 
 
 def d25_examples(spark, sf_dir):
-    df = v.dirty_orders(spark, sf_dir, KEY, "customer_age", "discount_pct", "net_price", "email", "phone")
-    found = checks.detect_issues(df, order_by=[KEY], as_of=AS_OF, duplicates=False,
-                                 roles={"date": [], "identity": [], "numeric": ["customer_age"]})
-    kept = [i for i in found if i.issue_id in ("NEG_AGE", "RANGE_EXCEEDED", "EMAIL_FORMAT_ISSUE", "PHONE_FORMAT_ISSUE")]
-    return checks.issues_frame(spark, kept).select("issue_id", "column", F.posexplode("examples").alias("place", "value"))
+    """The first violating values of every issue that shows examples."""
+    found = checks.detect_issues(v.dirty_orders(spark, sf_dir), order_by=[KEY], as_of=AS_OF, duplicates=False)
+    return checks.issues_frame(spark, found).select("issue_id", "column", F.posexplode("examples").alias("place", "value"))
 
 
 QUERIES |= {
@@ -212,13 +210,37 @@ def _sql_all():
 
 
 def _sql_examples():
-    wanted = (("NEG_AGE", "customer_age", "customer_age < 0"), ("RANGE_EXCEEDED", "discount_pct", "discount_pct > 100"),
-              ("EMAIL_FORMAT_ISSUE", "email", FLAGGED["d20_email"][2]), ("PHONE_FORMAT_ISSUE", "phone", FLAGGED["d21_phone"][2]))
-    parts = [f"SELECT '{i}' AS issue_id, '{c}' AS \"column\", row_number() OVER (ORDER BY o_orderkey) - 1 AS place, "
-             f"CAST({c} AS VARCHAR) AS value FROM dirty WHERE {p}" for i, c, p in wanted]
-    return (f"{v.CTE} SELECT issue_id, \"column\", CAST(place AS INTEGER) AS place, value FROM ("
-            + " UNION ALL ".join(parts) + ") WHERE place < 3")
+    """First values by key: three of each issue, one of future dates, six of mixed formats, none of missing or edge spaces."""
+    parts = []
+    for issue, column, value, limit, predicate in _EXAMPLES:
+        parts.append(f"SELECT issue_id, \"column\", CAST(place AS INTEGER) AS place, value FROM (SELECT '{issue}' AS issue_id, '{column}' AS \"column\", "
+                     f"row_number() OVER (ORDER BY o_orderkey) - 1 AS place, {value} AS value FROM dirty WHERE {predicate}) WHERE place < {limit}")
+    return f"{v.CTE} " + " UNION ALL ".join(parts)
+
 
+def _z(c):
+    return (f"abs(({c} - (SELECT avg({c}) FROM dirty)) / (SELECT stddev_samp({c}) FROM dirty)) > 3")
+
+
+_EXAMPLES = [
+    ("EMAIL_FORMAT_ISSUE", "email", "email", 3, FLAGGED["d20_email"][2]),
+    ("DATE_SEQUENCE_VIOLATION", "order_date -> ship_date", "order_date || ' -> ' || ship_date", 3,
+     f"{v.sql_date('ship_date')} < {v.sql_date('order_date')}"),
+    *[("PROXY_MISSING", c, c, 3, v.sql_proxy(c)) for c in ("amount_text", "email", "phone", "priority_text")],
+    ("NEG_AGE", "customer_age", "CAST(customer_age AS VARCHAR)", 3, "customer_age < 0"),
+    ("RANGE_EXCEEDED", "discount_pct", "CAST(discount_pct AS VARCHAR)", 3, "discount_pct > 100"),
+    ("IMPOSSIBLE_AGE", "customer_age", "CAST(customer_age AS VARCHAR)", 3, "customer_age < 0 OR customer_age > 120"),
+    ("INVALID_MONETARY", "net_price", "CAST(net_price AS VARCHAR)", 3, "net_price <= 0"),
+    ("INVALID_MONETARY", "amount_text", "amount_text", 3, f"{v.sql_number('amount_text')} <= 0"),
+    *[("FUTURE_DATE", c, c, 1, f"{v.sql_date(c)} > TIMESTAMP '2000-01-01'") for c in ("order_date", "ship_date")],
+    *[("INVALID_DATE_FORMAT", c, c, 3, f"{c} IS NOT NULL AND {v.sql_date(c)} IS NULL") for c in ("order_date", "ship_date")],
+    ("DATE_FORMAT_MIXED", "order_date", "order_date", 6, "order_date IS NOT NULL"),
+    *[("SPECIAL_CHARS", c, c, 3, f"regexp_matches({c}, '[?!#$%^&*]')") for c in ("amount_text", "priority_text")],
+    ("WORD_AS_NUMBER", "amount_text", "amount_text", 3, "regexp_matches(amount_text, '[a-zA-Z]')"),
+    *[("Z_OUTLIER", c, f"CAST({c} AS VARCHAR)", 3, _z(c)) for c in ("net_price", "discount_pct", "tax_rate")],
+    ("PHONE_FORMAT_ISSUE", "phone", "phone", 3, "regexp_matches(phone, '[-.() +]')"),
+    *[("PERCENT_VIOLATION", c, f"CAST({c} AS VARCHAR)", 3, f"{c} < 0 OR {c} > 100") for c in ("discount_pct", "tax_rate")],
+]
 
 SQL |= {
     "d10_mixed_dates": _sql_d10(),

@@ -11,8 +11,9 @@ from cleanloom.workload import views as v
 KEY = "o_orderkey"
 LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
 LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-FEATURES = ["f1", "f2", "f3", "f4"]
+FEATURES = [f"f{i}" for i in range(1, 65)]
 NEIGHBOURS = 10
+NOVELTY_NEIGHBOURS = 20
 
 
 def o1_prepared(spark, sf_dir):
@@ -22,15 +23,14 @@ def o1_prepared(spark, sf_dir):
 
 def _lines(spark, sf_dir):
     """Order lines with a few planted extremes."""
-    return v.table(spark, sf_dir, "lineitem").select(
-        F.monotonically_increasing_id().alias("line"), *LINE_KEY[:1], *[
-            F.when(F.col("l_orderkey") % 500 == 0, F.col(c) * 20 + 50).otherwise(F.col(c)).alias(c) for c in LINE_FEATURES])
+    return v.table(spark, sf_dir, "lineitem").select(*LINE_KEY, *[
+        F.when(F.col("l_orderkey") % 500 == 0, F.col(c) * 20 + 50).otherwise(F.col(c)).alias(c) for c in LINE_FEATURES])
 
 
 def o2_isolation_forest(spark, sf_dir):
     """Share of planted extremes found, and share of rows marked."""
     df = _lines(spark, sf_dir)
-    model = outliers.fit(df, key=["line"], features=LINE_FEATURES)
+    model = outliers.fit(df, key=list(LINE_KEY), features=LINE_FEATURES)
     marked = outliers.detect(df, model)
     planted = F.col("l_orderkey") % 500 == 0
     return marked.agg(
@@ -40,7 +40,7 @@ def o2_isolation_forest(spark, sf_dir):
 
 
 def _vectors(spark, sf_dir):
-    """The first components of every embedding as feature columns."""
+    """Every component of every embedding as a feature column."""
     return v.table(spark, sf_dir, "embeddings").select(
         "vec_id", *[F.col("embedding")[i].cast("double").alias(f) for i, f in enumerate(FEATURES)])
 
@@ -69,19 +69,52 @@ def o6_summary(spark, sf_dir):
     return outliers.summary(_marked(spark, sf_dir)).select("total", "outliers", F.round("percent", 6).alias("percent"))
 
 
-QUERIES = {"o1_prepared": o1_prepared, "o2_isolation_forest": o2_isolation_forest, "o3_local_factor": o3_local_factor,
+def o7_unknown_method(spark, sf_dir):
+    """Rows of the table, and whether an unknown method is refused."""
+    df = _lines(spark, sf_dir)
+    try:
+        outliers.fit(df, key=list(LINE_KEY), method="nearest", features=LINE_FEATURES)
+        refused = False
+    except ValueError:
+        refused = True
+    return df.agg(F.count(F.lit(1)).alias("rows")).withColumn("refused", F.lit(refused))
+
+
+def o8_novelty(spark, sf_dir):
+    """The default mode of the local factor: rows are scored as new points, among which each meets itself."""
+    df = _vectors(spark, sf_dir)
+    model = outliers.fit(df, method="lof", features=FEATURES, neighbours=NOVELTY_NEIGHBOURS)
+    return outliers.detect(df, model).select("vec_id", "Outlier")
+
+
+QUERIES = {"o7_unknown_method": o7_unknown_method, "o8_novelty": o8_novelty, "o1_prepared": o1_prepared, "o2_isolation_forest": o2_isolation_forest, "o3_local_factor": o3_local_factor,
            "o4_detect": o4_detect, "o5_inliers": o5_inliers, "o6_summary": o6_summary}
 
-_LOF = (
-    "WITH p AS (SELECT vec_id AS i, " + ", ".join(f"CAST(embedding[{n}] AS DOUBLE) AS {f}" for n, f in enumerate(FEATURES, start=1))
-    + " FROM embeddings), d AS (SELECT a.i, b.i AS j, sqrt(" + " + ".join(f"(a.{f} - b.{f}) * (a.{f} - b.{f})" for f in FEATURES)
-    + ") AS d FROM p a JOIN p b ON a.i <> b.i), "
-    f"k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM d) WHERE r <= {NEIGHBOURS}), "
-    "kd AS (SELECT i, max(d) AS kd FROM k GROUP BY i), "
-    "lrd AS (SELECT k.i, 1 / (avg(greatest(kd.kd, k.d)) + 1e-10) AS lrd FROM k JOIN kd ON kd.i = k.j GROUP BY k.i), "
-    "lof AS (SELECT k.i AS vec_id, avg(n.lrd) / any_value(o.lrd) AS factor FROM k JOIN lrd n ON n.i = k.j JOIN lrd o ON o.i = k.i GROUP BY k.i), "
-    "marked AS (SELECT vec_id, CASE WHEN -factor < (SELECT quantile_cont(-factor, 0.05) FROM lof) THEN -1 ELSE 1 END AS outlier FROM lof) ")
+
+
+def _lof(k):
+    """Every step of the factor over all pairs, and the share that is marked."""
+    return (
+        "WITH p AS (SELECT vec_id AS i, embedding::DOUBLE[] AS x FROM embeddings), "
+        "d AS (SELECT a.i, b.i AS j, list_distance(a.x, b.x) AS d FROM p a JOIN p b ON a.i <> b.i), "
+        f"k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM d) WHERE r <= {k}), "
+        "kd AS (SELECT i, max(d) AS kd FROM k GROUP BY i), "
+        "lrd AS (SELECT k.i, 1 / (avg(greatest(kd.kd, k.d)) + 1e-10) AS lrd FROM k JOIN kd ON kd.i = k.j GROUP BY k.i), "
+        "lof AS (SELECT k.i AS vec_id, avg(n.lrd) / any_value(o.lrd) AS factor FROM k JOIN lrd n ON n.i = k.j JOIN lrd o ON o.i = k.i GROUP BY k.i), "
+        "marked AS (SELECT vec_id, CASE WHEN -factor < (SELECT quantile_cont(-factor, 0.05) FROM lof) THEN -1 ELSE 1 END AS outlier FROM lof) ")
+
+
+_LOF = _lof(NEIGHBOURS)
+# A row as a new point: itself at distance zero, then all but the farthest of its neighbours.
+_NOVEL = (_lof(NOVELTY_NEIGHBOURS) + f", u AS (SELECT i, j, d FROM k WHERE r < {NOVELTY_NEIGHBOURS} UNION ALL SELECT i, i, 0.0 FROM p), "
+          "s AS (SELECT u.i AS vec_id, avg(n.lrd) * (avg(greatest(kd.kd, u.d)) + 1e-10) AS factor FROM u JOIN kd ON kd.i = u.j "
+          "JOIN lrd n ON n.i = u.j GROUP BY u.i) ")
 SQL = {
+    "o7_unknown_method": "SELECT count(*) AS rows, true AS refused FROM lineitem",
+    "o2_isolation_forest": "SELECT count(*) AS rows, count(*) FILTER (l_orderkey % 500 = 0) AS planted, true AS all_planted_found, "
+                           "true AS share_as_asked FROM lineitem",
+    "o8_novelty": _NOVEL + "SELECT vec_id, CASE WHEN -factor < (SELECT quantile_cont(-factor, 0.05) FROM lof) THEN -1 ELSE 1 END "
+                           "AS \"Outlier\" FROM s",
     "o1_prepared": f"{v.CTE} SELECT o_orderkey, " + ", ".join(
         f"coalesce(CAST({c} AS DOUBLE), (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) FROM dirty)) AS {c}"
         for c in ("customer_age", "net_price", "tax_rate")) + " FROM dirty",

@@ -150,7 +150,8 @@ def p16_date_range(spark, sf_dir):
 
 def p17_top_values(spark, sf_dir):
     df = v.dirty_orders(spark, sf_dir, "priority_text", "phone", "email")
-    return top_values(profile.counted_values(df), 5).select("column", "value", "n", F.col("rank").cast("long").alias("rank"))
+    texts = profile._texts(df)
+    return top_values(profile.counted_values(df), 5, whole=(df, texts)).select("column", "value", "n", F.col("rank").cast("long").alias("rank"))
 
 
 def p18_mean_length(spark, sf_dir):

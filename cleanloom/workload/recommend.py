@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from cleanloom.functions.stats import adjusted_skewness, aggregate, clean_modes
 from cleanloom.operators import impact, recommend
 from cleanloom.operators.checks import Issue, detect_issues
-from cleanloom.operators.fixes import clean_mode_values, text_mode_values
+from cleanloom.operators.fixes import apply_fix, clean_mode_values, text_mode_values
+from cleanloom.plans.pipeline import clean_file
 from cleanloom.plans.plan import PlanStep, log_frame, run_plan
+from cleanloom.session import scratch_path
+from cleanloom.sources.csv import read_csv
 from cleanloom.workload import checks as check_queries
 from cleanloom.workload import views as v
 
@@ -38,8 +41,7 @@ def _recommended(columns, issues, **params):
 # ---------------------------------------------------------------- router
 def _routed(spark, sf_dir):
     df = v.dirty_orders(spark, sf_dir).drop(KEY)
-    issues = detect_issues(df, as_of=check_queries.AS_OF, examples=False)
-    return recommend.recommend(df, [i for i in issues if i.issue_id != "MISSING_VAL"])
+    return recommend.recommend(df, detect_issues(df, as_of=check_queries.AS_OF, examples=False))
 
 
 def r1_router(spark, sf_dir):
@@ -76,9 +78,6 @@ _ROUTES = [
     ("DUPLICATE_ROWS", "FIX_DROP_EXACT_DUPLICATES", True),
 ]
 _ROUTE_TABLE = "(VALUES " + ", ".join(f"('{i}', '{f}', {r})" for i, f, r in _ROUTES) + ") routes(i, fix_id, is_recommended)"
-_ROUTED_SQL = (f"SELECT issue_id, \"column\", fix_id, is_recommended FROM ({check_queries._sql_all()}) JOIN {_ROUTE_TABLE} "
-               "ON i = issue_id WHERE NOT (fix_id = 'FIX_SCALE_PERCENTAGE' AND \"column\" <> 'tax_rate')")
-
 # ---------------------------------------------------------------- missing values
 _SPARSE = {
     "customer_age": v.DIRTY_ORDERS["customer_age"],
@@ -99,27 +98,27 @@ def r3_missing_strategy(spark, sf_dir):
     return _options(spark, options, median="median_value", mean="mean_value").drop("issue_id")
 
 
-def _missing_sql(c, kind):
-    clean = (f"FROM sparse WHERE {c} IS NOT NULL AND NOT regexp_matches({c}, '{v.vocab.SPECIAL_OR_AT_PATTERN}') "
+def _missing_sql(c, kind, table="sparse"):
+    clean = (f"FROM {table} WHERE {c} IS NOT NULL AND NOT regexp_matches({c}, '{v.vocab.SPECIAL_OR_AT_PATTERN}') "
              f"AND lower({v.sql_strip(c)}) NOT IN ({v.sql_strings(v.vocab.UNCLEAN_MODE_TOKENS)})")
-    base = f"(SELECT count(*) AS n, count(*) - count({c}) AS miss FROM sparse) f"
+    base = f"(SELECT count(*) AS n, count(*) - count({c}) AS miss FROM {table}) f"
     none = "CAST(NULL AS DOUBLE)"
 
     def offer(fix, recommended, condition="true", median=none, mean=none, source=base):
         return (f"SELECT '{c}' AS \"column\", '{fix}' AS fix_id, {recommended} AS is_recommended, {median} AS median, "
-                f"{mean} AS mean FROM {source} WHERE {condition}")
+                f"{mean} AS mean FROM {source} WHERE miss > 0 AND ({condition})")
     high = "miss * 100.0 / n > 40"
     drop = "(n - miss) * 100.0 / n >= 60"
     if kind == "digits":
         digits = f"CAST(TRY_CAST(regexp_extract({c}, '([0-9]+)', 1) AS BIGINT) AS DOUBLE)"
-        return [offer("FIX_EXTRACT_NUMERIC_IMPUTE", "true", high, f"(SELECT trunc(median({digits})) FROM sparse)"),
+        return [offer("FIX_EXTRACT_NUMERIC_IMPUTE", "true", high, f"(SELECT trunc(median({digits})) FROM {table})"),
                 offer("FIX_DROP_COLUMN", "false", high)]
     parts = [offer("FIX_DROP_COLUMN", "true", high)]
     if kind == "number":
         rounded = "age" in c
-        median, mean = (f"(SELECT {'round_even(' if rounded else 'round('}{f}({c}), {0 if rounded else 4}) FROM sparse)"
+        median, mean = (f"(SELECT {'round_even(' if rounded else 'round('}{f}({c}), {0 if rounded else 4}) FROM {table})"
                         for f in ("median", "avg"))
-        skewed = f"((SELECT abs(skewness({c})) > 1 FROM sparse) OR {str(rounded).lower()})"
+        skewed = f"((SELECT abs(skewness({c})) > 1 FROM {table}) OR {str(rounded).lower()})"
         parts += [offer("FIX_MEDIAN_IMPUTE", skewed, median=median), offer("FIX_MEAN_IMPUTE", "true", f"NOT {skewed}", mean=mean),
                   offer("FIX_STOCHASTIC_FILL", "true", f"NOT {skewed}"), offer("FIX_DROP_ROWS", "false", drop)]
     elif kind == "text":
@@ -139,6 +138,14 @@ _MISSING_KINDS = {"customer_age": "number", "net_price": "number", "priority_tex
                   "peak_text": "digits", "sparse_text": "text", "sparse_total": "number", "moment": "time"}
 
 
+_DIRTY_KINDS = {c: "text" for c in ("amount_text", "email", "phone", "order_date", "ship_date", "priority_text")} | {
+    c: "number" for c in ("record_id", "customer_age", "net_price", "discount_pct", "tax_rate")}
+_ROUTED_SQL = (f"{v.CTE} SELECT issue_id, \"column\", fix_id, is_recommended FROM ({check_queries._sql_all()}) JOIN {_ROUTE_TABLE} "
+               "ON i = issue_id WHERE NOT (fix_id = 'FIX_SCALE_PERCENTAGE' AND \"column\" <> 'tax_rate') UNION ALL "
+               "SELECT 'MISSING_VAL', \"column\", fix_id, is_recommended FROM ("
+               + " UNION ALL ".join(p for c, k in _DIRTY_KINDS.items() for p in _missing_sql(c, k, "dirty")) + ")")
+
+
 # ---------------------------------------------------------------- other strategies
 def r6_date_strategy(spark, sf_dir):
     df = v.dirty_orders(spark, sf_dir, "order_date")
@@ -281,6 +288,12 @@ SQL = {
 }
 
 # ---------------------------------------------------------------- plans
+# name -> expression over `orders`, for the file that is cleaned without options
+_VISITS = {
+    "record_id": v.DIRTY_ORDERS["record_id"],
+    "visit_date": "CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END",
+    "note": "o_orderstatus",
+}
 _STEPS = [
     PlanStep("WHITESPACE", "email"), PlanStep("EMAIL_FORMAT_ISSUE", "email"), PlanStep("PHONE_FORMAT_ISSUE", "phone"),
     PlanStep("IMPOSSIBLE_AGE", "customer_age"), PlanStep("PERCENT_VIOLATION", "discount_pct", "FIX_CLIP_PERCENTAGE"),
@@ -321,6 +334,16 @@ def a3_row_guard(spark, sf_dir):
         "rows", F.lit(removed["often"]).cast("long").alias("often"), F.lit(removed["seldom"]).cast("long").alias("seldom"))
 
 
+def a3b_half_guard(spark, sf_dir):
+    """Once more than half of the rows are gone, a guarded drop is refused however small it is."""
+    df = v.table(spark, sf_dir, "orders").selectExpr(
+        KEY, "CASE WHEN o_orderkey % 5 < 3 THEN -1.0 ELSE o_totalprice END AS amount",
+        "CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_totalprice END AS seldom")
+    steps = [PlanStep("INVALID_MONETARY", "amount", "FIX_DROP_ZERO_MONETARY_ROWS"), PlanStep("MISSING_VAL", "seldom", "FIX_DROP_ROWS")]
+    cleaned, log = run_plan(df, [_issue(s.issue_id, s.column) for s in steps], steps, [KEY])
+    return cleaned.agg(F.count(F.lit(1)).alias("rows")).withColumn("refused", F.lit(log[1].fix_applied == "skipped"))
+
+
 def a4_execution_log(spark, sf_dir):
     log = _planned(spark, sf_dir, _STEPS)[1]
     return log_frame(spark, log).select("step", "column", "fix_id", "values_changed", "rows_removed")
@@ -354,18 +377,74 @@ def a9_impact_report(spark, sf_dir):
         "metric", "column", *[F.round(c, 6).alias(c) for c in ("before", "after", "delta")])
 
 
+def a10_clean_file(spark, sf_dir):
+    """A file with repeated ids and missing dates through the whole pipeline, no option given, and what was written."""
+    path = scratch_path(spark, "visits") + ".csv"
+    v.table(spark, sf_dir, "orders").orderBy(KEY).selectExpr(*[f"{e} AS {c}" for c, e in _VISITS.items()]).write.option("header", True).csv(path)
+    outcome = clean_file(spark, path, output=scratch_path(spark, "visits"))
+    written = read_csv(spark, outcome.written[0])
+    return written.select("record_id", F.to_date("visit_date").cast("string").alias("visit_date"), "note")
+
+
+def _again(spark, df, issue_id, column, **settings):
+    """Violations before and after the recommended fix, both found with the same settings."""
+    def count(frame):
+        return sum(i.n_violations for i in detect_issues(frame, examples=False, duplicates=False, **settings)
+                   if (i.issue_id, i.column) == (issue_id, column))
+    issues = detect_issues(df, examples=False, duplicates=False, **settings)
+    steps = [PlanStep(issue_id, column)]
+    given = {n: s for n, s in settings.items() if n in ("as_of", "dayfirst")}
+    cleaned, _ = run_plan(df, issues, steps, [KEY], **given)
+    return spark.createDataFrame([(count(df), count(cleaned))], "before long, after long")
+
+
+def a11_as_of(spark, sf_dir):
+    return _again(spark, v.dirty_orders(spark, sf_dir, KEY, "order_date"), "FUTURE_DATE", "order_date", as_of=check_queries.AS_OF)
+
+
+def a12_nan(spark, sf_dir):
+    df = v.table(spark, sf_dir, "orders").selectExpr(
+        KEY, "CASE WHEN o_orderkey % 7 = 0 THEN double('NaN') WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_totalprice END AS amount")
+    return _again(spark, df, "MISSING_VAL", "amount")
+
+
+def a13_dayfirst(spark, sf_dir):
+    """Dates that can be read both ways keep their meaning."""
+    df = v.table(spark, sf_dir, "orders").select(KEY, F.date_format("o_orderdate", "dd/MM/yyyy").alias("order_date"))
+    steps = [PlanStep("DATE_FORMAT_MIXED", "order_date", "FIX_STANDARDIZE_DATE_FORMAT")]
+    return run_plan(df, [_issue(s.issue_id, s.column) for s in steps], steps, [KEY], dayfirst=True)[0]
+
+
+def a14_exact_decimals(spark, sf_dir):
+    """Amounts of 30 digits: no two rows are taken for duplicates, and untouched cells keep every digit."""
+    df = v.table(spark, sf_dir, "orders").selectExpr(
+        KEY, "CASE WHEN o_orderkey % 9 = 0 THEN CAST(-1 AS DECIMAL(38,2)) ELSE CAST(o_orderkey AS DECIMAL(38,2)) + "
+             "CAST('123456789012345678901234567890.25' AS DECIMAL(38,2)) END AS amount")
+    steps = [PlanStep("INVALID_MONETARY", "amount", "FIX_ZERO_MONETARY_TO_NAN")]
+    cleaned, _ = run_plan(df, [_issue(s.issue_id, s.column) for s in steps], steps, [KEY])
+    repeated = impact.quality(df.select("amount").filter("amount > 0")).first()["duplicate_rows"]
+    return cleaned.select(KEY, F.col("amount").cast("string").alias("amount"), F.lit(repeated).cast("long").alias("duplicates"))
+
+
+def a15_key_rejected(spark, sf_dir):
+    """A key that repeats is refused where a fix depends on row order."""
+    df = v.skewed_orders(spark, sf_dir)
+    try:
+        apply_fix(df, "FIX_FORWARD_FILL", "note", order_by=["hot_id"])
+        refused = False
+    except ValueError:
+        refused = True
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("hot_id").alias("keys")).withColumn("refused", F.lit(refused))
+
+
+QUERIES |= {"a3b_half_guard": a3b_half_guard, "a10_clean_file": a10_clean_file, "a11_as_of": a11_as_of, "a12_nan": a12_nan,
+            "a13_dayfirst": a13_dayfirst, "a14_exact_decimals": a14_exact_decimals, "a15_key_rejected": a15_key_rejected}
 QUERIES |= {"a1_run_plan": a1_run_plan, "a2_dropped_column": a2_dropped_column, "a3_row_guard": a3_row_guard,
             "a4_execution_log": a4_execution_log, "a5_completeness": a5_completeness,
             "a6_column_completeness": a6_column_completeness, "a7_issue_counts": a7_issue_counts,
             "a8_quality_score": a8_quality_score, "a9_impact_report": a9_impact_report}
 
 
-def _domains(c):
-    for typo, domain in v.vocab.EMAIL_TYPOS.items():
-        c = f"regexp_replace({c}, '(?i){typo.replace('.', '[.]')}', '{domain}', 'g')"
-    return c
-
-
 _AGE_MEDIAN = "(SELECT CAST(round_even(median(customer_age), 0) AS BIGINT) FROM dirty WHERE customer_age BETWEEN 0 AND 120)"
 _STRIPPED = v.sql_strip("email")
 _STRIP_TOUCHED = f"regexp_matches(email, '{v.vocab.EDGE_SPACE_PATTERN}')"
@@ -390,13 +469,24 @@ _NOTE_MODE_NEW = _NOTE_MODE.replace("FROM old", "FROM dedup")
 SQL |= {
     "a1_run_plan": f"{v.CTE}, kept AS (SELECT *, CASE WHEN NOT (customer_age BETWEEN 0 AND 120) THEN {_AGE_MEDIAN} ELSE customer_age END AS a "
                    "FROM dirty WHERE net_price IS NULL OR net_price > 0) SELECT o_orderkey, "
-                   f"{_domains(_STRIPPED)} AS email, regexp_replace(phone, '[^0-9]', '', 'g') AS phone, a AS customer_age, "
+                   f"{v.sql_domains(_STRIPPED)} AS email, regexp_replace(phone, '[^0-9]', '', 'g') AS phone, a AS customer_age, "
                    "greatest(0, least(100, discount_pct)) AS discount_pct, coalesce(net_price, (SELECT median(net_price) FROM kept)) AS net_price, "
                    "order_date FROM kept",
     "a2_dropped_column": f"{v.CTE} SELECT 'o_orderkey,phone' AS columns, count(phone) AS phones, CAST(0 AS BIGINT) AS bad, "
                          "CAST(1 AS BIGINT) AS skipped FROM dirty",
     "a3_row_guard": "SELECT count(*) FILTER (o_orderkey % 7 <> 0) AS rows, CAST(0 AS BIGINT) AS often, "
                     "count(*) FILTER (o_orderkey % 7 = 0) AS seldom FROM orders",
+    "a3b_half_guard": "SELECT count(*) AS rows, true AS refused FROM orders WHERE o_orderkey % 5 >= 3",
+    "a10_clean_file": "WITH visits AS (SELECT o_orderkey, " + ", ".join(f"{e} AS {c}" for c, e in _VISITS.items()) + " FROM orders), "
+                      "filled AS (SELECT *, last_value(visit_date IGNORE NULLS) OVER (ORDER BY o_orderkey) AS seen, "
+                      "row_number() OVER (PARTITION BY record_id ORDER BY o_orderkey) AS nth FROM visits) "
+                      "SELECT record_id, seen AS visit_date, note FROM filled WHERE nth = 1",
+    "a11_as_of": f"{v.CTE} SELECT count(*) AS before, CAST(0 AS BIGINT) AS after FROM dirty WHERE {v.sql_date('order_date')} > TIMESTAMP '2000-01-01'",
+    "a12_nan": "SELECT count(*) AS before, CAST(0 AS BIGINT) AS after FROM orders WHERE o_orderkey % 7 = 0 OR o_orderkey % 11 = 0",
+    "a13_dayfirst": "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS order_date FROM orders",
+    "a14_exact_decimals": "SELECT o_orderkey, CASE WHEN o_orderkey % 9 <> 0 THEN CAST(CAST(o_orderkey AS DECIMAL(38,2)) + "
+                          "CAST('123456789012345678901234567890.25' AS DECIMAL(38,2)) AS VARCHAR) END AS amount, CAST(0 AS BIGINT) AS duplicates FROM orders",
+    "a15_key_rejected": f"{v.SKEWED_CTE} SELECT count(*) AS rows, count(DISTINCT hot_id) AS keys, true AS refused FROM skewed",
     "a4_execution_log": f"{v.CTE} SELECT CAST(s AS INTEGER) AS step, c AS \"column\", f AS fix_id, CAST(n AS BIGINT) AS values_changed, "
                         "CAST(r AS BIGINT) AS rows_removed FROM (VALUES "
                         f"(1, 'email', 'FIX_STRIP_WHITESPACE', (SELECT count(*) FROM dirty WHERE {_STRIP_TOUCHED}), NULL), "

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import io
 import zipfile
+from functools import reduce
 from xml.sax.saxutils import escape
 
 import pandas as pd
+from pyarrow import fs
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleanloom.plans.plan import LogEntry, log_frame
 from cleanloom.session import scratch_path
 from cleanloom.sources.auto import read_auto
 from cleanloom.sources.csv import read_csv
-from cleanloom.sources.excel import parse_workbooks
+from cleanloom.sources.excel import read_excel
 from cleanloom.sources.json import read_json
 from cleanloom.sources.sinks import write_cleaned, write_log
 from cleanloom.streaming.cleaning import clean_stream, flag_stream, stream_context, write_stream
@@ -79,9 +83,26 @@ def workbooks(df, key: str):
             .applyInPandas(pack, "path string, content binary"))
 
 
+def written_workbooks(df, key: str) -> str:
+    """The workbooks as .xlsx files in a shared folder; tasks write them."""
+    folder = scratch_path(df.sparkSession, "books")
+
+    def write(batches):
+        system, base = fs.FileSystem.from_uri(folder)
+        system.create_dir(base, recursive=True)
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"]):
+                with system.open_output_stream(f"{base}/{path}", compression=None) as file:
+                    file.write(content)
+            yield pdf[["path"]]
+
+    workbooks(df, key).mapInPandas(write, "path string").count()
+    return folder
+
+
 def s2_excel(spark, sf_dir):
     orders = v.table(spark, sf_dir, "orders").select(KEY, "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
-    return parse_workbooks(workbooks(orders, KEY), sheet="Data")
+    return read_excel(spark, written_workbooks(orders, KEY), sheet="Data")
 
 
 # ---------------------------------------------------------------- JSON
@@ -118,17 +139,32 @@ def s5_flatten(spark, sf_dir):
 
 
 def s6_auto(spark, sf_dir):
-    """Every format through extension dispatch: rows and key sum."""
+    """Four formats through extension dispatch: rows and key sum."""
     base = scratch_path(spark, "auto")
     orders = v.table(spark, sf_dir, "orders").select(KEY, "o_orderstatus")
     orders.write.option("header", True).csv(f"{base}.csv")
     orders.write.json(f"{base}.json")
     orders.write.parquet(f"{base}/data")
     frames = [(kind, read_auto(spark, path)) for kind, path in
-              (("csv", f"{base}.csv"), ("json", f"{base}.json"), ("parquet", f"{base}/data"))]
+              (("csv", f"{base}.csv"), ("json", f"{base}.json/*"), ("parquet", f"{base}/data"), ("xlsx", written_workbooks(orders, KEY)))]
     parts = [df.agg(F.count(F.lit(1)).alias("rows"), F.sum(KEY).alias("key_sum")).select(F.lit(kind).alias("format"), "rows", "key_sum")
              for kind, df in frames]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return reduce(DataFrame.unionByName, parts)
+
+
+def s7_missing_file(spark, sf_dir):
+    """Per given table its rows, and whether a file of that name that is not there raises."""
+    rows = []
+    for name in TABLES:
+        raised = 0
+        for ending in ("csv", "json", "parquet", "xlsx"):
+            try:
+                read_auto(spark, f"{sf_dir}/missing-{name}.{ending}")
+            except AnalysisException:
+                raised += 1
+        rows.append(v.table(spark, sf_dir, name).agg(F.count(F.lit(1)).alias("rows")).select(
+            F.lit(name).alias("source"), "rows", F.lit(raised).cast("long").alias("raised")))
+    return reduce(DataFrame.unionByName, rows)
 
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
@@ -190,7 +226,7 @@ def st2_flag_stream(spark, sf_dir):
 
 QUERIES = {
     "s1_csv": s1_csv, "s2_excel": s2_excel, "s3_json_document": s3_json_document, "s4_json_lines": s4_json_lines,
-    "s5_flatten": s5_flatten, "s6_auto": s6_auto, "s8_empty_tables": s8_empty_tables, "s9_write_cleaned": s9_write_cleaned,
+    "s5_flatten": s5_flatten, "s6_auto": s6_auto, "s7_missing_file": s7_missing_file, "s8_empty_tables": s8_empty_tables, "s9_write_cleaned": s9_write_cleaned,
     "s10_write_log": s10_write_log, "st1_clean_stream": st1_clean_stream, "st2_flag_stream": st2_flag_stream,
 }
 
@@ -201,12 +237,6 @@ def _read_back(*columns):
     return f"{v.CTE} SELECT {', '.join(parts)} FROM dirty"
 
 
-def _domains(c):
-    for typo, domain in v.vocab.EMAIL_TYPOS.items():
-        c = f"regexp_replace({c}, '(?i){typo.replace('.', '[.]')}', '{domain}', 'g')"
-    return c
-
-
 SQL = {
     "s1_csv": _read_back(*CSV_COLUMNS),
     "s2_excel": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders",
@@ -214,13 +244,14 @@ SQL = {
     "s4_json_lines": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders",
     "s5_flatten": "SELECT o_orderkey, o_custkey AS order_o_custkey, o_orderstatus AS order_state_status, o_totalprice AS order_state_price FROM orders",
     "s6_auto": "SELECT f AS format, (SELECT count(*) FROM orders) AS rows, (SELECT CAST(sum(o_orderkey) AS BIGINT) FROM orders) AS key_sum "
-               "FROM (VALUES ('csv'), ('json'), ('parquet')) t(f)",
+               "FROM (VALUES ('csv'), ('json'), ('parquet'), ('xlsx')) t(f)",
+    "s7_missing_file": " UNION ALL ".join(f"SELECT '{t}' AS source, count(*) AS rows, CAST(4 AS BIGINT) AS raised FROM {t}" for t in TABLES),
     "s8_empty_tables": " UNION ALL ".join(f"SELECT '{t}' AS source, count(*) = 0 AS is_empty, true AS keys_complete FROM {t}" for t in TABLES),
     "s9_write_cleaned": _read_back(KEY, "customer_age", "email", "priority_text"),
     "s10_write_log": f"{v.CTE} SELECT * FROM (" + " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", 'FIX_DROP_ROWS' AS fix_id, count(*) - count({c}) AS rows_removed FROM dirty" for c in v.DIRTY_ORDERS)
         + ") WHERE rows_removed > 0",
-    "st1_clean_stream": f"{v.CTE} SELECT o_orderkey, {_domains(v.sql_strip('email'))} AS email, regexp_replace(phone, '[^0-9]', '', 'g') AS phone, "
+    "st1_clean_stream": f"{v.CTE} SELECT o_orderkey, {v.sql_domains(v.sql_strip('email'))} AS email, regexp_replace(phone, '[^0-9]', '', 'g') AS phone, "
                         f"greatest(0, least(100, discount_pct)) AS discount_pct, coalesce(strftime({v.sql_date('order_date')}, '%Y-%m-%d'), order_date) "
                         "AS order_date, coalesce(customer_age, 40) AS customer_age FROM dirty WHERE customer_age IS NULL OR customer_age BETWEEN 0 AND 120",
     "st2_flag_stream": f"{v.CTE} SELECT o_orderkey, order_date AS value FROM dirty WHERE order_date IS NOT NULL AND {v.sql_date('order_date')} IS NULL",

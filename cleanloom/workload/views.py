@@ -104,5 +104,12 @@ def sql_typo(column: str) -> str:
     return f"regexp_matches(lower({column}), '{'|'.join(t.replace('.', '[.]') for t in vocab.EMAIL_TYPOS)}')"
 
 
+def sql_domains(column: str) -> str:
+    """The column with mistyped mail domains corrected."""
+    for typo, domain in vocab.EMAIL_TYPOS.items():
+        column = f"regexp_replace({column}, '(?i){typo.replace('.', '[.]')}', '{domain}', 'g')"
+    return column
+
+
 def sql_email_ok(column: str) -> str:
     return f"regexp_matches({column}, '{vocab.EMAIL_PATTERN}')"
