@@ -9,8 +9,9 @@ lines in a document. Whether the earlier line was removed itself does not matter
 2. Prefix filter: two matching sets share a word among the first (rarest) |x| - ceil(t |x|) + 1 of each. Each of them
    is a key. Where the word is frequent, keys are pairs of it with each further word of a prefix longer by one: matching sets of two
    words or more share two words there. Lists under a key stay short as the corpus grows.
-3. Under a key, the length filter (t |y| <= |x| <= |y| / t) and the positional filter (words in common so far and the words left
-   behind the key bound the overlap) leave the candidate pairs. A pair counts at its first common key only.
+3. Keys are dealt to tasks and sorted with the lines by length. The length filter (t |y| <= |x| <= |y| / t), the positional filter (words in
+   common so far and the words left behind the key bound the overlap) and a parity filter (each of 40 bits of a class number says whether
+   an odd number of words falls on it, and differing bits are differing words) leave the candidate pairs. A pair counts at its first common key only.
 4. Candidates get their word sets back and are verified. Lists with more than ``LIST`` members (hundreds of variants of a line) never
    become pairs: their members come with their sets, in blocks, and each pair of blocks is verified in one matrix product that
    returns one row per line, its number of links and whether one of them is earlier.
@@ -38,7 +39,9 @@ SEEN_LINES = 1_000_000
 FILTER_BITS = 24
 
 LINES = "id long, tag long, line long, cls long, size int, counts binary"
-POSTINGS = "k1 long, k2 long, cls long, size int, rest int"
+POSTINGS = "k1 long, k2 long, cls long, extent long"  # extent: size of the set and words behind the key
+PAIRS = "a long, b long, k1 long, k2 long"  # b is null for a member of a long list
+PARITY_BITS = 40  # of a class number; the others are a hash
 SETS = "cls long, id long, tag long, line long, words binary"
 VERDICT = "cls long, links long, earlier boolean"
 
@@ -72,7 +75,10 @@ class Sets:
         self.start = np.cumsum(self.size) - self.size
         plain = bytewords.mixed((self.words & np.uint64((1 << 56) - 1)) + np.uint64(bytewords.FACTOR))
         total = np.add.reduceat(plain, self.start) if len(self.line) else np.zeros(0, np.uint64)
-        self.cls = bytewords.mixed(total + self.size.astype(np.uint64)).view(np.int64)
+        bit = np.uint64(1) << (plain >> np.uint64(32)) % np.uint64(PARITY_BITS)
+        parity = np.bitwise_xor.reduceat(bit, self.start) if len(self.line) else np.zeros(0, np.uint64)
+        rest = bytewords.mixed(total + self.size.astype(np.uint64)) >> np.uint64(PARITY_BITS)
+        self.cls = (rest << np.uint64(PARITY_BITS) | parity).view(np.int64)
 
 
 def _parts(text: str | None):
@@ -198,11 +204,67 @@ def _emit_postings(held, frequent_class: int):
             use = is_new(sets.cls)[owner]
             owner = owner[use]
             yield pd.DataFrame({"k1": k1[use].view(np.int64), "k2": k2[use].view(np.int64), "cls": sets.cls[owner],
-                                "size": sets.size[owner].astype(np.int32), "rest": rest[use].astype(np.int32)})
+                                "extent": sets.size[owner].astype(np.int64) << 32 | rest[use]})
 
     return run
 
 
+def _pair_lists(list_size: int):
+    """Candidate pairs of lists of up to ``list_size`` lines; the members of longer lists, with b null."""
+    def run(batches):
+        held = None
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(held):
+                continue
+            k1, k2, cls = (held[c].to_numpy() for c in ("k1", "k2", "cls"))
+            new = np.ones(len(held), bool)  # a line that several tasks have met comes several times
+            new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (cls[1:] != cls[:-1])
+            held, k1, k2 = held[new], k1[new], k2[new]
+            last = (k1 == k1[-1]) & (k2 == k2[-1])  # the last key of a batch waits for the next one
+            open_ = int(last.sum())
+            if open_ > 2 * list_size and open_ == len(held):  # a long list goes out as it comes; what is kept shows that it is long
+                yield _members(held.iloc[:-list_size - 1])
+                held = held.iloc[-list_size - 1:]
+            elif open_ < len(held):
+                yield from _pairs_of(held[~last], list_size)
+                held = held[last]
+        if held is not None and len(held):
+            yield from _pairs_of(held, list_size)
+
+    return run
+
+
+def _members(rows: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame({"a": rows["cls"].to_numpy(), "b": pd.array([None] * len(rows), "Int64"), "k1": rows["k1"].to_numpy(), "k2": rows["k2"].to_numpy()})
+
+
+def _pairs_of(rows: pd.DataFrame, list_size: int):
+    k1, k2, cls, extent = (rows[c].to_numpy(np.int64) for c in ("k1", "k2", "cls", "extent"))
+    start = np.flatnonzero(np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]))
+    length = np.diff(np.append(start, len(k1)))
+    long = np.repeat(length > list_size, length)
+    if long.any():
+        yield _members(pd.DataFrame({"cls": cls[long], "k1": k1[long], "k2": k2[long]}))
+    size, rest = extent >> 32, extent & 0xFFFFFFFF
+    left = np.repeat(start + length, length) - np.arange(len(k1)) - 1  # members behind each one in its list
+    at = np.flatnonzero((left > 0) & ~long)
+    step = 1
+    while len(at):
+        other = at + step
+        near = size[at] * DENOMINATOR >= size[other] * NUMERATOR  # lists are sorted by size
+        at, other = at[near], other[near]
+        both = size[at] + size[other]
+        reached = np.where(k2[at] == 0, 1, 2) + np.minimum(rest[at], rest[other])
+        apart = np.bitwise_count(((cls[at] ^ cls[other]) & ((1 << PARITY_BITS) - 1)).view(np.uint64)).astype(np.int64)
+        hit = _is_similar(reached, both) & _is_similar((both - apart) // 2, both)
+        a, b = cls[at[hit]], cls[other[hit]]
+        if len(a):
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": pd.array(np.maximum(a, b), "Int64"), "k1": k1[at[hit]], "k2": k2[at[hit]]})
+        step += 1
+        at = at[left[at] >= step]
+
+
 def _emit_sets(held, wanted):
     """The word sets of the classes that the filter lets through, with their first place in this task."""
     def run(batches):
@@ -314,18 +376,13 @@ def similar_lines(texts: DataFrame, rarity: np.ndarray, frequent: int = FREQUENT
     spark = texts.sparkSession
     frequent_class = int(_rarity(np.array([frequent]))[0])
     held = spark.sparkContext.broadcast(rarity)  # a byte for each bucket
-    keyed = (texts.mapInPandas(_emit_postings(held, frequent_class), POSTINGS)
-             .repartition(shuffle_partitions(spark), "k1", "k2").dropDuplicates(["k1", "k2", "cls"]))
+    # A key is dealt whole and sorted: short lists are paired up as they pass, long ones only let through.
+    keyed = (texts.mapInPandas(_emit_postings(held, frequent_class), POSTINGS).repartition(shuffle_partitions(spark), "k1", "k2")
+             .sortWithinPartitions("k1", "k2", F.shiftright("extent", 32), "cls"))
+    found = stored(keyed.mapInPandas(_pair_lists(list_size), PAIRS), "candidates")
+    pairs = stored(found.filter("b IS NOT NULL").groupBy("a", "b").agg(F.min(F.struct("k1", "k2")).alias("key")).select("a", "b", "key.*"), "pairs")
     members = F.count(F.lit(1)).over(Window.partitionBy("k1", "k2"))
-    lists = stored(keyed.withColumn("members", members).filter("members > 1"), "postings")
-    short = lists.filter(F.col("members") <= list_size).drop("members")
-    candidates = short.alias("a").join(short.alias("b"), ["k1", "k2"]).filter(
-        (F.col("a.cls") < F.col("b.cls"))
-        & (F.col("a.size") * DENOMINATOR >= F.col("b.size") * NUMERATOR) & (F.col("b.size") * DENOMINATOR >= F.col("a.size") * NUMERATOR)
-        & _is_similar(F.when(F.col("k2") == 0, 1).otherwise(2) + F.least("a.rest", "b.rest"), F.col("a.size") + F.col("b.size")))
-    pairs = stored(candidates.select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"), "k1", "k2").groupBy("a", "b").agg(
-        F.min(F.struct("k1", "k2")).alias("key")).select("a", "b", "key.*"), "candidates")
-    long = lists.filter(F.col("members") > list_size).select("k1", "k2", "cls", "members")
+    long = found.filter("b IS NULL").select("k1", "k2", F.col("a").alias("cls")).distinct().withColumn("members", members)
     asked = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(long.select("cls"))
     wanted = spark.sparkContext.broadcast(_filter_of(asked))  # a fixed number of bits
     sets = stored(texts.mapInPandas(_emit_sets(held, wanted), SETS).groupBy("cls").agg(
@@ -335,7 +392,7 @@ def similar_lines(texts: DataFrame, rarity: np.ndarray, frequent: int = FREQUENT
         "a", "b", "k1", "k2", "words_a", "words_b", (F.col("at_a") < F.col("at_b")).alias("later")).mapInPandas(
         _verify(frequent_class), "a long, b long, later boolean")  # later: b comes after a
     links = stored(checked, "links")
-    found = links.select(F.col("a").alias("cls"), F.lit(1).cast("long").alias("links"), (~F.col("later")).alias("earlier")).union(
+    linked = links.select(F.col("a").alias("cls"), F.lit(1).cast("long").alias("links"), (~F.col("later")).alias("earlier")).union(
         links.select("b", F.lit(1).cast("long"), "later"))
     blocks = F.ceil(F.col("members") / block).cast("int")
     dealt = (long.join(sets, "cls").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
@@ -343,7 +400,7 @@ def similar_lines(texts: DataFrame, rarity: np.ndarray, frequent: int = FREQUENT
              .select("k1", "k2", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cls",
                      "at.id", "at.tag", "at.line", "words"))
     many = dealt.groupBy("k1", "k2", "low", "high").applyInPandas(_block_links, VERDICT)
-    return found.union(many).groupBy("cls").agg(F.sum("links").alias("links"), F.max("earlier").alias("earlier"))
+    return linked.union(many).groupBy("cls").agg(F.sum("links").alias("links"), F.max("earlier").alias("earlier"))
 
 
 def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -353,12 +410,14 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rarity = _rarity(_word_counts(counted))
     lines = counted.filter("counts IS NULL").drop("counts")
     matches = similar_lines(texts, rarity, **options)
-    firsts = lines.groupBy("cls").agg(_earliest().alias("first"))
-    verdicts = stored(firsts.join(matches, "cls", "left").select(
+    firsts = lines.groupBy("cls").agg(_earliest().alias("first"), F.count(F.lit(1)).alias("n"))
+    # Most lines stand once and match nothing: only the others need a verdict.
+    verdicts = stored(firsts.join(matches, "cls", "left").filter("n > 1 OR links > 0").select(
         "cls", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("earlier", F.lit(False)).alias("earlier")), "verdicts")
     own = F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("tag"), F.col("line"))
-    return lines.join(verdicts, "cls").select(
-        "id", "tag", "line", "size", "links", (F.col("earlier") | (own > F.col("first"))).alias("removed"))
+    return lines.join(verdicts, "cls", "left").select(
+        "id", "tag", "line", "size", F.coalesce("links", F.lit(0)).alias("links"),
+        F.coalesce(F.col("earlier") | (own > F.col("first")), F.lit(False)).alias("removed"))
 
 
 def document_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -80,6 +80,19 @@ def test_large_group_of_variants(spark, make_docs):
     assert got[rows[0]] == (2, [], 149) and got[rows[99]] == (2, [0], 149)
 
 
+def test_lists_that_run_over_batches():
+    """Copies from several tasks count once, and a long list is long in all its parts."""
+    import pandas as pd
+
+    rows = [(1, c) for c in (5, 5, 9)] + [(2, c) for c in range(40) for _ in range(3)] + [(3, 7)] + [(4, c) for c in (1, 2, 3, 4, 4, 4)] + [(5, c) for c in range(5)]
+    frame = pd.DataFrame({"k1": [r[0] for r in rows], "k2": 0, "cls": [r[1] for r in rows], "extent": 10 << 32 | 9}).astype("int64")
+    batches = [frame.iloc[i:i + 4].reset_index(drop=True) for i in range(0, len(frame), 4)]
+    out = pd.concat(ld._pair_lists(4)(iter(batches)))
+    assert set(zip(out[out.b.isna()].k1, out[out.b.isna()].a)) == {(2, c) for c in range(40)} | {(5, c) for c in range(5)}
+    pairs = out[out.b.notna()]
+    assert set(pairs.k1) <= {1, 4} and (4, 1, 2) in set(zip(pairs.k1, pairs.a, pairs.b.astype(int)))
+
+
 def test_hashed_words_and_parts(monkeypatch):
     text = "Ab  ab\n\n\x0bAB é\tÉ\n" + "long " * 50 + "\nlast"
     hashes, lines = ld.hashed_words(text.encode())

@@ -25,7 +25,8 @@ def duck():
 
 def test_contract(spark):
     assert set(ORACLE) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLE) == {"o2_isolation_forest"}
+    without = {name for name in set(QUERIES) - set(ORACLE) if not name.startswith("op") and name != "pipeline"}
+    assert not without  # the training-data operators that SQL cannot express have tests of their own
     assert entry.entry(spark).count() > 0
 
 

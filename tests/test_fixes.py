@@ -121,35 +121,72 @@ def test_keep_one_limits_rows_before_the_shuffle(spark):
     assert plan.count("WindowGroupLimit") == 2 and "SinglePartition" not in plan
 
 
-ONE_PASS = {"NEG_AGE": "age", "RANGE_EXCEEDED": "discount_pct", "IMPOSSIBLE_AGE": "age", "WHITESPACE": "email",
-            "WORD_AS_NUMBER": "salary", "PHONE_FORMAT_ISSUE": "phone", "MISSING_VAL": "age", "PERCENT_VIOLATION": "discount_pct"}
+ONE_PASS = {"NEG_AGE": "guest_age", "RANGE_EXCEEDED": "discount_pct", "IMPOSSIBLE_AGE": "guest_age", "WHITESPACE": "email",
+            "WORD_AS_NUMBER": "room_price", "PHONE_FORMAT_ISSUE": "phone", "MISSING_VAL": "guest_age", "PERCENT_VIOLATION": "discount_pct"}
 
 
-def test_recommended_fix_ends_the_issue_and_is_idempotent(customers):
+def test_recommended_fix_ends_the_issue_and_is_idempotent(guests):
     from cleanloom.operators.recommend import recommend
 
-    issues = [i for i in detect_issues(customers) if ONE_PASS.get(i.issue_id) == i.column]
+    issues = [i for i in detect_issues(guests) if ONE_PASS.get(i.issue_id) == i.column]
     assert len(issues) == len(ONE_PASS)
     best = {}
-    for option in recommend(customers, issues):
+    for option in recommend(guests, issues):
         if option.is_recommended:
             best.setdefault(option.issue_id, option)
     for issue in issues:
         option = best[issue.issue_id]
-        fixed = apply_fix(customers, option.fix_id, issue.column, option.params)
+        fixed = apply_fix(guests, option.fix_id, issue.column, option.params)
         again = detect_issues(fixed, examples=False, duplicates=False)
         assert issue.issue_id not in {i.issue_id for i in again if i.column == issue.column}, issue.issue_id
         twice = apply_fix(fixed, option.fix_id, issue.column, option.params)
-        assert fixed.exceptAll(twice).isEmpty() and fixed.count() == customers.count()
+        assert fixed.exceptAll(twice).isEmpty() and fixed.count() == guests.count()
 
 
-def test_every_row_local_fix_is_a_plain_projection_or_filter(customers):
+def test_every_row_local_fix_is_a_plain_projection_or_filter(guests):
     for fix_id in fixes.ROW_LOCAL:
-        column = "order_date" if "DATE" in fix_id else "salary"
-        plan = apply_fix(customers, fix_id, column)._jdf.queryExecution().executedPlan().toString()
+        column = "order_date" if "DATE" in fix_id else "room_price"
+        plan = apply_fix(guests, fix_id, column)._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Python" not in plan, fix_id
 
 
+def test_nan_is_missing_for_every_imputation(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([1.0, nan, 3.0, None, 5.0])], "k int, c double")
+    for fix_id, filled in (("FIX_MEDIAN_IMPUTE", [1.0, 3.0, 3.0, 3.0, 5.0]), ("FIX_MEAN_IMPUTE", [1.0, 3.0, 3.0, 3.0, 5.0]),
+                           ("FIX_FORWARD_FILL", [1.0, 1.0, 3.0, 3.0, 5.0])):
+        got = apply_fix(df, fix_id, "c", order_by=["k"]).orderBy("k").collect()
+        assert [r.c for r in got] == filled, fix_id
+    assert apply_fix(df, "FIX_DROP_ROWS", "c", {"rows": 100, "nulls": 2}).count() == 3
+    drawn = [r.c for r in apply_fix(df, "FIX_STOCHASTIC_FILL", "c", order_by=["k"]).collect()]
+    assert set(drawn) <= {1.0, 3.0, 5.0} and len(drawn) == 5
+
+
+def test_decimals_keep_every_digit(spark):
+    from decimal import Decimal
+
+    big = Decimal("123456789012345678901234567890.25")
+    df = spark.createDataFrame([(1, big), (2, Decimal("-4.00")), (3, Decimal("2.50"))], "k int, net_price decimal(38,2)")
+    for fix_id, new in (("FIX_ZERO_MONETARY_TO_NAN", None), ("FIX_NEGATIVE_TO_ABS", Decimal("4.00"))):
+        got = apply_fix(df, fix_id, "net_price")
+        assert got.schema == df.schema and [r.net_price for r in got.orderBy("k").collect()] == [big, new, Decimal("2.50")]
+
+
+def test_numbers_beyond_64_bits_are_refused(spark):
+    df = frame(spark, "string", "99999999999999999999[4]", "5[1]", None)
+    with pytest.raises(ValueError, match="64 bits"):
+        apply_fix(df, "FIX_EXTRACT_NUMERIC_IMPUTE", "c")
+
+
+def test_dates_follow_the_settings_of_the_checks(spark):
+    df = frame(spark, "string", "01/02/2023", "13/02/2023", "x")
+    for dayfirst, first in ((False, "2023-01-02"), (True, "2023-02-01")):
+        got = apply_fix(df, "FIX_STANDARDIZE_DATE_FORMAT", "c", {"dayfirst": dayfirst})
+        assert [r.c for r in got.collect()] == [first, "2023-02-13", "x"]
+        filled = apply_fix(df, "FIX_INVALID_DATE_IMPUTE_MEDIAN", "c", {"dayfirst": dayfirst})
+        assert filled.collect()[2].c == ("2023-02-07" if dayfirst else "2023-01-23")
+
+
 def test_log_counts(spark):
     df = frame(spark, "string", "1", "x", None)
     touched = fixes.affected(df, "FIX_TEXT_TO_NAN_IMPUTE", "c", {"median_value": 1.0})

@@ -5,13 +5,13 @@ import pytest
 from cleanloom.operators import infer, profile, schema
 
 
-def test_types_of_fixture(customers):
-    types = infer.infer_types(customers)
+def test_types_of_fixture(guests):
+    types = infer.infer_types(guests)
     assert {c: t for c, (t, _) in types.items()} == {
-        "customer_id": "numeric", "age": "numeric", "salary": "numeric", "discount_pct": "numeric", "email": "text",
+        "guest_id": "numeric", "guest_age": "numeric", "room_price": "numeric", "discount_pct": "numeric", "email": "text",
         "phone": "text", "order_date": "datetime", "ship_date": "datetime"}
-    cast = infer.apply_types(customers, types)
-    assert cast.filter("salary is null").count() == 2  # both words
+    cast = infer.apply_types(guests, types)
+    assert cast.filter("room_price is null").count() == 1  # the word
     assert dict(cast.dtypes)["ship_date"] == "timestamp"
     assert cast.schema["email"].metadata == {"logical_type": "text"}
 
@@ -43,14 +43,14 @@ def test_categorical(spark):
         assert [t for t, _ in infer.infer_types(df, approximate_distinct=approximate).values()] == ["categorical", "text"]
 
 
-def test_profile(customers):
-    rows = {r.column: r for r in profile.profile(customers, "customers.csv", order_by=["order_date", "ship_date", "customer_id"]).collect()}
-    age = rows["age"]
-    assert (age.rows, age.nulls, age.distinct, round(age.mean, 3), age.min, age.max) == (21, 2, 18, 35.684, -10.0, 150.0)
-    assert rows["salary"].top_values[0] == ("50000", 8) and rows["salary"].distinct == 13
-    assert rows["order_date"].avg_length == 10.0 and rows["order_date"].source == "customers.csv"
-    assert rows["ship_date"].sample[:2] == ["2022-12-25", "2023-01-01"]
-    assert rows["age"].top_values is None and rows["age"].ingested_at is not None
+def test_profile(guests):
+    rows = {r.column: r for r in profile.profile(guests, "guests.csv", order_by=["order_date", "ship_date", "guest_id"]).collect()}
+    age = rows["guest_age"]
+    assert (age.rows, age.nulls, age.distinct, round(age.mean, 3), age.min, age.max) == (18, 3, 14, 48.6, -3.0, 130.0)
+    assert rows["room_price"].top_values[0] == ("134", 2) and rows["room_price"].distinct == 17
+    assert rows["order_date"].avg_length == 10.0 and rows["order_date"].source == "guests.csv"
+    assert rows["ship_date"].sample[:3] == ["2024-03-02", "2024-03-04", "2024-03-01"]
+    assert rows["guest_age"].top_values is None and rows["guest_age"].ingested_at is not None
 
 
 def test_profile_variants(spark):
@@ -61,19 +61,24 @@ def test_profile_variants(spark):
     assert approx["b"] == 1
 
 
-def test_schema_validation(spark, customers):
+def test_negative_zero_is_zero(spark):
+    row = profile.profile(spark.createDataFrame([(0.0,), (-0.0,), (1.0,)], "x double")).first()
+    assert row.distinct == 2
+
+
+def test_schema_validation(spark, guests):
     with pytest.warns(UserWarning, match="missing columns"):
-        report = schema.validate_schema(customers, expected=["age", "gone"])
-    assert report.missing_columns == ["gone"] and len(report.extra_columns) == 7 and report.missing_values["age"] == 2
+        report = schema.validate_schema(guests, expected=["guest_age", "gone"])
+    assert report.missing_columns == ["gone"] and len(report.extra_columns) == 7 and report.missing_values["guest_age"] == 3
     with pytest.raises(schema.SchemaError):
-        schema.validate_schema(customers, expected=["gone"], strict=True)
+        schema.validate_schema(guests, expected=["gone"], strict=True)
     with pytest.raises(schema.SchemaError, match="no rows"):
         schema.validate_schema(spark.createDataFrame([], "a int"), strict=True)
     with pytest.raises(schema.SchemaError, match="fewer"):
-        schema.validate_schema(customers, min_columns=9, strict=True)
+        schema.validate_schema(guests, min_columns=9, strict=True)
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        report = schema.validate_schema(customers, header=["a", "b", "a", "A", "", "nan"])
+        report = schema.validate_schema(guests, header=["a", "b", "a", "A", "", "nan"])
     assert report.duplicate_columns == ["a"] and report.empty_columns == ["", "nan"]
     assert schema.repeated_names(["a", "A"], case_sensitive=False) == ["A"]
     assert report.frame(spark).count() == 8

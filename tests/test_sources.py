@@ -7,7 +7,7 @@ import pytest
 from pyspark.errors import AnalysisException
 
 from cleanloom.session import scratch_path
-from cleanloom.sources.auto import read_auto
+from cleanloom.sources.auto import read_auto, read_keyed
 from cleanloom.sources.csv import raw_header, read_csv, unique_names
 from cleanloom.sources.json import is_json_lines, read_json
 from cleanloom.sources.sinks import timestamped, write_cleaned, write_log
@@ -35,6 +35,39 @@ def test_csv_headers(spark, tmp_path):
     assert df.columns == ["a", "a.1", "Unnamed: 2", "b.c", "Actual gross"]
     assert tuple(df.first()) == (1, 2, 3, 4, 5)
     assert unique_names(["a", "a.1", "a"]) == ["a", "a.1", "a.2"]
+    assert unique_names(["id", "ID"]) == ["id", "ID.1"]
+    assert read_csv(spark, write(tmp_path / "c.csv", "id,ID\n1,2\n")).columns == ["id", "ID.1"]
+
+
+def test_csv_keeps_all_digits(spark, tmp_path):
+    path = write(tmp_path / "w.csv", "n,wide,wider,mixed\n1234567890123456789,99999999999999999999,1" + "0" * 45 + ",99999999999999999999\n-5,1,2,1.5\n")
+    df = read_csv(spark, path)
+    assert dict(df.dtypes) == {"n": "bigint", "wide": "decimal(38,0)", "wider": "string", "mixed": "string"}
+    assert [str(v) for v in df.first()] == ["1234567890123456789", "99999999999999999999", "1" + "0" * 45, "99999999999999999999"]
+
+
+def test_csv_rows_of_other_lengths_and_headers(spark, tmp_path):
+    short = write(tmp_path / "s.csv", "a,b,c\n1,2,3\n4,5\n")
+    assert sorted(map(tuple, read_csv(spark, short).collect())) == [(1, 2, 3), (4, 5, None)]
+    long = write(tmp_path / "l.csv", "a,b\n1,2\n3,4,5\n")
+    with pytest.raises(Exception, match="more cells"):
+        read_csv(spark, long, infer=False).collect()
+    (tmp_path / "two").mkdir()
+    write(tmp_path / "two" / "1.csv", "a,b\n1,2\n")
+    write(tmp_path / "two" / "2.csv", "b,a\n3,4\n")
+    with pytest.raises(Exception, match="[Hh]eader"):
+        read_csv(spark, str(tmp_path / "two"), infer=False).collect()
+
+
+def test_row_keys_follow_the_files(spark, tmp_path):
+    (tmp_path / "k").mkdir()
+    for part in range(3):
+        write(tmp_path / "k" / f"{part}.csv", "n,t\n" + "".join(f"{part * 100 + i},x\n" for i in range(50)))
+    df, key = read_keyed(spark, str(tmp_path / "k"))
+    assert [r.n for r in df.orderBy(*key).collect()] == [p * 100 + i for p in range(3) for i in range(50)]
+    lines = write(tmp_path / "l.jsonl", '{"a": {"b": 1}}\n{"a": {"b": 2}}\n')
+    df, key = read_keyed(spark, lines)
+    assert df.columns == ["a.b", *key] and [r[0] for r in df.orderBy(*key).collect()] == [1, 2]
 
 
 def test_csv_quoted_line_breaks(spark, tmp_path):
@@ -57,6 +90,13 @@ def test_json_documents_and_lines(spark, tmp_path):
         read_json(spark, write(tmp_path / "bad.json", "not json"))
 
 
+def test_a_document_on_one_line_is_not_lines(spark, tmp_path):
+    records = [{"a": i, "t": "x" * 50} for i in range(2000)]
+    path = write(tmp_path / "one.json", json.dumps(records))
+    assert not is_json_lines(spark, path) and read_json(spark, path).count() == 2000
+    assert is_json_lines(spark, write(tmp_path / "bom.json", "\ufeff" + json.dumps(records[0]) + "\n"))
+
+
 def test_workbooks(spark, tmp_path):
     a = pd.DataFrame({"k": [1, 2], "t": ["x <y>", None], "v": [1.5, 2.0]}).astype(object)
     b = pd.DataFrame({"t": ["z"], "k": [3]}).astype(object)
@@ -91,12 +131,16 @@ def test_workbook_shared_strings_dates_gaps_and_sheets(spark, tmp_path):
     assert [tuple(r) for r in df.collect()] == [("2023-03-15 00:00:00", None, True), (None, None, None), ("2023-03-15 12:00:00", None, None)]
 
 
-def test_dispatch_and_errors(spark, tmp_path, customers_csv):
-    assert read_auto(spark, customers_csv).count() == 21
+def test_dispatch_and_errors(spark, tmp_path, guests_csv):
+    assert read_auto(spark, guests_csv).count() == 18
     folder = scratch_path(spark, "parquet")
     spark.range(3).write.parquet(folder)
     assert read_auto(spark, folder).count() == 3
     upper = write(tmp_path / "U.CSV", "a\n1\n")
+    (tmp_path / "sales.v1").mkdir()
+    write(tmp_path / "sales.v1" / "part.csv", "a\n1\n2\n")
+    for path in ("sales.v1", "sales.v1/*", "sales.*"):
+        assert read_auto(spark, str(tmp_path / path)).count() == 2
     assert read_auto(spark, upper).count() == 1
     with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
         read_auto(spark, str(tmp_path / "gone.csv"))

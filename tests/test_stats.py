@@ -72,6 +72,20 @@ def test_long_texts_are_counted_by_digest_and_shown_whole(spark):
     assert mode["top"] == 3 and mode["mode"] in long and len(mode["mode"]) == 101
 
 
+def test_ties_of_long_texts_are_settled_whole(spark):
+    from cleanloom.functions.stats import top_values
+
+    texts = ["same beginning of them all " + c * 80 for c in "qzmbxa"] + ["w"]
+    df = spark.createDataFrame([(t,) for t in texts for _ in range(2)], "t string")
+    columns = {"t": F.col("t")}
+    assert clean_modes(df, columns)["t"]["mode"] == min(texts)
+    top = top_values(value_counts(df, columns), 3, whole=(df, columns)).orderBy("rank").collect()
+    assert [r["value"] for r in top] == sorted(texts)[:3]
+    smallest = value_counts(df, columns).withColumn("first_key", F.col("value"))
+    first = top_values(smallest, 4, by_first=True, whole=(df, columns)).orderBy("rank").collect()
+    assert [r["value"] for r in first] == sorted(texts)[:4]
+
+
 def test_top_values_of_long_texts(spark):
     from cleanloom.operators.profile import profile
 
