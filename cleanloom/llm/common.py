@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from cleanloom.session import scratch_path
 
 #: ASCII white space between words, and the words, as Java regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
-DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+SEGMENT = 4096  # numbers of a table that travel in one row
 
 
 def ref(name: str) -> Column:
@@ -37,6 +39,24 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(ref(name), F.lit(""))
 
 
+def gathered(df: DataFrame, index: str, value: str, size: int) -> np.ndarray:
+    """A numeric table of a fixed size on the driver: position and value of its rows, the rest zero.
+
+    It comes in parts of ``SEGMENT`` numbers each, one row a part.
+    """
+    def pack(key, pdf):
+        part = np.zeros(SEGMENT, np.int64)
+        part[pdf[index].to_numpy(np.int64) % SEGMENT] = pdf[value].to_numpy(np.int64)
+        return pd.DataFrame({"segment": [key[0]], "numbers": [part.tobytes()]})
+
+    parts = (df.select(F.expr(f"{index} div {SEGMENT}").alias("segment"), index, value).groupBy("segment")
+             .applyInPandas(pack, "segment long, numbers binary").collect())
+    table = np.zeros(-(-size // SEGMENT) * SEGMENT, np.int64)
+    for row in parts:
+        table[row["segment"] * SEGMENT:(row["segment"] + 1) * SEGMENT] = np.frombuffer(row["numbers"], np.int64)
+    return table[:size]
+
+
 def keep_rows(docs: DataFrame, keys: dict[str, Column], kept: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose keys are listed in ``kept``, one of those that share them, with all columns.
 

@@ -27,14 +27,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cleanloom.llm import bytewords
-from cleanloom.llm.common import ref, shuffle_partitions, stored
+from cleanloom.llm.common import gathered, ref, shuffle_partitions, stored
 
 NUMERATOR, DENOMINATOR = 4, 5  # the similarity 0.8 as a fraction: all tests are in whole numbers
 BUCKET_BITS = 20  # size of the count table
 FREQUENT = 5_000  # words counted more often make keys of two
 LIST = 1_000
 BLOCK = 512
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 18  # read together: the arrays of a part stay in the cache
 SEEN_LINES = 1_000_000
 FILTER_BITS = 24
 
@@ -42,7 +42,7 @@ LINES = "id long, tag long, line long, cls long, size int, counts binary"
 POSTINGS = "k1 long, k2 long, cls long, extent long"  # extent: size of the set and words behind the key
 PAIRS = "a long, b long, k1 long, k2 long"  # b is null for a member of a long list
 PARITY_BITS = 40  # of a class number; the others are a hash
-SETS = "cls long, id long, tag long, line long, words binary"
+SETS = "cls long, words binary"
 VERDICT = "cls long, links long, earlier boolean"
 
 # ---------------------------------------------------------------- words
@@ -135,7 +135,7 @@ def _count(batches):
 
 
 def _word_counts(lines: DataFrame) -> np.ndarray:
-    """The whole count table: a number for each of its fixed number of buckets reaches the driver."""
+    """The whole count table: a number for each of its fixed number of buckets."""
     def run(batches):
         total = np.zeros(1 << BUCKET_BITS, np.int64)
         for batch in batches:
@@ -144,11 +144,8 @@ def _word_counts(lines: DataFrame) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": some, "n": total[some]})
 
-    found = (lines.filter("counts IS NOT NULL").select("counts").mapInPandas(run, "bucket long, n long")
-             .groupBy("bucket").agg(F.sum("n").alias("n")).toPandas())
-    counts = np.zeros(1 << BUCKET_BITS, np.int64)
-    counts[found["bucket"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    return counts
+    found = lines.filter("counts IS NOT NULL").select("counts").mapInPandas(run, "bucket long, n long")
+    return gathered(found.groupBy("bucket").agg(F.sum("n").alias("n")), "bucket", "n", 1 << BUCKET_BITS)
 
 
 def _rarity(counts: np.ndarray) -> np.ndarray:
@@ -265,37 +262,29 @@ def _pairs_of(rows: pd.DataFrame, list_size: int):
         at = at[left[at] >= step]
 
 
-def _emit_sets(held, wanted):
-    """The word sets of the classes that the filter lets through, with their first place in this task."""
+def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    slot = hashes & ((1 << FILTER_BITS) - 1)
+    return (bits[slot >> 6] >> (slot & 63) & 1).astype(bool)
+
+
+def _emit_sets(held, wanted_lines, wanted_texts):
+    """The word sets of the classes the filter lets through, from the texts the filter lets through."""
     def run(batches):
-        is_new = {}
-        for sets, number, ids, tags in _sets_of(batches, held.value):
-            slot = sets.cls & ((1 << FILTER_BITS) - 1)
-            use = np.flatnonzero(wanted.value[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
-            rows = []
-            for i in use:
-                name = None if pd.isna(ids[i]) else int(ids[i])
-                occurrence = (name is None, name or 0, int(tags[i]), int(number[i]))
-                if len(is_new) > SEEN_LINES:
-                    is_new = {}
-                # Texts need not come in order: a place is sent again only if it is earlier.
-                if sets.cls[i] not in is_new or occurrence < is_new[sets.cls[i]]:
-                    is_new[sets.cls[i]] = occurrence
-                    words = sets.words[sets.start[i]:sets.start[i] + sets.size[i]]
-                    rows.append((sets.cls[i], name, int(tags[i]), int(number[i]), words.tobytes()))
-            yield pd.DataFrame(rows, columns=["cls", "id", "tag", "line", "words"]).astype({"id": "Int64"})
+        is_new = _New()
+        texts = (batch[_passes(wanted_texts.value, batch["place"].to_numpy(np.int64))].reset_index(drop=True) for batch in batches)
+        for sets, *_ in _sets_of(texts, held.value):
+            use = np.flatnonzero(_passes(wanted_lines.value, sets.cls) & is_new(sets.cls))
+            yield pd.DataFrame({"cls": sets.cls[use], "words": [sets.words[sets.start[i]:sets.start[i] + sets.size[i]].tobytes() for i in use]})
 
     return run
 
 
-def _filter_of(classes: DataFrame) -> np.ndarray:
-    """Bits of the given classes in a filter of fixed size; a bit set for others only brings sets nobody asks for."""
-    slot = F.col("cls").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    bit = F.call_function("shiftleft", F.lit(1), slot.bitwiseAND(F.lit(7)).cast("int"))
-    found = classes.select(F.shiftright(slot, 3).alias("byte"), bit.alias("bit")).groupBy("byte").agg(F.bit_or("bit").alias("bits")).toPandas()
-    bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    bits[found["byte"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    return bits
+def _filter_of(hashes: DataFrame) -> np.ndarray:
+    """Bits of the hashes (column h) in a filter of fixed size; a bit that is set for others as well only costs work."""
+    slot = F.col("h").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    found = hashes.select(F.shiftright(slot, 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    return gathered(found, "word", "bits", 1 << (FILTER_BITS - 6))
 
 
 # ---------------------------------------------------------------- verification
@@ -366,13 +355,16 @@ def _block_links(key, pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 # ---------------------------------------------------------------- the join
-def _earliest() -> list[Column]:
+def _earliest() -> Column:
     """The first occurrence of a class as a struct that sorts by document and line."""
     return F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("tag"), F.col("line")))
 
 
-def similar_lines(texts: DataFrame, rarity: np.ndarray, frequent: int = FREQUENT, list_size: int = LIST, block: int = BLOCK) -> DataFrame:
-    """(cls, links, earlier): how many other classes match a class, and whether one of them is earlier."""
+def similar_lines(texts: DataFrame, firsts: DataFrame, rarity: np.ndarray, frequent: int = FREQUENT, list_size: int = LIST, block: int = BLOCK) -> DataFrame:
+    """(cls, links, earlier): how many other classes match a class, and whether one of them is earlier.
+
+    ``firsts`` holds the first place of each class, (cls, first).
+    """
     spark = texts.sparkSession
     frequent_class = int(_rarity(np.array([frequent]))[0])
     held = spark.sparkContext.broadcast(rarity)  # a byte for each bucket
@@ -383,10 +375,13 @@ def similar_lines(texts: DataFrame, rarity: np.ndarray, frequent: int = FREQUENT
     pairs = stored(found.filter("b IS NOT NULL").groupBy("a", "b").agg(F.min(F.struct("k1", "k2")).alias("key")).select("a", "b", "key.*"), "pairs")
     members = F.count(F.lit(1)).over(Window.partitionBy("k1", "k2"))
     long = found.filter("b IS NULL").select("k1", "k2", F.col("a").alias("cls")).distinct().withColumn("members", members)
-    asked = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(long.select("cls"))
-    wanted = spark.sparkContext.broadcast(_filter_of(asked))  # a fixed number of bits
-    sets = stored(texts.mapInPandas(_emit_sets(held, wanted), SETS).groupBy("cls").agg(
-        _earliest().alias("at"), F.min("words").alias("words")), "sets")
+    # The sets of the lines in question are read from the texts where they stand first; both filters have a fixed number of bits.
+    asked = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(long.select("cls")).distinct()
+    places = stored(asked.join(firsts, "cls").select("cls", F.col("first").alias("at")), "places")
+    lines_filter = spark.sparkContext.broadcast(_filter_of(places.select(F.col("cls").alias("h"))))
+    texts_filter = spark.sparkContext.broadcast(_filter_of(places.select(F.xxhash64("at.id", "at.tag").alias("h"))))
+    read = texts.withColumn("place", F.xxhash64("id", "tag")).mapInPandas(_emit_sets(held, lines_filter, texts_filter), SETS)
+    sets = stored(read.groupBy("cls").agg(F.min("words").alias("words")).join(places, "cls"), "sets")
     side = [sets.select(F.col("cls").alias(c), F.col("at").alias(f"at_{c}"), F.col("words").alias(f"words_{c}")) for c in "ab"]
     checked = pairs.join(side[0], "a").join(side[1], "b").select(
         "a", "b", "k1", "k2", "words_a", "words_b", (F.col("at_a") < F.col("at_b")).alias("later")).mapInPandas(
@@ -409,8 +404,8 @@ def line_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     counted = stored(texts.mapInPandas(_count, LINES), "lines")
     rarity = _rarity(_word_counts(counted))
     lines = counted.filter("counts IS NULL").drop("counts")
-    matches = similar_lines(texts, rarity, **options)
-    firsts = lines.groupBy("cls").agg(_earliest().alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = stored(lines.groupBy("cls").agg(_earliest().alias("first"), F.count(F.lit(1)).alias("n")), "firsts")
+    matches = similar_lines(texts, firsts.select("cls", "first"), rarity, **options)
     # Most lines stand once and match nothing: only the others need a verdict.
     verdicts = stored(firsts.join(matches, "cls", "left").filter("n > 1 OR links > 0").select(
         "cls", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("earlier", F.lit(False)).alias("earlier")), "verdicts")
