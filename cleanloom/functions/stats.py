@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 FUSE_LIMIT = 300
 # Up to this many values the built-in exact percentile (a value -> count map) is safe in one task.
 IN_MEMORY_VALUES = 1_000_000
+# Up to this many values of all columns together are held by one such pass.
+PASS_VALUES = 4_000_000
 # Inputs above this estimated size are split well enough by the scan.
 SPREAD_BYTES = 512 << 20
 # Longer texts are grouped by a digest, so that counting documents does not shuffle them. The digest never decides an
@@ -129,8 +131,16 @@ def percentiles(df: DataFrame, wanted: dict[str, tuple[Column, list[float]]], ap
     small = {k: F.percentile(value[k], F.array(*[F.lit(float(p)) for p in wanted[k][1]]))
              for k in keys if 0 < counts[k] <= in_memory}
     result: dict[str, list] = {k: [None] * len(wanted[k][1]) for k in keys}
-    if small:
-        result.update({k: list(v) for k, v in aggregate(base, small).items() if v is not None})
+    # The maps of one pass end up in one task: their sum is bounded as well.
+    passes, filled = [{}], 0
+    for k, e in small.items():
+        if passes[-1] and filled + counts[k] > PASS_VALUES:
+            passes.append({})
+            filled = 0
+        passes[-1][k] = e
+        filled += counts[k]
+    for part in passes:
+        result.update({k: list(v) for k, v in aggregate(base, part).items() if v is not None})
     large = [k for k in keys if counts[k] > in_memory]
     if large:
         order = {(k, r) for k in large for p in wanted[k][1] for r in _ranks(p, counts[k])[:2]}
@@ -197,7 +207,7 @@ def _select_ranks(base, value, counts, targets, in_memory, accuracy) -> dict:
             # A ready bracket holds at most `in_memory` values: sort them and pick by position.
             answer.update(aggregate(base, {
                 t: F.get(F.array_sort(F.collect_list(inside(t))), F.lit(t[1] - bracket[t][2])) for t in ready
-            }, fuse_limit=8))
+            }, fuse_limit=1))
     return answer
 
 
