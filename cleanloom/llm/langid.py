@@ -7,7 +7,7 @@ gives each word's probabilities with the whole text around it, so mixed text is
 language is the one with the largest mean probability over its words, and that mean is its score.
 
 The field is fitted on a bounded sample: for each language the ``FIT_DOCS`` labelled documents that come first by a hash of
-their identifier (those of up to ``FIT_CHARS`` characters before longer ones), and ``FIT_WORDS`` words of them, whole documents first. Their words are cut
+their identifier (whole ones of up to ``FIT_CHARS`` characters before parts of that length of longer ones), and ``FIT_WORDS`` words of them. Their words are cut
 into runs, and runs of different languages are put behind each other, so that transitions are learned too. Feature
 weights have a fixed number of slots. Everything else reads every word of every text.
 
@@ -286,7 +286,7 @@ def fit_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
               .select(ref(lang_col).cast("string").alias("label"), ref(id_col).alias("id"), ref(text_col).alias("text"),
                       (F.length(ref(text_col)) > FIT_CHARS).alias("long"))
               .withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= FIT_DOCS))
-    rows = sample.select("label", "nth", F.left("text", F.lit(8 * FIT_WORDS)).alias("text")).collect()
+    rows = sample.select("label", "nth", F.left("text", F.lit(FIT_CHARS)).alias("text")).collect()
     return fit([(r["label"], r["text"]) for r in sorted(rows, key=lambda r: (r["label"].encode(), r["nth"]))])
 
 
