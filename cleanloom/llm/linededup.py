@@ -10,11 +10,12 @@ lines in a document. Whether the earlier line was removed itself does not matter
    is a key. Where the word is frequent, keys are pairs of it with each further word of a prefix longer by one: matching sets of two
    words or more share two words there. Lists under a key stay short as the corpus grows.
 3. Keys are dealt to tasks and sorted with the lines by length. The length filter (t |y| <= |x| <= |y| / t), the positional filter (words in
-   common so far and the words left behind the key bound the overlap) and a parity filter (each of 40 bits of a class number says whether
-   an odd number of words falls on it, and differing bits are differing words) leave the candidate pairs. A pair counts at its first common key only.
-4. Candidates get their word sets back and are verified. Lists with more than ``LIST`` members (hundreds of variants of a line) never
-   become pairs: their members come with their sets, in blocks, and each pair of blocks is verified in one matrix product that
-   returns one row per line, its number of links and whether one of them is earlier.
+   common so far and the words left behind the key bound the overlap) and a parity filter (each of 40 bits of a class number, and of
+   64 more for longer lines, says whether an odd number of words falls on it; differing bits are differing words) leave the candidate pairs.
+4. Candidates get their word sets back and are verified. Where a list has many candidates for its members (variants of one line), they never
+   become pairs: its members are only tied together, and everything that is tied together directly or through others is a crowd. A crowd's members come
+   with their sets once, in blocks, and each pair of blocks is verified in one matrix product that returns one row per line, its
+   number of links and whether one of them is earlier. Pairs inside a crowd are left to the crowd, so no link counts twice.
 
 Defined cases: null and empty texts have no lines; lines without a word are never removed nor matched; rows without id come after the
 others, in the order of a hash of their text; rows that repeat id and text are the same document and get the same verdict; a text that loses all
@@ -23,24 +24,27 @@ lines becomes empty and its row stays; an empty table gives no rows; other colum
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cleanloom.llm import bytewords
 from cleanloom.llm.common import gathered, ref, shuffle_partitions, stored
+from cleanloom.llm.components import components
 
 NUMERATOR, DENOMINATOR = 4, 5  # the similarity 0.8 as a fraction: all tests are in whole numbers
 BUCKET_BITS = 20  # size of the count table
 FREQUENT = 5_000  # words counted more often make keys of two
-LIST = 1_000
-BLOCK = 512
+DENSE = 4  # candidates per member beyond which a list makes a crowd
+LIST = 200_000  # longer lists are taken for crowds unseen
+BLOCK = 1024
+LONG_LINE = 48  # words from which a line carries a second parity
 PART_BYTES = 1 << 18  # read together: the arrays of a part stay in the cache
 SEEN_LINES = 1_000_000
 FILTER_BITS = 24
 
 LINES = "id long, tag long, line long, cls long, size int, counts binary"
-POSTINGS = "k1 long, k2 long, cls long, extent long"  # extent: size of the set and words behind the key
-PAIRS = "a long, b long, k1 long, k2 long"  # b is null for a member of a long list
+POSTINGS = "k1 long, k2 long, cls long, more long, extent long"  # more: second parity; extent: size of the set and words behind the key
+PAIRS = "a long, b long, crowd boolean"
 PARITY_BITS = 40  # of a class number; the others are a hash
 SETS = "cls long, words binary"
 VERDICT = "cls long, links long, earlier boolean"
@@ -77,6 +81,9 @@ class Sets:
         total = np.add.reduceat(plain, self.start) if len(self.line) else np.zeros(0, np.uint64)
         bit = np.uint64(1) << (plain >> np.uint64(32)) % np.uint64(PARITY_BITS)
         parity = np.bitwise_xor.reduceat(bit, self.start) if len(self.line) else np.zeros(0, np.uint64)
+        bit = np.uint64(1) << (plain >> np.uint64(20)) % np.uint64(64)
+        more = np.bitwise_xor.reduceat(bit, self.start) if len(self.line) else np.zeros(0, np.uint64)
+        self.more = np.where(self.size >= LONG_LINE, more, np.uint64(0)).view(np.int64)
         rest = bytewords.mixed(total + self.size.astype(np.uint64)) >> np.uint64(PARITY_BITS)
         self.cls = (rest << np.uint64(PARITY_BITS) | parity).view(np.int64)
 
@@ -201,15 +208,15 @@ def _emit_postings(held, frequent_class: int):
             use = is_new(sets.cls)[owner]
             owner = owner[use]
             yield pd.DataFrame({"k1": k1[use].view(np.int64), "k2": k2[use].view(np.int64), "cls": sets.cls[owner],
-                                "extent": sets.size[owner].astype(np.int64) << 32 | rest[use]})
+                                "more": sets.more[owner], "extent": sets.size[owner].astype(np.int64) << 32 | rest[use]})
 
     return run
 
 
-def _pair_lists(list_size: int):
-    """Candidate pairs of lists of up to ``list_size`` lines; the members of longer lists, with b null."""
+def _pair_lists(dense: float, list_size: int):
+    """Candidate pairs of the lists of all keys; of crowded lists only links from the first member to the others."""
     def run(batches):
-        held = None
+        held, tie = None, None
         for batch in batches:
             held = batch if held is None else pd.concat([held, batch], ignore_index=True)
             if not len(held):
@@ -218,34 +225,45 @@ def _pair_lists(list_size: int):
             new = np.ones(len(held), bool)  # a line that several tasks have met comes several times
             new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1]) | (cls[1:] != cls[:-1])
             held, k1, k2 = held[new], k1[new], k2[new]
-            last = (k1 == k1[-1]) & (k2 == k2[-1])  # the last key of a batch waits for the next one
-            open_ = int(last.sum())
-            if open_ > 2 * list_size and open_ == len(held):  # a long list goes out as it comes; what is kept shows that it is long
-                yield _members(held.iloc[:-list_size - 1])
-                held = held.iloc[-list_size - 1:]
-            elif open_ < len(held):
-                yield from _pairs_of(held[~last], list_size)
-                held = held[last]
+            waits = (k1 == k1[-1]) & (k2 == k2[-1])  # the last key of a batch goes on in the next one
+            if waits.all():
+                if len(held) > list_size:  # let it go, tied to one member that stays
+                    yield _ties(held["cls"].to_numpy())
+                    held = held.iloc[-1:]
+                    tie = (k1[-1], k2[-1])
+                continue
+            tied = (k1 == tie[0]) & (k2 == tie[1]) if tie else np.zeros(len(held), bool)
+            if tied.any():
+                yield _ties(held["cls"].to_numpy()[tied])
+            tie = None
+            if (~waits & ~tied).any():
+                yield from _pairs_of(held[~waits & ~tied], dense)
+            held = held[waits]
         if held is not None and len(held):
-            yield from _pairs_of(held, list_size)
+            if tie == (held["k1"].iloc[0], held["k2"].iloc[0]):
+                yield _ties(held["cls"].to_numpy())
+            else:
+                yield from _pairs_of(held, dense)
 
     return run
 
 
-def _members(rows: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame({"a": rows["cls"].to_numpy(), "b": pd.array([None] * len(rows), "Int64"), "k1": rows["k1"].to_numpy(), "k2": rows["k2"].to_numpy()})
+def _ties(cls: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"a": np.full(len(cls) - 1, cls[-1]), "b": cls[:-1], "crowd": True})
 
 
-def _pairs_of(rows: pd.DataFrame, list_size: int):
-    k1, k2, cls, extent = (rows[c].to_numpy(np.int64) for c in ("k1", "k2", "cls", "extent"))
+def _pairs_of(rows: pd.DataFrame, dense: float):
+    k1, k2, cls, more, extent = (rows[c].to_numpy(np.int64) for c in ("k1", "k2", "cls", "more", "extent"))
     start = np.flatnonzero(np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]))
     length = np.diff(np.append(start, len(k1)))
-    long = np.repeat(length > list_size, length)
-    if long.any():
-        yield _members(pd.DataFrame({"cls": cls[long], "k1": k1[long], "k2": k2[long]}))
+    list_of = np.repeat(np.arange(len(start)), length)
     size, rest = extent >> 32, extent & 0xFFFFFFFF
-    left = np.repeat(start + length, length) - np.arange(len(k1)) - 1  # members behind each one in its list
-    at = np.flatnonzero((left > 0) & ~long)
+    both_long = size >= LONG_LINE
+    left = (start + length)[list_of] - np.arange(len(k1)) - 1  # members behind each one in its list
+    at = np.flatnonzero(left > 0)
+    crowded, count = np.zeros(len(start), bool), np.zeros(len(start), np.int64)
+    involved = np.zeros(len(k1), bool)
+    pairs = []
     step = 1
     while len(at):
         other = at + step
@@ -254,12 +272,26 @@ def _pairs_of(rows: pd.DataFrame, list_size: int):
         both = size[at] + size[other]
         reached = np.where(k2[at] == 0, 1, 2) + np.minimum(rest[at], rest[other])
         apart = np.bitwise_count(((cls[at] ^ cls[other]) & ((1 << PARITY_BITS) - 1)).view(np.uint64)).astype(np.int64)
+        apart = np.maximum(apart, np.where(both_long[at] & both_long[other], np.bitwise_count((more[at] ^ more[other]).view(np.uint64)), 0))
         hit = _is_similar(reached, both) & _is_similar((both - apart) // 2, both)
-        a, b = cls[at[hit]], cls[other[hit]]
-        if len(a):
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": pd.array(np.maximum(a, b), "Int64"), "k1": k1[at[hit]], "k2": k2[at[hit]]})
+        a, b = at[hit], other[hit]
+        involved[a] = involved[b] = True
+        pairs.append((a, b))
+        count += np.bincount(list_of[a], minlength=len(start))
+        # A list is crowded once it has many candidates for each member that has any.
+        if step % 8 == 0 or step < 16:
+            crowded |= count > dense * np.maximum(1, np.bincount(list_of[involved], minlength=len(start)))
+            at = at[~crowded[list_of[at]]]
         step += 1
         at = at[left[at] >= step]
+    crowded |= count > dense * np.maximum(1, np.bincount(list_of[involved], minlength=len(start)))
+    for number in np.flatnonzero(crowded):  # all members, as not all candidates have been looked for
+        yield _ties(cls[start[number]:start[number] + length[number]])
+    a, b = (np.concatenate(c) for c in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
+    open_ = ~crowded[list_of[a]]
+    a, b = cls[a[open_]], cls[b[open_]]
+    if len(a):
+        yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "crowd": False}).drop_duplicates()
 
 
 def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -292,55 +324,33 @@ def _is_similar(overlap, sizes):
     return overlap * (NUMERATOR + DENOMINATOR) >= NUMERATOR * sizes
 
 
-def _verify(frequent_class: int):
-    def run(batches):
-        """Keep pairs that are similar and whose first common key is the one they were found by."""
-        for batch in batches:
-            a, b = ([np.frombuffer(w, np.uint64) for w in batch[c]] for c in ("words_a", "words_b"))
-            sizes_a, sizes_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-            pair = np.concatenate([np.repeat(np.arange(len(a)), sizes_a), np.repeat(np.arange(len(b)), sizes_b)])
-            words = np.concatenate([*a, *b])
-            reach = np.concatenate([np.arange(s) for s in (*sizes_a, *sizes_b)])  # place in its own set
-            limit = np.concatenate([np.repeat(prefix_length(s), s) for s in (sizes_a, sizes_b)])
-            order = np.lexsort((words, pair))
-            pair, words, reach, limit = pair[order], words[order], reach[order], limit[order]
-            both = np.flatnonzero((pair[1:] == pair[:-1]) & (words[1:] == words[:-1]))
-            similar = _is_similar(np.bincount(pair[both], minlength=len(a)), sizes_a + sizes_b)
-            owner, start = np.unique(pair[both], return_index=True)
-            first, second = np.zeros(len(a), np.uint64), np.zeros(len(a), np.uint64)
-            first[owner] = words[both][start]
-            more = start + 1 < np.append(start[1:], len(both))
-            second[owner[more]] = words[both][start[more] + 1]
-            single = (first >> np.uint64(56) < frequent_class) | (sizes_a == 1) | (sizes_b == 1)
-            second[single] = 0
-            found = similar & (batch["k1"].to_numpy(np.int64).view(np.uint64) == first) & (batch["k2"].to_numpy(np.int64).view(np.uint64) == second)
-            yield batch.loc[found, ["a", "b", "later"]]
-
-    return run
+def _verify(batches):
+    """Keep the pairs that are similar."""
+    for batch in batches:
+        sides = [[np.frombuffer(w, np.uint64) for w in batch[c]] for c in ("words_a", "words_b")]
+        sizes = [np.array([len(x) for x in side], np.int64) for side in sides]
+        pair = np.concatenate([np.repeat(np.arange(len(batch)), size) for size in sizes])
+        words = np.concatenate([x for side in sides for x in side])
+        order = np.lexsort((words, pair))
+        pair, words = pair[order], words[order]
+        both = (pair[1:] == pair[:-1]) & (words[1:] == words[:-1])
+        overlap = np.bincount(pair[1:][both], minlength=len(batch))
+        yield batch.loc[_is_similar(overlap, sizes[0] + sizes[1]), ["a", "b", "later"]]
 
 
 def _block_links(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Links between the lines of two blocks of a long list, counted at their first common key only."""
-    k1, k2, low, high = (int(k) for k in key)
-    pdf = pdf.drop_duplicates("cls", ignore_index=True) if low == high else pdf.drop_duplicates(["cls", "block"], ignore_index=True)
+    """Links between the lines of two blocks of a crowd."""
+    _, low, high = (int(k) for k in key)
     words = [np.frombuffer(w, np.uint64) for w in pdf["words"]]
     size = np.array([len(w) for w in words])
     flat, owner = np.concatenate(words), np.repeat(np.arange(len(words)), size)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-    vocabulary, column, held_by = np.unique(flat, return_inverse=True, return_counts=True)
+    _, column, held_by = np.unique(flat, return_inverse=True, return_counts=True)
     shared = held_by[column] > 1
     columns = np.cumsum(held_by > 1) - 1
     table = np.zeros((len(words), max(1, int((held_by > 1).sum()))), np.float32)
     table[owner[shared], columns[column[shared]]] = 1
-    # Words in common before the last word of the key: none, or just the first word of a key of two.
-    last = np.uint64(k2 or k1)
-    before = shared & (flat < last)
-    early = np.zeros_like(table)
-    early[owner[before], columns[column[before]]] = 1
     left, right = (np.flatnonzero(pdf["block"] == b) for b in (low, high))
-    overlap = table[left] @ table[right].T
-    linked = _is_similar(overlap, size[left][:, None] + size[right][None, :])
-    linked &= early[left] @ early[right].T == (1 if k2 else 0)
+    linked = _is_similar(table[left] @ table[right].T, size[left][:, None] + size[right][None, :])
     if low == high:
         np.fill_diagonal(linked, False)
     occurrence = np.lexsort((pdf["line"], pdf["tag"], pdf["id"].fillna(0), pdf["id"].isna()))
@@ -360,7 +370,8 @@ def _earliest() -> Column:
     return F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("tag"), F.col("line")))
 
 
-def similar_lines(texts: DataFrame, firsts: DataFrame, rarity: np.ndarray, frequent: int = FREQUENT, list_size: int = LIST, block: int = BLOCK) -> DataFrame:
+def similar_lines(texts: DataFrame, firsts: DataFrame, rarity: np.ndarray, frequent: int = FREQUENT, dense: float = DENSE,
+                  list_size: int = LIST, block: int = BLOCK) -> DataFrame:
     """(cls, links, earlier): how many other classes match a class, and whether one of them is earlier.
 
     ``firsts`` holds the first place of each class, (cls, first).
@@ -368,15 +379,17 @@ def similar_lines(texts: DataFrame, firsts: DataFrame, rarity: np.ndarray, frequ
     spark = texts.sparkSession
     frequent_class = int(_rarity(np.array([frequent]))[0])
     held = spark.sparkContext.broadcast(rarity)  # a byte for each bucket
-    # A key is dealt whole and sorted: short lists are paired up as they pass, long ones only let through.
+    # A key is dealt whole and sorted; its list passes by, and only candidates or ties come out.
     keyed = (texts.mapInPandas(_emit_postings(held, frequent_class), POSTINGS).repartition(shuffle_partitions(spark), "k1", "k2")
              .sortWithinPartitions("k1", "k2", F.shiftright("extent", 32), "cls"))
-    found = stored(keyed.mapInPandas(_pair_lists(list_size), PAIRS), "candidates")
-    pairs = stored(found.filter("b IS NOT NULL").groupBy("a", "b").agg(F.min(F.struct("k1", "k2")).alias("key")).select("a", "b", "key.*"), "pairs")
-    members = F.count(F.lit(1)).over(Window.partitionBy("k1", "k2"))
-    long = found.filter("b IS NULL").select("k1", "k2", F.col("a").alias("cls")).distinct().withColumn("members", members)
+    found = stored(keyed.mapInPandas(_pair_lists(dense, list_size), PAIRS).groupBy("a", "b").agg(F.max("crowd").alias("crowd")), "candidates")
+    crowds = stored(components(found.filter("crowd").select("a", "b")), "crowds")
+    # Pairs of one crowd are left to it.
+    of = [crowds.select(F.col("vertex").alias(c), F.col("root").alias(f"crowd_{c}")) for c in "ab"]
+    pairs = stored(found.filter("NOT crowd").drop("crowd").join(of[0], "a", "left").join(of[1], "b", "left").filter(
+        "crowd_a IS NULL OR crowd_b IS NULL OR crowd_a <> crowd_b").select("a", "b"), "pairs")
     # The sets of the lines in question are read from the texts where they stand first; both filters have a fixed number of bits.
-    asked = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(long.select("cls")).distinct()
+    asked = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(crowds.select("vertex")).distinct()
     places = stored(asked.join(firsts, "cls").select("cls", F.col("first").alias("at")), "places")
     lines_filter = spark.sparkContext.broadcast(_filter_of(places.select(F.col("cls").alias("h"))))
     texts_filter = spark.sparkContext.broadcast(_filter_of(places.select(F.xxhash64("at.id", "at.tag").alias("h"))))
@@ -384,17 +397,19 @@ def similar_lines(texts: DataFrame, firsts: DataFrame, rarity: np.ndarray, frequ
     sets = stored(read.groupBy("cls").agg(F.min("words").alias("words")).join(places, "cls"), "sets")
     side = [sets.select(F.col("cls").alias(c), F.col("at").alias(f"at_{c}"), F.col("words").alias(f"words_{c}")) for c in "ab"]
     checked = pairs.join(side[0], "a").join(side[1], "b").select(
-        "a", "b", "k1", "k2", "words_a", "words_b", (F.col("at_a") < F.col("at_b")).alias("later")).mapInPandas(
-        _verify(frequent_class), "a long, b long, later boolean")  # later: b comes after a
+        "a", "b", "words_a", "words_b", (F.col("at_a") < F.col("at_b")).alias("later")).mapInPandas(
+        _verify, "a long, b long, later boolean")  # later: b comes after a
     links = stored(checked, "links")
     linked = links.select(F.col("a").alias("cls"), F.lit(1).cast("long").alias("links"), (~F.col("later")).alias("earlier")).union(
         links.select("b", F.lit(1).cast("long"), "later"))
     blocks = F.ceil(F.col("members") / block).cast("int")
-    dealt = (long.join(sets, "cls").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    sized = crowds.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
+    dealt = (crowds.join(sized, "root").withColumnRenamed("vertex", "cls").join(sets, "cls").withColumn("blocks", blocks)
+             .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-             .select("k1", "k2", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cls",
+             .select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cls",
                      "at.id", "at.tag", "at.line", "words"))
-    many = dealt.groupBy("k1", "k2", "low", "high").applyInPandas(_block_links, VERDICT)
+    many = dealt.groupBy("root", "low", "high").applyInPandas(_block_links, VERDICT)
     return linked.union(many).groupBy("cls").agg(F.sum("links").alias("links"), F.max("earlier").alias("earlier"))
 
 

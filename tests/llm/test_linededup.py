@@ -63,7 +63,7 @@ def corpus(draw, documents=60):
     return ["\n".join(changed(draw.choice(lines)) for _ in range(draw.randint(1, 12))) for _ in range(documents)]
 
 
-@pytest.mark.parametrize("options", [{}, {"list_size": 1, "block": 3}, {"frequent": 2}, {"frequent": 2, "list_size": 2, "block": 2}, {"frequent": 0, "list_size": 1, "block": 1000}])
+@pytest.mark.parametrize("options", [{}, {"dense": 0, "block": 3}, {"frequent": 2}, {"frequent": 2, "dense": 0.4, "block": 2}, {"frequent": 0, "list_size": 1, "block": 1000}])
 def test_matches_brute_force(spark, make_docs, options):
     """Whatever is taken as a frequent word or as a long list."""
     draw = random.Random(19)
@@ -75,7 +75,7 @@ def test_large_group_of_variants(spark, make_docs):
     """Each variant of a long line is linked to all others, and only the first stays."""
     base = [f"base{i}" for i in range(60)]
     rows = [(i, "\n".join([" ".join([*base[: i % 50], f"x{i}", *base[i % 50 + 1:]]), f"own line of {i} and {i * i} only"])) for i in range(150)]
-    got = found(make_docs(*rows), list_size=20, block=32)
+    got = found(make_docs(*rows), block=32)
     assert got == plain(rows)
     assert got[rows[0]] == (2, [], 149) and got[rows[99]] == (2, [0], 149)
 
@@ -86,11 +86,22 @@ def test_lists_that_run_over_batches():
 
     rows = [(1, c) for c in (5, 5, 9)] + [(2, c) for c in range(40) for _ in range(3)] + [(3, 7)] + [(4, c) for c in (1, 2, 3, 4, 4, 4)] + [(5, c) for c in range(5)]
     frame = pd.DataFrame({"k1": [r[0] for r in rows], "k2": 0, "cls": [r[1] for r in rows], "extent": 10 << 32 | 9}).astype("int64")
-    batches = [frame.iloc[i:i + 4].reset_index(drop=True) for i in range(0, len(frame), 4)]
-    out = pd.concat(ld._pair_lists(4)(iter(batches)))
-    assert set(zip(out[out.b.isna()].k1, out[out.b.isna()].a)) == {(2, c) for c in range(40)} | {(5, c) for c in range(5)}
-    pairs = out[out.b.notna()]
-    assert set(pairs.k1) <= {1, 4} and (4, 1, 2) in set(zip(pairs.k1, pairs.a, pairs.b.astype(int)))
+    frame["more"] = 0
+    out = pd.concat(ld._pair_lists(100, 12)(iter(batches_of(frame))))
+    crowd, pairs = out[out.crowd], out[~out.crowd]
+    assert set(crowd.a) | set(crowd.b) == set(range(40))  # the list of 40 is too long to be looked at
+    links = {(min(a, b), max(a, b)) for a, b in zip(crowd.a, crowd.b)}
+    groups = {c: c for c in range(40)}
+    for a, b in sorted(links):
+        old, new = groups[b], groups[a]
+        groups = {c: new if g == old else g for c, g in groups.items()}
+    assert len(set(groups.values())) == 1  # all tied together, over all batches
+    few = {(5, 9)} | {(a, b) for b in range(5) for a in range(b)}  # of the short lists, whichever batch they end in
+    assert set(zip(pairs.a, pairs.b)) == few
+
+
+def batches_of(frame, size=4):
+    return [frame.iloc[i:i + size].reset_index(drop=True) for i in range(0, len(frame), size)]
 
 
 def test_hashed_words_and_parts(monkeypatch):
