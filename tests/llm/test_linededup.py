@@ -96,7 +96,7 @@ def test_lists_that_run_over_batches():
         old, new = groups[b], groups[a]
         groups = {c: new if g == old else g for c, g in groups.items()}
     assert len(set(groups.values())) == 1  # all tied together, over all batches
-    few = {(5, 9)} | {(a, b) for b in range(5) for a in range(b)}  # of the short lists, whichever batch they end in
+    few = {(5, 9)} | {(a, b) for b in range(5) for a in range(b) if (a ^ b).bit_count() <= 2}  # the parity filter drops (3, 4)
     assert set(zip(pairs.a, pairs.b)) == few
 
 
