@@ -34,6 +34,7 @@ from cleanloom.llm.common import ref
 
 UNKNOWN = "und"
 FIT_DOCS, FIT_CHARS, FIT_WORDS = 400, 20_000, 30_000
+SPARE = 4  # candidates per document of the sample
 LEXICON = 2_000  # words a language
 SLOTS = 1 << 16
 GRAMS, AFFIXES = (1, 2, 3), (4, 5)  # lengths; word ends count as characters
@@ -281,12 +282,21 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def fit_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Field:
     """Fit on a bounded sample of the labelled rows that are not held out."""
-    first = Window.partitionBy("label").orderBy(F.col("long"), F.xxhash64("id"), "id", "text")
-    sample = (docs.filter(~held_out(id_col) & ref(id_col).isNotNull() & ref(lang_col).isNotNull() & ref(text_col).isNotNull())
-              .select(ref(lang_col).cast("string").alias("label"), ref(id_col).alias("id"), ref(text_col).alias("text"),
-                      (F.length(ref(text_col)) > FIT_CHARS).alias("long"))
-              .withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= FIT_DOCS))
-    rows = sample.select("label", "nth", F.left("text", F.lit(FIT_CHARS)).alias("text")).collect()
+    labelled = (docs.filter(~held_out(id_col) & ref(id_col).isNotNull() & ref(lang_col).isNotNull() & ref(text_col).isNotNull())
+                .select(ref(lang_col).cast("string").alias("label"), ref(id_col).alias("id"), ref(text_col).alias("text"),
+                        (F.length(ref(text_col)) > FIT_CHARS).alias("long"), F.xxhash64(ref(id_col)).alias("h")))
+    # Rows are thinned out by their hash where they are read, to a few times the sample, so that no language is one task's load.
+    # One row per language comes back, as many as the field has labels.
+    sizes = labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(~F.col("long"), 1)).alias("short")).collect()
+    enough = {r["label"]: r["short"] >= FIT_DOCS for r in sizes}
+    share = {r["label"]: SPARE * FIT_DOCS / (r["short"] if enough[r["label"]] else r["n"]) for r in sizes}
+    of_label = lambda known, other: F.try_element_at(F.create_map(
+        *[F.lit(x) for pair in known.items() for x in pair]), F.col("label")) if known else F.lit(other)
+    thin = labelled.filter((~F.col("long") | ~of_label(enough, False))
+                           & ((F.col("h").cast("double") + float(1 << 63)) / float(1 << 64) <= of_label(share, 1.0)))
+    first = Window.partitionBy("label").orderBy("long", "h", "id", "text")
+    rows = (thin.withColumn("text", F.left("text", F.lit(FIT_CHARS))).withColumn("nth", F.row_number().over(first))
+            .filter(F.col("nth") <= FIT_DOCS).select("label", "nth", "text").collect())
     return fit([(r["label"], r["text"]) for r in sorted(rows, key=lambda r: (r["label"].encode(), r["nth"]))])
 
 
