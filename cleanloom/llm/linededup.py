@@ -10,7 +10,7 @@ lines in a document. Whether the earlier line was removed itself does not matter
    is a key. Where the word is frequent, keys are pairs of it with each further word of a prefix longer by one: matching sets of two
    words or more share two words there. Lists under a key stay short as the corpus grows.
 3. Keys are dealt to tasks and sorted with the lines by length. The length filter (t |y| <= |x| <= |y| / t), the positional filter (words in
-   common so far and the words left behind the key bound the overlap) and a parity filter (each of 40 bits of a class number, and of
+   common so far and the words left behind the key bound the overlap) and a parity filter (each of 40 bits of a class number, with
    64 more for longer lines, says whether an odd number of words falls on it; differing bits are differing words) leave the candidate pairs.
 4. Candidates get their word sets back and are verified. Where a list has many candidates for its members (variants of one line), they never
    become pairs: its members are only tied together, and everything that is tied together directly or through others is a crowd. A crowd's members come
@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cleanloom.llm import bytewords
-from cleanloom.llm.common import gathered, ref, shuffle_partitions, stored
+from cleanloom.llm.common import gathered, ref, release, shuffle_partitions, stored
 from cleanloom.llm.components import components
 
 NUMERATOR, DENOMINATOR = 4, 5  # the similarity 0.8 as a fraction: all tests are in whole numbers
@@ -46,7 +46,7 @@ LINES = "id long, tag long, line long, cls long, size int, counts binary"
 POSTINGS = "k1 long, k2 long, cls long, more long, extent long"  # more: second parity; extent: size of the set and words behind the key
 PAIRS = "a long, b long, crowd boolean"
 PARITY_BITS = 40  # of a class number; the others are a hash
-SETS = "cls long, words binary"
+SETS = "cls long, id long, tag long, line long, words binary"
 VERDICT = "cls long, links long, earlier boolean"
 
 # ---------------------------------------------------------------- words
@@ -79,11 +79,14 @@ class Sets:
         self.start = np.cumsum(self.size) - self.size
         plain = bytewords.mixed((self.words & np.uint64((1 << 56) - 1)) + np.uint64(bytewords.FACTOR))
         total = np.add.reduceat(plain, self.start) if len(self.line) else np.zeros(0, np.uint64)
-        bit = np.uint64(1) << (plain >> np.uint64(32)) % np.uint64(PARITY_BITS)
-        parity = np.bitwise_xor.reduceat(bit, self.start) if len(self.line) else np.zeros(0, np.uint64)
-        bit = np.uint64(1) << (plain >> np.uint64(20)) % np.uint64(64)
-        more = np.bitwise_xor.reduceat(bit, self.start) if len(self.line) else np.zeros(0, np.uint64)
-        self.more = np.where(self.size >= LONG_LINE, more, np.uint64(0)).view(np.int64)
+        # Words fall on PARITY_BITS bits, or on 64 more where the line is long: those make the second number.
+        long = self.size >= LONG_LINE
+        fall = (plain >> np.uint64(32)) % np.where(long, PARITY_BITS + 64, PARITY_BITS).astype(np.uint64)[self.owner]
+        near = fall < PARITY_BITS
+        bits = [np.where(near, np.uint64(1) << np.minimum(fall, np.uint64(63)), np.uint64(0)),
+                np.where(near, np.uint64(0), np.uint64(1) << (fall - np.uint64(PARITY_BITS)) % np.uint64(64))]
+        parity, more = (np.bitwise_xor.reduceat(b, self.start) if len(self.line) else np.zeros(0, np.uint64) for b in bits)
+        self.more = more.view(np.int64)
         rest = bytewords.mixed(total + self.size.astype(np.uint64)) >> np.uint64(PARITY_BITS)
         self.cls = (rest << np.uint64(PARITY_BITS) | parity).view(np.int64)
 
@@ -258,7 +261,7 @@ def _pairs_of(rows: pd.DataFrame, dense: float):
     length = np.diff(np.append(start, len(k1)))
     list_of = np.repeat(np.arange(len(start)), length)
     size, rest = extent >> 32, extent & 0xFFFFFFFF
-    both_long = size >= LONG_LINE
+    is_long = size >= LONG_LINE  # parities of long and short lines cannot be compared
     left = (start + length)[list_of] - np.arange(len(k1)) - 1  # members behind each one in its list
     at = np.flatnonzero(left > 0)
     crowded, count = np.zeros(len(start), bool), np.zeros(len(start), np.int64)
@@ -272,7 +275,7 @@ def _pairs_of(rows: pd.DataFrame, dense: float):
         both = size[at] + size[other]
         reached = np.where(k2[at] == 0, 1, 2) + np.minimum(rest[at], rest[other])
         apart = np.bitwise_count(((cls[at] ^ cls[other]) & ((1 << PARITY_BITS) - 1)).view(np.uint64)).astype(np.int64)
-        apart = np.maximum(apart, np.where(both_long[at] & both_long[other], np.bitwise_count((more[at] ^ more[other]).view(np.uint64)), 0))
+        apart = np.where(is_long[at] == is_long[other], apart + np.bitwise_count((more[at] ^ more[other]).view(np.uint64)), 0)
         hit = _is_similar(reached, both) & _is_similar((both - apart) // 2, both)
         a, b = at[hit], other[hit]
         involved[a] = involved[b] = True
@@ -302,11 +305,11 @@ def _passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 def _emit_sets(held, wanted_lines, wanted_texts):
     """The word sets of the classes the filter lets through, from the texts the filter lets through."""
     def run(batches):
-        is_new = _New()
         texts = (batch[_passes(wanted_texts.value, batch["place"].to_numpy(np.int64))].reset_index(drop=True) for batch in batches)
-        for sets, *_ in _sets_of(texts, held.value):
-            use = np.flatnonzero(_passes(wanted_lines.value, sets.cls) & is_new(sets.cls))
-            yield pd.DataFrame({"cls": sets.cls[use], "words": [sets.words[sets.start[i]:sets.start[i] + sets.size[i]].tobytes() for i in use]})
+        for sets, number, ids, tags in _sets_of(texts, held.value):
+            use = np.flatnonzero(_passes(wanted_lines.value, sets.cls))
+            yield pd.DataFrame({"cls": sets.cls[use], "id": ids.iloc[use].astype("Int64"), "tag": tags.iloc[use], "line": number[use],
+                                "words": [sets.words[sets.start[i]:sets.start[i] + sets.size[i]].tobytes() for i in use]})
 
     return run
 
@@ -383,19 +386,23 @@ def similar_lines(texts: DataFrame, firsts: DataFrame, rarity: np.ndarray, frequ
     keyed = (texts.mapInPandas(_emit_postings(held, frequent_class), POSTINGS).repartition(shuffle_partitions(spark), "k1", "k2")
              .sortWithinPartitions("k1", "k2", F.shiftright("extent", 32), "cls"))
     found = stored(keyed.mapInPandas(_pair_lists(dense, list_size), PAIRS).groupBy("a", "b").agg(F.max("crowd").alias("crowd")), "candidates")
+    release(spark)
     crowds = stored(components(found.filter("crowd").select("a", "b")), "crowds")
     # Pairs of one crowd are left to it.
     of = [crowds.select(F.col("vertex").alias(c), F.col("root").alias(f"crowd_{c}")) for c in "ab"]
     pairs = stored(found.filter("NOT crowd").drop("crowd").join(of[0], "a", "left").join(of[1], "b", "left").filter(
         "crowd_a IS NULL OR crowd_b IS NULL OR crowd_a <> crowd_b").select("a", "b"), "pairs")
     # The sets of the lines in question are read from the texts where they stand first; both filters have a fixed number of bits.
-    asked = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).union(crowds.select("vertex")).distinct()
-    places = stored(asked.join(firsts, "cls").select("cls", F.col("first").alias("at")), "places")
+    paired = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct().withColumn("paired", F.lit(True))
+    asked = crowds.withColumnRenamed("vertex", "cls").join(paired, "cls", "full_outer")
+    places = stored(asked.join(firsts, "cls").select("cls", "root", "paired", F.col("first").alias("at")), "places")
     lines_filter = spark.sparkContext.broadcast(_filter_of(places.select(F.col("cls").alias("h"))))
     texts_filter = spark.sparkContext.broadcast(_filter_of(places.select(F.xxhash64("at.id", "at.tag").alias("h"))))
     read = texts.withColumn("place", F.xxhash64("id", "tag")).mapInPandas(_emit_sets(held, lines_filter, texts_filter), SETS)
-    sets = stored(read.groupBy("cls").agg(F.min("words").alias("words")).join(places, "cls"), "sets")
-    side = [sets.select(F.col("cls").alias(c), F.col("at").alias(f"at_{c}"), F.col("words").alias(f"words_{c}")) for c in "ab"]
+    here = F.col("id").eqNullSafe(F.col("at.id")) & (F.col("tag") == F.col("at.tag")) & (F.col("line") == F.col("at.line"))
+    sets = stored(read.join(places, "cls").filter(here).select("cls", "root", "paired", "at", "words").dropDuplicates(["cls"]), "sets")
+    release(spark)
+    side = [sets.filter("paired").select(F.col("cls").alias(c), F.col("at").alias(f"at_{c}"), F.col("words").alias(f"words_{c}")) for c in "ab"]
     checked = pairs.join(side[0], "a").join(side[1], "b").select(
         "a", "b", "words_a", "words_b", (F.col("at_a") < F.col("at_b")).alias("later")).mapInPandas(
         _verify, "a long, b long, later boolean")  # later: b comes after a
@@ -404,7 +411,7 @@ def similar_lines(texts: DataFrame, firsts: DataFrame, rarity: np.ndarray, frequ
         links.select("b", F.lit(1).cast("long"), "later"))
     blocks = F.ceil(F.col("members") / block).cast("int")
     sized = crowds.groupBy("root").agg(F.count(F.lit(1)).alias("members"))
-    dealt = (crowds.join(sized, "root").withColumnRenamed("vertex", "cls").join(sets, "cls").withColumn("blocks", blocks)
+    dealt = (sets.filter("root IS NOT NULL").join(stored(sized, "sizes"), "root").withColumn("blocks", blocks)
              .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .select("root", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cls",
