@@ -13,7 +13,7 @@ lines in a document. Whether the earlier line was removed itself does not matter
    common so far and the words left behind the key bound the overlap) and a parity filter (each of 40 bits of a class number, with
    64 more for longer lines, says whether an odd number of words falls on it; differing bits are differing words) leave the candidate pairs.
 4. Candidates get their word sets back and are verified. Where a list has many candidates for its members (variants of one line), they never
-   become pairs: its members are only tied together, and everything that is tied together directly or through others is a crowd. A crowd's members come
+   become pairs: those members that are candidates of each other are only tied together, and everything that is tied together directly or through others is a crowd. A crowd's members come
    with their sets once, in blocks, and each pair of blocks is verified in one matrix product that returns one row per line, its
    number of links and whether one of them is earlier. Pairs inside a crowd are left to the crowd, so no link counts twice.
 
@@ -255,6 +255,31 @@ def _ties(cls: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame({"a": np.full(len(cls) - 1, cls[-1]), "b": cls[:-1], "crowd": True})
 
 
+def _top(root: np.ndarray) -> np.ndarray:
+    """Every member's root, in place."""
+    while True:
+        higher = root[root]
+        if (higher == root).all():
+            return root
+        root[:] = higher
+
+
+def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Merge the groups of a and b; only pairs that still stand apart are looped over."""
+    apart = root[a] != root[b]
+    if not apart.any():
+        return
+    _top(root)
+    a, b = a[apart], b[apart]
+    apart = root[a] != root[b]
+    for i, j in zip(a[apart].tolist(), b[apart].tolist()):
+        while root[i] != i:
+            i = root[i]
+        while root[j] != j:
+            j = root[j]
+        root[max(i, j)] = min(i, j)
+
+
 def _pairs_of(rows: pd.DataFrame, dense: float):
     k1, k2, cls, more, extent = (rows[c].to_numpy(np.int64) for c in ("k1", "k2", "cls", "more", "extent"))
     start = np.flatnonzero(np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]))
@@ -266,6 +291,7 @@ def _pairs_of(rows: pd.DataFrame, dense: float):
     at = np.flatnonzero(left > 0)
     crowded, count = np.zeros(len(start), bool), np.zeros(len(start), np.int64)
     involved = np.zeros(len(k1), bool)
+    root = np.arange(len(k1))  # members tied by candidates, within their list
     pairs = []
     step = 1
     while len(at):
@@ -279,17 +305,19 @@ def _pairs_of(rows: pd.DataFrame, dense: float):
         hit = _is_similar(reached, both) & _is_similar((both - apart) // 2, both)
         a, b = at[hit], other[hit]
         involved[a] = involved[b] = True
-        pairs.append((a, b))
+        _unite(root, a, b)
+        open_ = ~crowded[list_of[a]]
+        pairs.append((a[open_], b[open_]))
         count += np.bincount(list_of[a], minlength=len(start))
         # A list is crowded once it has many candidates for each member that has any.
         if step % 8 == 0 or step < 16:
             crowded |= count > dense * np.maximum(1, np.bincount(list_of[involved], minlength=len(start)))
-            at = at[~crowded[list_of[at]]]
         step += 1
         at = at[left[at] >= step]
     crowded |= count > dense * np.maximum(1, np.bincount(list_of[involved], minlength=len(start)))
-    for number in np.flatnonzero(crowded):  # all members, as not all candidates have been looked for
-        yield _ties(cls[start[number]:start[number] + length[number]])
+    tied = np.flatnonzero(crowded[list_of] & (_top(root) != np.arange(len(k1))))  # families of one list stay apart
+    if len(tied):
+        yield pd.DataFrame({"a": cls[root[tied]], "b": cls[tied], "crowd": True})
     a, b = (np.concatenate(c) for c in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
     open_ = ~crowded[list_of[a]]
     a, b = cls[a[open_]], cls[b[open_]]
