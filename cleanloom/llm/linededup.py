@@ -5,12 +5,13 @@ their sets is at least ``NUMERATOR`` / ``DENOMINATOR``; a line is removed when i
 lines in a document. Whether the earlier line was removed itself does not matter, so the result does not depend on how the work is cut up.
 
 1. Words are counted into a table of fixed size. A word is held as its rarity class and 56 bits of its hash, so numeric order is
-   rarity order, the same for all lines. Lines with equal sets are one class.
+   rarity order, the same for all lines. Lines with equal sets are one class, whose number is a 64-bit hash of the set, from
+   all 64 bits of its words' hashes.
 2. Prefix filter: two matching sets share a word among the first (rarest) |x| - ceil(t |x|) + 1 of each. Each of them
    is a key. Where the word is frequent, keys are pairs of it with each further word of a prefix longer by one: matching sets of two
    words or more share two words there. Lists under a key stay short as the corpus grows.
 3. Keys are dealt to tasks and sorted with the lines by length. The length filter (t |y| <= |x| <= |y| / t), the positional filter (words in
-   common so far and the words left behind the key bound the overlap) and a parity filter (each of 40 bits of a class number, with
+   common so far and the words left behind the key bound the overlap) and a parity filter (each of 40 bits beside the class number, with
    64 more for longer lines, says whether an odd number of words falls on it; differing bits are differing words) leave the candidate pairs.
 4. Candidates get their word sets back and are verified. Where a list has many candidates for its members (variants of one line), they never
    become pairs: those members that are candidates of each other are only tied together, and everything that is tied together directly or through others is a crowd. A crowd's members come
@@ -43,9 +44,9 @@ SEEN_LINES = 1_000_000
 FILTER_BITS = 24
 
 LINES = "id long, tag long, line long, cls long, size int, counts binary"
-POSTINGS = "k1 long, k2 long, cls long, more long, extent long"  # more: second parity; extent: size of the set and words behind the key
+POSTINGS = "k1 long, k2 long, cls long, parity long, more long, extent long"  # more: second parity; extent: size of the set and words behind the key
 PAIRS = "a long, b long, crowd boolean"
-PARITY_BITS = 40  # of a class number; the others are a hash
+PARITY_BITS = 40  # of the first parity
 SETS = "cls long, id long, tag long, line long, words binary"
 VERDICT = "cls long, links long, earlier boolean"
 
@@ -78,7 +79,8 @@ class Sets:
         self.size = np.bincount(self.owner, minlength=len(self.line))
         self.start = np.cumsum(self.size) - self.size
         plain = bytewords.mixed((self.words & np.uint64((1 << 56) - 1)) + np.uint64(bytewords.FACTOR))
-        total = np.add.reduceat(plain, self.start) if len(self.line) else np.zeros(0, np.uint64)
+        full = bytewords.mixed(self.hashes + np.uint64(bytewords.FACTOR))
+        total = np.add.reduceat(full, self.start) if len(self.line) else np.zeros(0, np.uint64)
         # Words fall on PARITY_BITS bits, or on 64 more where the line is long: those make the second number.
         long = self.size >= LONG_LINE
         fall = (plain >> np.uint64(32)) % np.where(long, PARITY_BITS + 64, PARITY_BITS).astype(np.uint64)[self.owner]
@@ -86,9 +88,8 @@ class Sets:
         bits = [np.where(near, np.uint64(1) << np.minimum(fall, np.uint64(63)), np.uint64(0)),
                 np.where(near, np.uint64(0), np.uint64(1) << (fall - np.uint64(PARITY_BITS)) % np.uint64(64))]
         parity, more = (np.bitwise_xor.reduceat(b, self.start) if len(self.line) else np.zeros(0, np.uint64) for b in bits)
-        self.more = more.view(np.int64)
-        rest = bytewords.mixed(total + self.size.astype(np.uint64)) >> np.uint64(PARITY_BITS)
-        self.cls = (rest << np.uint64(PARITY_BITS) | parity).view(np.int64)
+        self.parity, self.more = parity.view(np.int64), more.view(np.int64)
+        self.cls = bytewords.mixed(total + self.size.astype(np.uint64)).view(np.int64)
 
 
 def _parts(text: str | None):
@@ -211,7 +212,7 @@ def _emit_postings(held, frequent_class: int):
             use = is_new(sets.cls)[owner]
             owner = owner[use]
             yield pd.DataFrame({"k1": k1[use].view(np.int64), "k2": k2[use].view(np.int64), "cls": sets.cls[owner],
-                                "more": sets.more[owner], "extent": sets.size[owner].astype(np.int64) << 32 | rest[use]})
+                                "parity": sets.parity[owner], "more": sets.more[owner], "extent": sets.size[owner].astype(np.int64) << 32 | rest[use]})
 
     return run
 
@@ -282,6 +283,7 @@ def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 def _pairs_of(rows: pd.DataFrame, dense: float):
     k1, k2, cls, more, extent = (rows[c].to_numpy(np.int64) for c in ("k1", "k2", "cls", "more", "extent"))
+    parity = rows["parity"].to_numpy(np.int64) if "parity" in rows else cls  # rows without one: their numbers are parities
     start = np.flatnonzero(np.concatenate([[True], (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]))
     length = np.diff(np.append(start, len(k1)))
     list_of = np.repeat(np.arange(len(start)), length)
@@ -300,7 +302,7 @@ def _pairs_of(rows: pd.DataFrame, dense: float):
         at, other = at[near], other[near]
         both = size[at] + size[other]
         reached = np.where(k2[at] == 0, 1, 2) + np.minimum(rest[at], rest[other])
-        apart = np.bitwise_count(((cls[at] ^ cls[other]) & ((1 << PARITY_BITS) - 1)).view(np.uint64)).astype(np.int64)
+        apart = np.bitwise_count((parity[at] ^ parity[other]).view(np.uint64)).astype(np.int64)
         apart = np.where(is_long[at] == is_long[other], apart + np.bitwise_count((more[at] ^ more[other]).view(np.uint64)), 0)
         hit = _is_similar(reached, both) & _is_similar((both - apart) // 2, both)
         a, b = at[hit], other[hit]

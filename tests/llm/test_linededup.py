@@ -122,6 +122,15 @@ def test_hashes_do_not_depend_on_the_place():
     assert ld.hashed_words(b" ".join(words))[0].tolist() == alone and len(set(alone)) == 500
 
 
+def test_short_lines_have_classes_of_their_own(spark, make_docs):
+    """A million lines of one word, and as many of two."""
+    for lines in ((f"id{i}" for i in range(1_000_000)), (f"id{i % 1000} of{i // 1000}" for i in range(1_000_000))):
+        assert len(np.unique(ld.Sets("\n".join(lines).encode(), None).cls)) == 1_000_000
+    # These words once shared their numbers of 64 bits, 40 of them parities.
+    assert found(make_docs((1, "id645685\nid617425"), (2, "id1075610\nid1404445"))) == {
+        (1, "id645685\nid617425"): (2, [], 0), (2, "id1075610\nid1404445"): (2, [], 0)}
+
+
 def test_clean_texts(spark, make_docs):
     docs = make_docs((2, "one two three four five\nkeep this", "en"), (1, "ONE two three four five\n\nother words here"), (3, "keep this"), (None, "keep this\nnew line at last"),
                      (4, None), (2, "one two three four five\nkeep this", "en"), (5, "a" * 3_000_000 + " b")).withColumn("tag", ld.F.lit("clash")).withColumn("line", ld.F.lit(1))
