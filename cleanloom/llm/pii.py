@@ -3,23 +3,23 @@
 Base spans are e-mail addresses, IP addresses, card numbers and telephone numbers, found by pattern, leftmost and
 without overlap within a kind; a match that fails its test (range, length, check digit) is dropped.
 
-The method then asks which terms of the text reveal a protected entity, that is a base value. The corpus answers:
-with N counted words, c(t) occurrences of term t, c(e) distinct contexts of entity e (``WINDOW`` characters on
-either side), and c(e, t) distinct contexts of e that hold t,
+The method then asks which terms of the text reveal a protected entity, that is a base value. The corpus of distinct texts
+answers, so copies of a text change nothing:
 
     PMI(e; t) = log2(c(e, t) * N / (c(e) * c(t)))        how much t tells about e, in bits
     IC(e)     = log2(N / c(e))                           how much there is to tell
 
-A term discloses e when PMI reaches the share ``THRESHOLD`` of IC and rests on ``SUPPORT`` distinct contexts. Such
-terms become spans where they stand near e: ``term`` if the word also occurs elsewhere (it is generalised to a
-placeholder), ``secret`` if all its occurrences are contexts of e (it is removed). Copies of a context count once
-in c(e, t) but always in c(t), so copied text never raises an estimate. Terms are words of three letters or more
+c(e) counts contexts of e (``WINDOW`` characters on either side, in each text), c(e, t) those that hold t, c(t) the occurrences of t, N all of them.
+
+A term discloses e when PMI reaches the share ``THRESHOLD`` of IC and rests on ``SUPPORT`` distinct contexts. Such terms become spans
+where they stand near e: ``term`` if the word also occurs elsewhere (it is
+generalised to a placeholder), ``secret`` if not (it is removed). Terms are words of three letters or more
 that stand alone between white space and punctuation; texts without base spans get no spans at all.
 
 Only DataFrame functions are used. Positions come from splitting the text at the matches and adding up lengths.
 The patterns are those of the contract, with possessive repeats and a test of the character before, which finds the
-same matches in linear time and without recursion. Counts are combined before every shuffle; what is shuffled
-are contexts and word counts, never texts.
+same matches in linear time and without recursion. Counts are combined before every shuffle. Of the texts, only those that
+are copied are shuffled (and some whose hash falls in the same of ``SLOTS`` slots).
 
 Defined cases: null text counts as empty; rows without id are kept; repeated rows get the same spans; positions
 are code points, ends exclusive; an empty table gives no rows; other columns are ignored by :func:`find`, and kept by
@@ -49,6 +49,7 @@ TERM = r"(?<!\S)\p{L}{3,}+(?=[.,;:!?]?(?:\s|$))"
 WINDOW = 64
 THRESHOLD = 0.95
 SUPPORT = 3
+SLOTS = 1 << 20  # of the filters that travel to the tasks
 REPLACEMENTS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]", "secret": ""}
 _SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 _FOUND = "array<struct<start:bigint,end:bigint,value:string,before:string,after:string>>"
@@ -148,11 +149,8 @@ def _context_terms(contexts: DataFrame) -> DataFrame:
         "id", "tag", "entity", "context", "t.*")
 
 
-def disclosures(terms: DataFrame, contexts: DataFrame, counts: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, disclosure, everywhere): terms that tell enough about an entity."""
-    joint = (terms.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("joint"))
-             .filter(F.col("joint") >= support))
-    entities = contexts.select("entity", "context").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("seen"))
+def _telling(joint: DataFrame, counts: DataFrame, entities: DataFrame, threshold: float) -> DataFrame:
+    """(entity, term, disclosure, everywhere) from (entity, term, joint), (term, n) and (entity, seen)."""
     total = counts.agg(F.sum("n").alias("total"))
     joined = joint.join(counts, "term").join(entities, "entity").crossJoin(F.broadcast(total))  # one row
     pmi = F.log2(F.col("joint") * F.col("total") / (F.col("seen") * F.col("n")))
@@ -161,14 +159,39 @@ def disclosures(terms: DataFrame, contexts: DataFrame, counts: DataFrame, thresh
         "entity", "term", "disclosure", (F.col("joint") >= F.col("n")).alias("everywhere"))
 
 
+def disclosures(terms: DataFrame, contexts: DataFrame, counts: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
+    """(entity, term, disclosure, everywhere): terms near an entity that tell enough about it.
+
+    A context counts in each text that holds it, as words do; the support counts different contexts.
+    """
+    joint = (terms.select("entity", "term", "context", "tag").distinct().groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("texts"))
+             .groupBy("entity", "term").agg(F.sum("texts").alias("joint"), F.count(F.lit(1)).alias("different"))
+             .filter(F.col("different") >= support).drop("different"))
+    entities = contexts.select("entity", "context", "tag").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("seen"))
+    return _telling(joint, counts, entities, threshold)
+
+
+def _among(rows: DataFrame, keys: DataFrame, *columns: str, how: str = "left_semi") -> DataFrame:
+    """The rows whose columns fall in the slots of the keys; the slots have a bounded number."""
+    slot = F.pmod(F.xxhash64(*columns), F.lit(SLOTS)).alias("slot")
+    return rows.withColumn("slot", slot).join(F.broadcast(keys.select(slot).distinct()), "slot", how).drop("slot")
+
+
+def distinct_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(body, tag): every different text once."""
+    rows = docs.select(whole_text(text_col).alias("body")).withColumn("tag", F.xxhash64("body"))
+    repeated = stored(rows.groupBy("tag").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("tag"), "repeated")
+    return _among(rows, repeated, "tag", how="left_anti").union(_among(rows, repeated, "tag").distinct())
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
     """(id, tag, base, spans): spans are (start, rank, end, kind), sorted; ``spans`` holds those of the method as well."""
     base = stored(base_matches(docs, id_col, text_col), "base")
     contexts = base.select("id", "tag", F.explode("found").alias("f")).select("id", "tag", "f.*").withColumn(
         "context", F.xxhash64("before", "after"))
+    texts = stored(distinct_texts(docs, text_col), "texts")
     terms = stored(_context_terms(contexts), "terms")
-    counts = stored(term_counts(docs, text_col), "counts")
-    telling = disclosures(terms, contexts, counts, threshold, support)
+    telling = disclosures(terms, contexts, stored(term_counts(texts, "body"), "counts"), threshold, support)
     added = (terms.join(telling, ["entity", "term"])
              .groupBy("id", "tag", "start", "end").agg(F.max("everywhere").alias("everywhere"))
              .groupBy("id", "tag").agg(F.collect_list(F.struct(

@@ -120,6 +120,18 @@ def test_sanitise(spark, make_docs, corpus):
     assert [r["text"] for r in one] == ["é [PHONE], [CARD], [IP] end"] * 2
 
 
+def _spans(docs):
+    return {r["id"]: r["s"] for r in pii.find(docs).select("id", pii.spans_text(F.col("spans")).alias("s")).collect()}
+
+
+def test_copies_change_nothing(spark, corpus):
+    """Every document ten times over discloses the same."""
+    copies = corpus.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(9)))).drop("n")
+    once = _spans(corpus)
+    assert any("secret" in s for s in once.values()) and any("term" in s for s in once.values())
+    assert _spans(copies) == once
+
+
 def test_empty_table(spark, make_docs):
     assert pii.find(make_docs()).count() == 0
     assert pii.sanitise(make_docs()).count() == 0
