@@ -9,17 +9,19 @@ answers, so copies of a text change nothing:
     PMI(e; t) = log2(c(e, t) * N / (c(e) * c(t)))        how much t tells about e, in bits
     IC(e)     = log2(N / c(e))                           how much there is to tell
 
-c(e) counts contexts of e (``WINDOW`` characters on either side, in each text), c(e, t) those that hold t, c(t) the occurrences of t, N all of them.
+It is asked twice. *Near:* c(e) counts contexts of e (``WINDOW`` characters on either side, in each text), c(e, t) those that hold t, c(t)
+the occurrences of t, N all of them. *In the text:* c(e), c(t) and c(e, t) count texts that hold e, t and both, N is the sum of c(t),
+so neither the distance nor how often a text repeats a word matters.
 
-A term discloses e when PMI reaches the share ``THRESHOLD`` of IC and rests on ``SUPPORT`` distinct contexts. Such terms become spans
-where they stand near e: ``term`` if the word also occurs elsewhere (it is
+A term discloses e when in one of them PMI reaches the share ``THRESHOLD`` of IC and c(e, t) rests on ``SUPPORT`` distinct contexts, or
+texts. Such terms become spans wherever they stand in a text that holds e: ``term`` if the word also occurs elsewhere (it is
 generalised to a placeholder), ``secret`` if not (it is removed). Terms are words of three letters or more
 that stand alone between white space and punctuation; texts without base spans get no spans at all.
 
 Only DataFrame functions are used. Positions come from splitting the text at the matches and adding up lengths.
 The patterns are those of the contract, with possessive repeats and a test of the character before, which finds the
 same matches in linear time and without recursion. Counts are combined before every shuffle. Of the texts, only those that
-are copied are shuffled (and some whose hash falls in the same of ``SLOTS`` slots).
+are copied, hold an entity of many texts or a term to be marked are shuffled (and some whose hash falls in the same of ``SLOTS`` slots).
 
 Defined cases: null text counts as empty; rows without id are kept; repeated rows get the same spans; positions
 are code points, ends exclusive; an empty table gives no rows; other columns are ignored by :func:`find`, and kept by
@@ -31,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cleanloom.llm.common import ref, stored, whole_text
+from cleanloom.llm.common import ref, release, stored, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 # The patterns of each kind.
@@ -55,7 +57,7 @@ _SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
 _FOUND = "array<struct<start:bigint,end:bigint,value:string,before:string,after:string>>"
 
 
-def located(text: Column, pattern: str) -> Column:
+def located(text: Column, pattern: str | Column) -> Column:
     """All matches with their places and up to ``WINDOW`` characters on either side, one pass over the pieces."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
@@ -171,6 +173,37 @@ def disclosures(terms: DataFrame, contexts: DataFrame, counts: DataFrame, thresh
     return _telling(joint, counts, entities, threshold)
 
 
+def text_counts(texts: DataFrame) -> DataFrame:
+    """(term, n): in how many texts (tag, body) a term occurs."""
+    return texts.select(F.explode(_terms_of(F.col("body"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _terms_of(text: Column) -> Column:
+    """The different terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def text_disclosures(texts: DataFrame, contexts: DataFrame, counts: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
+    """(entity, term, disclosure, everywhere): terms anywhere in the texts of an entity that tell enough about it.
+
+    Entities of too few texts, and terms too frequent to tell of any entity of a text, are left out before they meet.
+    """
+    held = contexts.select("entity", "tag").distinct()
+    entities = stored(held.groupBy("entity").agg(F.count(F.lit(1)).alias("seen")).filter(F.col("seen") >= support), "entities")
+    pairs = held.join(entities, "entity")
+    most = stored(pairs.groupBy("tag").agg(F.max("seen").alias("most")), "most")
+    total = counts.agg(F.sum("n").alias("total"))
+
+    def may_tell(seen):  # with every text of the entity in common; a hair is left for rounding
+        return F.log2(F.col("total") / F.col("n")) >= threshold * F.log2(F.col("total") / F.col(seen)) - 1e-9
+
+    words = (_among(texts, most, "tag").join(most, "tag").select("tag", "most", F.explode(_terms_of(F.col("body"))).alias("term"))
+             .join(counts.filter(F.col("n") >= support).crossJoin(F.broadcast(total)), "term").filter(may_tell("most")))  # one row
+    joint = (words.join(pairs, "tag").filter(may_tell("seen")).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("joint"))
+             .filter(F.col("joint") >= support))
+    return _telling(joint, counts, entities, threshold)
+
+
 def _among(rows: DataFrame, keys: DataFrame, *columns: str, how: str = "left_semi") -> DataFrame:
     """The rows whose columns fall in the slots of the keys; the slots have a bounded number."""
     slot = F.pmod(F.xxhash64(*columns), F.lit(SLOTS)).alias("slot")
@@ -184,6 +217,24 @@ def distinct_texts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return _among(rows, repeated, "tag", how="left_anti").union(_among(rows, repeated, "tag").distinct())
 
 
+def _marked(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, tag, added): the places of the terms in ``wanted``, (id, tag, term, everywhere), in whole texts."""
+    asked = stored(wanted.groupBy("id", "tag").agg(F.collect_list(F.struct("term", "everywhere")).alias("asked")), "asked")
+    rows = docs.select(ref(id_col).alias("id"), whole_text(text_col).alias("body")).withColumn("tag", F.xxhash64("body"))
+    rows = _among(rows, asked, "id", "tag")
+    asked = asked.withColumnsRenamed({"id": "asked_id", "tag": "asked_tag"})
+    # Terms are matched whatever their case, and kept where their lower case is the term's. One letter has two in lower case.
+    either = F.array_join(F.transform("asked", lambda x: F.replace(x["term"], F.lit("i\u0307"), F.lit("(?:i\u0307|\u0130)"))), "|")
+    pattern = F.concat(F.lit(r"(?<!\S)(?iu:"), either, F.lit(r")(?=[.,;:!?]?(?:\s|$))"))
+    found = rows.join(asked, F.col("id").eqNullSafe(F.col("asked_id")) & (F.col("tag") == F.col("asked_tag")))
+    kind = F.map_from_entries(F.transform("asked", lambda x: F.struct(
+        x["term"], F.when(x["everywhere"], "secret").otherwise("term"))))
+    places = F.filter(located(F.col("body"), pattern), lambda x: F.map_contains_key(F.col("kinds"), F.lower(x["value"])))
+    return found.withColumn("kinds", kind).select(F.col("id").alias("added_id"), F.col("tag").alias("added_tag"), F.transform(places, lambda x: F.struct(
+        x["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), x["end"].alias("end"), F.element_at("kinds", F.lower(x["value"])).alias("kind"))).alias("added")).dropDuplicates(
+            ["added_id", "added_tag"])
+
+
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
     """(id, tag, base, spans): spans are (start, rank, end, kind), sorted; ``spans`` holds those of the method as well."""
     base = stored(base_matches(docs, id_col, text_col), "base")
@@ -191,12 +242,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
         "context", F.xxhash64("before", "after"))
     texts = stored(distinct_texts(docs, text_col), "texts")
     terms = stored(_context_terms(contexts), "terms")
-    telling = disclosures(terms, contexts, stored(term_counts(texts, "body"), "counts"), threshold, support)
-    added = (terms.join(telling, ["entity", "term"])
-             .groupBy("id", "tag", "start", "end").agg(F.max("everywhere").alias("everywhere"))
-             .groupBy("id", "tag").agg(F.collect_list(F.struct(
-                 "start", F.lit(len(KINDS)).alias("rank"), "end", F.when(F.col("everywhere"), "secret").otherwise("term").alias("kind"))).alias("added"))
-             .withColumnsRenamed({"id": "added_id", "tag": "added_tag"}))
+    near = disclosures(terms, contexts, stored(term_counts(texts, "body"), "counts"), threshold, support)
+    wide = text_disclosures(texts, contexts, stored(text_counts(texts), "text-counts"), threshold, support)
+    telling = stored(near.union(wide).groupBy("entity", "term").agg(F.max("everywhere").alias("everywhere")), "telling")
+    release(docs.sparkSession)
+    wanted = (contexts.select("id", "tag", "entity").distinct().join(telling, "entity")
+              .groupBy("id", "tag", "term").agg(F.max("everywhere").alias("everywhere")))
+    added = _marked(docs, wanted, id_col, text_col)
     spans = F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind")))
     joined = base.join(added, F.col("id").eqNullSafe(F.col("added_id")) & (F.col("tag") == F.col("added_tag")), "left")
     return joined.select("id", "tag", spans.alias("base"),

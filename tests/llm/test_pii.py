@@ -132,6 +132,19 @@ def test_copies_change_nothing(spark, corpus):
     assert _spans(copies) == once
 
 
+def test_terms_in_the_whole_text(spark, make_docs):
+    """A telling name far from the address, more than once and in other cases, goes everywhere in texts that hold the address."""
+    draw = random.Random(8)
+    fill = lambda n: " ".join(draw.choices(["the", "water", "house", "green", "stone", "walks", "under", "light"], k=n))
+    docs = [(i, f"{fill(30)} Zorbat, {fill(30)} ZORBAT {fill(10)} \u0130stvan {fill(30)} zorbat@mail.example.org {fill(3)}") for i in range(4)]
+    docs += [(i + 10, f"{fill(5)} Quine {fill(40)} Quine {fill(3)} quine@mail.example.org Quine {fill(20)}") for i in range(4)]
+    docs += [(20, f"{fill(5)} Quine {fill(5)}")] + [(100 + i, fill(60)) for i in range(300)]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(make_docs(*docs)).collect()}
+    assert not any(w in clean[i].lower() for i in range(4) for w in ("zorbat", "stvan"))
+    assert all("quine" not in clean[i + 10].lower() and clean[i + 10].count("[TERM]") == 3 for i in range(4))
+    assert clean[20] == docs[8][1]
+
+
 def test_empty_table(spark, make_docs):
     assert pii.find(make_docs()).count() == 0
     assert pii.sanitise(make_docs()).count() == 0
