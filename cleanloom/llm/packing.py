@@ -3,11 +3,14 @@
 1. Documents become token ids with the end mark appended. What fills whole windows is cut off and is a
    sequence of its own; the rest, less than a window, is a piece that has to be packed. The pass also counts in how
    many pieces each token occurs. The vocabulary is fixed, so these counts have a bounded size.
-2. Pieces are dealt into shards of about ``SHARD_PIECES``. A shard builds an inverted index with BM25 weights (corpus-wide
+2. Pieces are dealt by content into shards of about ``SHARD_PIECES``: the key of a piece is the token of greatest BM25 weight among those
+   that other pieces hold as well. Pieces of one key share a shard; a key of more pieces than a shard holds is spread evenly
+   over as many shards as it needs. A shard builds an inverted index with BM25 weights (corpus-wide
    document frequencies and mean length) over the tokens of its pieces. The longest unused piece is the seed of a
    window; its distinct tokens are the query; the unused pieces follow in the order of their scores until the window is
    full. The last of them is cut where the window ends, and its rest stays unused.
 
+A seed so meets the pieces of its key (of a spread key, those in its shard) and of the keys beside it, not the whole corpus.
 So only the last window of a shard has room left. A shard holds at most a few megabytes, whatever the documents are like.
 
 Defined cases: a null or empty text is just the end mark; rows without id and repeated rows are packed like any
@@ -16,7 +19,6 @@ other; a text of any length is encoded whole; an empty table gives no rows; othe
 
 from __future__ import annotations
 
-import math
 import os
 
 import numpy as np
@@ -252,6 +254,10 @@ def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def _weight(idf, count, length, mean_length: float):
+    return idf * count * (K1 + 1) / (count + K1 * (1 - B + B * length / mean_length))
+
+
 class Index:
     """Inverted index of a shard: for each token the pieces that hold it and its BM25 weight there."""
 
@@ -265,7 +271,7 @@ class Index:
         token, count = np.concatenate(self.terms).astype(np.int64), np.concatenate(counts)
         order = np.argsort(token, kind="stable")
         lengths = np.array([len(i) for i in ids])[owner]
-        weight = idf[token] * count * (K1 + 1) / (count + K1 * (1 - B + B * lengths / mean_length))
+        weight = _weight(idf[token], count, lengths, mean_length)
         self.pieces, self.weights = owner[order], weight[order]
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(token, minlength=len(idf)))])
         self.size = len(ids)
@@ -343,6 +349,27 @@ def _frequencies(closing: DataFrame) -> np.ndarray:
     return frequency
 
 
+def _emit_keys(idf, shared, mean_length: float, kind: np.dtype):
+    """The rests with their keys."""
+    def run(batches):
+        for batch in batches:
+            keys = []
+            for i in batch["ids"]:
+                piece = np.frombuffer(i, kind)
+                token, count = np.unique(piece, return_counts=True)
+                weight = np.where(shared.value[token], _weight(idf.value[token], count, len(piece), mean_length), -1.0)
+                keys.append(int(token[weight.argmax()]))
+            yield batch.assign(key=np.array(keys, np.int64))
+
+    return run
+
+
+def _shards_of(count: np.ndarray, shard_pieces: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place of its first piece, number of pieces it is spread over) of each key, in the order of the keys."""
+    first = np.cumsum(count) - count
+    return first, np.where(count > shard_pieces, count, 1)
+
+
 def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end: int = END,
          shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """A row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian 32-bit numbers)."""
@@ -353,11 +380,16 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     frequency = _frequencies(closing)
     kind = np.dtype("<u2") if len(frequency) <= 1 << 16 else np.dtype("<u4")
     idf = np.log1p((seen["rests"] - frequency + 0.5) / (frequency + 0.5)).astype(np.float64)
-    shards = max(1, math.ceil(seen["rests"] / shard_pieces))
     mean = max(1.0, seen["tokens"] / max(1, seen["rests"]))
     held = spark.sparkContext.broadcast(idf)  # a number per token of the vocabulary
     whole = cut.filter("whole").mapInPandas(_as_sequences(kind), PACKED)
-    dealt = cut.filter("NOT whole").withColumn("shard", F.pmod(F.xxhash64("place"), F.lit(shards)))
+    shared = spark.sparkContext.broadcast(frequency > 1)
+    keyed = stored(cut.filter("NOT whole").mapInPandas(_emit_keys(held, shared, mean, kind), PIECE + ", key long"), "keyed")
+    counted = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).orderBy("key").toPandas()  # a row per token of the vocabulary at most
+    first, spread = _shards_of(counted["n"].to_numpy(np.int64), shard_pieces)
+    places = spark.createDataFrame(list(zip(counted["key"].tolist(), first.tolist(), spread.tolist())), "key long, first long, spread long")
+    shard = F.expr(f"(first + pmod(xxhash64(place), spread)) div {int(shard_pieces)}")
+    dealt = keyed.join(F.broadcast(places), "key").withColumn("shard", shard).drop("key", "first", "spread")
     packed = dealt.groupBy("shard").applyInPandas(_bound(held, mean, window, kind), PACKED)
     return whole.unionByName(packed)
 

@@ -89,6 +89,23 @@ def test_neighbours_share_rare_tokens(spark, make_docs):
     assert same > 0.8
 
 
+def test_neighbours_meet_over_many_shards(spark, make_docs):
+    """Topics come together whatever the number of shards, and no shard grows with a topic."""
+    draw = random.Random(13)
+    words = [f"{a}{b}" for a in "bcdfghjkl" for b in ("orn", "ump", "alk", "ist")]
+    topics = [draw.choice(words) + w for w in words[:20]]
+    common = ["house", "water", "green", "stone", "light"]
+    docs = make_docs(*[(i, " ".join(draw.choices([topics[i % 20], *common], k=60))) for i in range(400)])
+    together = {}
+    for r in packing.pack(docs, window=512, shard_pieces=20).collect():
+        together.setdefault(r["sequence_id"], []).append(r["doc_id"] % 20)
+    assert np.mean([max(np.bincount(m)) / len(m) for m in together.values()]) > 0.6
+    count = np.array([3, 5000, 1, 700])
+    first, spread = packing._shards_of(count, 100)
+    shards = np.concatenate([(f + np.arange(n) % s) // 100 for f, n, s in zip(first, count, spread)])
+    assert np.bincount(shards).max() <= 200 and shards.max() < -(-count.sum() // 100)
+
+
 def test_scores_match_the_formula():
     draw = np.random.default_rng(12)
     ids = [draw.integers(0, 30, draw.integers(1, 60)) for _ in range(12)]
