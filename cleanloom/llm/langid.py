@@ -352,8 +352,14 @@ def word_labels(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col:
 
 
 def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", reject_below: float = REJECT_BELOW) -> DataFrame:
-    """The documents in which one language prevails; a missing language is filled in."""
-    named = predicted(docs, fit_on(docs, id_col, text_col, lang_col), text_col, "__language")
+    """The documents in which one language prevails; a missing language is filled in.
+
+    Without a labelled document to learn from, all documents that have a letter stay as they are.
+    """
+    model = fit_on(docs, id_col, text_col, lang_col)
+    if not model.labels:
+        return docs.filter(ref(text_col).rlike(r"\p{L}"))
+    named = predicted(docs, model, text_col, "__language")
     good = named.filter((F.col("__language.lang") != UNKNOWN) & (F.col("__language.score") >= reject_below))
     filled = F.coalesce(ref(lang_col), F.col("__language.lang"))
     return good.select(*[filled.alias(c) if c == lang_col else ref(c) for c in docs.columns])

@@ -100,3 +100,8 @@ def test_no_labelled_document(spark, make_docs):
     docs = make_docs((1, "ka ro"), (2, None))
     assert [r["language"]["lang"] for r in langid.predicted(docs, langid.fit_on(docs)).collect()] == ["und", "und"]
     assert langid.predicted(make_docs(), langid.fit_on(make_docs())).count() == 0
+
+
+def test_documents_stay_without_a_model(spark, make_docs):
+    docs = make_docs((1, "ka ro"), (2, None), (3, "12 !"), (4, "\u00e9"))
+    assert sorted(r["doc_id"] for r in langid.kept(docs).collect()) == [1, 4]
