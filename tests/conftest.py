@@ -49,8 +49,3 @@ def guests(spark, guests_csv):
     from cleanloom.sources.csv import read_csv
 
     return read_csv(spark, guests_csv).cache()
-
-
-def single_partition_exchanges(df) -> int:
-    return df._jdf.queryExecution().explainString(
-        df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")).count("SinglePartition")

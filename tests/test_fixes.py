@@ -6,7 +6,7 @@ from cleanloom.operators import fixes
 from cleanloom.operators.checks import detect_issues
 from cleanloom.operators.fixes import FIXES, apply_fix
 
-from conftest import single_partition_exchanges
+from physical import single_partition_exchanges
 
 
 def values(df, column="c"):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from cleanloom.functions.ordering import dense_numbers, forward_fill, key_ranges, stochastic_fill
 
-from conftest import single_partition_exchanges
+from physical import single_partition_exchanges
 
 
 @pytest.fixture(scope="module")
