@@ -327,7 +327,8 @@ def predicted(docs: DataFrame, model: Field, text_col: str = "text", name: str =
                 scores += found[1]
             yield pd.DataFrame({"lang": langs, "score": scores})
 
-    return docs.withColumn(name, label(ref(text_col)))
+    # Marked so, it is never copied into each place that reads the column: a text is labelled once.
+    return docs.withColumn(name, label.asNondeterministic()(ref(text_col)))
 
 
 def word_labels(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -191,16 +191,19 @@ class _New:
     """Classes a task has not met yet; when the memory is full it starts again, and some lines come twice."""
 
     def __init__(self):
-        self.seen: set = set()
+        self.seen = np.zeros(0, np.uint64)  # in order
 
     def __call__(self, cls: np.ndarray) -> np.ndarray:
         if len(self.seen) > SEEN_LINES:
-            self.seen = set()
+            self.seen = self.seen[:0]
+        values, first = np.unique(cls.astype(np.uint64), return_index=True)
+        at = np.searchsorted(self.seen, values)
+        fresh = np.ones(len(values), bool)
+        inside = at < len(self.seen)
+        fresh[inside] = self.seen[at[inside]] != values[inside]
+        self.seen = np.insert(self.seen, at[fresh], values[fresh])
         new = np.zeros(len(cls), bool)
-        for i, c in enumerate(cls.tolist()):
-            if c not in self.seen:
-                self.seen.add(c)
-                new[i] = True
+        new[first[fresh]] = True
         return new
 
 

@@ -105,3 +105,9 @@ def test_no_labelled_document(spark, make_docs):
 def test_documents_stay_without_a_model(spark, make_docs):
     docs = make_docs((1, "ka ro"), (2, None), (3, "12 !"), (4, "\u00e9"))
     assert sorted(r["doc_id"] for r in langid.kept(docs).collect()) == [1, 4]
+
+
+def test_the_filter_labels_each_text_once(spark, make_docs):
+    docs = make_docs(*[(i, "the cat and the dog" if i % 2 else "der hund und die katze", "en" if i % 2 else "de") for i in range(40)])
+    plan = langid.kept(docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
