@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cleanloom.llm import ann, exactdedup, langid, license, linededup, mixing, packing, pii, simhash, warc
+from cleanloom.llm import ann, exactdedup, langid, license, linededup, mixing, packing, pii, simhash, trie, warc
 from cleanloom.llm.common import table
 
 
@@ -70,11 +70,21 @@ def op10_simhash(spark, sf_dir):
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_trie(spark, sf_dir):
+    """The prefix trie of all rebuilt conversations."""
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {query.__name__: query for query in (
-    op1_nearest, op2_language, op3_line_dedup, op4_license, op5_mixing, op6_warc, op7_exact_dedup, op8_packing, op9_pii, op10_simhash)}
+    op1_nearest, op2_language, op3_line_dedup, op4_license, op5_mixing, op6_warc, op7_exact_dedup, op8_packing, op9_pii, op10_simhash,
+    op13_trie)}
 
 _ROUNDS = 6  # rounds of resharing written out below; the given tables settle in fewer
 
+# The CRC-32 of a decimal number: its digits, each followed by eight shifts.
+_CRC32 = """xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT),
+             lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 # 40 hex digits are 8 groups of 20 bits, each of them 4 letters.
 _LETTERS = " || ".join(f"substr('{_BASE32}', ((('0x' || substr(sha1(html), {5 * g + 1}, 5))::BIGINT >> {s}) & 31)::INT + 1, 1)"
@@ -113,4 +123,26 @@ SQL = {
         SELECT doc_id, source, size, source_size, target,
                (((step * nth + u) >> {mixing.UNIT_BITS}) - ((step * (nth - 1) + u) >> {mixing.UNIT_BITS})) * size AS taken
         FROM p""",
+    "op13_trie": f"""
+        WITH t AS (SELECT conv_id, coalesce(role, '') AS role, md5(coalesce(text, '')) AS body, length(coalesce(text, '')) AS chars,
+                          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS pos
+                   FROM conversations WHERE conv_id IS NOT NULL),
+        p AS (SELECT conv_id, {_CRC32} % {trie.MOST_HEAD + 1} AS h,
+                     list(length(role) || ':' || role || body ORDER BY pos) AS turns, list(chars ORDER BY pos) AS chars FROM t GROUP BY conv_id),
+        r AS (SELECT p.conv_id, coalesce(q.turns[1:p.h], []) || p.turns[p.h + 1:] AS turns, coalesce(q.chars[1:p.h], []) || p.chars[p.h + 1:] AS chars
+              FROM p LEFT JOIN p q ON q.conv_id = p.conv_id - p.conv_id % {trie.FAMILY}),
+        m AS (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM r),
+        n AS (SELECT md5(array_to_string(turns[1:d], ',')) AS node, d, any_value(turns[1:d]) AS path, min(conv_id) AS conv_id, count(*) AS n_convs,
+                     any_value(CASE WHEN d > 0 THEN chars[d] ELSE 0 END) AS chars,
+                     coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(turns) = d), '') AS ends
+              FROM m GROUP BY md5(array_to_string(turns[1:d], ',')), d),
+        u AS (SELECT *, md5(array_to_string(path[1:d - 1], ',')) AS above FROM n),
+        c AS (SELECT above, d - 1 AS d, count(*) AS n_children FROM u WHERE d > 0 GROUP BY above, d),
+        w AS (SELECT n.*, coalesce(c.n_children, 0) AS n_children FROM u n LEFT JOIN c ON c.above = n.node AND c.d = n.d),
+        e AS (SELECT path, n_children, (n_convs - 1) * chars AS saved, unnest(range(0, d + 1)) AS k FROM w),
+        s AS (SELECT md5(array_to_string(path[1:k], ',')) AS node, k AS d, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved
+              FROM e GROUP BY 1, 2)
+        SELECT w.conv_id, w.d::BIGINT AS depth, o.conv_id AS parent_conv_id, w.n_convs, w.n_children, s.n_leaves, s.saved::BIGINT AS saved_tokens,
+               sha256(w.ends) AS ends_sha256
+        FROM w JOIN s ON s.node = w.node AND s.d = w.d LEFT JOIN n o ON o.node = w.above AND o.d = w.d - 1""",
 }
