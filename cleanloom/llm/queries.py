@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cleanloom.llm import ann, exactdedup, langid, license, linededup, mixing, packing, pii, simhash, trie, warc
+from cleanloom.llm import ann, exactdedup, filteraudit, langid, license, linededup, mixing, packing, pii, simhash, trie, warc
 from cleanloom.llm.common import table
 
 
@@ -70,6 +70,11 @@ def op10_simhash(spark, sf_dir):
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op12_audit(spark, sf_dir):
+    """What every filter removes in every order of the filters, by source."""
+    return filteraudit.audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
+
+
 def op13_trie(spark, sf_dir):
     """The prefix trie of all rebuilt conversations."""
     return trie.prefix_trie(table(spark, sf_dir, "conversations"))
@@ -77,7 +82,7 @@ def op13_trie(spark, sf_dir):
 
 QUERIES = {query.__name__: query for query in (
     op1_nearest, op2_language, op3_line_dedup, op4_license, op5_mixing, op6_warc, op7_exact_dedup, op8_packing, op9_pii, op10_simhash,
-    op13_trie)}
+    op12_audit, op13_trie)}
 
 _ROUNDS = 6  # rounds of resharing written out below; the given tables settle in fewer
 
@@ -123,6 +128,29 @@ SQL = {
         SELECT doc_id, source, size, source_size, target,
                (((step * nth + u) >> {mixing.UNIT_BITS}) - ((step * (nth - 1) + u) >> {mixing.UNIT_BITS})) * size AS taken
         FROM p""",
+    "op12_audit": r"""
+        WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+                          regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least
+                   FROM documents),
+        l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+        m AS (SELECT part, CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+                       + CASE WHEN 100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text) THEN 4 ELSE 0 END
+                       + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > least THEN 16 ELSE 0 END AS mask,
+                     coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+              FROM d LEFT JOIN l USING (doc_id)),
+        c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS t FROM m GROUP BY part, mask),
+        f AS (SELECT chr(65 + i::INT) AS letter, 1 << i::INT AS bit FROM range(5) r(i)),
+        o AS (SELECT a.letter || b.letter || x.letter || y.letter || z.letter AS filter_order, [a.bit, b.bit, x.bit, y.bit, z.bit] AS bits
+              FROM f a, f b, f x, f y, f z WHERE a.bit + b.bit + x.bit + y.bit + z.bit = 31 AND len(list_distinct([a.bit, b.bit, x.bit, y.bit, z.bit])) = 5),
+        s AS (SELECT filter_order, i::INT AS step, bits[i] AS own, coalesce(list_sum(bits[1:i - 1]), 0)::INT AS before FROM o, range(1, 6) r(i)),
+        e AS (SELECT part, filter_order, step, own, sum(CASE WHEN mask & (own | before) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+                     sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+                     sum(CASE WHEN mask & own <> 0 AND mask & before <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+                     sum(CASE WHEN mask = own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+                     sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN g ELSE 0 END)::BIGINT AS good_lost,
+                     sum(CASE WHEN mask & own <> 0 AND mask & before = 0 THEN t ELSE 0 END)::BIGINT AS toxic_lost
+              FROM c, s GROUP BY part, filter_order, step, own)
+        SELECT * EXCLUDE (own), sum(removed) OVER (PARTITION BY part, own)::BIGINT AS shapley FROM e""",
     "op13_trie": f"""
         WITH t AS (SELECT conv_id, coalesce(role, '') AS role, md5(coalesce(text, '')) AS body, length(coalesce(text, '')) AS chars,
                           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), md5(coalesce(text, ''))) AS pos
