@@ -141,6 +141,7 @@ def counters(spark: SparkSession, path: str, labels: DataFrame, core_bytes: int
     session.conf.set("spark.sql.shuffle.partitions", str(max(cores, -(-size // STATE_BYTES))))
     where = {name: scratch_path(spark, f"audit-{name}") for name in ("labels", "changes", "progress")}
     label_flags(labels).write.parquet(where["labels"])  # written once, not worked out again in every micro-batch
+    path = f"{path.rstrip('/')[:-1]}[{path.rstrip('/')[-1]}]"  # as a pattern, a path may name a single file as well as a folder
     stream = session.readStream.schema(files.schema).option("maxBytesPerTrigger", str(core_bytes * cores)).parquet(path)
     query = (changes(stream, session.read.parquet(where["labels"]), **columns).writeStream.format("parquet").outputMode("append")
              .option("path", where["changes"]).option("checkpointLocation", where["progress"]).trigger(availableNow=True).start())
