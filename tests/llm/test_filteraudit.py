@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 from itertools import permutations
 
+import pandas as pd
 import pytest
 
 from cleanloom.llm import filteraudit
@@ -90,10 +91,11 @@ def test_smaller_ids_retract_what_was_counted(spark, files, monkeypatch):
     assert changes.filter("n < 0").count() >= 1  # files of one age come in any order, but 9 and 5 are never in one batch
 
 
-def test_copies_reach_their_key_combined(spark):
-    import pandas as pd
-    batch = pd.DataFrame({"digest": ["x"] * 1000 + ["y"], "id": [*range(1000), 3], "part": "p", "mask": 1, "good": False, "toxic": False})
-    assert [len(found) for found in filteraudit._combined_records(iter([batch]))] == [3]
+def test_one_record_of_a_text_reaches_its_key(spark):
+    batch = pd.DataFrame({"digest": ["ff" * 16] * 1000 + ["00" * 16], "id": [*range(1000), 3], "part": "p", "mask": 1})
+    [found] = filteraudit._records(iter([batch]))
+    assert found["n"].sum() == 1001
+    assert sorted(found.loc[found["kind"] == filteraudit.AT_LEAST, ["d1", "id"]].itertuples(index=False, name=None)) == [(-1, 0), (0, 3)]
 
 
 def test_empty_table(spark, files):
