@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cleanloom.llm import ann, exactdedup, filteraudit, langid, license, linededup, mixing, packing, pii, simhash, trie, warc
+from cleanloom.llm import ann, exactdedup, filteraudit, langid, license, linededup, minhash, mixing, packing, pii, simhash, trie, warc
 from cleanloom.llm.common import table
 
 
@@ -70,6 +70,11 @@ def op10_simhash(spark, sf_dir):
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_minhash(spark, sf_dir):
+    """Components of whole texts at a Jaccard similarity of 0.85 or more on three-word shingles."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 def op12_audit(spark, sf_dir):
     """What every filter removes in every order of the filters, by source."""
     return filteraudit.audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
@@ -82,7 +87,7 @@ def op13_trie(spark, sf_dir):
 
 QUERIES = {query.__name__: query for query in (
     op1_nearest, op2_language, op3_line_dedup, op4_license, op5_mixing, op6_warc, op7_exact_dedup, op8_packing, op9_pii, op10_simhash,
-    op12_audit, op13_trie)}
+    op11_minhash, op12_audit, op13_trie)}
 
 _ROUNDS = 6  # rounds of resharing written out below; the given tables settle in fewer
 
