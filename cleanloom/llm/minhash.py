@@ -18,7 +18,9 @@ linked when the Jaccard similarity of their sets is at least ``PERCENT``, in who
    passed over. What passes the estimate is confirmed, and components are taken anew. So every candidate pair between different components
    is compared, whatever the size of its band, and no group's pairs are listed.
 
-A hub's set is dealt in as many copies as its candidates need (one for each ``SPREAD``), so that a hub with a third of all nodes is no hot key.
+Sets are not stored: what is stored of a document is its signature. Where links are confirmed, the texts of the nodes in question meet and their sets are
+made again; a hub's text comes first and its candidates stream past it. It is dealt in as many copies as its candidates need (one for each ``SPREAD``), so
+that a hub with a third of all nodes is no hot key.
 
 Defined cases: null text counts as empty; rows without id get their component's smallest id, null if no member has one; a row of such a component
 without any id stays; rows that repeat an id are documents of their own; a very long text is hashed in parts; an empty table gives no
@@ -150,8 +152,8 @@ def _sizes_fit(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
 
 
-def document_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, tag, d1, d2, n, signature, members): a row per input row; d1, d2 tell sets apart."""
+def document_signatures(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, tag, d1, d2, n, signature): a row per input row; d1, d2 tell sets apart."""
     def run(batches):
         for batch in batches:
             sets = shingle_sets(batch["text"].tolist(), shingle)
@@ -160,10 +162,10 @@ def document_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) ->
             low = np.stack([low_bits(s) for s in sets]) if sets else np.zeros((0, MINIMA), np.uint8)
             pair = np.array(digests, np.uint64).reshape(-1, 2).view(np.int64)
             yield pd.DataFrame({"id": batch["id"], "tag": batch["tag"], "d1": pair[:, 0], "d2": pair[:, 1], "n": [len(s) for s in sets],
-                                "signature": [p.tobytes() for p in planes(low)], "members": [s.tobytes() for s in sets]})
+                                "signature": [p.tobytes() for p in planes(low)]})
 
     rows = docs.select(ref(id_col).cast("long").alias("id"), F.xxhash64(ref(text_col)).alias("tag"), ref(text_col).alias("text"))
-    return rows.mapInPandas(run, "id long, tag long, d1 long, d2 long, n long, signature binary, members binary")
+    return rows.mapInPandas(run, "id long, tag long, d1 long, d2 long, n long, signature binary")
 
 
 # ---------------------------------------------------------------- candidates
@@ -230,28 +232,46 @@ def _block_pairs(percent: int):
     return runs
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; sets of nodes with many pairs are dealt in copies."""
-    copies = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("copies"))
-    own = (sets.join(copies, F.col("node") == F.col("a")).select("a", "copies", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"),
-                                                                F.col("members").alias("ma")))
-    salted = pairs.join(copies, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int")).drop("copies")
-    met = salted.join(sets.select(F.col("node").alias("b"), F.col("members").alias("mb")), "b").join(own.drop("copies"), ["a", "salt"])
-
+def _hub_links(percent: int, shingle: int):
     def run(batches):
+        """Rows come in order of (hub, copy), the hub's own text before those of its candidates."""
+        own = None
         for batch in batches:
-            good = []
-            for x, y in zip(batch["ma"], batch["mb"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
+            good = np.zeros(len(batch), bool)
+            for i, (member, found) in enumerate(zip(batch["member"], shingle_sets(batch["text"].tolist(), shingle))):
+                if not member:
+                    own = found
+                    continue
+                both = len(np.intersect1d(own, found, assume_unique=True))
+                good[i] = 100 * both >= percent * (len(own) + len(found) - both)
             yield batch.loc[good, ["a", "b"]]
 
-    return met.select("a", "b", "ma", "mb").mapInPandas(run, "a long, b long")
+    return run
 
 
-def links(nodes: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): links that connect just the components of all similar nodes. ``nodes`` has node, n, signature; ``sets`` node, members."""
+def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int, shingle: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough; a is the hub. ``texts`` has node and text."""
+    copies = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SPREAD).cast("int").alias("copies"))
+    hubs = texts.join(copies.withColumnRenamed("a", "node"), "node").select(
+        F.col("node").alias("a"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(0).cast("long").alias("b"),
+        F.lit(False).alias("member"), "text")
+    members = (pairs.join(copies, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int"))
+               .join(texts.withColumnRenamed("node", "b"), "b").select("a", "salt", "b", F.lit(True).alias("member"), "text"))
+    return (hubs.unionByName(members).repartition(shuffle_partitions(texts.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "member")
+            .mapInPandas(_hub_links(percent, shingle), "a long, b long"))
+
+
+def node_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, text) of the nodes in ``wanted`` (node, id, tag), one text each; all texts are shuffled once."""
+    key = ["none", "own", "tag"]
+    named = lambda id_, tag: [id_.isNull().alias("none"), F.coalesce(id_, F.lit(0)).alias("own"), tag.alias("tag")]
+    rows = docs.select(*named(ref(id_col).cast("long"), F.xxhash64(ref(text_col))), ref(text_col).alias("text"))
+    one = rows.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1)))).filter("nth = 1").drop("nth")
+    return one.join(wanted.select("node", *named(F.col("id"), F.col("tag"))), key).select("node", "text")
+
+
+def links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
+    """(a, b): links that connect just the components of all similar nodes. ``nodes`` has node, n, signature, and id and tag of a row of ``docs``."""
     partitions = shuffle_partitions(nodes.sparkSession)
     bands = nodes.select("node", "signature").mapInPandas(_band_rows, "band int, value long, node long")
     key = ["band", "value"]
@@ -265,8 +285,9 @@ def links(nodes: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFram
     left = seen.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("signature").alias("sa"))
     right = seen.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("signature").alias("sb"))
     likely = stored(stars.join(right, "b").join(left, "a").mapInPandas(_likely(percent), "a long, b long"), "likely")
-    wanted = stored(sets.join(shared.select("node").distinct(), "node", "left_semi"), "wanted-sets")
-    first = stored(_confirmed(likely, wanted, percent), "star-links")
+    wanted = shared.select("node").distinct().join(nodes.select("node", "id", "tag"), "node")
+    texts = stored(node_texts(docs, wanted, id_col, text_col), "node-texts")
+    first = stored(_confirmed(likely, texts, percent, shingle), "star-links")
 
     roots = components(first)
     held = shared.select(*key, "node").join(roots.withColumnRenamed("vertex", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -283,17 +304,17 @@ def links(nodes: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFram
     everyone = members.select(*carried, F.lit(False).alias("block"), upto(blocks).alias("at"), spread(parts).alias("part"))
     met = (outside.unionByName(everyone).repartition(partitions, *key, "part", "at").sortWithinPartitions(*key, "part", "at")
            .mapInPandas(_block_pairs(percent), "a long, b long").distinct())
-    return first.unionByName(_confirmed(stored(met, "crossing"), wanted, percent))
+    return first.unionByName(_confirmed(stored(met, "crossing"), texts, percent, shingle))
 
 
 # ---------------------------------------------------------------- documents
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(id, tag, n_shingles, root, component_id, kept): a row per input row; ``kept`` is true for those with their component's smallest id."""
-    rows = stored(document_sets(docs, id_col, text_col, shingle), "sets")
-    same = rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.min("signature").alias("signature"))
-    nodes = stored(same.withColumn("node", F.monotonically_increasing_id()), "set-nodes")
-    sets = (rows.filter("n > 0").join(nodes.select("d1", "d2", "node"), ["d1", "d2"]).select("node", "members").dropDuplicates(["node"]))
-    roots = components(links(nodes, sets, percent))
+    rows = stored(document_signatures(docs, id_col, text_col, shingle), "signatures")
+    same = rows.filter("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("first"), F.max("n").alias("n"), F.min("signature").alias("signature"),
+                                                        F.min(F.struct("id", "tag")).alias("row"))
+    nodes = stored(same.select("*", "row.*", F.monotonically_increasing_id().alias("node")).drop("row"), "set-nodes")
+    roots = components(links(nodes, docs, id_col, text_col, percent, shingle))
     linked = nodes.select("node", "first").join(roots.withColumnRenamed("vertex", "node"), "node")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     settled = linked.join(least, "root").select("node", "root", "least")
