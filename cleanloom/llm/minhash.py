@@ -14,9 +14,9 @@ linked when the Jaccard similarity of their sets is at least ``PERCENT``, in who
 4. Stars: in each band the members are compared with one hub only, the member with the most company in all its bands, which stands
    in the middle of a family of variants. Confirmed links give components.
 5. Only bands whose members lie in several components are looked at again. Members outside the band's largest component are compared with all members, in
-   blocks of ``BLOCK`` against ``PART`` dealt over the tasks, packed signatures only; pairs inside one component, and pairs that an earlier band compares, are
-   passed over. What passes the estimate is confirmed, and components are taken anew. So every candidate pair between different components
-   is compared, whatever the size of its band, and no group's pairs are listed.
+   blocks of ``BLOCK`` against ``PART`` dealt over the tasks; pairs inside one component, and pairs that an earlier band compares, are
+   passed over. What passes the estimate is confirmed on the full sets at the place, and only links that tie two components leave the task. So every
+   candidate pair between different components is compared, whatever the size of its band, and no group's pairs are listed.
 
 Sets are not stored: what is stored of a document is its signature. Where links are confirmed, the texts of the nodes in question meet and their sets are
 made again; a hub's text comes first and its candidates stream past it. It is dealt in as many copies as its candidates need (one for each ``SPREAD``), so
@@ -42,8 +42,9 @@ SHINGLE, PERCENT = 3, 85
 BANDS, ROWS, BITS = 32, 6, 8
 MINIMA = BANDS * ROWS
 SIGMAS = 6
-BLOCK, PART = 256, 1024
-SPREAD = 1024  # candidates of a node that meet one copy of its set
+BLOCK, PART = 256, 1024  # members
+BLOCK_SHINGLES = 1 << 19
+SPREAD = 256  # candidates of a node that meet one copy of its set
 TEXT_BYTES = 1 << 20  # of text hashed at a time
 SET_ROWS = 1 << 13  # shingles whose functions are worked out at a time
 SEED = 42
@@ -191,8 +192,8 @@ def _likely(percent: int):
     return run
 
 
-def _block_pairs(percent: int):
-    """Likely pairs of one block of members against one part of all members of a band."""
+def _block_links(percent: int, shingle: int):
+    """Links between one block of members and one part of all members of a band; a batch gives fewer links than it has nodes."""
     least = least_estimate(percent)
 
     def compared(rows: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
@@ -200,7 +201,7 @@ def _block_pairs(percent: int):
         packed = _unpacked(rows["signature"])
         values = band_values(packed)
         node, root, n, band, block = (rows[c].to_numpy() for c in ("node", "root", "n", "band", "block"))
-        found = [np.zeros((2, 0), np.int64)]
+        likely = []
         for start, end in zip(cuts[:-1], cuts[1:]):
             inside = np.arange(start, end)
             left, right = inside[block[start:end]], inside[~block[start:end]]
@@ -208,11 +209,29 @@ def _block_pairs(percent: int):
                 at = right[root[right] != root[i]]
                 at = at[_sizes_fit(n[at], n[i], percent)]
                 at = at[~(values[at, :band[i]] == values[i, :band[i]]).any(axis=1)]  # an earlier band compares these
+                at = at[estimate(packed[i], packed[at]) >= least]
                 if len(at):
-                    at = at[estimate(packed[i], packed[at]) >= least]
-                    found.append(np.stack([np.minimum(node[at], node[i]), np.maximum(node[at], node[i])]))
-        pairs = np.concatenate(found, axis=1)
-        return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
+                    likely.append((i, at))
+        needed = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.append(at, i) for i, at in likely)]))
+        sets = dict(zip(needed.tolist(), shingle_sets(rows["text"].iloc[needed].tolist(), shingle)))
+        joined: dict[int, int] = {}  # components that a link of this batch has tied to another one
+
+        def top(at):
+            while at in joined:
+                at = joined[at]
+            return at
+
+        found = []
+        for i, others in likely:
+            for j in others.tolist():
+                x, y = top(int(root[i])), top(int(root[j]))
+                if x == y:
+                    continue
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    joined[x] = y
+                    found.append((node[i], node[j]))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     def runs(batches):
         """Rows come in order of their group; the last group of a batch goes on in the next one."""
@@ -290,21 +309,26 @@ def links(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent
     first = stored(_confirmed(likely, texts, percent, shingle), "star-links")
 
     roots = components(first)
-    held = shared.select(*key, "node").join(roots.withColumnRenamed("vertex", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sized = held.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("size"))
-    several = sized.groupBy(*key).agg(F.count(F.lit(1)).alias("roots"), F.max(F.struct("size", "root"))["root"].alias("core"),
-                                      F.sum("size").alias("all"), F.max("size").alias("most")).filter("roots > 1")
-    members = stored(held.join(several, key).join(seen, "node"), "members")
-    blocks = F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int")
-    parts = F.ceil(F.col("all") / PART).cast("int")
-    spread = lambda count: F.pmod(F.xxhash64("node", *key), count).cast("int")
-    upto = lambda count: F.explode(F.sequence(F.lit(0), count - 1))
-    carried = [*key, "node", "root", "n", "signature"]
-    outside = members.filter("root <> core").select(*carried, F.lit(True).alias("block"), spread(blocks).alias("at"), upto(parts).alias("part"))
-    everyone = members.select(*carried, F.lit(False).alias("block"), upto(blocks).alias("at"), spread(parts).alias("part"))
+    held = (shared.select(*key, "node").join(roots.withColumnRenamed("vertex", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+            .join(seen, "node"))
+    sized = held.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("weight"))
+    core = F.max(F.struct("size", "root", "weight"))
+    several = sized.groupBy(*key).agg(F.count(F.lit(1)).alias("roots"), core.alias("core"), F.sum("size").alias("size"),
+                                      F.sum("weight").alias("weight")).filter("roots > 1")
+    # Long texts fill a block sooner: a block is bounded by members and by their shingles.
+    blocks = F.ceil((F.col("size") - F.col("core.size")) / BLOCK + (F.col("weight") - F.col("core.weight")) / BLOCK_SHINGLES).cast("int")
+    parts = F.ceil(F.col("size") / PART + F.col("weight") / (BLOCK_SHINGLES * PART // BLOCK)).cast("int")
+    several = several.select(*key, F.col("core.root").alias("core"), blocks.alias("blocks"), parts.alias("parts"))
+    members = stored(held.join(several, key), "members")
+    spread = lambda count: F.pmod(F.xxhash64("node", *key), F.col(count)).cast("int")
+    upto = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    carried = [*key, "node", "root", "n", "signature", "text"]
+    told = members.join(texts, "node")
+    outside = told.filter("root <> core").select(*carried, F.lit(True).alias("block"), spread("blocks").alias("at"), upto("parts").alias("part"))
+    everyone = told.select(*carried, F.lit(False).alias("block"), upto("blocks").alias("at"), spread("parts").alias("part"))
     met = (outside.unionByName(everyone).repartition(partitions, *key, "part", "at").sortWithinPartitions(*key, "part", "at")
-           .mapInPandas(_block_pairs(percent), "a long, b long").distinct())
-    return first.unionByName(_confirmed(stored(met, "crossing"), texts, percent, shingle))
+           .mapInPandas(_block_links(percent, shingle), "a long, b long"))
+    return first.unionByName(stored(met, "crossing"))
 
 
 # ---------------------------------------------------------------- documents

@@ -64,6 +64,7 @@ def test_crowded_bands_are_compared_in_blocks(spark, make_docs, monkeypatch):
     """A band that many unlinked nodes share loses no pair, however finely it is dealt."""
     monkeypatch.setattr(minhash, "BLOCK", 4)
     monkeypatch.setattr(minhash, "PART", 8)
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", 400)
     monkeypatch.setattr(minhash, "SPREAD", 3)
     docs = corpus(2)
     assert got(make_docs(*docs)) == by_hand(docs)
