@@ -6,11 +6,15 @@ Every function here returns a result whose size depends on the number of columns
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cleanloom.session import scratch_path
+
 # More expressions than this go into a further pass: one generated aggregate stays compilable.
 FUSE_LIMIT = 300
 # Up to this many values the built-in exact percentile (a value -> count map) is safe in one task.
@@ -24,6 +28,10 @@ SPREAD_BYTES = 512 << 20
 LONG_TEXT_BYTES = 64
 PREFIX = 16
 DIGEST_MARK = "\u0000sha256:"
+# Where longer beginnings are compared, they grow by this factor.
+DEEPER = 16
+# Up to this many texts of a column are compared whole to settle a tie.
+CONTENDERS = 1000
 # Rank accuracy of the sketch that brackets a percentile on larger data.
 SKETCH_ACCURACY = 10_000
 
@@ -216,16 +224,16 @@ def median(df: DataFrame, column: Column, **options) -> float | None:
 
 
 # ---------------------------------------------------------------- value counts
-def compact(column: Column) -> Column:
+def compact(column: Column, prefix: int = PREFIX) -> Column:
     """The text itself when short, else its first characters and a SHA-256 digest.
 
-    No short text equals a compacted one: those are longer than the limit.
+    No short text equals a compacted one: those are longer than the limit, and have at least ``prefix`` characters.
     """
-    return F.when(F.octet_length(column) <= LONG_TEXT_BYTES, column).otherwise(
-        F.concat(F.left(column, F.lit(PREFIX)), F.lit(DIGEST_MARK), F.sha2(column.cast("binary"), 256)))
+    return F.when(F.octet_length(column) <= LONG_TEXT_BYTES // PREFIX * prefix, column).otherwise(
+        F.concat(F.left(column, F.lit(prefix)), F.lit(DIGEST_MARK), F.sha2(column.cast("binary"), 256)))
 
 
-def value_counts(df: DataFrame, columns: dict[str, Column], first_by: list[Column] | None = None) -> DataFrame:
+def value_counts(df: DataFrame, columns: dict[str, Column], first_by: list[Column] | None = None, prefix: int = PREFIX) -> DataFrame:
     """Long form (column, value, n[, first_key]) of the non-null values of several text columns.
 
     A single pass feeds one two-level aggregation for all columns. Counts are combined before the
@@ -237,7 +245,7 @@ def value_counts(df: DataFrame, columns: dict[str, Column], first_by: list[Colum
     # The values are worked out once, in a projection of their own, before they are compacted.
     base = spread(df).select(*[columns[name].alias(f"v{i}") for i, name in enumerate(names)], *key)
     pairs = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("c"), compact(F.col(f"v{i}")).alias("value")) for i in range(len(names))]))
+        F.struct(F.lit(i).alias("c"), compact(F.col(f"v{i}"), prefix).alias("value")) for i in range(len(names))]))
     long = base.select(pairs.alias("p"), *(["k"] if first_by else [])).select(
         F.col("p.c").alias("c"), F.col("p.value").alias("value"), *(["k"] if first_by else [])).filter("value IS NOT NULL")
     aggs = [F.count(F.lit(1)).alias("n")] + ([F.min("k").alias("first_key")] if first_by else [])
@@ -252,36 +260,81 @@ def long_columns(df: DataFrame, columns: dict[str, Column]) -> list[str]:
     return [c for c in columns if (found[c] or 0) > LONG_TEXT_BYTES]
 
 
-def top_values(counts: DataFrame, n: int, by_first: bool = False, whole: tuple[DataFrame, dict[str, Column]] | None = None) -> DataFrame:
+def top_values(counts: DataFrame, n: int, by_first: bool = False, whole: tuple[DataFrame, dict[str, Column]] | None = None,
+               long: list[str] | None = None) -> DataFrame:
     """At most ``n`` values per column, most frequent first (ties: smallest) or first seen.
 
-    ``whole`` is the frame and the columns the values come from. With it, long texts are ordered and shown whole: all values that
-    could be among the first are kept, only these get their texts back, and then they are ranked.
+    ``whole`` is the frame and the columns the values come from, ``long`` those of them that hold long texts, where that is known. With it,
+    long texts are ordered and shown whole: the few that may be among the first get their texts back, and then they are ranked.
     """
-    columns = {c: whole[1][c] for c in long_columns(*whole)} if whole else {}
-    if columns:
-        # What the compact form leaves open: the order of texts with equal counts, or with equal beginnings.
-        tie = [F.left(F.col("first_key"), F.lit(PREFIX))] if by_first and dict(counts.dtypes)["first_key"] == "string" else \
-            [F.col("first_key")] if by_first else [F.col("n").desc()]
-        near = counts.withColumn("near", F.rank().over(Window.partitionBy("column").orderBy(*tie))).filter(F.col("near") <= n).drop("near")
-        counts = _with_whole_texts(near, whole[0], columns, by_first)
+    if whole:
+        columns = {c: whole[1][c] for c in (long_columns(*whole) if long is None else long) if c in whole[1]}
+        if columns:
+            near = _contenders(counts, n, by_first, whole[0], columns)
+            counts = counts.filter(~F.col("column").isin(*columns)).unionByName(_with_whole_texts(near, whole[0], columns, by_first))
     order = [F.col("first_key"), F.col("value")] if by_first else [F.col("n").desc(), F.col("value")]
     return (counts.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(*order)))
             .filter(F.col("rank") <= n))
 
 
+def _contenders(counts: DataFrame, n: int, by_first: bool, df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """The counted values of ``columns`` that may be among the first ``n``: fewer than n that surely are, and at most ``CONTENDERS`` that tie.
+
+    Values are ranked by count (or place) and beginning; a task keeps n of them. What ties with the n-th is open. Where too many do,
+    as with a column of texts that all begin alike, only the rows of that beginning are counted again, by a longer one.
+    """
+    by_value = by_first and dict(counts.dtypes)["first_key"] == "string"  # the value itself is what comes first
+    names, need, level = list(counts.columns), dict.fromkeys(columns, n), PREFIX
+    source, parts = _kept_counts(counts.filter(F.col("column").isin(*columns))), []
+    while need:
+        head = F.left("value", F.lit(level))
+        tie = head if by_value else F.col("first_key") if by_first else -F.col("n")
+        keyed = source.withColumn("__tie", tie).withColumn("__head", head)
+        place = F.row_number().over(Window.partitionBy("column").orderBy("__tie", "__head"))
+        wanted = F.coalesce(*[F.when(F.col("column") == c, k) for c, k in need.items()], F.lit(0))
+        edges = keyed.withColumn("__place", place).filter(F.col("__place") <= n).filter(F.col("__place") == wanted).select(
+            "column", F.struct("__tie", "__head").alias("__edge"))  # one row for each column
+        keyed = keyed.join(F.broadcast(edges), "column", "left").withColumn("__at", F.struct("__tie", "__head"))
+        sure, level_with = F.col("__edge").isNull() | (F.col("__at") < F.col("__edge")), F.col("__at") == F.col("__edge")
+        told = keyed.groupBy("column").agg(F.count(F.when(sure, 1)).alias("sure"), F.count(F.when(level_with, 1)).alias("open"),
+                                           F.max("__edge.__head").alias("head")).collect()
+        # A place that is no text is the same for several values only where the given key repeats; these are few.
+        deeper = {r["column"]: r for r in told if r["open"] > CONTENDERS and not (by_first and not by_value)}
+        parts.append(keyed.filter(sure | (level_with & ~F.col("column").isin(*deeper))).select(*names))
+        need = {c: need[c] - r["sure"] for c, r in deeper.items()}
+        if need:
+            level *= DEEPER
+            again = {c: F.when(columns[c].startswith(r["head"]), columns[c]) for c, r in deeper.items()}
+            rows = value_counts(df.filter(reduce(or_, [F.coalesce(e.isNotNull(), F.lit(False)) for e in again.values()])), again, prefix=level)
+            if by_value:
+                rows = rows.withColumn("first_key", F.col("value"))
+            else:
+                rows = rows.join(F.broadcast(edges.select("column", "__edge.__tie")), "column").filter(F.col("__tie") == -F.col("n")).drop("__tie")
+            source = _kept_counts(rows.select(*names))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _kept_counts(counts: DataFrame) -> DataFrame:
+    """Counted values on shared storage; several passes read them."""
+    path = scratch_path(counts.sparkSession, "counted")
+    counts.write.parquet(path)
+    return counts.sparkSession.read.schema(counts.schema).parquet(path)
+
+
 def _with_whole_texts(counts: DataFrame, df: DataFrame, columns: dict[str, Column], by_first: bool) -> DataFrame:
-    """Counted values with the whole text in place of the compacted one."""
+    """Counted values, few for each column, with the whole text in place of the compacted one."""
     names = list(columns)
+    digest = F.when(F.col("value").contains(DIGEST_MARK), F.substring_index("value", DIGEST_MARK, -1))
     base = df.select(*[columns[c].alias(f"v{i}") for i, c in enumerate(names)])
     texts = base.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"v{i}").alias("whole")) for i, c in enumerate(names)])).alias("t"))
-    texts = texts.select("t.*").filter(F.octet_length("whole") > LONG_TEXT_BYTES).withColumn("value", compact(F.col("whole")))
-    asked = counts.filter(F.col("value").contains(DIGEST_MARK)).select("column", "value")
-    found = texts.join(asked, ["column", "value"], "left_semi").groupBy("column", "value").agg(F.min("whole").alias("whole"))
-    joined = counts.join(found, ["column", "value"], "left")
+    texts = texts.select("t.*").filter(F.octet_length("whole") > LONG_TEXT_BYTES).withColumn("digest", F.sha2(F.col("whole").cast("binary"), 256))
+    counts = counts.withColumn("digest", digest)
+    asked = F.broadcast(counts.filter("digest IS NOT NULL").select("column", "digest"))  # bounded by CONTENDERS for each column
+    found = texts.join(asked, ["column", "digest"], "left_semi").groupBy("column", "digest").agg(F.min("whole").alias("whole"))
+    joined = counts.join(found, ["column", "digest"], "left")
     text = F.coalesce("whole", "value")
     first = [text.alias("first_key") if dict(counts.dtypes)["first_key"] == "string" else F.col("first_key")] if by_first else []
-    kept = [c for c in counts.columns if c not in ("column", "value", "first_key")]
+    kept = [c for c in counts.columns if c not in ("column", "value", "first_key", "digest")]
     return joined.select("column", text.alias("value"), *kept, *first)
 
 
@@ -307,7 +360,7 @@ def clean_modes(df: DataFrame, columns: dict[str, Column]) -> dict[str, dict]:
     found = {r["column"]: r.asDict() for r in per_column.collect()}
     long = {c: columns[c] for c in long_columns(df, columns)}
     if long:
-        top = top_values(value_counts(df, long), 1, whole=(df, long))
+        top = top_values(value_counts(df, long), 1, whole=(df, long), long=list(long))
         for row in top.collect():
             found[row["column"]]["mode"] = row["value"]
     empty = {"mode": None, "top": 0, "total": 0, "distinct": 0}

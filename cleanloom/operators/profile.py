@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cleanloom.functions.columns import cell_text, is_numeric, kinds, missing, ref, to_real
-from cleanloom.functions.stats import aggregate, count_if, spread, top_values, value_counts
+from cleanloom.functions.stats import LONG_TEXT_BYTES, aggregate, count_if, long_columns, spread, top_values, value_counts
 
 PROFILE_SCHEMA = ("column string, position int, dtype string, logical_type string, rows long, nulls long, "
                   "distinct long, mean double, std double, min double, max double, min_date timestamp, "
@@ -28,7 +28,7 @@ def column_measures(df: DataFrame) -> dict:
         elif k == "temporal":
             asked.update({(name, "min_date"): F.min(c.cast("timestamp")), (name, "max_date"): F.max(c.cast("timestamp"))})
         elif k == "string":
-            asked[(name, "avg_length")] = F.avg(F.length(c))
+            asked.update({(name, "avg_length"): F.avg(F.length(c)), (name, "bytes"): F.max(F.octet_length(c))})
     return aggregate(spread(df), asked)
 
 
@@ -71,11 +71,15 @@ def profile(df: DataFrame, source: str | None = None, top_n: int = 5, order_by:
         first = F.col("first_key") if key else F.col("value")
         texts = _texts(df)
         whole = (df, {c: texts[c] for c, k in kind.items() if k in ("string", "other")})
+        # Texts were measured above; only cells of other kinds still have to be.
+        long = [c for c in whole[1] if kind[c] == "string" and (measures[(c, "bytes")] or 0) > LONG_TEXT_BYTES]
+        other = {c: e for c, e in whole[1].items() if kind[c] == "other"}
+        long += long_columns(df, other) if other else []
         # Every rule is a bounded aggregate over the counted values, merged into one small result.
         ranked = [
-            top_values(counts.withColumn("first_key", first), top_n, by_first=True, whole=whole)
+            top_values(counts.withColumn("first_key", first), top_n, by_first=True, whole=whole, long=long)
             .select("column", "value", "n", "rank", F.lit("sample").alias("rule")),
-            top_values(counts, top_n, whole=whole).select("column", "value", "n", "rank", F.lit("top").alias("rule")),
+            top_values(counts, top_n, whole=whole, long=long).select("column", "value", "n", "rank", F.lit("top").alias("rule")),
         ]
         if distinct is None:
             # Also reading n keeps the counted values the same in all rules, so they are shuffled once.

@@ -166,6 +166,13 @@ def p19_source(spark, sf_dir):
         "column", "source", "rows", F.col("ingested_at").isNotNull().alias("stamped"))
 
 
+def p17_long_texts(spark, sf_dir):
+    """The most frequent whole texts of all documents; nearly all of them tie."""
+    df = v.table(spark, sf_dir, "documents").select("text")
+    counts = profile.counted_values(df)
+    return top_values(counts, 20, whole=(df, {"text": F.col("text")})).select("value", "n", F.col("rank").cast("long").alias("rank"))
+
+
 QUERIES = {
     "p1_shape": p1_shape, "p2_column_order": p2_column_order, "p3_duplicate_columns": p3_duplicate_columns,
     "p4_empty_columns": p4_empty_columns, "p5_expected_columns": p5_expected_columns, "p6_strict": p6_strict,
@@ -173,7 +180,7 @@ QUERIES = {
     "p9_numeric": _inferred("comma_number"), "p10_datetime": _inferred("day_text", "mixed_day"),
     "p11_categorical_text": p11_categorical_text, "p12_type_report": p12_type_report,
     "p13_column_profile": p13_column_profile, "p14_first_values": p14_first_values,
-    "p15_numeric_stats": p15_numeric_stats, "p16_date_range": p16_date_range, "p17_top_values": p17_top_values,
+    "p17_long_texts": p17_long_texts, "p15_numeric_stats": p15_numeric_stats, "p16_date_range": p16_date_range, "p17_top_values": p17_top_values,
     "p18_mean_length": p18_mean_length, "p19_source": p19_source,
 }
 
@@ -230,6 +237,8 @@ SQL = {
         f"CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max FROM dirty")),
     "p16_date_range": "SELECT 'o_orderdate' AS \"column\", CAST(min(o_orderdate) AS VARCHAR) AS first, CAST(max(o_orderdate) AS VARCHAR) AS last "
                       "FROM orders UNION ALL SELECT 'ts', strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f'), strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') FROM events",
+    "p17_long_texts": "SELECT * FROM (SELECT text AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, text) AS rank FROM documents "
+                      "WHERE text IS NOT NULL GROUP BY text) WHERE rank <= 20",
     "p17_top_values": f"{v.CTE} SELECT * FROM (" + _each(["priority_text", "phone", "email"], lambda c: (
         f"SELECT '{c}' AS \"column\", {c} AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, {c}) AS rank "
         f"FROM dirty WHERE {c} IS NOT NULL GROUP BY {c}")) + ") WHERE rank <= 5",

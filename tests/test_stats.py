@@ -92,3 +92,32 @@ def test_top_values_of_long_texts(spark):
     df = spark.createDataFrame([("y" * 200,), ("y" * 200,), ("b",)], "t string")
     row = profile(df).first()
     assert row.top_values == [("y" * 200, 2), ("b", 1)] and set(row["sample"]) == {"b", "y" * 200} and row.distinct == 2
+
+
+@pytest.mark.parametrize("common", [0, 5, 40, 700])
+def test_long_texts_that_tie_are_chosen_by_few_rows(spark, monkeypatch, common):
+    """Unique long texts, all with one beginning: the n smallest are shown, and no step holds more than the contenders of a column."""
+    from cleanloom.functions import stats
+
+    monkeypatch.setattr(stats, "CONTENDERS", 20)
+    draw = random.Random(common)
+    texts = ["\u00fc" * common + f"{draw.randrange(10**6):06d}" + "z" * 300 for _ in range(2000)]
+    df = spark.createDataFrame([(t,) for t in texts + texts[:3] + [texts[5]]], "t string").repartition(4)
+    columns, counts = {"t": F.col("t")}, stats.value_counts(df, {"t": F.col("t")})
+    ranked = sorted({t: texts.count(t) + (texts + texts[:3] + [texts[5]]).count(t) - texts.count(t) for t in texts}.items(), key=lambda x: (-x[1], x[0]))
+    assert stats._contenders(counts, 9, False, df, columns).count() <= 20 + 9
+    top = stats.top_values(counts, 9, whole=(df, columns)).orderBy("rank").collect()
+    assert [(r["value"], r["n"]) for r in top] == ranked[:9]
+    first = stats.top_values(counts.withColumn("first_key", F.col("value")), 7, by_first=True, whole=(df, columns)).orderBy("rank").collect()
+    assert [r["value"] for r in first] == sorted(set(texts))[:7]
+    assert stats.clean_modes(df, columns)["t"]["mode"] == ranked[0][0]
+
+
+def test_a_task_keeps_n_of_the_tied_values(spark):
+    """The plan limits each task before rows of a column meet."""
+    from cleanloom.functions import stats
+
+    df = spark.range(5000).select(F.concat(F.lit("x" * 80), F.col("id").cast("string")).alias("t"))
+    place = F.row_number().over(stats.Window.partitionBy("column").orderBy(F.col("n").desc(), F.left("value", F.lit(16))))
+    plan = stats.value_counts(df, {"t": F.col("t")}).withColumn("place", place).filter("place <= 5")
+    assert "WindowGroupLimit" in plan._jdf.queryExecution().executedPlan().toString()
