@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from cleanloom.functions.columns import ref
 from cleanloom.functions.vocab import CSV_NULL_TOKENS
 from cleanloom.operators.infer import cast_physical, physical_types
+from cleanloom.sources.records import refuse
 
 
 BAD_ROW = "__bad_row"
@@ -69,9 +70,10 @@ def read_csv(spark: SparkSession, path, separator: str = ",", infer: bool = True
     # Rows with too few cells are filled with nulls; one with too many fails the read instead of losing cells.
     cells = F.from_csv(ref(BAD_ROW), ", ".join(f"c{i} string" for i in range(len(names) + 1)), {"sep": separator, "quote": '"', "escape": '"'})
     too_many = ref(BAD_ROW).isNotNull() & cells[f"c{len(names)}"].isNotNull()
-    lost = F.raise_error(F.concat(F.lit(f"a row has more cells than the {len(names)} of the header: "), F.left(ref(BAD_ROW), F.lit(200))))
+    # The condition reads a cell as well: Spark refuses to read the raw row alone.
+    told = ref(read_as[0]).isNull() | (F.length(ref(read_as[0])) >= 0)
+    raw = refuse(raw, told & too_many, f"a row has more cells than the {len(names)} of the header", ref(BAD_ROW))
     value = [F.when(~ref(c).isin(*null_tokens), ref(c)) for c in read_as]
-    value[0] = F.when(too_many, lost.cast("string")).otherwise(value[0])
     df = raw.select(*[v.alias(name) for v, name in zip(value, names)], *(row_key(raw) if keyed else []))
     if not infer:
         return df

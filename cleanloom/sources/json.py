@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cleanloom.functions.columns import ref
-from cleanloom.sources.csv import row_key
+from cleanloom.sources.csv import ROW_KEY, row_key
+from cleanloom.sources.records import is_one_value, refuse
 
 
 def is_json_lines(spark: SparkSession, path) -> bool:
@@ -22,19 +23,30 @@ def read_json(spark: SparkSession, path, lines: bool | None = None, flatten: boo
               schema: T.StructType | None = None, keyed: bool = False) -> DataFrame:
     """Read JSON. JSON Lines files are split across tasks; a document is one task per file.
 
-    ``keyed`` adds the place of each row in the source.
+    ``keyed`` adds the place of each row in the source. A line that is not one whole record, and a document that is not one whole
+    value, fail the read.
     """
     lines = is_json_lines(spark, path) if lines is None else lines
-    reader = spark.read.option("multiLine", not lines).option("mode", "PERMISSIVE")
-    if schema is not None:
-        reader = reader.schema(schema)
-    df = reader.json(path)
-    if df.columns == ["_corrupt_record"]:
-        raise ValueError(f"not readable as JSON: {path}")
-    key = row_key(df) if keyed else []
-    if flatten:
-        return flatten_structs(df, key)
-    return df.select(*[ref(c) for c in df.columns], *key)
+    if schema is None:
+        found = spark.read.option("multiLine", not lines).option("mode", "PERMISSIVE").json(path).schema
+        schema = T.StructType([f for f in found.fields if f.name != "_corrupt_record"])
+        if found.fields and not schema.fields:
+            raise ValueError(f"not readable as JSON: {path}")
+    raw = spark.read.text(path, wholetext=not lines)
+    text = F.btrim(F.regexp_replace("value", "^\ufeff", ""), F.lit(" \t\r\n"))
+    raw = raw.select(text.alias("text"), *row_key(raw)).filter("text <> ''")
+    one = is_one_value(F.col("text"))
+    if lines:
+        whole = refuse(raw, ~(one & F.col("text").startswith("{")), "a line is not one JSON record", F.col("text"))
+        records = whole.withColumn("record", F.from_json("text", schema))
+    else:
+        whole = refuse(raw, ~one, "a document is not one JSON value", F.col("text"))
+        many = F.col("text").startswith("[")
+        found = F.when(many, F.from_json(F.when(many, F.col("text")), T.ArrayType(schema))).otherwise(F.array(F.from_json(F.when(~many, F.col("text")), schema)))
+        records = whole.withColumn("record", F.explode(found)).withColumn(ROW_KEY[2], F.monotonically_increasing_id())
+    key = [F.col(k) for k in ROW_KEY] if keyed else []
+    df = records.select(*[F.col("record").getField(f.name).alias(f.name) for f in schema.fields], *key)
+    return flatten_structs(df.select(*[ref(f.name) for f in schema.fields], *key), ROW_KEY if keyed else ()) if flatten else df
 
 
 def _leaves(column: Column, name: str, dtype: T.DataType) -> list[Column]:
@@ -43,6 +55,6 @@ def _leaves(column: Column, name: str, dtype: T.DataType) -> list[Column]:
     return [column.alias(name)]
 
 
-def flatten_structs(df: DataFrame, extra: list[Column] | None = None) -> DataFrame:
-    """Nested structs become ``parent.child`` columns; arrays stay arrays. ``extra`` columns follow."""
-    return df.select(*[leaf for f in df.schema.fields for leaf in _leaves(ref(f.name), f.name, f.dataType)], *(extra or []))
+def flatten_structs(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Nested structs become ``parent.child`` columns; arrays stay arrays, and the columns ``keep`` stay last."""
+    return df.select(*[leaf for f in df.schema.fields if f.name not in keep for leaf in _leaves(ref(f.name), f.name, f.dataType)], *map(ref, keep))

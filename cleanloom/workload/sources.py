@@ -9,7 +9,7 @@ from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, SparkRuntimeException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -224,8 +224,44 @@ def st2_flag_stream(spark, sf_dir):
     return _finished(spark, flag_stream(stream, "INVALID_DATE_FORMAT", "order_date", [KEY], ctx), "stream-flag")
 
 
+def s4_broken_records(spark, sf_dir):
+    """Orders as files with some records broken: a cut line, a second value on a line, a cell too many. Rows of the whole files, whether counting the
+    broken ones is refused, and whether reading one column of them is."""
+    orders = v.table(spark, sf_dir, "orders").select(KEY, "o_custkey", "o_orderstatus")
+    line, hit = F.to_json(F.struct(*orders.columns)), F.col(KEY) % 97 == 0
+    cells = F.concat_ws(",", *orders.columns)
+    header = ",".join(orders.columns)
+    rows = []
+    for name, whole, broken in (("cut line", line, F.expr("left(whole, length(whole) - 1)")), ("two values", line, F.concat("whole", F.lit(" "), "whole")),
+                                ("a cell too many", cells, F.concat("whole", F.lit(",x")))):
+        read, counted, refused = (read_csv if whole is cells else read_json), 0, []
+        for damaged in (False, True):
+            path = scratch_path(spark, "records") + (".csv" if whole is cells else ".json")
+            texts = orders.select(whole.alias("whole"), hit.alias("hit")).select((F.when(F.col("hit"), broken).otherwise(F.col("whole")) if damaged else F.col("whole")).alias("value"))
+            if whole is cells:  # every part has the header
+                texts = texts.mapInPandas(lambda batches: _with_header(batches, header), "value string")
+            texts.write.text(path)
+            df = read(spark, path, **({"infer": False} if whole is cells else {"lines": True}))
+            if not damaged:
+                counted = df.count()
+                continue
+            for asked in (df.agg(F.count(F.lit(1)).alias("n")), df.agg(F.count("o_custkey").alias("n"))):
+                try:
+                    asked.collect()
+                    refused.append(False)
+                except SparkRuntimeException:
+                    refused.append(True)
+        rows.append((name, counted, *refused))
+    return spark.createDataFrame(rows, "broken string, rows long, count_refused boolean, column_refused boolean")
+
+
+def _with_header(batches, header):
+    yield pd.DataFrame({"value": [header]})
+    yield from batches
+
+
 QUERIES = {
-    "s1_csv": s1_csv, "s2_excel": s2_excel, "s3_json_document": s3_json_document, "s4_json_lines": s4_json_lines,
+    "s1_csv": s1_csv, "s2_excel": s2_excel, "s3_json_document": s3_json_document, "s4_json_lines": s4_json_lines, "s4_broken_records": s4_broken_records,
     "s5_flatten": s5_flatten, "s6_auto": s6_auto, "s7_missing_file": s7_missing_file, "s8_empty_tables": s8_empty_tables, "s9_write_cleaned": s9_write_cleaned,
     "s10_write_log": s10_write_log, "st1_clean_stream": st1_clean_stream, "st2_flag_stream": st2_flag_stream,
 }
@@ -242,6 +278,9 @@ SQL = {
     "s2_excel": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders",
     "s3_json_document": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders",
     "s4_json_lines": "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders",
+    "s4_broken_records": "SELECT b AS broken, count(*) AS rows, count(*) FILTER (o_orderkey % 97 = 0) > 0 AS count_refused, "
+                         "count(*) FILTER (o_orderkey % 97 = 0) > 0 AS column_refused FROM orders, "
+                         "(VALUES ('cut line'), ('two values'), ('a cell too many')) t(b) GROUP BY b",
     "s5_flatten": "SELECT o_orderkey, o_custkey AS order_o_custkey, o_orderstatus AS order_state_status, o_totalprice AS order_state_price FROM orders",
     "s6_auto": "SELECT f AS format, (SELECT count(*) FROM orders) AS rows, (SELECT CAST(sum(o_orderkey) AS BIGINT) FROM orders) AS key_sum "
                "FROM (VALUES ('csv'), ('json'), ('parquet'), ('xlsx')) t(f)",

@@ -158,3 +158,38 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(AnalysisException):
         write_cleaned(df, str(tmp_path / "in.csv"), now=now)
     assert spark.read.parquet(write_log(df, str(tmp_path / "in.csv"), "parquet", now)).count() == 2
+
+
+BROKEN_JSON = {
+    "two documents": '{\n"a":1}\n{\n"a":2}', "two arrays": '[{"a":1},\n{"a":2}]\n[{"a":3}]', "a broken line": '{"a":1}\n{"a":\n{"a":3}\n',
+    "two records on a line": '{"a":1}\n{"a":2} {"a":3}\n', "a comma between": '{"a":1}\n{"a":2},{"a":3}\n', "a closed bracket": '{"a":1}\n{"a":2}],[{"a":3}\n',
+    "a closed brace": '{"a":1}\n{"a":2}},{"r":{"a":3}\n', "a further key": '{"a":1}\n{"a":2},"r":{"a":3}\n', "an array line": '{"a":1}\n[{"a":2},{"a":3}]\n',
+    "a number line": '{"a":1}\n7\n', "text behind an array": '[\n{"a":1}] x',
+}
+
+
+@pytest.mark.parametrize("name", BROKEN_JSON)
+def test_broken_json_fails_whatever_is_read(spark, tmp_path, name):
+    df = read_json(spark, write(tmp_path / "in.json", BROKEN_JSON[name]))
+    for asked in (df, df.select("a"), df.select(), df.agg({"*": "count"})):
+        with pytest.raises(Exception, match="not one JSON"):
+            asked.collect()
+
+
+def test_whole_json_keeps_all_rows(spark, tmp_path):
+    lines = write(tmp_path / "l.json", '\ufeff{"a":1,"b":{"c":"]}"}}\r\n\n  {"a":2} \n{"b":{"c":"{[\\""}}')
+    assert [tuple(r) for r in read_json(spark, lines).orderBy("a").collect()] == [(None, '{["'), (1, "]}"), (2, None)]
+    document = write(tmp_path / "d.json", ' [\n{"a":1,"b":[{"c":1}]},\n{"a":2}]\n ')
+    df = read_json(spark, document, keyed=True)
+    assert df.columns == ["a", "b", "__file", "__block", "__row"]
+    assert [r["a"] for r in df.orderBy("__row").collect()] == [1, 2] and df.select("__row").distinct().count() == 2
+    assert read_json(spark, write(tmp_path / "o.json", '{\n"a": {"x": 1}}\n')).columns == ["a.x"]
+    assert read_json(spark, lines, schema=read_json(spark, lines, flatten=False).schema).count() == 3
+
+
+def test_a_row_with_too_many_cells_fails_whatever_is_read(spark, tmp_path):
+    df = read_csv(spark, write(tmp_path / "wide.csv", "a,b\n1,2\n3,4,5\n6\n"), infer=False)
+    for asked in (df, df.select("b"), df.select("a"), df.select(), df.agg({"*": "count"})):
+        with pytest.raises(Exception, match="more cells"):
+            asked.collect()
+    assert read_csv(spark, write(tmp_path / "fine.csv", "a,b\n1,2\n6\n"), infer=False).select("b").count() == 2
