@@ -1,4 +1,4 @@
-"""Local outlier factor (Breunig et al., 2000) from an exact neighbour join."""
+"""Local outlier factor (Breunig et al., 2000) from a neighbour join, exact or by random projections."""
 
 from __future__ import annotations
 
@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cleanloom.operators.neighbours import Index, build_index, collapse, neighbours
+from cleanloom.operators.projections import ProjectedIndex, build_projections, projected_neighbours
 from cleanloom.session import scratch_path
 
 NEIGHBOURS = 20
 EPSILON = 1e-10
+SEARCHES = ("exact", "projections")
 
 
 @dataclass(frozen=True)
@@ -19,7 +21,7 @@ class Density:
     """Training points with k-distance and local reachability density, on shared storage."""
 
     path: str
-    index: Index
+    index: Index | ProjectedIndex
     k: int
 
 
@@ -31,13 +33,22 @@ def _uses(found: DataFrame, k: int, own) -> DataFrame:
     return found.withColumn("uses", F.greatest(F.lit(0), F.least("nw", left))).filter("uses > 0")
 
 
-def fit_density(vectors: DataFrame, k: int, pivots: int | None = None, seed: int = 42) -> Density:
-    """Fit on rows with a complete feature vector ``x``; a point is not its own neighbour, its copies are."""
+def _near(points: DataFrame, index: Index | ProjectedIndex, k: int, exclude_self: bool) -> DataFrame:
+    return (neighbours if isinstance(index, Index) else projected_neighbours)(points, index, k, exclude_self=exclude_self)
+
+
+def fit_density(vectors: DataFrame, k: int, pivots: int | None = None, seed: int = 42, search: str = "exact") -> Density:
+    """Fit on rows with a complete feature vector ``x``; a point is not its own neighbour, its copies are.
+
+    ``search`` is how neighbours are found: ``exact``, or ``projections``, which is linear in the points and may miss some.
+    """
+    if search not in SEARCHES:
+        raise ValueError(f"unknown search: {search}")
     spark = vectors.sparkSession
-    points = collapse(vectors)
-    index = build_index(points, k, seed, pivots)
+    points, path = collapse(vectors)
+    index = build_index(points, k, seed, pivots) if search == "exact" else build_projections(points, path, seed)
     own = F.least(F.col("w") - 1, F.lit(k))
-    found = neighbours(points, index, k, exclude_self=True)
+    found = _near(points, index, k, exclude_self=True)
     path = scratch_path(spark, "neighbours")
     # `points` holds the weight of the point itself; nw is the weight of the neighbour.
     _uses(found.join(points.select("pid", "w"), "pid"), k, own).select(
@@ -74,10 +85,10 @@ def training_scores(model: Density, spark) -> DataFrame:
 def new_scores(vectors: DataFrame, model: Density) -> DataFrame:
     """(x, score) of rows treated as new: a training row counts itself among its neighbours."""
     spark = vectors.sparkSession
-    points = collapse(vectors)
+    points, _ = collapse(vectors)
     trained = spark.read.parquet(model.path).select(
         F.col("pid").alias("nid"), F.col("kdist").alias("nk"), F.col("lrd").alias("nl"))
-    found = neighbours(points, model.index, model.k, exclude_self=False)
+    found = _near(points, model.index, model.k, exclude_self=False)
     uses = _uses(found, model.k, F.lit(0)).join(trained, "nid")
     sums = uses.groupBy("pid").agg(
         F.sum(F.col("uses") * F.greatest("nk", "distance")).alias("reach"),

@@ -74,14 +74,14 @@ def _assigned(points: DataFrame, pivots: np.ndarray) -> DataFrame:
     return points.withColumn("a", assign("x")).select("pid", "x", "w", F.col("a.cell").alias("cell"), F.col("a.r").alias("r"))
 
 
-def collapse(vectors: DataFrame) -> DataFrame:
-    """Distinct vectors (pid, x, w) on shared storage; ``vectors`` has a complete array column ``x``."""
+def collapse(vectors: DataFrame) -> tuple[DataFrame, str]:
+    """Distinct vectors (pid, x, w) on shared storage, and where they lie; ``vectors`` has a complete array column ``x``."""
     spark = vectors.sparkSession
     path = scratch_path(spark, "points")
     # The number is frozen by the write; equal vectors are combined before the shuffle.
     vectors.groupBy("x").agg(F.count(F.lit(1)).alias("w")).withColumn(
         "pid", F.monotonically_increasing_id()).write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path), path
 
 
 def build_index(points: DataFrame, k: int, seed: int = 42, pivots: int | None = None) -> Index:

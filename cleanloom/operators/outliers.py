@@ -64,8 +64,11 @@ def _vector(features) -> F.Column:
 
 def fit(df: DataFrame, key: list[str] | None = None, method: str = "isolation_forest", contamination: float = 0.05,
         seed: int = 42, features: list[str] | None = None, novelty: bool = True, neighbours: int = NEIGHBOURS,
-        pivots: int | None = None) -> Model:
-    """Fit on the numeric columns. The forest needs ``key``, unique columns that identify a row."""
+        pivots: int | None = None, search: str = "exact") -> Model:
+    """Fit on the numeric columns. The forest needs ``key``, unique columns that identify a row.
+
+    ``search`` is how the local factor finds neighbours: ``exact``, or ``projections`` for large tables of many columns.
+    """
     if method not in METHODS:
         raise ValueError(f"unknown method: {method}")
     names = numeric_features(df, features)
@@ -82,7 +85,7 @@ def fit(df: DataFrame, key: list[str] | None = None, method: str = "isolation_fo
         return Model(method, tuple(names), contamination, cut, forest)
     ready = prepare(df, names)
     k = min(neighbours, max(ready.count() - 1, 1))
-    density = fit_density(ready.select(_vector(names).alias("x")), k, pivots, seed)
+    density = fit_density(ready.select(_vector(names).alias("x")), k, pivots, seed, search)
     # The threshold is over rows, so each row takes the score of its vector; copies are never expanded.
     vectors = ready.select(_vector(names).alias("x"))
     rows = _stored(vectors.join(training_scores(density, df.sparkSession), "x").select("score"))

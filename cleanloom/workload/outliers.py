@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from cleanloom.operators import outliers
 from cleanloom.operators.lof import fit_density, training_scores
+from cleanloom.operators.neighbours import build_index, collapse, neighbours
+from cleanloom.operators.projections import build_projections, projected_neighbours
 from cleanloom.workload import views as v
 
 KEY = "o_orderkey"
@@ -87,7 +89,18 @@ def o8_novelty(spark, sf_dir):
     return outliers.detect(df, model).select("vec_id", "Outlier")
 
 
-QUERIES = {"o7_unknown_method": o7_unknown_method, "o8_novelty": o8_novelty, "o1_prepared": o1_prepared, "o2_isolation_forest": o2_isolation_forest, "o3_local_factor": o3_local_factor,
+def o3_projections(spark, sf_dir):
+    """Neighbours found by random projections against those of the exact join: points, whether common pairs have the same distance, and
+    whether nine in ten are found."""
+    points, path = collapse(_vectors(spark, sf_dir).select(F.array(*FEATURES).alias("x")))
+    exact = neighbours(points, build_index(points, NEIGHBOURS), NEIGHBOURS, exclude_self=True)
+    near = projected_neighbours(points, build_projections(points, path), NEIGHBOURS, exclude_self=True)
+    both = exact.join(near.select("pid", "nid", F.col("distance").alias("found")), ["pid", "nid"], "left")
+    return both.agg(F.count_distinct("pid").alias("points"), (F.max(F.abs(F.col("found") - F.col("distance"))) < 1e-9).alias("distances_agree"),
+                    (F.count("found") >= 0.9 * F.count(F.lit(1))).alias("recall_reached"))
+
+
+QUERIES = {"o3_projections": o3_projections, "o7_unknown_method": o7_unknown_method, "o8_novelty": o8_novelty, "o1_prepared": o1_prepared, "o2_isolation_forest": o2_isolation_forest, "o3_local_factor": o3_local_factor,
            "o4_detect": o4_detect, "o5_inliers": o5_inliers, "o6_summary": o6_summary}
 
 
@@ -110,6 +123,7 @@ _NOVEL = (_lof(NOVELTY_NEIGHBOURS) + f", u AS (SELECT i, j, d FROM k WHERE r < {
           "s AS (SELECT u.i AS vec_id, avg(n.lrd) * (avg(greatest(kd.kd, u.d)) + 1e-10) AS factor FROM u JOIN kd ON kd.i = u.j "
           "JOIN lrd n ON n.i = u.j GROUP BY u.i) ")
 SQL = {
+    "o3_projections": "SELECT count(DISTINCT embedding) AS points, true AS distances_agree, true AS recall_reached FROM embeddings",
     "o7_unknown_method": "SELECT count(*) AS rows, true AS refused FROM lineitem",
     "o2_isolation_forest": "SELECT count(*) AS rows, count(*) FILTER (l_orderkey % 500 = 0) AS planted, true AS all_planted_found, "
                            "true AS share_as_asked FROM lineitem",

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +91,53 @@ def test_refusals(spark, points):
 
 def test_average_path():
     assert list(average_path([0, 1, 2])) == [0.0, 0.0, 1.0] and average_path(256) == pytest.approx(10.244, abs=1e-3)
+
+
+def _cloud(spark, n, seed=7):
+    draw = np.random.default_rng(seed)
+    centres = draw.normal(size=(20, 24)) * 4
+    x = centres[draw.integers(0, 20, n)] + draw.normal(size=(n, 24))
+    return spark.createDataFrame([(v.tolist(),) for v in x] + [(x[0].tolist(),)] * 50, "x array<double>"), x
+
+
+def test_projections_against_the_exact_join(spark, monkeypatch):
+    from cleanloom.operators import projections
+    from cleanloom.operators.neighbours import build_index, collapse, neighbours
+
+    df, x = _cloud(spark, 4000)
+    points, path = collapse(df)
+    key = lambda found: {(r["pid"], r["nid"]): r["distance"] for r in found.collect()}
+    exact = key(neighbours(points, build_index(points, 10), 10, True))
+    index = projections.build_projections(points, path, leaf=128)
+    assert index.middles.shape == (projections.TABLES, 4)
+    near = key(projections.projected_neighbours(points, index, 10, True))
+    assert len(near) == len(exact) == 40000 and len(set(near) & set(exact)) >= 0.9 * len(exact)
+    assert all(abs(near[p] - exact[p]) < 1e-12 for p in set(near) & set(exact))
+    # One leaf holds a small table, and then nothing is missed.
+    small, path = collapse(spark.createDataFrame([(v.tolist(),) for v in x[:100]], "x array<double>"))
+    found = projections.projected_neighbours(small, projections.build_projections(small, path, tables=1, leaf=4000), 10, True)
+    assert set(key(found)) == set(key(neighbours(small, build_index(small, 10), 10, True)))
+
+
+def test_a_point_meets_a_bounded_number_of_others(spark, monkeypatch):
+    from cleanloom.operators import projections
+    from cleanloom.operators.neighbours import collapse
+
+    met = []
+    whole = projections._answers
+    monkeypatch.setattr(projections, "_answers", lambda leaf, around, *a: met.append(sum(len(o.pid) for o in around)) or whole(leaf, around, *a))
+    rows = pd.DataFrame({"pid": range(1000), "x": [np.ones(3) * i for i in range(1000)], "w": 1, "asks": True, "found": True, "t": [0] * 700 + [1] * 300})
+    index = projections.ProjectedIndex("", np.zeros((2, 1, 3)), np.zeros((2, 0)), 1000, 50)
+    found = pd.concat(projections._leaves(index, 5, True)(iter([rows.iloc[:333], rows.iloc[333:340], rows.iloc[340:]])))
+    assert max(met) <= 150 and len(met) == 20 and (found.groupby("pid").size() == 5).all() and len(found) == 5000
+
+
+def test_local_factor_by_projections(spark):
+    df, x = _cloud(spark, 1500)
+    table = df.select(*[F.col("x")[i].alias(f"c{i}") for i in range(24)])
+    for novelty in (False, True):
+        marks = [{r[:-1] for r in outliers.detect(table, outliers.fit(table, method="lof", search=search, novelty=novelty)).filter("Outlier = -1").collect()}
+                 for search in ("exact", "projections")]
+        assert len(marks[0]) > 50 and len(marks[0] & marks[1]) >= 0.95 * len(marks[0] | marks[1])
+    with pytest.raises(ValueError, match="unknown search"):
+        outliers.fit(table, method="lof", search="guess")
