@@ -6,8 +6,9 @@ Every function here returns a result whose size depends on the number of columns
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,8 +33,11 @@ DIGEST_MARK = "\u0000sha256:"
 DEEPER = 16
 # Up to this many texts of a column are compared whole to settle a tie.
 CONTENDERS = 1000
-# Rank accuracy of the sketch that brackets a percentile on larger data.
+# Size parameter of the sketch that brackets a percentile on larger data, and the places read off it.
 SKETCH_ACCURACY = 10_000
+GRID = 1000
+# An input estimated at more bytes than this for each value that fits in memory is sketched in the pass that counts it.
+BYTES_PER_VALUE = 64
 
 
 def aggregate(df: DataFrame, expressions: dict, fuse_limit: int = FUSE_LIMIT) -> dict:
@@ -54,8 +58,7 @@ def spread(df: DataFrame) -> DataFrame:
     and inputs above a fixed size are never shuffled for it.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(size) > SPREAD_BYTES or not 0 < len(df.inputFiles()) * 4 <= cores:
+    if estimated_bytes(df) > SPREAD_BYTES or not 0 < len(df.inputFiles()) * 4 <= cores:
         return df
     return df.repartition(cores)
 
@@ -111,9 +114,11 @@ def percentiles(df: DataFrame, wanted: dict[str, tuple[Column, list[float]]], ap
 
     ``wanted`` maps a name to (numeric column, fractions); nulls are ignored and a column without
     values gives ``None``. Small columns use the built-in exact percentile. Larger ones are answered
-    exactly by rank selection: a sketch brackets each rank, one pass counts the rows below and inside
-    the bracket, and the bracket is narrowed the same way until the values inside it fit in memory.
-    No state grows with the data.
+    exactly by rank selection: the pass that counts them also sketches them, the sketch brackets each
+    rank, a pass counts the rows below and inside the brackets and sketches these in turn, and so on
+    until the values inside fit in memory and one pass sorts them. That makes three passes up to about
+    a hundred million values, and one more for every further factor of a hundred. A sketch only
+    proposes brackets: counts decide. No state grows with the data.
     """
     if not wanted:
         return {}
@@ -127,96 +132,143 @@ def percentiles(df: DataFrame, wanted: dict[str, tuple[Column, list[float]]], ap
         found = percentiles(df, {i: (c, f) for i, (c, _, f) in merged.items()}, approximate, in_memory, accuracy)
         return {name: found[i][at:at + size] for i, (_, parts, _) in merged.items() for name, at, size in parts}
     keys = list(wanted)
-    rows = df.count()
     base = spread(df).select(*[wanted[k][0].cast("double").alias(f"v{i}") for i, k in enumerate(keys)])
     value = {k: F.col(f"v{i}") for i, k in enumerate(keys)}
     if approximate:
         found = aggregate(base, {
             k: F.percentile_approx(value[k], [float(p) for p in wanted[k][1]], F.lit(accuracy)) for k in keys})
         return {k: list(found[k]) if found[k] else [None] * len(wanted[k][1]) for k in keys}
-    # The table's row count bounds every column's; only larger tables need the counts per column.
-    counts = dict.fromkeys(keys, rows) if rows <= in_memory else aggregate(base, {k: F.count(value[k]) for k in keys})
+    # The row count of a small table bounds every column's, and takes no column to find; others are counted and sketched at once.
+    rows = df.count() if estimated_bytes(df) <= in_memory * BYTES_PER_VALUE else None
+    if rows is not None and rows <= in_memory:
+        counts, grids = dict.fromkeys(keys, rows), {}
+    else:
+        found = aggregate(base, {(k, "n"): F.count(value[k]) for k in keys} | {(k, "grid"): _grid(value[k], accuracy) for k in keys})
+        counts, grids = ({k: found[(k, part)] for k in keys} for part in ("n", "grid"))
     small = {k: F.percentile(value[k], F.array(*[F.lit(float(p)) for p in wanted[k][1]]))
              for k in keys if 0 < counts[k] <= in_memory}
-    result: dict[str, list] = {k: [None] * len(wanted[k][1]) for k in keys}
-    # The maps of one pass end up in one task: their sum is bounded as well.
-    passes, filled = [{}], 0
-    for k, e in small.items():
-        if passes[-1] and filled + counts[k] > PASS_VALUES:
-            passes.append({})
-            filled = 0
-        passes[-1][k] = e
-        filled += counts[k]
-    for part in passes:
-        result.update({k: list(v) for k, v in aggregate(base, part).items() if v is not None})
+    passes = _bounded_passes(small, counts)
     large = [k for k in keys if counts[k] > in_memory]
+    ranks, extra = {}, {}
     if large:
-        order = {(k, r) for k in large for p in wanted[k][1] for r in _ranks(p, counts[k])[:2]}
-        found = _select_ranks(base, value, counts, sorted(order), in_memory, accuracy)
-        for k in large:
-            result[k] = []
-            for p in wanted[k][1]:
-                low, high, weight = _ranks(p, counts[k])
-                a, b = found[(k, low)], found[(k, high)]
-                result[k].append(a + (b - a) * weight)
+        asked = {(k, p): _ranks(p, counts[k]) for k in large for p in wanted[k][1]}
+        first = passes.pop(0) if passes else {}
+        ranks, extra = _select_ranks(base, value, counts, grids, {t: r[:2] for t, r in asked.items()}, in_memory, accuracy, first)
+    for part in passes:
+        extra |= aggregate(base, part)
+    result: dict[str, list] = {k: list(extra[k]) if extra.get(k) is not None else [None] * len(wanted[k][1]) for k in keys}
+    for k in large:
+        result[k] = []
+        for p in wanted[k][1]:
+            low, high, weight = asked[(k, p)]
+            a, b = ranks[(k, low)], ranks[(k, high)]
+            result[k].append(a if a == b else a + (b - a) * weight)
     return result
 
 
-def _select_ranks(base, value, counts, targets, in_memory, accuracy) -> dict:
-    """Exact order statistics: {(key, 0-based rank): value}."""
-    # Bracket of a target: closed value interval, rows below it, rows inside it.
-    bracket = {t: (None, None, 0, counts[t[0]]) for t in targets}
-    answer: dict = {}
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of the size; file sizes where it reads files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def _bounded_passes(expressions: dict, held: dict) -> list[dict]:
+    """Aggregates that hold many values end up in one task: their sum is bounded in every pass."""
+    passes: list[dict] = []
+    filled = 0
+    for key, expression in expressions.items():
+        if not passes or filled + held[key] > PASS_VALUES:
+            passes.append({})
+            filled = 0
+        passes[-1][key] = expression
+        filled += held[key]
+    return passes
+
 
-    def inside(target):
-        key, (low, high, _, _) = target[0], bracket[target]
-        v = value[key]
-        return v if low is None else F.when((v >= F.lit(low)) & (v <= F.lit(high)), v)
-
-    open_targets = list(targets)
-    while open_targets:
-        points = {}
-        for t in open_targets:
-            _, _, below, n = bracket[t]
-            share = (t[1] - below) / max(n - 1, 1)
-            reach = 2.0 / accuracy
-            points[t] = F.percentile_approx(
-                inside(t), [max(share - reach, 0.0), min(share + reach, 1.0)], F.lit(accuracy))
-        limits = aggregate(base, points)
+def _grid(values: Column, accuracy: int) -> Column:
+    """Evenly spaced quantiles of a mergeable sketch, its exact least and greatest values included; null without values."""
+    sketch = F.kll_sketch_agg_double(F.when(~F.isnan(values), values), F.lit(accuracy))
+    # One text to plan in place of a thousand literals.
+    places = F.split(F.lit(",".join(str(i / GRID) for i in range(GRID + 1))), ",").cast("array<double>")
+    return F.when(F.kll_sketch_get_n_double(sketch) > 0, F.kll_sketch_get_quantile_double(sketch, places))
+
+
+@dataclass(frozen=True)
+class _Bracket:
+    """An open interval of values (``None``: no limit), the rows below it and the rows inside."""
+
+    low: float | None
+    high: float | None
+    below: int
+    inside: int
+
+    def values(self, v: Column) -> Column:
+        held = [v > F.lit(self.low)] if self.low is not None else []
+        held += [v < F.lit(self.high)] if self.high is not None else []
+        return F.when(reduce(and_, held), v) if held else v
+
+
+def _select_ranks(base, value, counts, grids, asked, in_memory, accuracy, first) -> tuple[dict, dict]:
+    """Exact order statistics {(key, 0-based rank): value}, and the results of the aggregates ``first``, which share the first pass.
+
+    ``asked`` maps (key, fraction) to the two ranks it needs: neighbours, so they share brackets while they can. A bracket that
+    fails to hold its rank is widened. An interval without its end values is strictly smaller, so the search ends.
+    """
+    reach = 3 * 2.3 / accuracy ** 0.9  # about three times the rank error the sketch states
+    bracket = {(k, r): _Bracket(None, None, 0, counts[k]) for (k, _), ranks in asked.items() for r in ranks}
+    middle = {(k, r): sum(ranks) / 2 for (k, _), ranks in asked.items() for r in ranks}
+    wide = dict.fromkeys(bracket, reach)
+    grid = {(k, _Bracket(None, None, 0, counts[k])): grids[k] for k, _ in bracket}
+    answer: dict = {}
+    searched, extra = set(bracket), {}
+    while searched:
+        guess = {}
+        for t in list(searched):
+            places = grid[(t[0], bracket[t])]
+            if places is None:  # nothing but NaN is left, which is greater than any number
+                answer[t] = math.nan
+                searched.discard(t)
+                continue
+            share = (middle[t] - bracket[t].below) / max(bracket[t].inside - 1, 1)
+            low = min(max(math.floor((share - wide[t]) * GRID), 0), GRID)
+            high = max(min(math.ceil((share + wide[t]) * GRID), GRID), 0)
+            guess[t] = (t[0], places[low] + 0.0, places[high] + 0.0)
         measures = {}
-        for t in open_targets:
-            low, high = limits[t]
-            v = value[t[0]]
-            measures[(t, "below")] = count_if(v < F.lit(low))
-            measures[(t, "inside")] = count_if((v >= F.lit(low)) & (v <= F.lit(high)))
-            measures[(t, "at_low")] = count_if(v == F.lit(low))
-            measures[(t, "at_high")] = count_if(v == F.lit(high))
-        found = aggregate(base, measures)
-        ready = []
-        for t in list(open_targets):
-            low, high = limits[t]
-            below, n = found[(t, "below")], found[(t, "inside")]
-            at_low, at_high = found[(t, "at_low")], found[(t, "at_high")]
-            rank = t[1]
+        for g in dict.fromkeys(guess.values()):
+            v, low, high = value[g[0]], F.lit(g[1]), F.lit(g[2])
+            measures |= {(g, "below"): count_if(v < low), (g, "inside"): count_if((v >= low) & (v <= high)),
+                         (g, "at_low"): count_if(v == low), (g, "at_high"): count_if(v == high),
+                         (g, "grid"): _grid(_Bracket(g[1], g[2], 0, 0).values(v), accuracy)}
+        found = aggregate(base, measures | first) if measures or first else {}
+        extra |= {k: found[k] for k in first}
+        first = {}
+        for t, g in guess.items():
+            below, inside, at_low, at_high, inner = (found[(g, m)] for m in ("below", "inside", "at_low", "at_high", "grid"))
+            rank, (_, low, high) = t[1], g
             if below <= rank < below + at_low:
                 answer[t] = low
-            elif below + n - at_high <= rank < below + n:
+            elif below + inside - at_high <= rank < below + inside:
                 answer[t] = high
-            elif below <= rank < below + n and n < bracket[t][3]:
-                bracket[t] = (low, high, below, n)
-                if n > in_memory:
+            elif below <= rank < below + inside:
+                bracket[t] = _Bracket(low, high, below + at_low, inside - at_low - at_high)
+                grid[(t[0], bracket[t])], wide[t] = inner, reach
+                if bracket[t].inside > in_memory:
                     continue
-                ready.append(t)
-            else:  # the sketch missed or could not narrow: sharpen it
-                accuracy *= 10
+            elif wide[t] < 1:  # missed
+                wide[t] *= 4
                 continue
-            open_targets.remove(t)
-        if ready:
-            # A ready bracket holds at most `in_memory` values: sort them and pick by position.
-            answer.update(aggregate(base, {
-                t: F.get(F.array_sort(F.collect_list(inside(t))), F.lit(t[1] - bracket[t][2])) for t in ready
-            }, fuse_limit=1))
-    return answer
+            else:  # beyond the greatest number
+                answer[t] = math.nan
+            searched.discard(t)
+    ready: dict = {}
+    for t in bracket:
+        if t not in answer:
+            ready.setdefault((t[0], bracket[t]), []).append(t)
+    sorted_values = {at: F.array_sort(F.collect_list(at[1].values(value[at[0]]))) for at in ready}
+    picked = {at: F.array(*[F.get(sorted_values[at], F.lit(t[1] - at[1].below)) for t in targets]) for at, targets in ready.items()}
+    for part in _bounded_passes(picked, {at: at[1].inside for at in ready}):
+        for at, values in aggregate(base, part).items():
+            answer.update(zip(ready[at], values))
+    return answer, extra
 
 
 def median(df: DataFrame, column: Column, **options) -> float | None:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cleanloom.functions import stats
 from cleanloom.functions.stats import (
     adjusted_skewness, aggregate, clean_modes, distinct_counts, duplicate_rows, percentiles, value_counts)
 
@@ -27,6 +28,49 @@ def test_percentiles_are_exact_at_any_memory_limit(numbers, in_memory):
     np.testing.assert_allclose(got["b"], np.quantile(b, [0.5]), rtol=1e-12)
 
 
+def passes_of(monkeypatch):
+    """The number of expressions of every pass over the data that ``stats`` takes from here on."""
+    taken = []
+
+    def counted(df, expressions, fuse_limit=stats.FUSE_LIMIT):
+        names = list(expressions)
+        taken.extend(len(names[i:i + fuse_limit]) for i in range(0, len(names), fuse_limit))
+        return aggregate(df, expressions, fuse_limit)
+
+    monkeypatch.setattr(stats, "aggregate", counted)
+    return taken
+
+
+def test_large_columns_take_three_passes(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    columns = [rng.normal(size=60_000), rng.lognormal(size=60_000), np.repeat(rng.normal(size=6), 10_000)]
+    df = spark.createDataFrame([tuple(map(float, r)) + (float(i) if i < 300 else None,) for i, r in enumerate(zip(*columns))],
+                               "a double, b double, c double, few double").repartition(8)
+    monkeypatch.setattr(type(df), "count", lambda self: pytest.fail("a pass of its own to count rows"))
+    taken, points = passes_of(monkeypatch), [0.01, 0.25, 0.5, 0.75, 0.99]
+    got = percentiles(df, {c: (F.col(c), points) for c in df.columns}, in_memory=1500, accuracy=4000)
+    assert len(taken) <= 3
+    for name, values in zip("abc", columns):
+        np.testing.assert_allclose(got[name], np.quantile(values, points), rtol=1e-12)
+    np.testing.assert_allclose(got["few"], np.quantile(np.arange(300), points), rtol=1e-12)
+
+
+def test_ranks_are_right_though_the_sketch_is_rough(spark, monkeypatch):
+    values = np.random.default_rng(7).integers(-40, 40, 30_000).astype(float) ** 3
+    df = spark.createDataFrame([(v,) for v in values.tolist()], "v double").repartition(6)
+    points = [0, 0.003, 0.1, 0.5, 0.77, 1]
+    for accuracy in (8, 50):
+        got = percentiles(df, {"v": (F.col("v"), points)}, in_memory=10, accuracy=accuracy)
+        np.testing.assert_allclose(got["v"], np.quantile(values, points), rtol=1e-12)
+
+
+def test_nan_and_infinity_have_ranks(spark):
+    values = [float(i) for i in range(1000)] + [float("inf")] * 200 + [float("nan")] * 800 + [float("-inf")] * 4
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(4)
+    got = percentiles(df, {"v": (F.col("v"), [0.0, 0.25, 0.55, 0.9]), "nan": (F.when(F.isnan("v"), F.col("v")), [0.5])}, in_memory=20, accuracy=200)
+    assert got["v"][:3] == [float("-inf"), 496.75, float("inf")] and np.isnan(got["v"][3]) and np.isnan(got["nan"][0])
+
+
 def test_percentiles_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "x double")
     assert percentiles(df, {"x": (F.col("x"), [0.1, 0.5])}) == {"x": [None, None]}
