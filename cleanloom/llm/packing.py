@@ -19,6 +19,7 @@ other; a text of any length is encoded whole; an empty table gives no rows; othe
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
@@ -38,7 +39,23 @@ CHARS_AT_ONCE = BYTES_AT_ONCE = 1 << 20
 WORDS_AT_ONCE = 512
 MARK = "~"
 WORD_END = "</w>"
+#: How the tokenizer cuts a text into the parts it encodes one by one, as its file states it (fixed value).
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 CACHED_WORDS = 1_000_000
+
+BLANK, LETTER, DIGIT, OTHER, ODD = range(5)
+#: Kinds of bytes to :data:`SPLIT`. Odd ones need the pattern itself: apostrophes, the mark of a special token, control bytes, and
+#: characters but ASCII and the letters from U+00C0 to U+017F, which are two bytes after one of LATIN.
+KIND = np.full(256, ODD, np.uint8)
+KIND[33:127] = OTHER
+KIND[bytewords.SPACE] = BLANK
+KIND[[ord("'"), ord("<")]] = ODD
+KIND[48:58] = DIGIT
+KIND[65:91] = KIND[97:123] = LETTER
+LATIN = (0xC3, 0xC4, 0xC5)
+#: Of these, two are no letters and one has no single lower-case letter.
+NOT_LATIN = (0xC397, 0xC3B7, 0xC4B0)
+
 PLACE_BITS = 33  # rows a task may emit
 SHARD_BITS = 24  # windows a shard may have
 WINDOWS_FROM = 1 << 62  # numbers of the sequences cut from one document
@@ -57,8 +74,11 @@ def tokenizer_path() -> str:
 class Encoder:
     """Ids of texts, word by word: the tokenizer never joins what white space parts, so words can be remembered.
 
+    Plain ASCII words are cut further, as the tokenizer's own pattern does it (a run of letters, a digit, a run of other signs), so that
+    a word is learned once, whatever signs stand beside it. A tokenizer with another pattern gets whole words.
     Words are found and looked up as 64-bit hashes, many texts at a time; A-Z count as a-z where the tokenizer cannot tell them
-    apart (plain ASCII, and no mark of a special token). New words are encoded together, parted by a mark that is one token.
+    apart (plain ASCII, and no mark of a special token). New plain words are encoded together by the tokenizer's model alone, as nothing
+    is left to normalise or cut; others by the whole tokenizer, parted by a mark that is one token.
     The memory is bounded: when full it starts again.
     """
 
@@ -73,14 +93,46 @@ class Encoder:
         self.mark = mark[0] if len(mark) == 1 else None
         self.ends = np.zeros(self.vocabulary, bool)  # tokens that end a run of letters
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
+        self.plain = self._model_alone(path)
         self._forget()
 
+    def _model_alone(self, path: str):
+        """The tokenizer without its normaliser and pattern; None if these are not the ones :meth:`_edges` knows."""
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        stated = json.loads(self.tokenizer.to_str())
+        steps = [n["type"] for n in (stated["normalizer"] or {}).get("normalizers", [])]
+        cuts = (stated["pre_tokenizer"] or {}).get("pretokenizers", [])
+        if steps != ["NFC", "Replace", "Lowercase"] or [c["type"] for c in cuts] != ["Split", "ByteLevel"] or cuts[0]["pattern"] != {"Regex": SPLIT}:
+            return None
+        if stated["model"].get("end_of_word_suffix") != WORD_END:
+            return None
+        plain = Tokenizer.from_file(path)
+        plain.normalizer = normalizers.Sequence([])
+        plain.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        return plain
+
     def _forget(self) -> None:
         self.known, self.starts, self.lengths = (np.zeros(0, t) for t in (np.uint64, np.int64, np.int64))
         self.ids, self.filled = np.zeros(1 << 16, self.kind), 0
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+    def _ids(self, text: str, tokenizer=None) -> np.ndarray:
+        return np.array((tokenizer or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after the other, number of ids of each) of plain words in lower case."""
+        ids, lengths = [], []
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            part = words[at:at + WORDS_AT_ONCE]
+            found = self._ids(" ".join(part), self.plain)
+            ends = np.flatnonzero(self.ends[found]) + 1
+            if len(ends) != len(part):
+                each = [self._ids(w, self.plain) for w in part]
+                found, ends = np.concatenate(each), np.cumsum([len(i) for i in each])
+            ids.append(found)
+            lengths.append(np.diff(ends, prepend=0))
+        return np.concatenate(ids), np.concatenate(lengths)
 
     def _encoded(self, words: list[str]) -> list[np.ndarray]:
         """The ids of each word. Words of letters alone show where they end, others are parted by the mark."""
@@ -107,33 +159,62 @@ class Encoder:
                 return [ids[a:b] for a, b in zip([0, *(marks + 1).tolist()], [*marks.tolist(), len(ids)])]
         return [self._ids(w) for w in words]
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        """Add words by their (sorted) hashes."""
+    def _whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after the other, number of ids of each) of any words."""
         odd = [MARK in w for w in words]
         order = sorted(range(len(words)), key=odd.__getitem__)  # words that hold the mark last, so that they spoil few parts
         encoded: list = [None] * len(words)
         for i, ids in zip(order, self._encoded([words[i] for i in order])):
             encoded[i] = ids
-        lengths = np.array([len(i) for i in encoded], np.int64)
-        starts = self.filled + np.cumsum(lengths) - lengths
-        self.filled += int(lengths.sum())
-        while self.filled > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.filled - int(lengths.sum()):self.filled] = np.concatenate(encoded)
+        return np.concatenate(encoded), np.array([len(i) for i in encoded], np.int64)
+
+    def _learn(self, hashes: np.ndarray, words: list[bytes], plain: np.ndarray) -> None:
+        """Add words by their (sorted) hashes."""
+        starts, lengths = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        for which, encode in ((plain, self._together), (~plain, self._whole)):
+            at = np.flatnonzero(which)
+            if not len(at):
+                continue
+            ids, size = encode([words[i].decode().lower() if encode == self._together else words[i].decode() for i in at.tolist()])
+            lengths[at], starts[at] = size, self.filled + np.cumsum(size) - size
+            while self.filled + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+            self.ids[self.filled:self.filled + len(ids)] = ids
+            self.filled += len(ids)
         at = np.searchsorted(self.known, hashes)
         self.known, self.starts, self.lengths = (
             np.insert(old, at, new) for old, new in ((self.known, hashes), (self.starts, starts), (self.lengths, lengths)))
 
+    def _edges(self, codes: np.ndarray):
+        """(first byte, byte after the last, whether cut as the pattern does) of all words."""
+        first, last = bytewords.edges(codes)
+        if self.plain is None or not len(first):
+            return first, last, np.zeros(len(first), bool)
+        kind = KIND[codes]
+        lead = np.flatnonzero((codes >= LATIN[0]) & (codes <= LATIN[-1]))
+        lead = lead[~np.isin(codes[lead].astype(np.int64) << 8 | codes[lead + 1], NOT_LATIN)]
+        kind[lead] = kind[lead + 1] = LETTER
+        odd = _holding(kind == ODD, first)
+        uncut = np.zeros(len(codes) + 1, np.int8)
+        uncut[first[odd]] = 1
+        uncut[last[odd]] -= 1
+        begins = kind == DIGIT
+        begins[1:] |= (kind[1:] != kind[:-1]) & (kind[1:] != BLANK)
+        begins &= np.cumsum(uncut[:-1], dtype=np.int8) == 0
+        begins[first] = True
+        begin = np.flatnonzero(begins)
+        word = np.cumsum(np.isin(begin, first, assume_unique=True)) - 1
+        return begin, np.minimum(np.append(begin[1:], len(codes)), last[word]), ~odd[word]
+
     def _hashed(self, data: bytes):
         codes = np.frombuffer(data, np.uint8)
-        first, last = bytewords.edges(codes)
-        special = np.concatenate([[0], np.cumsum((codes > 127) | (codes == ord("<")))])
-        told_apart = special[last] > special[first]
+        first, last, plain = self._edges(codes)
+        told_apart = _holding((codes > 127) | (codes == ord("<")), first)
         folded = bytewords.hashes(bytewords.LOWER[codes], first, last)
         if told_apart.any():
             whole = bytewords.hashes(codes.astype(np.uint64), first[told_apart], last[told_apart])
             folded[told_apart] = bytewords.mixed(whole + np.uint64(1))  # never equal to a folded one but by chance
-        return folded, first, last
+        return folded, first, last, plain
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; long ones are read in parts, cut at white space."""
@@ -156,7 +237,7 @@ class Encoder:
         raw = [part for _, part in parts]
         data = b"\n".join(raw)
         begins = np.cumsum([0] + [len(r) + 1 for r in raw[:-1]])
-        hashes, first, last = self._hashed(data)
+        hashes, first, last, plain = self._hashed(data)
         order = np.argsort(hashes)
         ordered = hashes[order]
         head = np.ones(len(order), bool)
@@ -165,7 +246,8 @@ class Encoder:
         at = np.searchsorted(self.known, distinct)
         new = (self.known[np.minimum(at, len(self.known) - 1)] != distinct) if len(self.known) else np.ones(len(distinct), bool)
         if new.any():
-            self._learn(distinct[new], [data[a:b].decode() for a, b in zip(first[example[new]].tolist(), last[example[new]].tolist())])
+            at = example[new]
+            self._learn(distinct[new], [data[a:b] for a, b in zip(first[at].tolist(), last[at].tolist())], plain[at])
             at = np.searchsorted(self.known, distinct)
         word = np.empty(len(order), np.int64)
         word[order] = at[np.cumsum(head) - 1]
@@ -176,6 +258,13 @@ class Encoder:
             out[i].append(piece)
 
 
+def _holding(marked: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which words hold a marked byte; only bytes of words are marked."""
+    held = np.zeros(len(first), bool)
+    held[np.searchsorted(first, np.flatnonzero(marked), side="right") - 1] = True
+    return held
+
+
 def _cut(data: bytes):
     start = 0
     while len(data) - start > BYTES_AT_ONCE:

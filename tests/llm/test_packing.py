@@ -32,10 +32,33 @@ def test_ids_are_those_of_the_tokenizer(tokenizer):
             tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_words_are_cut_as_the_tokenizer_cuts_them(tokenizer):
+    draw = random.Random(4)
+    signs = "abcXYZ019.,;:!?'\"-_()[]{}<>|/\\~^`@#$%&*+=éÉñÑßŞıİ×÷ǅ½\u0301\u0338\x7f\x01\x1c\u00a0"
+    texts = ["".join(draw.choices(signs + " \n", k=draw.randint(1, 60))) for _ in range(3000)]
+    texts += ["don't 'sword --'s x'll'd 12.5% (a-b) WORD, word. word", "Ñga,### cióngata&&& ÑGA", "İa ŉx ſt e\u0301, =\u0338", "a" * 5000 + ",", "1" * 3000]
+    encode = packing.Encoder(packing.tokenizer_path())
+    assert [i.tolist() for i in encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    known = len(encode.known)
+    encode(["WORD; (word) word?! word..."])  # signs beside a word make no new words of it
+    assert len(encode.known) <= known + 4
+
+
+def test_another_pattern_gets_whole_words(tokenizer, tmp_path):
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    other = Tokenizer.from_file(packing.tokenizer_path())
+    other.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    other.save(str(tmp_path / "other.json"))
+    encode = packing.Encoder(str(tmp_path / "other.json"))
+    texts = ["word, don't 12.5 (word)", "", "a"]
+    assert encode.plain is None and [i.tolist() for i in encode(texts)] == [other.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_memory_is_bounded(monkeypatch):
     monkeypatch.setattr(packing, "CACHED_WORDS", 10)
     encode = packing.Encoder(packing.tokenizer_path())
-    texts = [f"word{i} again" for i in range(50)]
+    texts = [f"word{chr(97 + i % 5)}{chr(97 + i // 5)} again" for i in range(50)]  # letters alone: digits are words of their own
     first = [i.tolist() for i in encode(texts)]
     assert [i.tolist() for i in encode(texts)] == first and len(encode.known) == 51
 
