@@ -42,6 +42,7 @@ WORD_END = "</w>"
 #: How the tokenizer cuts a text into the parts it encodes one by one, as its file states it (fixed value).
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 CACHED_WORDS = 1_000_000
+RUN_BITS = 32
 
 BLANK, LETTER, DIGIT, OTHER, ODD = range(5)
 #: Kinds of bytes to :data:`SPLIT`. Odd ones need the pattern itself: apostrophes, the mark of a special token, control bytes, and
@@ -114,7 +115,7 @@ class Encoder:
         return plain
 
     def _forget(self) -> None:
-        self.known, self.starts, self.lengths = (np.zeros(0, t) for t in (np.uint64, np.int64, np.int64))
+        self.known, self.runs = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # a run of ids: first place, number (low half)
         self.ids, self.filled = np.zeros(1 << 16, self.kind), 0
 
     def _ids(self, text: str, tokenizer=None) -> np.ndarray:
@@ -170,20 +171,19 @@ class Encoder:
 
     def _learn(self, hashes: np.ndarray, words: list[bytes], plain: np.ndarray) -> None:
         """Add words by their (sorted) hashes."""
-        starts, lengths = np.empty(len(words), np.int64), np.empty(len(words), np.int64)
+        runs = np.empty(len(words), np.int64)
         for which, encode in ((plain, self._together), (~plain, self._whole)):
             at = np.flatnonzero(which)
             if not len(at):
                 continue
             ids, size = encode([words[i].decode().lower() if encode == self._together else words[i].decode() for i in at.tolist()])
-            lengths[at], starts[at] = size, self.filled + np.cumsum(size) - size
+            runs[at] = self.filled + np.cumsum(size) - size << RUN_BITS | size
             while self.filled + len(ids) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
             self.ids[self.filled:self.filled + len(ids)] = ids
             self.filled += len(ids)
         at = np.searchsorted(self.known, hashes)
-        self.known, self.starts, self.lengths = (
-            np.insert(old, at, new) for old, new in ((self.known, hashes), (self.starts, starts), (self.lengths, lengths)))
+        self.known, self.runs = np.insert(self.known, at, hashes), np.insert(self.runs, at, runs)
 
     def _edges(self, codes: np.ndarray):
         """(first byte, byte after the last, whether cut as the pattern does) of all words."""
@@ -195,26 +195,26 @@ class Encoder:
         lead = lead[~np.isin(codes[lead].astype(np.int64) << 8 | codes[lead + 1], NOT_LATIN)]
         kind[lead] = kind[lead + 1] = LETTER
         odd = _holding(kind == ODD, first)
-        uncut = np.zeros(len(codes) + 1, np.int8)
-        uncut[first[odd]] = 1
-        uncut[last[odd]] -= 1
         begins = kind == DIGIT
         begins[1:] |= (kind[1:] != kind[:-1]) & (kind[1:] != BLANK)
-        begins &= np.cumsum(uncut[:-1], dtype=np.int8) == 0
+        if odd.any():
+            begins[_within(len(codes), first[odd], last[odd])] = False
         begins[first] = True
         begin = np.flatnonzero(begins)
-        word = np.cumsum(np.isin(begin, first, assume_unique=True)) - 1
+        heads = np.zeros(len(begin), np.int8)
+        heads[np.searchsorted(begin, first)] = 1
+        word = np.cumsum(heads, dtype=np.int32) - 1
         return begin, np.minimum(np.append(begin[1:], len(codes)), last[word]), ~odd[word]
 
     def _hashed(self, data: bytes):
         codes = np.frombuffer(data, np.uint8)
         first, last, plain = self._edges(codes)
         told_apart = _holding((codes > 127) | (codes == ord("<")), first)
-        folded = bytewords.hashes(bytewords.LOWER[codes], first, last)
+        values = bytewords.LOWER[codes]
         if told_apart.any():
-            whole = bytewords.hashes(codes.astype(np.uint64), first[told_apart], last[told_apart])
-            folded[told_apart] = bytewords.mixed(whole + np.uint64(1))  # never equal to a folded one but by chance
-        return folded, first, last, plain
+            whole = _within(len(codes), first[told_apart], last[told_apart])
+            values[whole] = codes[whole] + np.uint64(256)  # never like a folded byte
+        return bytewords.hashes(values, first, last), first, last, plain
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; long ones are read in parts, cut at white space."""
@@ -251,8 +251,9 @@ class Encoder:
             at = np.searchsorted(self.known, distinct)
         word = np.empty(len(order), np.int64)
         word[order] = at[np.cumsum(head) - 1]
-        lengths = self.lengths[word]
-        ids = self.ids[_spans(self.starts[word], lengths)]
+        runs = self.runs[word]
+        lengths = runs & (1 << RUN_BITS) - 1
+        ids = self.ids[_spans(runs >> RUN_BITS, lengths)]
         sizes = np.bincount(np.searchsorted(begins, first, side="right") - 1, lengths, len(parts)).astype(np.int64)
         for (i, _), piece in zip(parts, np.split(ids, np.cumsum(sizes)[:-1])):
             out[i].append(piece)
@@ -265,6 +266,14 @@ def _holding(marked: np.ndarray, first: np.ndarray) -> np.ndarray:
     return held
 
 
+def _within(size: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Which bytes lie in one of these words, no two of which touch."""
+    turns = np.zeros(size + 1, np.int8)
+    turns[first] = 1
+    turns[last] = -1
+    return np.cumsum(turns[:-1], dtype=np.int8).view(bool)
+
+
 def _cut(data: bytes):
     start = 0
     while len(data) - start > BYTES_AT_ONCE:
@@ -309,6 +318,7 @@ def pieces(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
         task = TaskContext.get()
         place = (task.partitionId() if task else 0) << PLACE_BITS
         frequency, rests, tokens = np.zeros(encode.vocabulary, np.int64), 0, 0
+        last, places = np.zeros(encode.vocabulary, np.int32), np.arange(window, dtype=np.int32)
         for batch in batches:
             at = 0
             for texts in _slices(batch["text"]):
@@ -321,7 +331,8 @@ def pieces(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
                         rows.append((name, place, start, len(ids), len(piece) == window, piece.tobytes()))
                         place += 1
                     if len(piece) < window:
-                        frequency[np.unique(piece)] += 1
+                        last[piece] = places[:len(piece)]
+                        frequency[piece[last[piece] == places[:len(piece)]]] += 1  # each token once, where it stands last
                         rests, tokens = rests + 1, tokens + len(piece)
                 yield _table(rows)
         if rests:
