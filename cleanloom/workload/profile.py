@@ -7,8 +7,8 @@ import warnings
 import pandas as pd
 from pyspark.sql import functions as F
 
-from cleanloom.functions.stats import top_values
-from cleanloom.operators import infer, profile, schema
+from cleanloom.functions.stats import distinct_counts, percentiles, top_values
+from cleanloom.operators import infer, profile, schema, summary
 from cleanloom.session import scratch_path
 from cleanloom.sources.csv import raw_header, read_csv
 from cleanloom.workload import views as v
@@ -173,7 +173,38 @@ def p17_long_texts(spark, sf_dir):
     return top_values(counts, 20, whole=(df, {"text": F.col("text")})).select("value", "n", F.col("rank").cast("long").alias("rank"))
 
 
+_SUMMED = ("customer_age", "net_price", "discount_pct", "tax_rate", "phone", "priority_text", "period_start")
+_SUMMED_NUMBERS = _SUMMED[:4]
+
+
+def p20_appended_profile(spark, sf_dir):
+    """Profile of a folder that grew twice: every load is summarised once and merged with what is known.
+
+    The sketched measures are compared with the exact ones of all rows: whether they keep the stated errors.
+    """
+    df = v.dirty_orders(spark, sf_dir, *_SUMMED)
+    data, states = scratch_path(spark, "loads"), scratch_path(spark, "summaries")
+    loads = v.table(spark, sf_dir, "orders").selectExpr("o_orderstatus", *[f"{v.DIRTY_ORDERS[c]} AS {c}" for c in _SUMMED])
+    for load in ("o_orderstatus = 'F'", "o_orderstatus = 'O'", "o_orderstatus NOT IN ('F', 'O') OR o_orderstatus IS NULL"):
+        loads.filter(load).drop("o_orderstatus").write.mode("append").parquet(data)
+        table = summary.refresh(spark, data, states)
+    found = summary.described(table).collect()  # a row per column
+    distinct = distinct_counts(df, profile._texts(df))
+    reach = summary.RANK_ERROR
+    edges = percentiles(df, {c: (F.col(c), [p + d for p in summary.QUARTILES for d in (-reach, reach)]) for c in _SUMMED_NUMBERS})
+    rows = []
+    for r in found:
+        near = r.column not in edges or all(
+            edges[r.column][2 * i] <= q <= edges[r.column][2 * i + 1] for i, q in enumerate(r.quartiles))
+        rows.append((r.column, r.rows, r.nulls, r.mean and round(r.mean, 6), r.std and round(r.std, 6), r.min, r.max, str(r.min_date or ""),
+                     str(r.max_date or ""), r.avg_length and round(r.avg_length, 6),
+                     abs(r.distinct - distinct[r.column]) <= summary.DISTINCT_ERROR * distinct[r.column], near))
+    return spark.createDataFrame(rows, "column string, rows long, nulls long, mean double, std double, min double, max double, first string, "
+                                       "last string, avg_length double, distinct_kept boolean, quartiles_kept boolean")
+
+
 QUERIES = {
+    "p20_appended_profile": p20_appended_profile,
     "p1_shape": p1_shape, "p2_column_order": p2_column_order, "p3_duplicate_columns": p3_duplicate_columns,
     "p4_empty_columns": p4_empty_columns, "p5_expected_columns": p5_expected_columns, "p6_strict": p6_strict,
     "p7_missing_values": p7_missing_values, "p8_boolean": _inferred("flag_text", "flag_number"),
@@ -243,5 +274,14 @@ SQL = {
         f"SELECT '{c}' AS \"column\", {c} AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, {c}) AS rank "
         f"FROM dirty WHERE {c} IS NOT NULL GROUP BY {c}")) + ") WHERE rank <= 5",
     "p18_mean_length": _each(["text", "lang", "source"], lambda c: f"SELECT '{c}' AS \"column\", round(avg(length({c})), 6) AS avg_length FROM documents"),
+    "p20_appended_profile": f"{v.CTE} " + _each(_SUMMED, lambda c: (
+        f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS nulls, "
+        + (f"round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, "
+           if c in _SUMMED_NUMBERS else "CAST(NULL AS DOUBLE) AS mean, CAST(NULL AS DOUBLE) AS std, CAST(NULL AS DOUBLE) AS min, "
+                                        "CAST(NULL AS DOUBLE) AS max, ")
+        + (f"strftime(min({c}), '%Y-%m-%d %H:%M:%S') AS first, strftime(max({c}), '%Y-%m-%d %H:%M:%S') AS last, "
+           if c == "period_start" else "'' AS first, '' AS last, ")
+        + (f"round(avg(length({c})), 6)" if c in ("phone", "priority_text") else "CAST(NULL AS DOUBLE)")
+        + " AS avg_length, true AS distinct_kept, true AS quartiles_kept FROM dirty")),
     "p19_source": _each(["o_orderstatus", "o_orderpriority"], lambda c: f"SELECT '{c}' AS \"column\", 'orders.parquet' AS source, count(*) AS rows, true AS stamped FROM orders"),
 }
