@@ -14,7 +14,10 @@ the occurrences of t, N all of them. *In the text:* c(e), c(t) and c(e, t) count
 so neither the distance nor how often a text repeats a word matters.
 
 A term discloses e when in one of them PMI reaches the share ``THRESHOLD`` of IC and c(e, t) rests on ``SUPPORT`` distinct contexts, or
-texts. Such terms become spans wherever they stand in a text that holds e: ``term`` if the word also occurs elsewhere (it is
+texts. With ``sparse=True`` the near question is also asked for entities of too few contexts, and for the class of every entity (mail domain,
+/24 network, issuer of a card, block of telephone numbers). An entity or class of fewer contexts than ``SUPPORT`` has no better estimate than
+those: a term counts if it stands in all of them, so for an entity seen once PMI is log2(N / c(t)) and only terms with c(t) <= N^(1 - ``THRESHOLD``)
+tell. The terms found this way are marked where they stand near the entity, whose places are known; the others become spans wherever they stand in a text that holds e: ``term`` if the word also occurs elsewhere (it is
 generalised to a placeholder), ``secret`` if not (it is removed). Terms are words of three letters or more
 that stand alone between white space and punctuation; texts without base spans get no spans at all.
 
@@ -151,26 +154,41 @@ def _context_terms(contexts: DataFrame) -> DataFrame:
         "id", "tag", "entity", "context", "t.*")
 
 
-def _telling(joint: DataFrame, counts: DataFrame, entities: DataFrame, threshold: float) -> DataFrame:
+def _class_of(entity: Column) -> Column:
+    """What an entity belongs to: mail domain, /24 network, issuer (six digits), block of ten thousand telephone numbers."""
+    value = F.substring_index(entity, ":", -1)
+    part = (F.when(entity.startswith("email:"), F.substring_index(value, "@", -1)).when(entity.startswith("ip:"), F.substring_index(value, ".", 3))
+            .when(entity.startswith("card:"), F.left(value, F.lit(6))).otherwise(F.left(value, F.length(value) - 4)))
+    return F.concat(F.lit("class "), F.substring_index(entity, ":", 1), F.lit(":"), part)
+
+
+def _telling(joint: DataFrame, counts: DataFrame, entities: DataFrame, threshold: float, where: Column | None = None) -> DataFrame:
     """(entity, term, disclosure, everywhere) from (entity, term, joint), (term, n) and (entity, seen)."""
     total = counts.agg(F.sum("n").alias("total"))
-    joined = joint.join(counts, "term").join(entities, "entity").crossJoin(F.broadcast(total))  # one row
+    rows = joint.join(entities, "entity")
+    joined = (rows if where is None else rows.filter(where)).join(counts, "term").crossJoin(F.broadcast(total))  # one row
     pmi = F.log2(F.col("joint") * F.col("total") / (F.col("seen") * F.col("n")))
     whole = F.log2(F.col("total") / F.col("seen"))
     return joined.withColumn("disclosure", pmi / whole).filter(F.col("disclosure") >= threshold).select(
         "entity", "term", "disclosure", (F.col("joint") >= F.col("n")).alias("everywhere"))
 
 
-def disclosures(terms: DataFrame, contexts: DataFrame, counts: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
+def disclosures(terms: DataFrame, contexts: DataFrame, counts: DataFrame, threshold: float = THRESHOLD, support: int = SUPPORT,
+                sparse: bool = False) -> DataFrame:
     """(entity, term, disclosure, everywhere): terms near an entity that tell enough about it.
 
-    A context counts in each text that holds it, as words do; the support counts different contexts.
+    A context counts in each text that holds it, as words do; the support counts different contexts. With ``sparse``
+    all contexts of an entity are support enough where it has fewer.
     """
     joint = (terms.select("entity", "term", "context", "tag").distinct().groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("texts"))
-             .groupBy("entity", "term").agg(F.sum("texts").alias("joint"), F.count(F.lit(1)).alias("different"))
-             .filter(F.col("different") >= support).drop("different"))
-    entities = contexts.select("entity", "context", "tag").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("seen"))
-    return _telling(joint, counts, entities, threshold)
+             .groupBy("entity", "term").agg(F.sum("texts").alias("joint"), F.count(F.lit(1)).alias("different")))
+    if not sparse:
+        joint = joint.filter(F.col("different") >= support).drop("different")
+        entities = contexts.select("entity", "context", "tag").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("seen"))
+        return _telling(joint, counts, entities, threshold)
+    entities = (contexts.select("entity", "context", "tag").distinct().groupBy("entity", "context").agg(F.count(F.lit(1)).alias("texts"))
+                .groupBy("entity").agg(F.sum("texts").alias("seen"), F.least(F.count(F.lit(1)), F.lit(support)).alias("needed")))
+    return _telling(joint, counts, entities, threshold, F.col("different") >= F.col("needed"))
 
 
 def text_counts(texts: DataFrame) -> DataFrame:
@@ -235,20 +253,45 @@ def _marked(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> D
             ["added_id", "added_tag"])
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, support: int = SUPPORT) -> DataFrame:
+def _beside(terms: DataFrame, contexts: DataFrame, counts: DataFrame, threshold: float, support: int) -> DataFrame:
+    """(id, tag, start, end, kind): the places of terms near an entity that tell of it or of its class, few contexts or many.
+
+    Places come from the terms themselves, so no text is read again, and a frequent class meets only the terms that stand near it.
+    """
+    owners = F.explode(F.array("entity", _class_of(F.col("entity")))).alias("entity")
+    terms = terms.select("id", "tag", "context", "term", "start", "end", owners)
+    telling = disclosures(terms, contexts.select("context", "tag", owners), counts, threshold, support, sparse=True)
+    return terms.join(telling.select("entity", "term", "everywhere"), ["entity", "term"]).select(
+        "id", "tag", "start", "end", F.when(F.col("everywhere"), "secret").otherwise("term").alias("kind"))
+
+
+def _united(added: DataFrame, beside: DataFrame) -> DataFrame:
+    """(added_id, added_tag, added): the places of both, each once; "secret" goes before "term"."""
+    places = added.select(F.col("added_id").alias("id"), F.col("added_tag").alias("tag"), F.explode("added").alias("x")).select(
+        "id", "tag", "x.start", "x.end", "x.kind").union(beside)
+    each = places.groupBy("id", "tag", "start", "end").agg(F.min("kind").alias("kind"))
+    span = F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", "kind")
+    return each.groupBy(F.col("id").alias("added_id"), F.col("tag").alias("added_tag")).agg(F.collect_list(span).cast(_SPAN).alias("added"))
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, support: int = SUPPORT,
+         sparse: bool = False) -> DataFrame:
     """(id, tag, base, spans): spans are (start, rank, end, kind), sorted; ``spans`` holds those of the method as well."""
     base = stored(base_matches(docs, id_col, text_col), "base")
     contexts = base.select("id", "tag", F.explode("found").alias("f")).select("id", "tag", "f.*").withColumn(
         "context", F.xxhash64("before", "after"))
     texts = stored(distinct_texts(docs, text_col), "texts")
     terms = stored(_context_terms(contexts), "terms")
-    near = disclosures(terms, contexts, stored(term_counts(texts, "body"), "counts"), threshold, support)
+    counts = stored(term_counts(texts, "body"), "counts")
+    near = disclosures(terms, contexts, counts, threshold, support)
     wide = text_disclosures(texts, contexts, stored(text_counts(texts), "text-counts"), threshold, support)
     telling = stored(near.union(wide).groupBy("entity", "term").agg(F.max("everywhere").alias("everywhere")), "telling")
     release(docs.sparkSession)
     wanted = (contexts.select("id", "tag", "entity").distinct().join(telling, "entity")
               .groupBy("id", "tag", "term").agg(F.max("everywhere").alias("everywhere")))
     added = _marked(docs, wanted, id_col, text_col)
+    if sparse:
+        added = _united(added, _beside(terms, contexts, counts, threshold, support))
     spans = F.transform("found", lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["end"].alias("end"), x["kind"].alias("kind")))
     joined = base.join(added, F.col("id").eqNullSafe(F.col("added_id")) & (F.col("tag") == F.col("added_tag")), "left")
     return joined.select("id", "tag", spans.alias("base"),

@@ -58,7 +58,7 @@ def op8_packing(spark, sf_dir):
 
 def op9_pii(spark, sf_dir):
     """Personal data in whole texts: base spans, and the terms that give them away."""
-    rows = pii.find(table(spark, sf_dir, "documents"))
+    rows = pii.find(table(spark, sf_dir, "documents"), sparse=True)
     counts = [pii.count_of(F.col("base"), kind).alias(f"n_{kind}") for kind in pii.KINDS]
     return rows.select(F.col("id").alias("doc_id"), *counts, F.sha2(pii.spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"),
                        pii.spans_text(F.col("spans")).alias("spans"))

@@ -145,6 +145,82 @@ def test_terms_in_the_whole_text(spark, make_docs):
     assert clean[20] == docs[8][1]
 
 
+WORD = r"(?<!\S)[^\W\d_]{3,}(?=[.,;:!?]?(?:\s|$))"
+
+
+def class_of(kind, value):
+    part = {"email": value.rsplit("@")[-1], "ip": value.rpartition(".")[0], "card": value[:6], "phone": value[:-4]}[kind]
+    return f"class {kind}:{part}"
+
+
+def plain_sparse(rows, threshold=pii.THRESHOLD, support=pii.SUPPORT):
+    """{id: places} that stand near an entity and tell of it or its class, by reading every text; ids and texts are different."""
+    import math
+
+    words, near = [], []
+    for r in rows:
+        text = r["text"] or ""
+        words += [m[0].lower() for m in re.finditer(WORD, text)]
+        for span in filter(None, plain_spans(text).split(",")):
+            kind, start, end = span.split(":")[0], int(span.split(":")[1]), int(span.split(":")[2])
+            digits = re.sub("[^0-9]", "", text[start:end])
+            value = {"email": text[start:end].lower(), "ip": text[start:end]}.get(kind, digits)
+            # The window reaches to the neighbouring match of the kind, valid or not.
+            matches = [m for m in re.finditer(STATED[kind], text)]
+            at = [m.start() for m in matches].index(start)
+            before = text[max(matches[at - 1].end() if at else 0, start - 64):start]
+            after = text[end:min(matches[at + 1].start() if at + 1 < len(matches) else len(text), end + 64)]
+            found = [(x, start - len(before)) for x in re.finditer(WORD, before) if x.end() < len(before) and (x.start() or len(before) < 64)]
+            found += [(x, end) for x in re.finditer(WORD, after) if x.start() and (x.end() < 63 or len(after) < 64)]
+            for owner in (f"{kind}:{value}", class_of(kind, value)):
+                near.append((r["doc_id"], owner, (before, after), [(x[0].lower(), x.start() + o, x.end() + o) for x, o in found]))
+    total, out = len(words), {}
+    seen, different, joint, apart = {}, {}, {}, {}
+    for i, owner, context, found in near:
+        seen.setdefault(owner, set()).add((i, context))
+        different.setdefault(owner, set()).add(context)
+        for term, _, _ in found:
+            joint.setdefault((owner, term), set()).add((i, context))
+            apart.setdefault((owner, term), set()).add(context)
+    for i, owner, _, found in near:
+        for term, start, end in found:
+            c, e, n = len(joint[owner, term]), len(seen[owner]), words.count(term)
+            share = math.log2(c * total / (e * n)) / math.log2(total / e)
+            if len(apart[owner, term]) >= min(support, len(different[owner])) and share >= threshold:
+                place = out.setdefault(i, {})
+                place[start, end] = min("secret" if c >= n else "term", place.get((start, end), "term"))
+    return {i: {f"{kind}:{a}:{b}" for (a, b), kind in places.items()} for i, places in out.items()}
+
+
+def sparse_spans(docs, **options):
+    rows = pii.find(docs, sparse=True, **options).select("id", pii.spans_text(F.col("spans")).alias("s"), pii.spans_text(F.col("base")).alias("b"))
+    return {r["id"]: (r["b"], {s for s in r["s"].split(",") if s.startswith(("term", "secret"))}) for r in rows.collect()}
+
+
+def test_sparse_entities_match_brute_force(spark, make_docs):
+    """Entities seen once, classes of such entities, and copies of a text, against a reading of every text."""
+    draw = random.Random(9)
+    fill = lambda n: " ".join(draw.choices(["the", "water", "house", "green", "stone", "walks", "under", "light"], k=n))
+    docs = [(i, f"{fill(30)} acmeworks {fill(2)} p{i}@acme.example.org {fill(3)} nick{chr(97 + i)}. {fill(20)}") for i in range(5)]
+    docs += [(10 + i, f"{fill(9)} netname 10.1.7.{i} {fill(4)} callers +49 30 5550 {1000 + i} {fill(9)}") for i in range(6)]
+    docs += [(20, f"{fill(9)} Solo {fill(2)} 4111111111111111, Paul \U0001f600 x@y.org Petra, {fill(9)}"), (21, fill(7) + " Paul"), (22, None), (23, "")]
+    docs += [(24, "word q@w.org wordy e@r.org, q@w.org"), (25, "x@y.org")]
+    docs += [(100 + i, fill(60)) for i in range(200)]
+    rows = make_docs(*docs).collect()
+    wanted = plain_sparse(rows)
+    got = sparse_spans(make_docs(*docs))
+    assert {i: places for i, (_, places) in got.items() if places} == wanted
+    assert {i: base for i, (base, _) in got.items()} == {r["doc_id"]: plain_spans(r["text"]) for r in rows}
+    marked = {rows[i]["text"][int(s.split(":")[1]):int(s.split(":")[2])] for i in range(5) for s in wanted[i]}
+    assert marked == {"acmeworks", *(f"nick{c}" for c in "abcde")}
+    assert not any(i >= 100 or i in (21, 22, 23) for i in wanted)
+    copies = make_docs(*docs).withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(3)))).drop("n")
+    assert sparse_spans(copies) == got
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(make_docs(*docs), sparse=True).collect()}
+    assert "acmeworks" not in clean[0] and "nicka" not in clean[0] and clean[100] == rows[[r["doc_id"] for r in rows].index(100)]["text"]
+
+
 def test_empty_table(spark, make_docs):
+    assert pii.find(make_docs(), sparse=True).count() == 0
     assert pii.find(make_docs()).count() == 0
     assert pii.sanitise(make_docs()).count() == 0
