@@ -51,6 +51,8 @@ class Fix:
     touched: Callable[[Column, str, dict], Column] | None = None
     needs: Callable[[str, str], Needs] | None = None
     only: Callable[[str], bool] = staticmethod(lambda kind: True)
+    # Which rows it changes or removes depends on fitted parameters.
+    rows_fitted: bool = False
 
     @property
     def row_local(self) -> bool:
@@ -315,7 +317,7 @@ FIXES: dict[str, Fix] = {fix.fix_id: fix for fix in (
             nan_to_null(df, [column]), column, order_by, (p or {}).get("seed", 42), (p or {}).get("ranges"))),
     # removal
     Fix("FIX_DROP_COLUMN", "drop the column", frame=lambda df, column, p, order_by: df.drop(ref(column))),
-    Fix("FIX_DROP_ROWS", "drop rows without a value", keep=_drop_null_keep, needs=_null_share_needs),
+    Fix("FIX_DROP_ROWS", "drop rows without a value", keep=_drop_null_keep, needs=_null_share_needs, rows_fitted=True),
     Fix("FIX_DROP_INVALID_ROWS", "drop rows above 100",
         keep=lambda c, k, p: _not(_real(c, k) > 100)),
     Fix("FIX_DROP_TEXT_ROWS", "drop rows with text", keep=lambda c, k, p: _not(_letters(c, k, p))),
@@ -325,7 +327,8 @@ FIXES: dict[str, Fix] = {fix.fix_id: fix for fix in (
         keep=lambda c, k, p: _not(checks.impossible_age(_real(c, k)))),
     Fix("FIX_DROP_ZERO_MONETARY_ROWS", "drop rows with zero or negative amounts",
         keep=lambda c, k, p: _not(_real(c, k) <= 0)),
-    Fix("FIX_REMOVE_OUTLIERS", "drop rows beyond three standard deviations", keep=_z_keep, needs=_moments_needs),
+    Fix("FIX_REMOVE_OUTLIERS", "drop rows beyond three standard deviations", keep=_z_keep, needs=_moments_needs,
+        rows_fitted=True),
     # numbers
     Fix("FIX_NEGATIVE_TO_ABS", "absolute value",
         value=lambda c, k, p: F.abs(to_number(c, k)), touched=lambda c, k, p: _real(c, k) < 0),
@@ -356,13 +359,13 @@ FIXES: dict[str, Fix] = {fix.fix_id: fix for fix in (
         touched=_letters, needs=_median_needs(_real_of)),
     Fix("FIX_CAP_PERCENTILE", "cap at the 1st and 99th percentile",
         value=lambda c, k, p: _clip(c, k, p["p1"], p["p99"]), touched=lambda c, k, p: _outside(c, k, p["p1"], p["p99"]),
-        needs=_bounds(0.01, 0.99, ("p1", "p99"))),
+        needs=_bounds(0.01, 0.99, ("p1", "p99")), rows_fitted=True),
     Fix("FIX_CAP_IQR", "cap at the quartile fences",
         value=lambda c, k, p: _clip(c, k, p["lower_bound"], p["upper_bound"]),
-        touched=lambda c, k, p: _outside(c, k, p["lower_bound"], p["upper_bound"]), needs=_iqr_needs),
+        touched=lambda c, k, p: _outside(c, k, p["lower_bound"], p["upper_bound"]), needs=_iqr_needs, rows_fitted=True),
     Fix("FIX_WINSORIZE", "cap at the 5th and 95th percentile",
         value=lambda c, k, p: _clip(c, k, p["p5"], p["p95"]), touched=lambda c, k, p: _outside(c, k, p["p5"], p["p95"]),
-        needs=_bounds(0.05, 0.95, ("p5", "p95"))),
+        needs=_bounds(0.05, 0.95, ("p5", "p95")), rows_fitted=True),
     Fix("FIX_IMPOSSIBLE_AGE_TO_MEDIAN", "impossible ages to the median",
         value=lambda c, k, p: _swap_where(
             checks.impossible_age(_real(c, k)), to_number(c, k), k,
@@ -454,6 +457,12 @@ def fit(df: DataFrame, targets: list[tuple[str, str]], given: list[dict] | None
 
     ``targets`` lists (fix_id, column). ``given`` parameters win over fitted ones and are not computed.
     """
+    return fit_counting(df, targets, given, approximate, {})[0]
+
+
+def fit_counting(df: DataFrame, targets: list[tuple[str, str]], given: list[dict] | None, approximate: bool,
+                 counters: dict) -> tuple[list[dict], dict]:
+    """:func:`fit`, and the values of further aggregates taken in the same pass."""
     given = given or [{} for _ in targets]
     kind = kinds(df)
     wanted = [None if c not in kind or not lookup(f).needs else
@@ -467,7 +476,7 @@ def fit(df: DataFrame, targets: list[tuple[str, str]], given: list[dict] | None
         ranks.update({(i, n): (e, [p]) for n, (e, p) in needs.percentiles.items() if n not in given[i]})
         if needs.mode is not None and "mode_value" not in given[i]:
             modes[str(i)] = needs.mode
-    found = aggregate(df, plain)
+    found = aggregate(df, {**plain, **{("counter", name): e for name, e in counters.items()}})
     points = percentiles(df, ranks, approximate=approximate)
     top = clean_modes(df, modes)
     result = []
@@ -481,7 +490,7 @@ def fit(df: DataFrame, targets: list[tuple[str, str]], given: list[dict] | None
             if set(p) >= set(needs.percentiles) | set(needs.aggregates):
                 p = needs.finish(p)
         result.append({**p, **given[i]})
-    return result
+    return result, {name: found["counter", name] for name in counters}
 
 
 def apply_fix(df: DataFrame, fix_id: str, column: str, params: dict | None = None,

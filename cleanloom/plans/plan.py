@@ -1,7 +1,9 @@
 """Cleaning plans: which fix each issue gets, applied stage by stage with a log.
 
 Steps that do not depend on each other share a stage, and a stage takes all its statistics (fix
-parameters and log counts) from the same fused passes. A new stage starts when a step touches a column
+parameters and log counts) from the same fused passes. Counts of rows that no fitted parameter picks, and the number of rows,
+are taken with the parameters; only the others ask for a pass of their own. They are plain aggregates: observed metrics
+add up again what a lost executor has to repeat. A new stage starts when a step touches a column
 an earlier step of the stage changed, or follows a step that may remove rows.
 """
 
@@ -10,12 +12,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from cleanloom.functions.columns import kinds
 from cleanloom.functions.stats import aggregate, count_if
 from cleanloom.operators.checks import Issue
 from cleanloom.operators.fixes import (
-    MAX_DROP_SHARE, affected, apply_fitted, fit, lookup, rows_removed, split_pair)
+    MAX_DROP_SHARE, affected, apply_fitted, fit_counting, lookup, rows_removed, split_pair)
 from cleanloom.operators.recommend import exists, recommend
 from cleanloom.operators.roles import detect_roles
 from cleanloom.session import cut_lineage
@@ -81,6 +84,12 @@ def _stages(steps: list[PlanStep], columns) -> list[list[PlanStep]]:
     return stages
 
 
+def _counters(df: DataFrame, steps: list[PlanStep], params: list[dict], which: list[int]) -> dict:
+    """By place in the stage, the number of rows that each of these steps changes or removes."""
+    predicates = {i: affected(df, steps[i].fix_id, steps[i].column, params[i]) for i in which}
+    return {i: count_if(predicate) for i, predicate in predicates.items() if predicate is not None}
+
+
 def run_plan(df: DataFrame, issues: list[Issue], steps: list[PlanStep], order_by: list[str] | None = None,
              reset_ids: bool = False, approximate: bool = False, checkpoint_stages: int | None = None,
              as_of=None, dayfirst: bool = False, hidden: tuple[str, ...] = ()) -> tuple[DataFrame, list[LogEntry]]:
@@ -121,8 +130,7 @@ def run_plan(df: DataFrame, issues: list[Issue], steps: list[PlanStep], order_by
         numbers[id(step)] = number
         chosen.append(step)
 
-    start_rows = df.count()
-    rows = start_rows
+    start_rows = rows = None
     identity = detect_roles(shown(df), dayfirst=dayfirst).identity if reset_ids else ()
     for done, stage in enumerate(_stages(chosen, df.columns), start=1):
         live = []
@@ -134,13 +142,14 @@ def run_plan(df: DataFrame, issues: list[Issue], steps: list[PlanStep], order_by
                                     "column no longer exists"))
         if not live:
             continue
-        params = fit(df, [(s.fix_id, s.column) for s in live], [s.params for s in live], approximate)
-        counters = {}
-        for i, step in enumerate(live):
-            predicate = affected(df, step.fix_id, step.column, params[i])
-            if predicate is not None:
-                counters[i] = count_if(predicate)
-        counts = aggregate(df, counters)
+        fixed = [i for i, step in enumerate(live) if not lookup(step.fix_id).rows_fitted]
+        early = _counters(df, live, [s.params for s in live], fixed)
+        if rows is None:
+            early["rows"] = F.count(F.lit(1))
+        params, counts = fit_counting(df, [(s.fix_id, s.column) for s in live], [s.params for s in live], approximate, early)
+        if rows is None:
+            start_rows = rows = counts["rows"]
+        counts |= aggregate(df, _counters(df, live, params, [i for i in range(len(live)) if i not in fixed]))
         fitted = []
         for i, step in enumerate(live):
             fix, number = lookup(step.fix_id), numbers[id(step)]

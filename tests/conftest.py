@@ -1,4 +1,5 @@
 import sys
+import uuid
 from pathlib import Path
 
 import pytest
@@ -49,3 +50,19 @@ def guests(spark, guests_csv):
     from cleanloom.sources.csv import read_csv
 
     return read_csv(spark, guests_csv).cache()
+
+
+@pytest.fixture
+def jobs_of(spark):
+    """The number of jobs that a call runs, and its result."""
+    def counted(call):
+        context, group = spark.sparkContext, str(uuid.uuid4())
+        context.setJobGroup(group, "counted")
+        try:
+            result = call()
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+        context._jsc.sc().listenerBus().waitUntilEmpty()
+        return len(context.statusTracker().getJobIdsForGroup(group)), result
+
+    return counted

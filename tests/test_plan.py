@@ -2,7 +2,9 @@ import datetime as dt
 
 import pytest
 
+from cleanloom.functions.columns import kinds
 from cleanloom.operators.checks import Issue, detect_issues
+from cleanloom.operators.fixes import FIXES, affected
 from cleanloom.operators.impact import cells, column_completeness, impact, quality
 from cleanloom.operators.recommend import fixes_frame, recommend, recommended_only
 from cleanloom.plans.pipeline import EmptyDataset, clean, clean_file
@@ -141,3 +143,31 @@ def test_pipeline(spark, guests_csv, tmp_path):
     assert after["missing_values"] <= 0 and outcome.log
     with pytest.raises(EmptyDataset):
         clean(spark.createDataFrame([], "a int"))
+
+
+def test_counts_of_a_stage_come_with_its_parameters(spark, jobs_of):
+    """Fixes that need no fitted parameter cost one pass a stage, and that pass counts the rows as well."""
+    rows = [(i, " a " if i % 3 else "b", -1.0 if i % 4 == 0 else 2.0, None if i % 10 == 0 else i) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, name_text string, price double, level long")
+    steps = [PlanStep("WHITESPACE", "name_text", "FIX_STRIP_WHITESPACE"), PlanStep("NEGATIVE_VALUE", "price", "FIX_NEGATIVE_TO_ABS"),
+             PlanStep("MISSING_VAL", "level", "FIX_DROP_ROWS")]
+    one, _ = jobs_of(lambda: df.agg({"id": "count"}).first())
+    jobs, (cleaned, log) = jobs_of(lambda: run_plan(df, [issue(s.issue_id, s.column) for s in steps[:2]], steps[:2], ["id"]))
+    assert jobs == one
+    assert [e.values_changed for e in log] == [sum(r[1] != "b" for r in rows), sum(r[2] < 0 for r in rows)]
+    cleaned, log = run_plan(df, [issue(s.issue_id, s.column) for s in steps], steps, ["id"])
+    assert log[2].rows_removed == 20 and cleaned.count() == 180
+    jobs, (_, log) = jobs_of(lambda: run_plan(df, [], [PlanStep("WHITESPACE", "gone", "FIX_STRIP_WHITESPACE")], ["id"]))
+    assert jobs == 0 and log[0].fix_applied == "skipped"
+
+
+def test_early_counts_depend_on_no_fitted_parameter(spark):
+    """A fix says whether fitted parameters pick its rows; without them the others still have their predicate."""
+    df = spark.createDataFrame([(1, "a", 1.0, "2024-01-01")], "n long, t string, x double, d string")
+    for fix_id, fix in FIXES.items():
+        for column in df.columns:
+            if fix.needs and fix.rows_fitted and fix.only(kinds(df)[column]) and fix_id not in ("FIX_DROP_ROWS",):
+                with pytest.raises(KeyError):
+                    affected(df, fix_id, column, {})
+            elif not fix.rows_fitted and fix_id != "FIX_SWAP_LOGICAL_DATES":
+                affected(df, fix_id, column, {})
