@@ -141,3 +141,51 @@ def test_local_factor_by_projections(spark):
         assert len(marks[0]) > 50 and len(marks[0] & marks[1]) >= 0.95 * len(marks[0] | marks[1])
     with pytest.raises(ValueError, match="unknown search"):
         outliers.fit(table, method="lof", search="guess")
+
+
+def test_no_point_is_copied_for_the_exact_search(spark):
+    from cleanloom.operators.neighbours import build_index, collapse, neighbours
+
+    df, x = _cloud(spark, 1200)
+    points, _ = collapse(df)
+    index = build_index(points, 10, chunk_points=100)
+    found = neighbours(points, index, 10, True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # Blocks of queries are dealt out once; the indexed points are read where they lie, by nested loop.
+    assert plan.count("Exchange") == 1 and "CartesianProduct" in plan and "SortMergeJoin" not in plan
+    blocks = spark.read.parquet(index.path)
+    assert blocks.count() >= 12 and blocks.agg(F.sum(F.octet_length("pid")) / 8).first()[0] == points.count() == 1200
+    rows = found.toPandas().sort_values(["pid", "place"])
+    assert len(rows) == 12000 and set(rows["place"]) == set(range(1, 11))
+    at = {tuple(r.x): r.pid for r in points.collect()}
+    pid = np.array([at[tuple(v)] for v in x])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1, kind="stable")[:, :10]
+    expected = {(pid[i], pid[j]) for i in range(len(x)) for j in near[i]}
+    assert set(zip(rows["pid"], rows["nid"])) == expected
+
+
+@pytest.mark.parametrize("shift", [0.0, 1e7, 1e160])
+def test_a_block_keeps_ties_and_far_points(shift):
+    """Whole numbers tie everywhere; far from zero, or where squares overflow, the product alone would go wrong."""
+    from cleanloom.operators.neighbours import _Chunk
+
+    draw = np.random.default_rng(3)
+    scale = 1.0 if shift < 1e100 else shift
+    x = draw.integers(0, 6, (400, 3)) * scale + (shift if scale == 1.0 else 0.0)
+    x = np.unique(x, axis=0)
+    ids = np.arange(len(x))
+    chunk = _Chunk(ids[:70], x[:70].copy(), 7, True, np.inf, np.zeros(1))
+    for start in range(0, len(x), 60):
+        part = slice(start, start + 60)
+        chunk.meet(ids[part], np.ones(len(ids[part]), dtype=np.int64), x[part], np.zeros(len(ids[part])))
+    got = pd.concat(b.to_pandas() for b in chunk.result())
+    with np.errstate(over="ignore"):
+        d = np.sqrt(((x[:70, None] - x[None]) ** 2).sum(-1))
+    d[np.arange(70), np.arange(70)] = np.inf
+    for i in range(70):
+        order = np.lexsort((ids, d[i]))[:7]
+        mine = got[got["pid"] == i].sort_values("place")
+        finite = order[np.isfinite(d[i][order])]
+        assert list(mine["nid"]) == list(finite) and np.array_equal(mine["distance"], d[i][finite])
