@@ -189,3 +189,13 @@ def test_a_block_keeps_ties_and_far_points(shift):
         mine = got[got["pid"] == i].sort_values("place")
         finite = order[np.isfinite(d[i][order])]
         assert list(mine["nid"]) == list(finite) and np.array_equal(mine["distance"], d[i][finite])
+
+
+@pytest.mark.parametrize("points", [800, 2400])
+def test_a_block_is_bounded_whatever_the_table(spark, points):
+    from cleanloom.operators.neighbours import build_index, collapse
+
+    df, _ = _cloud(spark, points)
+    index = build_index(collapse(df)[0], 10, pivots=2, chunk_points=100)  # cells much larger than a block
+    sizes = [r.n for r in spark.read.parquet(index.path).select((F.octet_length("pid") / 8).alias("n")).collect()]
+    assert sum(sizes) == points and max(sizes) <= 150 and len(sizes) >= points / 100
