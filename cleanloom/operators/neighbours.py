@@ -27,7 +27,7 @@ from cleanloom.session import scratch_path
 
 CHUNK_POINTS = 2000
 MIN_CHUNK_POINTS = 100
-MAX_CHUNK_VALUES = 1_000_000  # 8 MB of coordinates in a block
+MAX_CHUNK_VALUES = 128_000  # 1 MB of coordinates in a block: Parquet's writer and reader hold a hundred blocks or more
 MAX_TASKS = 20_000
 MAX_PIVOTS = 16384
 MAX_PIVOT_VALUES = 4_000_000  # 32 MB of pivot coordinates
