@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import gc
-import time
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cleanloom.session import scratch_path
+from cleanloom.session import release, scratch_path  # noqa: F401  (operators take both from here)
 
 #: ASCII white space between words, and the words, as Java regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -34,17 +31,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished jobs now, not when the driver next collects its garbage.
-
-    The first round frees the plans, the second what only they referred to.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -4,6 +4,9 @@ In each of ``tables`` tables points are sorted by a key: on which side of the me
 then their place along a further one. Near points get equal bits and near places more often than far ones. The sorted table is dealt by
 ranges, cut into leaves of ``leaf`` points, and every point meets its own leaf and the two beside it, with exact distances. The best of all tables are kept.
 
+Tables are searched in rounds: the k best so far are written, and what the round shuffled is dropped before the next. So disk holds the
+points ``ROUND`` times at most, not once for each table (small tables, of ``ROUND_VALUES`` coordinates a round, need fewer rounds).
+
 So a point meets at most ``3 * tables * leaf`` others whatever the table's size, and the join is linear in the points; the exact way
 (:mod:`cleanloom.operators.neighbours`) is quadratic where distances prune little. Ranges split any crowd of points; equal vectors are one point with a
 weight. Neighbours may be missed, but a distance is never wrong. Medians are taken of a bounded sample (``SAMPLE`` points, by hash).
@@ -19,14 +22,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cleanloom.operators.neighbours import MAX_TASKS, _matrix, _nearest_first, distances
+from cleanloom.operators.neighbours import MAX_TASKS, _Chunk, _matrix
+from cleanloom.session import drop_scratch, release, scratch_path
 
 TABLES = 40
+ROUND = 8
+ROUND_VALUES = 16_000_000  # 128 MB of coordinates
 LEAF = 256
 SAMPLE = 4096
 MAX_BITS = 40
 TASK_LEAVES = 8
 KEYED = "pid long, x array<double>, w long, asks boolean, found boolean, t int, key long, at double"
+ANSWERS = "pid long, nid long, nw long, distance double"
 
 
 @dataclass(frozen=True)
@@ -56,7 +63,7 @@ def build_projections(points: DataFrame, path: str, seed: int = 42, tables: int
     return ProjectedIndex(path, directions, np.median(along, axis=2), n, leaf)
 
 
-def _keyed(index: ProjectedIndex):
+def _keyed(index: ProjectedIndex, tables: range):
     """A row per point and table, with its key and its place along the last direction."""
     bits = index.middles.shape[1]
     value = (1 << np.arange(bits, dtype=np.int64))[::-1]
@@ -66,9 +73,9 @@ def _keyed(index: ProjectedIndex):
             if not len(batch):
                 continue
             x = _matrix(batch["x"])
-            for t, (directions, middles) in enumerate(zip(index.directions, index.middles)):
-                along = x @ directions.T
-                yield batch.assign(t=np.int32(t), key=((along[:, :-1] > middles) * value).sum(axis=1).astype(np.int64), at=along[:, -1])
+            for t in tables:
+                along = x @ index.directions[t].T
+                yield batch.assign(t=np.int32(t), key=((along[:, :-1] > index.middles[t]) * value).sum(axis=1).astype(np.int64), at=along[:, -1])
 
     return run
 
@@ -83,14 +90,10 @@ class _Leaf:
 
 def _answers(leaf: _Leaf, around: list[_Leaf], k: int, exclude_self: bool) -> pd.DataFrame:
     pid, x, w = (np.concatenate([getattr(o, c)[o.found] for o in around]) for c in ("pid", "x", "w"))
-    own = leaf.pid[leaf.asks]
-    d = distances(leaf.x[leaf.asks], x)
-    if exclude_self:
-        d[own[:, None] == pid[None, :]] = np.inf
-    order = _nearest_first(d, np.broadcast_to(pid, d.shape), k)
-    near = np.take_along_axis(d, order, 1)
-    frame = pd.DataFrame({"pid": np.repeat(own, order.shape[1]), "nid": pid[order].ravel(), "nw": w[order].ravel(), "distance": near.ravel()})
-    return frame[np.isfinite(frame["distance"])]
+    order = np.argsort(pid)  # as blocks of the exact search
+    chunk = _Chunk(leaf.pid[leaf.asks], leaf.x[leaf.asks], k, exclude_self, np.inf, np.zeros(0))
+    chunk.meet(pid[order], w[order], x[order], np.zeros(len(pid)))
+    return pd.concat(batch.to_pandas() for batch in chunk.result()).drop(columns="place")
 
 
 def _leaves(index: ProjectedIndex, k: int, exclude_self: bool):
@@ -131,18 +134,33 @@ def _leaves(index: ProjectedIndex, k: int, exclude_self: bool):
 def projected_neighbours(points: DataFrame, index: ProjectedIndex, k: int, exclude_self: bool) -> DataFrame:
     """Up to k near indexed points of each query point: (pid, nid, nw, distance, place), as the exact join gives them.
 
-    ``points`` is (pid, x, w); with ``exclude_self`` its pids are those of the index.
+    ``points`` is (pid, x, w); with ``exclude_self`` its pids are those of the index. The search runs at once and its answers are stored.
     """
     spark = points.sparkSession
     role = lambda df, asks, found: df.select("pid", "x", "w", F.lit(asks).alias("asks"), F.lit(found).alias("found"))
     indexed = spark.read.parquet(index.path)
     rows = role(indexed, True, True) if exclude_self else role(indexed, False, True).unionByName(role(points, True, False))
-    tables = len(index.directions)
-    tasks = min(MAX_TASKS, max(1, math.ceil(index.points * tables / (index.leaf * TASK_LEAVES))))
     order = ["t", "key", "at", "pid"]
-    sorted_ = (rows.mapInPandas(_keyed(index), KEYED)
-               .repartitionByRange(tasks, *order).sortWithinPartitions(*order))
-    met = sorted_.mapInPandas(_leaves(index, k, exclude_self), "pid long, nid long, nw long, distance double")
-    once = met.groupBy("pid", "nid").agg(F.max("nw").alias("nw"), F.min("distance").alias("distance"))
-    place = F.row_number().over(Window.partitionBy("pid").orderBy("distance", "nid"))
-    return once.withColumn("place", place).filter(F.col("place") <= k)
+    best = Window.partitionBy("pid").orderBy("distance", "nid")
+    known, path = None, None
+    total, _, width = index.directions.shape
+    step = max(ROUND, ROUND_VALUES // max(1, index.points * width))
+    for start in range(0, total, step):
+        tables = range(start, min(start + step, total))
+        tasks = min(MAX_TASKS, max(1, math.ceil(index.points * len(tables) / (index.leaf * TASK_LEAVES))))
+        sorted_ = rows.mapInPandas(_keyed(index, tables), KEYED).repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+        met = sorted_.mapInPandas(_leaves(index, k, exclude_self), ANSWERS)
+        # Dealt by the asking point once, for both the copies of an answer and the k best.
+        dealt = (met if known is None else met.unionByName(known)).repartition("pid")
+        once = dealt.groupBy("pid", "nid").agg(F.max("nw").alias("nw"), F.min("distance").alias("distance"))
+        placed = once.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
+        before, path = path, scratch_path(spark, "projected")
+        placed.write.parquet(path)
+        del sorted_, met, dealt, once, placed  # or the round's shuffle files stay
+        found = spark.read.parquet(path)
+        known = found.drop("place")
+        if before:
+            drop_scratch(spark, before)
+        if step < total:
+            release(spark)
+    return found

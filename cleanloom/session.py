@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import SparkSession
@@ -56,13 +58,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished jobs now, not when the driver next collects its garbage.
+
+    The first round frees the plans, the second what only they referred to.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
+
+
+def drop_scratch(spark: SparkSession, written: str) -> bool:
+    """Delete an intermediate table that nothing reads any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(written)
+    if written in _written:
+        _written.remove(written)
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True))
+
+
 def release_scratch(spark: SparkSession) -> int:
     """Delete the intermediate tables this process wrote; frames that still read them become invalid."""
-    jvm, released = spark.sparkContext._jvm, 0
+    released = 0
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        released += bool(system.delete(path, True))
+        released += drop_scratch(spark, _written[-1])
     return released
 
 

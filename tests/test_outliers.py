@@ -119,6 +119,29 @@ def test_projections_against_the_exact_join(spark, monkeypatch):
     assert set(key(found)) == set(key(neighbours(small, build_index(small, 10), 10, True)))
 
 
+def test_rounds_of_projections_bound_the_disk(spark, monkeypatch):
+    """Whatever the number of tables, a shuffle holds the points of one round, and only the last answers stay written."""
+    from cleanloom import session
+    from cleanloom.operators import projections
+    from cleanloom.operators.neighbours import build_index, collapse, neighbours
+
+    rounds, keyed = [], projections._keyed
+    monkeypatch.setattr(projections, "_keyed", lambda index, tables: rounds.append(list(tables)) or keyed(index, tables))
+    monkeypatch.setattr(projections, "ROUND", 2)
+    monkeypatch.setattr(projections, "ROUND_VALUES", 0)
+    df, x = _cloud(spark, 300)
+    points, path = collapse(df)
+    before = set(session._written)
+    # A leaf holds half of the points; those beside it bring the rest, so each table finds nearly all.
+    found = projections.projected_neighbours(points, projections.build_projections(points, path, tables=5, leaf=150), 10, True)
+    assert rounds == [[0, 1], [2, 3], [4]]
+    assert len([p for p in set(session._written) - before if "projected" in p]) == 1
+    rows = found.toPandas().sort_values(["pid", "place"])
+    assert not rows.duplicated(["pid", "nid"]).any() and (rows.groupby("pid")["place"].agg(list).map(lambda v: v == list(range(1, 11)))).all()
+    exact = neighbours(points, build_index(points, 10), 10, True).toPandas().sort_values(["pid", "place"])
+    assert rows[["pid", "nid", "nw", "distance"]].reset_index(drop=True).equals(exact[["pid", "nid", "nw", "distance"]].reset_index(drop=True))
+
+
 def test_a_point_meets_a_bounded_number_of_others(spark, monkeypatch):
     from cleanloom.operators import projections
     from cleanloom.operators.neighbours import collapse
