@@ -9,18 +9,20 @@ from pyspark.sql import functions as F
 
 from cleanloom.operators.neighbours import Index, build_index, collapse, neighbours
 from cleanloom.operators.projections import ProjectedIndex, build_projections, projected_neighbours
-from cleanloom.session import scratch_path
+from cleanloom.session import drop_scratch, scratch_path
 
 NEIGHBOURS = 20
 EPSILON = 1e-10
+COPIES = 65_536
 SEARCHES = ("exact", "projections")
 
 
 @dataclass(frozen=True)
 class Density:
-    """Training points with k-distance and local reachability density, on shared storage."""
+    """Training points with k-distance and local reachability density, on shared storage; their vectors lie under ``points``."""
 
     path: str
+    points: str
     index: Index | ProjectedIndex
     k: int
 
@@ -45,8 +47,8 @@ def fit_density(vectors: DataFrame, k: int, pivots: int | None = None, seed: int
     if search not in SEARCHES:
         raise ValueError(f"unknown search: {search}")
     spark = vectors.sparkSession
-    points, path = collapse(vectors)
-    index = build_index(points, k, seed, pivots) if search == "exact" else build_projections(points, path, seed)
+    points, vectors_path = collapse(vectors)
+    index = build_index(points, k, seed, pivots) if search == "exact" else build_projections(points, vectors_path, seed)
     own = F.least(F.col("w") - 1, F.lit(k))
     found = _near(points, index, k, exclude_self=True)
     path = scratch_path(spark, "neighbours")
@@ -55,15 +57,16 @@ def fit_density(vectors: DataFrame, k: int, pivots: int | None = None, seed: int
         "pid", "nid", "distance", "uses").write.parquet(path)
     uses = spark.read.parquet(path)
     reach = uses.groupBy("pid").agg(F.max("distance").alias("far"))
-    kdist = points.join(reach, "pid", "left").select(
-        "pid", "x", "w", own.alias("own"), F.coalesce("far", F.lit(0.0)).alias("kdist"))
+    # Vectors stay where they are: only numbers are shuffled from here on.
+    kdist = points.select("pid", "w").join(reach, "pid", "left").select(
+        "pid", "w", own.alias("own"), F.coalesce("far", F.lit(0.0)).alias("kdist"))
     near = uses.join(kdist.select(F.col("pid").alias("nid"), F.col("kdist").alias("nk")), "nid")
     sums = near.groupBy("pid").agg(F.sum(F.col("uses") * F.greatest("nk", "distance")).alias("reach"),
                                    F.sum("uses").alias("others"))
     total = F.coalesce("reach", F.lit(0.0)) + F.col("own") * F.col("kdist")
     counted = F.coalesce("others", F.lit(0)) + F.col("own")
     lrd = kdist.join(sums, "pid", "left").select(
-        "pid", "x", "w", "own", "kdist", counted.alias("counted"),
+        "pid", "w", "own", "kdist", counted.alias("counted"),
         (1.0 / (total / counted + EPSILON)).alias("lrd"))
     lrd_path = scratch_path(spark, "density")
     lrd.write.parquet(lrd_path)
@@ -73,13 +76,24 @@ def fit_density(vectors: DataFrame, k: int, pivots: int | None = None, seed: int
     scored = dense.join(ratio, "pid", "left").withColumn(
         "score", -(F.coalesce("nl", F.lit(0.0)) + F.col("own") * F.col("lrd")) / F.col("counted") / F.col("lrd"))
     out = scratch_path(spark, "lof")
-    scored.select("pid", "x", "w", "kdist", "lrd", "score").write.parquet(out)
-    return Density(out, index, k)
+    scored.select("pid", "w", "kdist", "lrd", "score").write.parquet(out)
+    for passed in (path, lrd_path):
+        drop_scratch(spark, passed)
+    return Density(out, vectors_path, index, k)
 
 
 def training_scores(model: Density, spark) -> DataFrame:
     """(x, w, score) of the training points; score is the negated factor, lower is more abnormal."""
-    return spark.read.parquet(model.path).select("x", "w", "score")
+    scores = spark.read.parquet(model.path).select("pid", "w", "score")
+    return spark.read.parquet(model.points).select("pid", "x").join(scores, "pid").select("x", "w", "score")
+
+
+def row_scores(model: Density, spark) -> DataFrame:
+    """(score) of every training row: that of its vector, once for each copy."""
+    copies = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(w - 1) div {COPIES}"))).alias("part")  # no long array for many copies
+    part = spark.read.parquet(model.path).select("score", "w", copies)
+    some = F.least(F.lit(COPIES), F.col("w") - F.col("part") * COPIES)
+    return part.select("score", F.explode(F.sequence(F.lit(1).cast("long"), some)).alias("copy")).select("score")
 
 
 def new_scores(vectors: DataFrame, model: Density) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cleanloom.session import scratch_path
+from cleanloom.session import drop_scratch, scratch_path
 
 CHUNK_POINTS = 2000
 MIN_CHUNK_POINTS = 100
@@ -145,7 +145,9 @@ def build_index(points: DataFrame, k: int, seed: int = 42, pivots: int | None =
     for row in cells.groupBy("cell").agg(F.max("r").alias("r")).collect():
         radius[row["cell"]] = row["r"]
     index = Index("", centres, radius, nearest, n, chunk_points)
-    return replace(index, path=_packed(cells, index, min(k + 1, n)))
+    index = replace(index, path=_packed(cells, index, min(k + 1, n)))
+    drop_scratch(spark, path)
+    return index
 
 
 def neighbours(points: DataFrame, index: Index, k: int, exclude_self: bool) -> DataFrame:
@@ -160,6 +162,7 @@ def neighbours(points: DataFrame, index: Index, k: int, exclude_self: bool) -> D
         cells = scratch_path(spark, "query")
         _assigned(points, index.pivots).write.parquet(cells)
         path = _packed(spark.read.parquet(cells), index, min(k, index.points))
+        drop_scratch(spark, cells)
     asking = spark.read.parquet(path).select("cell", "part", "u", "reach", "partners", "width", "pid", "x")
     # The search is bound by CPU, not bytes: one task per block of queries, up to a limit.
     asking = asking.repartitionByRange(min(MAX_TASKS, max(1, asking.count())), "cell", "part")

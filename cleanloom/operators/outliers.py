@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from cleanloom.functions.columns import is_numeric, kinds, ref, to_real
 from cleanloom.functions.stats import aggregate, count_if, percentiles, spread
 from cleanloom.operators.isolation import Forest, fit_forest, score_column
-from cleanloom.operators.lof import NEIGHBOURS, Density, fit_density, new_scores, training_scores
+from cleanloom.operators.lof import NEIGHBOURS, Density, fit_density, new_scores, row_scores, training_scores
 from cleanloom.session import scratch_path
 
 MARK = "Outlier"
@@ -86,9 +86,8 @@ def fit(df: DataFrame, key: list[str] | None = None, method: str = "isolation_fo
     ready = prepare(df, names)
     k = min(neighbours, max(ready.count() - 1, 1))
     density = fit_density(ready.select(_vector(names).alias("x")), k, pivots, seed, search)
-    # The threshold is over rows, so each row takes the score of its vector; copies are never expanded.
-    vectors = ready.select(_vector(names).alias("x"))
-    rows = _stored(vectors.join(training_scores(density, df.sparkSession), "x").select("score"))
+    # The threshold is over rows, so each row takes the score of its vector; only scores are expanded, never vectors.
+    rows = _stored(row_scores(density, df.sparkSession))
     cut = percentiles(rows, {"t": (F.col("score"), [contamination])})["t"][0]
     return Model(method, tuple(names), contamination, cut, density, novelty)
 

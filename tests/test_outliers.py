@@ -142,6 +142,21 @@ def test_rounds_of_projections_bound_the_disk(spark, monkeypatch):
     assert rows[["pid", "nid", "nw", "distance"]].reset_index(drop=True).equals(exact[["pid", "nid", "nw", "distance"]].reset_index(drop=True))
 
 
+def test_rows_take_the_score_of_their_vector_once_for_each_copy(spark, monkeypatch):
+    """The threshold is over rows; no vector is shuffled for it, and many copies make no long array."""
+    from cleanloom.operators import lof
+
+    monkeypatch.setattr(lof, "COPIES", 3)
+    rows = [([float(i), i % 7 * 1.5],) for i in range(40)] + [([0.0, 0.0],)] * 10 + [([5.0, 7.5],)] * 2
+    vectors = spark.createDataFrame(rows, "x array<double>")
+    model = lof.fit_density(vectors, 4)
+    scores = lof.row_scores(model, spark)
+    joined = vectors.join(lof.training_scores(model, spark), "x").select("score")
+    assert sorted(r.score for r in scores.collect()) == sorted(r.score for r in joined.collect()) and scores.count() == 52
+    assert "Exchange" not in scores._jdf.queryExecution().executedPlan().toString()
+    assert "x" not in spark.read.parquet(model.path).columns
+
+
 def test_a_point_meets_a_bounded_number_of_others(spark, monkeypatch):
     from cleanloom.operators import projections
     from cleanloom.operators.neighbours import collapse
