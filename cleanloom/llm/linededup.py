@@ -42,6 +42,9 @@ LONG_LINE = 48  # words from which a line carries a second parity
 PART_BYTES = 1 << 18  # read together: the arrays of a part stay in the cache
 SEEN_LINES = 1_000_000
 FILTER_BITS = 24
+COUNTS_AT_ONCE = 1 << 20  # words whose buckets are held before they are counted
+COUNTED = np.dtype([("bucket", "<u4"), ("n", "<i8")])  # word counts travel as these, so many buckets in a row:
+COUNTS_IN_ROW = 1 << 16
 
 LINES = "id long, tag long, line long, cls long, size int, counts binary"
 POSTINGS = "k1 long, k2 long, cls long, parity long, more long, extent long"  # more: second parity; extent: size of the set and words behind the key
@@ -136,13 +139,23 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 # ---------------------------------------------------------------- passes over the texts
 def _count(batches):
-    """A row per line that has words; the last row of a task holds its word counts."""
-    counts = np.zeros(1 << BUCKET_BITS, np.int64)
+    """A row per line that has words; the last rows of a task hold its word counts, only those of buckets that have words."""
+    counts, held, waiting = np.zeros(1 << BUCKET_BITS, np.int64), [], 0
     for sets, number, ids, tags in _sets_of(batches):
-        counts += np.bincount((sets.hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), minlength=len(counts))
+        held.append((sets.hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int32))
+        waiting += len(held[-1])
+        if waiting >= COUNTS_AT_ONCE:
+            counts += np.bincount(np.concatenate(held), minlength=len(counts))
+            held, waiting = [], 0
         yield pd.DataFrame({"id": ids.astype("Int64"), "tag": tags, "line": number, "cls": sets.cls, "size": sets.size.astype(np.int32), "counts": None})
-    if counts.any():
-        yield pd.DataFrame({"id": pd.array([None], "Int64"), "tag": [0], "line": [-1], "cls": [0], "size": [0], "counts": [counts.tobytes()]})
+    if held:
+        counts += np.bincount(np.concatenate(held), minlength=len(counts))
+    some = np.flatnonzero(counts)
+    for at in range(0, len(some), COUNTS_IN_ROW):
+        part = np.empty(len(some[at:at + COUNTS_IN_ROW]), COUNTED)
+        part["bucket"] = some[at:at + COUNTS_IN_ROW]
+        part["n"] = counts[part["bucket"]]
+        yield pd.DataFrame({"id": pd.array([None], "Int64"), "tag": [0], "line": [-1], "cls": [0], "size": [0], "counts": [part.tobytes()]})
 
 
 def _word_counts(lines: DataFrame) -> np.ndarray:
@@ -151,7 +164,8 @@ def _word_counts(lines: DataFrame) -> np.ndarray:
         total = np.zeros(1 << BUCKET_BITS, np.int64)
         for batch in batches:
             for counts in batch["counts"]:
-                total += np.frombuffer(counts, np.int64)
+                part = np.frombuffer(counts, COUNTED)
+                total[part["bucket"]] += part["n"]  # each bucket once
         some = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": some, "n": total[some]})
 

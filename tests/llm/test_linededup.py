@@ -116,6 +116,21 @@ def test_hashed_words_and_parts(monkeypatch):
     assert [n for n, _ in parts] == [text.encode()[:text.encode().index(d)].count(b"\n") if d else n for n, d in parts]
 
 
+def test_word_counts_travel_in_small_rows(monkeypatch):
+    """A task of few words sends few counts, not the whole table, and of many in bounded rows."""
+    import pandas as pd
+
+    monkeypatch.setattr(ld, "COUNTS_IN_ROW", 100, raising=False)
+    batch = pd.DataFrame({"id": [1, 2], "tag": 0, "text": [" ".join(f"w{i}" for i in range(250)), "w1 w1\nw1 w2"]})
+    sent = [c for out in ld._count([batch]) for c in out["counts"] if c is not None]
+    assert len(sent) == 3 and max(map(len, sent)) <= 100 * 12
+    table = np.zeros(1 << ld.BUCKET_BITS, np.int64)
+    for part in sent:
+        table[np.frombuffer(part, ld.COUNTED)["bucket"]] += np.frombuffer(part, ld.COUNTED)["n"]
+    bucket = ld.hashed_words(b"w1 w2 w249")[0] >> np.uint64(64 - ld.BUCKET_BITS)
+    assert table[bucket].tolist() == [3, 2, 1] and table.sum() == 253
+
+
 def test_hashes_do_not_depend_on_the_place():
     words = [f"word{i}".encode() for i in range(500)]
     alone = [int(ld.hashed_words(w)[0][0]) for w in words]
