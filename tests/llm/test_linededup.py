@@ -116,6 +116,23 @@ def test_hashed_words_and_parts(monkeypatch):
     assert [n for n, _ in parts] == [text.encode()[:text.encode().index(d)].count(b"\n") if d else n for n, d in parts]
 
 
+def test_lines_of_all_lengths_meet_the_parity_filter():
+    """Long lines that share their rarest word alone are no candidates, whatever their lengths."""
+    import pandas as pd
+
+    rarity = np.full(1 << ld.BUCKET_BITS, 100, np.uint8)
+    rarity[ld.hashed_words(b"shared")[0][0] >> np.uint64(64 - ld.BUCKET_BITS)] = 0
+    lines = ["shared " + " ".join(f"a{i}x{j}" for j in range(n - 1)) for i, n in enumerate([40, 46, 47, 48, 50, 52, 55])]
+    lines.append(lines[-1].replace("a6x0 ", ""))  # one that matches
+    batch = pd.DataFrame({"id": 1, "tag": 1, "text": ["\n".join(lines)]})
+    held = type("Held", (), {"value": rarity})
+    rows = pd.concat(ld._emit_postings(held, 127)([batch]))
+    rows = rows.assign(size=rows.extent.to_numpy() >> 32).sort_values(["k1", "k2", "size", "cls"], ignore_index=True)[["k1", "k2", "cls", "parity", "more", "extent"]]
+    out = pd.concat(ld._pair_lists(ld.DENSE, ld.LIST)(iter([rows])))
+    sets = ld.Sets("\n".join(lines).encode(), rarity)
+    assert {(min(a, b), max(a, b)) for a, b in zip(out.a, out.b)} == {(min(sets.cls[-2:]), max(sets.cls[-2:]))}
+
+
 def test_word_counts_travel_in_small_rows(monkeypatch):
     """A task of few words sends few counts, not the whole table, and of many in bounded rows."""
     import pandas as pd
