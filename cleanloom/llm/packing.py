@@ -43,6 +43,8 @@ WORD_END = "</w>"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 CACHED_WORDS = 1_000_000
 RUN_BITS = 32
+SLOT_BITS = 21  # of the table in which most known words are found
+IDS_AT_ONCE = 1 << 20
 
 BLANK, LETTER, DIGIT, OTHER, ODD = range(5)
 #: Kinds of bytes to :data:`SPLIT`. Odd ones need the pattern itself: apostrophes, the mark of a special token, control bytes, and
@@ -117,6 +119,7 @@ class Encoder:
     def _forget(self) -> None:
         self.known, self.runs = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # a run of ids: first place, number (low half)
         self.ids, self.filled = np.zeros(1 << 16, self.kind), 0
+        self.slots = np.zeros(1 << SLOT_BITS, np.int32)  # place in ``known`` of one of the words whose hashes begin alike
 
     def _ids(self, text: str, tokenizer=None) -> np.ndarray:
         return np.array((tokenizer or self.tokenizer).encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
@@ -184,6 +187,7 @@ class Encoder:
             self.filled += len(ids)
         at = np.searchsorted(self.known, hashes)
         self.known, self.runs = np.insert(self.known, at, hashes), np.insert(self.runs, at, runs)
+        self.slots[self.known >> np.uint64(64 - SLOT_BITS)] = np.arange(len(self.known))
 
     def _edges(self, codes: np.ndarray):
         """(first byte, byte after the last, whether cut as the pattern does) of all words."""
@@ -201,9 +205,9 @@ class Encoder:
             begins[_within(len(codes), first[odd], last[odd])] = False
         begins[first] = True
         begin = np.flatnonzero(begins)
-        heads = np.zeros(len(begin), np.int8)
-        heads[np.searchsorted(begin, first)] = 1
-        word = np.cumsum(heads, dtype=np.int32) - 1
+        heads = np.zeros(len(codes), bool)
+        heads[first] = True
+        word = np.cumsum(heads[begin], dtype=np.int32) - 1
         return begin, np.minimum(np.append(begin[1:], len(codes)), last[word]), ~odd[word]
 
     def _hashed(self, data: bytes):
@@ -231,6 +235,10 @@ class Encoder:
             self._read(held, out)
         return [ids[0] if len(ids) == 1 else np.concatenate(ids) for ids in out]
 
+    def _places(self, hashes: np.ndarray) -> np.ndarray:
+        """Where in ``known`` each word may be."""
+        return self.slots[hashes >> np.uint64(64 - SLOT_BITS)].astype(np.int64)
+
     def _read(self, parts: list[tuple[int, bytes]], out: list[list[np.ndarray]]) -> None:
         if len(self.known) > CACHED_WORDS:
             self._forget()
@@ -238,24 +246,25 @@ class Encoder:
         data = b"\n".join(raw)
         begins = np.cumsum([0] + [len(r) + 1 for r in raw[:-1]])
         hashes, first, last, plain = self._hashed(data)
-        order = np.argsort(hashes)
-        ordered = hashes[order]
-        head = np.ones(len(order), bool)
-        head[1:] = ordered[1:] != ordered[:-1]
-        distinct, example = ordered[head], order[head]
-        at = np.searchsorted(self.known, distinct)
-        new = (self.known[np.minimum(at, len(self.known) - 1)] != distinct) if len(self.known) else np.ones(len(distinct), bool)
-        if new.any():
-            at = example[new]
-            self._learn(distinct[new], [data[a:b] for a, b in zip(first[at].tolist(), last[at].tolist())], plain[at])
+        word = self._places(hashes)
+        away = np.flatnonzero(self.known[word] != hashes) if len(self.known) else np.arange(len(hashes))
+        if len(away):  # new words, and those whose slot another one holds
+            distinct, example, which = np.unique(hashes[away], return_index=True, return_inverse=True)
             at = np.searchsorted(self.known, distinct)
-        word = np.empty(len(order), np.int64)
-        word[order] = at[np.cumsum(head) - 1]
+            new = (self.known[np.minimum(at, len(self.known) - 1)] != distinct) if len(self.known) else np.ones(len(distinct), bool)
+            if new.any():
+                at = away[example[new]]
+                self._learn(distinct[new], [data[a:b] for a, b in zip(first[at].tolist(), last[at].tolist())], plain[at])
+                at, word = np.searchsorted(self.known, distinct), self._places(hashes)
+            word[away] = at[which]
+            if new.any():  # learning moved words, and may have taken a slot
+                moved = np.flatnonzero(self.known[word] != hashes)
+                word[moved] = np.searchsorted(self.known, hashes[moved])
         runs = self.runs[word]
         lengths = runs & (1 << RUN_BITS) - 1
         ids = self.ids[_spans(runs >> RUN_BITS, lengths)]
-        sizes = np.bincount(np.searchsorted(begins, first, side="right") - 1, lengths, len(parts)).astype(np.int64)
-        for (i, _), piece in zip(parts, np.split(ids, np.cumsum(sizes)[:-1])):
+        before = np.concatenate([[0], np.cumsum(lengths)])  # ids before each word
+        for (i, _), piece in zip(parts, np.split(ids, before[np.searchsorted(first, begins[1:])])):
             out[i].append(piece)
 
 
@@ -354,6 +363,29 @@ def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
+def _terms(ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, token, count) of the distinct tokens of some pieces, by piece and token."""
+    flat = np.concatenate(ids)
+    shift, kind = (16, np.uint32) if flat.dtype.itemsize == 2 and len(ids) <= 1 << 16 else (32, np.uint64)
+    keys = np.sort(np.repeat(np.arange(len(ids), dtype=kind), [len(i) for i in ids]) << kind(shift) | flat.astype(kind))
+    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    count = np.diff(heads, append=len(keys))
+    keys = keys[heads]
+    return (keys >> kind(shift)).astype(np.int64), (keys & kind((1 << shift) - 1)).astype(np.int64), count
+
+
+def _groups(sizes: list[int], at_once: int):
+    """Ranges of neighbours of about so many ids together."""
+    start = total = 0
+    for i, size in enumerate(sizes):
+        total += size
+        if total >= at_once:
+            yield start, i + 1
+            start, total = i + 1, 0
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def _weight(idf, count, length, mean_length: float):
     return idf * count * (K1 + 1) / (count + K1 * (1 - B + B * length / mean_length))
 
@@ -362,14 +394,9 @@ class Index:
     """Inverted index of a shard: for each token the pieces that hold it and its BM25 weight there."""
 
     def __init__(self, ids: list[np.ndarray], idf: np.ndarray, mean_length: float):
-        self.terms, parts, counts = [], [], []
-        for piece in ids:
-            terms, count = np.unique(piece, return_counts=True)
-            self.terms.append(terms)
-            counts.append(count)
-        owner = np.repeat(np.arange(len(ids)), [len(t) for t in self.terms])
-        token, count = np.concatenate(self.terms).astype(np.int64), np.concatenate(counts)
-        order = np.argsort(token, kind="stable")
+        owner, token, count = _terms(ids)
+        self.tokens, self.first = token, np.searchsorted(owner, np.arange(len(ids) + 1))
+        order = np.argsort(token.astype(ids[0].dtype), kind="stable")
         lengths = np.array([len(i) for i in ids])[owner]
         weight = _weight(idf[token], count, lengths, mean_length)
         self.pieces, self.weights = owner[order], weight[order]
@@ -377,7 +404,7 @@ class Index:
         self.size = len(ids)
 
     def scores(self, piece: int) -> np.ndarray:
-        terms = self.terms[piece].astype(np.int64)
+        terms = self.tokens[self.first[piece]:self.first[piece + 1]]
         at = _spans(self.starts[terms], self.starts[terms + 1] - self.starts[terms])
         return np.bincount(self.pieces[at], self.weights[at], self.size)
 
@@ -449,16 +476,22 @@ def _frequencies(closing: DataFrame) -> np.ndarray:
     return frequency
 
 
+def _keys(ids: list[np.ndarray], idf, shared, mean_length: float) -> list[int]:
+    """Of each piece the token of greatest weight among the shared ones, the smallest of equals."""
+    owner, token, count = _terms(ids)
+    lengths = np.array([len(i) for i in ids])
+    weight = np.where(shared[token], _weight(idf[token], count, lengths[owner], mean_length), -1.0)
+    best = np.flatnonzero(weight == np.maximum.reduceat(weight, np.searchsorted(owner, np.arange(len(ids))))[owner])
+    return token[best[np.searchsorted(owner[best], np.arange(len(ids)))]].tolist()
+
+
 def _emit_keys(idf, shared, mean_length: float, kind: np.dtype):
     """The rests with their keys."""
     def run(batches):
         for batch in batches:
-            keys = []
-            for i in batch["ids"]:
-                piece = np.frombuffer(i, kind)
-                token, count = np.unique(piece, return_counts=True)
-                weight = np.where(shared.value[token], _weight(idf.value[token], count, len(piece), mean_length), -1.0)
-                keys.append(int(token[weight.argmax()]))
+            keys, held = [], [np.frombuffer(i, kind) for i in batch["ids"]]
+            for start, end in _groups([len(i) for i in held], IDS_AT_ONCE):
+                keys += _keys(held[start:end], idf.value, shared.value, mean_length)
             yield batch.assign(key=np.array(keys, np.int64))
 
     return run

@@ -145,3 +145,31 @@ def test_scores_match_the_formula():
 
 def test_empty_table(spark, make_docs):
     assert packing.pack(make_docs()).count() == 0
+
+
+def test_terms_and_keys_of_many_pieces_at_once():
+    """One sort for all pieces gives what a look at each piece gives."""
+    draw = np.random.default_rng(5)
+    idf, shared = draw.random(50), draw.random(50) < 0.6
+    for kind in ("<u2", "<u4"):
+        ids = [draw.integers(0, 50, int(n)).astype(kind) for n in draw.integers(1, 40, 300)]
+        owner, token, count = packing._terms(ids)
+        keys = packing._keys(ids, idf, shared, 20.0)
+        for i, piece in enumerate(ids):
+            terms, counts = np.unique(piece, return_counts=True)
+            assert token[owner == i].tolist() == terms.tolist() and count[owner == i].tolist() == counts.tolist()
+            weight = np.where(shared[terms], packing._weight(idf[terms], counts, len(piece), 20.0), -1.0)
+            assert keys[i] == terms[weight.argmax()]
+    assert [list(range(*r)) for r in packing._groups([3, 1, 9, 1, 1], 4)] == [[0, 1], [2], [3, 4]]
+
+
+def test_words_that_share_a_slot(monkeypatch):
+    """Words are found whichever of them holds the slot of the table."""
+    texts = [" ".join(f"word{i * 7 % 90}x" for i in range(n, n + 60)) for n in range(0, 200, 20)] + [None, "", "  "]
+    plain = packing.Encoder(packing.tokenizer_path())
+    wanted = [plain.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(packing, "SLOT_BITS", 3, raising=False)
+    few = packing.Encoder(packing.tokenizer_path())
+    for _ in range(2):
+        assert [i.tolist() for t in texts for i in few([t])] == wanted
+    assert len(few.slots) == 8 < len(few.known)
