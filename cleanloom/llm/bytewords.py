@@ -28,9 +28,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
+def lowered(codes: np.ndarray) -> np.ndarray:
+    """``LOWER`` of all bytes, without a table."""
+    return (codes + ((codes - np.uint8(65) < 26).view(np.uint8) << np.uint8(5))).astype(np.uint64)
+
+
 def edges(codes: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """(first byte, byte after the last) of all words; ``between`` marks the bytes that part them, by default ASCII white space."""
-    blank = np.concatenate([[True], between[codes], [True]])
+    blank = np.ones(len(codes) + 2, bool)
+    if between is SPACE:
+        np.logical_or(codes == 32, codes - np.uint8(9) < 5, out=blank[1:-1])
+    else:
+        blank[1:-1] = between[codes]
     found = np.flatnonzero(blank[1:] != blank[:-1])
     return found[::2], found[1::2]
 
@@ -39,5 +48,7 @@ def hashes(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarra
     """A hash of values[first:last] for each word, from one running sum; it does not depend on where the word stands."""
     power, inverse = _power_tables(len(values) + 1)
     summed = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum((values + np.uint64(1)) * power[:-1], out=summed[1:])
+    np.add(values, np.uint64(1), out=summed[1:])
+    summed[1:] *= power[:-1]
+    np.cumsum(summed[1:], out=summed[1:])
     return mixed((summed[last] - summed[first]) * inverse[first] + (last - first).astype(np.uint64))

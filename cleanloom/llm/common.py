@@ -51,6 +51,11 @@ def gathered(df: DataFrame, index: str, value: str, size: int) -> np.ndarray:
 
     parts = (df.select(F.expr(f"{index} div {SEGMENT}").alias("segment"), index, value).groupBy("segment")
              .applyInPandas(pack, "segment long, numbers binary").collect())
+    return joined(parts, size)
+
+
+def joined(parts, size: int) -> np.ndarray:
+    """The table of rows (segment, numbers)."""
     table = np.zeros(-(-size // SEGMENT) * SEGMENT, np.int64)
     for row in parts:
         table[row["segment"] * SEGMENT:(row["segment"] + 1) * SEGMENT] = np.frombuffer(row["numbers"], np.int64)

@@ -176,3 +176,74 @@ def test_clean_texts(spark, make_docs):
 def test_empty_table(spark, make_docs):
     assert ld.document_verdicts(make_docs()).count() == 0
     assert ld.remove_repeats(make_docs()).count() == 0
+
+
+def postings_of(lines, frequent_class=127):
+    import pandas as pd
+
+    held = type("Held", (), {"value": np.zeros(1 << ld.BUCKET_BITS, np.uint8)})
+    return pd.concat(ld._emit_postings(held, frequent_class)([pd.DataFrame({"id": 1, "tag": 1, "text": ["\n".join(lines)]})]), ignore_index=True)
+
+
+def test_postings_travel_many_in_a_row(monkeypatch):
+    """Rows are few, ranges ascend with the keys, and every posting arrives once, those of a key in one range."""
+    import pandas as pd
+
+    rows = postings_of([" ".join(f"w{(i * 7 + j * j) % 900}" for j in range(30)) for i in range(500)])
+    monkeypatch.setattr(ld, "PACK_ROWS", 1000)
+    sent = pd.concat(ld._pack(iter(batches_of(rows, 300)), 8), ignore_index=True)
+    assert len(sent) <= 8 * (len(rows) // 1000 + 1) and set(sent.span) == set(range(8))
+    sent = sent.sort_values("span", kind="stable", ignore_index=True)
+    got = list(ld._unpack(batches_of(sent, 5)))
+    spans = [g.span.iloc[0] for g in got]
+    assert spans == sorted(spans)
+    got = pd.concat(got)
+    assert got.groupby("k1").span.nunique().max() == 1
+    assert (got.groupby("span").k1.max().to_numpy()[:-1] < got.groupby("span").k1.min().to_numpy()[1:]).all()
+    columns = list(rows.columns)
+    assert got[columns].sort_values(columns, ignore_index=True).equals(rows.sort_values(columns, ignore_index=True))
+
+
+def test_lists_of_unordered_parts_of_a_range():
+    """Parts of a range come one after the other, each with keys of its own order; a long list spread over them is tied as one."""
+    import pandas as pd
+
+    few = [(5, c) for c in (1, 2, 3)] + [(9, c) for c in (4, 5)]
+    rows = [(7, 100 + c) for c in range(50)] + few + [(7, 120 + c) for c in range(60)]
+    random.Random(3).shuffle(rows)
+    frame = pd.DataFrame({"k1": [r[0] for r in rows], "k2": 0, "cls": [r[1] for r in rows], "extent": 10 << 32 | 9}).astype("int64").assign(parity=0, more=0, span=0)
+    other = frame.assign(k1=frame.k1 + 10, cls=frame.cls + 1000, span=1)
+    out = pd.concat(ld._pair_lists(100, 20)(iter(batches_of(frame, 7) + batches_of(other, 7))))
+    crowd, pairs = out[out.crowd], out[~out.crowd]
+    base = {(1, 2), (1, 3), (2, 3), (4, 5)}
+    assert set(zip(pairs.a, pairs.b)) == base | {(a + 1000, b + 1000) for a, b in base}
+    for shift in (0, 1000):
+        group, links = {100 + shift}, set(zip(crowd.a, crowd.b))
+        for _ in range(len(links)):
+            group |= {x for link in links if group & set(link) for x in link}
+        assert group == set(range(100 + shift, 180 + shift))
+
+
+def test_words_of_a_line_stay_once_and_in_order(monkeypatch):
+    """Whatever slots they share, and where the beginnings of words are equal."""
+    draw = random.Random(8)
+    lines = [[f"v{draw.randrange(30)}" for _ in range(draw.randint(1, 25))] for _ in range(300)]
+    data = "\n".join(" ".join(line) for line in lines).encode()
+    rarity = np.array([i * 37 % 128 for i in range(1 << ld.BUCKET_BITS)], np.uint8)
+    whole = ld.Sets(data, rarity)
+    for bits in (1, 4, 18):
+        monkeypatch.setattr(ld, "SLOT_BITS", bits)
+        sets = ld.Sets(data, rarity)
+        assert sets.size.tolist() == [len(set(line)) for line in lines]
+        assert sets.cls.tolist() == whole.cls.tolist() and sets.words.tolist() == whole.words.tolist()
+        for start, size in zip(sets.start, sets.size):
+            assert (np.diff(sets.words[start:start + size].astype(np.int64)) > 0).all()
+    some = ld.Sets(data)
+    some.only(np.arange(300) % 3 == 1)
+    some.put_in_order(rarity)
+    assert some.cls.tolist() == whole.cls[1::3].tolist()
+    assert some.words.tolist() == [w for s, n in zip(whole.start[1::3], whole.size[1::3]) for w in whole.words[s:s + n].tolist()]
+    close = ld.Sets(b"a b")
+    close.hashes = np.array([5 << 30 | 9 << 8, 5 << 30 | 3 << 8], np.uint64)  # one beginning
+    close.put_in_order(np.zeros(1 << ld.BUCKET_BITS, np.uint8))
+    assert (np.diff(close.words.astype(np.int64)) > 0).all()
